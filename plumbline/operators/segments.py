@@ -85,7 +85,7 @@ def _plus_plus(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarr
     return np.array(centres)
 
 
-def _one_round(points: DataFrame, runs: list[np.ndarray]) -> tuple[list[np.ndarray], list[float]]:
+def _one_round(features: DataFrame, runs: list[np.ndarray]) -> tuple[list[np.ndarray], list[float]]:
     """Move the centres of every run once, in one pass over the data.
 
     Tasks return one sum per (run, centre); returns new centres and the cost
@@ -94,9 +94,7 @@ def _one_round(points: DataFrame, runs: list[np.ndarray]) -> tuple[list[np.ndarr
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = [np.zeros((len(c), c.shape[1] + 2)) for c in runs]
         for batch in batches:
-            if batch.empty:
-                continue
-            x = np.stack(batch["x"].to_numpy())
+            x = np.ascontiguousarray(batch.to_numpy())
             norm = (x * x).sum(axis=1)
             for r, c in enumerate(runs):
                 dist = norm[:, None] - 2.0 * (x @ c.T) + (c * c).sum(axis=1)
@@ -109,7 +107,7 @@ def _one_round(points: DataFrame, runs: list[np.ndarray]) -> tuple[list[np.ndarr
         rows = [(r, i, row.tolist()) for r, t in enumerate(total) for i, row in enumerate(t) if row[0] > 0]
         yield pd.DataFrame(rows, columns=["run", "centre", "sums"])
 
-    parts = points.select("x").mapInPandas(sums, "run int, centre int, sums array<double>")
+    parts = features.mapInPandas(sums, "run int, centre int, sums array<double>")
     cells = runs[0].shape[1] + 2
     found = parts.groupBy("run", "centre").agg(
         *[F.sum(F.col("sums")[j]).alias(f"s{j}") for j in range(cells)]).collect()
@@ -123,16 +121,30 @@ def _one_round(points: DataFrame, runs: list[np.ndarray]) -> tuple[list[np.ndarr
 
 def _fit(points: DataFrame, ks: Sequence[int], restarts: int, max_iter: int, tol: float,
          seed: int) -> dict[int, tuple[np.ndarray, float]]:
-    """Best centres and cost for each k, all restarts of all k moving together."""
+    """Best centres and cost for each k, all restarts of all k moving together.
+
+    A run ends when its centres move by no more than ``tol`` times the mean
+    feature variance (squared distances, summed).
+    """
     # a fixed pseudo-random set of rows, the same whatever the partitioning
     sample = np.array([r.x for r in points.select("x").orderBy(
         F.xxhash64(F.lit(seed), "x"), "x").limit(START_POINTS).collect()])
+    tol *= float(sample.var(axis=0).mean())
+    features = points.select(*[F.col("x")[j].alias(f"f{j}") for j in range(sample.shape[1])]).persist()
+    try:
+        return _move_until_still(features, sample, ks, restarts, max_iter, tol, seed)
+    finally:
+        features.unpersist()
+
+
+def _move_until_still(features: DataFrame, sample: np.ndarray, ks: Sequence[int], restarts: int, max_iter: int,
+                      tol: float, seed: int) -> dict[int, tuple[np.ndarray, float]]:
     owners = [(k, seed + r) for k in ks for r in range(restarts)]
     runs = [_plus_plus(sample, k, np.random.default_rng([s, k])) for k, s in owners]
     best: dict[int, tuple[np.ndarray, float]] = {}
     live = list(range(len(runs)))
     for step in range(max_iter + 1):
-        moved, costs = _one_round(points, [runs[i] for i in live])
+        moved, costs = _one_round(features, [runs[i] for i in live])
         still = []
         for i, new, cost in zip(live, moved, costs):
             shift = float(((new - runs[i]) ** 2).sum())
@@ -151,16 +163,12 @@ def _fit(points: DataFrame, ks: Sequence[int], restarts: int, max_iter: int, tol
 
 
 def kmeans_centres(points: DataFrame, k: int = settings.CLUSTERS, restarts: int = settings.KMEANS_RESTARTS,
-                   max_iter: int = 300, tol: float = 1e-8, seed: int = settings.SEED) -> tuple[np.ndarray, float]:
+                   max_iter: int = 300, tol: float = 1e-4, seed: int = settings.SEED) -> tuple[np.ndarray, float]:
     """Centres of the best of ``restarts`` k-means runs, and its within-cluster sum of squares.
 
     All restarts share each pass over the data, so ten cost the scans of one.
     """
-    kept = points.select("x").persist()
-    try:
-        return _fit(kept, [k], restarts, max_iter, tol, seed)[k]
-    finally:
-        kept.unpersist()
+    return _fit(points, [k], restarts, max_iter, tol, seed)[k]
 
 
 def assign(points: DataFrame, centres: np.ndarray) -> DataFrame:
@@ -191,11 +199,7 @@ def elbow(points: DataFrame, max_k: int = settings.ELBOW_MAX_K, restarts: int =
     bends most (largest second difference).
     """
     ks = list(range(2, max_k + 1))
-    kept = points.select("x").persist()
-    try:
-        fits = _fit(kept, ks, restarts, 300, 1e-8, seed)
-    finally:
-        kept.unpersist()
+    fits = _fit(points, ks, restarts, 300, 1e-4, seed)
     costs = [fits[k][1] for k in ks]
     bend = np.diff(costs, 2)
     best = int(np.argmax(bend)) + 2 if len(bend) else None
@@ -251,23 +255,23 @@ def silhouette_points(labelled: DataFrame, key_cols: Sequence[str]) -> DataFrame
                           F.pmod(F.xxhash64(*[ref(k) for k in key_cols]), F.lit(tiles)).alias("tile"))
     every = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)).cast("array<bigint>"))
     left = own.select("key", "cluster", "x", F.col("tile").alias("i"), every.alias("j"))
-    right = own.select("cluster", "x", every.alias("i"), F.col("tile").alias("j"))
+    right = own.select(F.col("cluster").alias("near"), F.col("x").alias("at"), every.alias("i"), F.col("tile").alias("j"))
     schema = T.StructType([own.schema["key"], T.StructField("own", T.LongType()),
                            T.StructField("cluster", T.LongType()), T.StructField("total", T.DoubleType())])
 
     def tile(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"key": [], "own": [], "cluster": [], "total": []})
-        x, y = np.stack(a["x"].to_numpy()), np.stack(b["x"].to_numpy())
+        x, y = np.stack(a["x"].to_numpy()), np.stack(b["at"].to_numpy())
         dist = np.zeros((len(x), len(y)))
         for j in range(x.shape[1]):
             dist += (x[:, j, None] - y[None, :, j]) ** 2
         np.sqrt(dist, out=dist)
         out = []
-        for c in np.unique(b["cluster"]):
+        for c in np.unique(b["near"]):
             part = a[["key"]].copy()
             part["own"], part["cluster"] = a["cluster"], c
-            part["total"] = dist[:, (b["cluster"] == c).to_numpy()].sum(axis=1)
+            part["total"] = dist[:, (b["near"] == c).to_numpy()].sum(axis=1)
             out.append(part)
         return pd.concat(out)
 
