@@ -10,11 +10,12 @@ of the few rows next to them.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,25 +23,36 @@ BLOCK_ROWS = 32_768
 _ROW_IN_PARTITION = (1 << 33) - 1
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write the rows to the cluster's checkpoint folder and cut the lineage.
-
-    The folder is the session's ``spark.checkpoint.dir``.  Only a local session
-    without the setting (tests) gets a folder of its own.
-    """
-    spark = df.sparkSession
+def _shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; only a local session without one (tests) gets its own."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(folder)
-    elif sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-"))
+    if sc.getCheckpointDir() is None:
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="plumbline-")
+        sc.setCheckpointDir(folder)
+    return folder or sc.getCheckpointDir()
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write the rows to the checkpoint folder and cut the lineage; partitions stay as they are."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stage_table(df: DataFrame) -> DataFrame:
+    """Write the rows as a table in the checkpoint folder and read it back.
+
+    For loops: unlike a checkpoint, the result carries no knowledge of the plan
+    that made it, so plans do not grow from round to round.
+    """
+    path = f"{_shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _range_sorted(df: DataFrame, group: Sequence[str], by: Sequence[str | Column]) -> DataFrame:
     order = [F.col(c).asc_nulls_last() if isinstance(c, str) else c for c in (*group, *by)]
     # the file position splits a run of otherwise identical rows over several partitions

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from plumbline import settings
 from plumbline.functions.columns import ref
-from plumbline.functions.ordering import materialise, ordered_index
+from plumbline.functions.ordering import materialise, ordered_index, stage_table
 
 # points of one cell per join task
 _SPLIT_POINTS = 50_000
@@ -129,25 +129,30 @@ def _full_edges(points: DataFrame, pairs: DataFrame, eps: float, side: float, d:
 
 
 def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Rows (cid, comp): the smallest cell id reachable from each cell.
+    """Rows (cid, comp): one representative cell per connected group.
 
-    Every round takes the smallest label among neighbours and then follows
-    labels to their own label, so long chains shorten quickly.
+    Each round every group joins its smallest neighbour if that is smaller,
+    links are followed to their end, and edges are rewritten between the merged
+    groups.  Groups and edges shrink by a factor per round, whatever the diameter.
     """
-    both = materialise(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = materialise(nodes.select("cid", F.col("cid").alias("comp")))
-    while True:
-        offered = (both.join(labels.select(F.col("cid").alias("b"), "comp"), "b")
-                   .groupBy(F.col("a").alias("cid")).agg(F.min("comp").alias("offer")))
-        lower = labels.join(offered, "cid", "left").select(
-            "cid", F.col("comp").alias("old"), F.least("comp", F.coalesce("offer", "comp")).alias("low"))
-        lower = materialise(lower)
-        jump = lower.select(F.col("cid").alias("low"), F.col("low").alias("lower"))
-        step = materialise(lower.join(jump, "low", "left").select(
-            "cid", F.least("low", F.coalesce("lower", "low")).alias("comp"), "old"))
-        labels = step.select("cid", "comp")
-        if step.where("comp <> old").isEmpty():
-            return labels
+    one_way = edges.where("a <> b")
+    links = stage_table(one_way.unionByName(one_way.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = stage_table(nodes.select("cid", F.col("cid").alias("comp")))
+    while not links.isEmpty():
+        parent = stage_table(links.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("up")))
+        while True:  # each pass doubles the length of the links followed
+            above = parent.select(F.col("a").alias("up"), F.col("up").alias("top"))
+            step = stage_table(parent.join(above, "up").select("a", "up", "top"))
+            parent = step.select("a", F.col("top").alias("up"))
+            if step.where("top <> up").isEmpty():
+                break
+        labels = stage_table(labels.join(parent.select(F.col("a").alias("comp"), "up"), "comp", "left").select(
+            "cid", F.coalesce("up", "comp").alias("comp")))
+        links = stage_table(
+            links.join(parent.select("a", F.col("up").alias("ua")), "a")
+            .join(parent.select(F.col("a").alias("b"), F.col("up").alias("ub")), "b")
+            .where("ua <> ub").select(F.col("ua").alias("a"), F.col("ub").alias("b")).distinct())
+    return labels
 
 
 def density_clusters(points: DataFrame, key_cols: Sequence[str], eps: float = settings.DBSCAN_EPS,

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions.columns import ref
 from plumbline.operators import (
-    distributions, outliers, profile, quality, segments, stattests, temporal)
+    distributions, importance, outliers, profile, quality, segments, stattests, temporal)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -205,6 +205,8 @@ def registry() -> dict[str, Query]:
     q["segments_kmeans"] = lambda s, d: rounded(segments.kmeans(_scaled_lines(s, d)).select(*LINE_KEY, "cluster", "distance"))
     q["segments_elbow"] = lambda s, d: rounded(segments.elbow(_scaled_lines(s, d), restarts=2), 3)
     q["segments_hierarchical"] = lambda s, d: segments.hierarchical(_scaled_lines(s, d)).select(*LINE_KEY, "cluster")
+    q["segments_dbscan"] = lambda s, d: segments.density_clusters(
+        _parts(s, d), ["p_partkey"], 0.1, 5).select("p_partkey", "cluster")
     q["segments_cluster_summary"] = lambda s, d: rounded(segments.cluster_summary(
         table(s, d, "lineitem"), "l_returnflag", LINE_NUMBERS), 4)
     q["segments_silhouette"] = lambda s, d: rounded(segments.silhouette_points(_labelled_vectors(s, d), ["vec_id"]), 6)
@@ -218,4 +220,6 @@ def registry() -> dict[str, Query]:
         table(s, d, "lineitem"), ["l_quantity", "l_extendedprice"])))
     q["segments_distant_points"] = lambda s, d: rounded(segments.distant_points(
         segments.kmeans(_scaled_lines(s, d), restarts=1), LINE_KEY))
+    q["feature_importance"] = lambda s, d: rounded(importance.forest_importance(
+        table(s, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax", "l_partkey"], trees=20))
     return q
