@@ -119,6 +119,18 @@ def _one_round(features: DataFrame, runs: list[np.ndarray]) -> tuple[list[np.nda
     return moved, costs
 
 
+def _start_points(points: DataFrame, seed: int) -> np.ndarray:
+    """A fixed pseudo-random set of distinct points, the same whatever the partitioning.
+
+    One point per hash bucket, merged map-side: copies of a point count once,
+    so a point that fills a third of the table cannot crowd out the others.
+    """
+    h = F.xxhash64(F.lit(seed), "x")
+    rows = (points.groupBy(F.pmod(h, F.lit(START_POINTS)).alias("bucket"))
+            .agg(F.min(F.struct(h.alias("h"), F.col("x"))).alias("pick")).orderBy("bucket").collect())
+    return np.array([r.pick.x for r in rows])
+
+
 def _fit(points: DataFrame, ks: Sequence[int], restarts: int, max_iter: int, tol: float,
          seed: int) -> dict[int, tuple[np.ndarray, float]]:
     """Best centres and cost for each k, all restarts of all k moving together.
@@ -126,9 +138,7 @@ def _fit(points: DataFrame, ks: Sequence[int], restarts: int, max_iter: int, tol
     A run ends when its centres move by no more than ``tol`` times the mean
     feature variance (squared distances, summed).
     """
-    # a fixed pseudo-random set of rows, the same whatever the partitioning
-    sample = np.array([r.x for r in points.select("x").orderBy(
-        F.xxhash64(F.lit(seed), "x"), "x").limit(START_POINTS).collect()])
+    sample = _start_points(points, seed)
     tol *= float(sample.var(axis=0).mean())
     features = points.select(*[F.col("x")[j].alias(f"f{j}") for j in range(sample.shape[1])]).persist()
     try:
@@ -241,27 +251,37 @@ def silhouette_squared(labelled: DataFrame) -> float:
     return ClusteringEvaluator(featuresCol="v", predictionCol="c").evaluate(ready)
 
 
+def _every_pair_of_tiles(left: DataFrame, right: DataFrame, tiles: int, fn: Callable, schema: T.StructType) -> DataFrame:
+    """Apply ``fn(left tile, right tile)`` to all pairs of tiles; both sides carry a ``tile`` column.
+
+    For the two measures that compare everything with everything by definition:
+    a task holds two tiles and returns sums or extremes, never pairs.
+    """
+    every = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)).cast("array<bigint>"))
+    a = left.select("*", F.col("tile").alias("i"), every.alias("j")).drop("tile")
+    b = right.select("*", every.alias("i"), F.col("tile").alias("j")).drop("tile")
+    return a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(fn, schema)
+
+
 def silhouette_points(labelled: DataFrame, key_cols: Sequence[str]) -> DataFrame:
     """Keys, cluster and Euclidean silhouette of every point.
 
     The mean distance of each point to every cluster takes all distances by
-    definition.  They are summed tile by tile (a block of points against a block
-    of points, in one matrix step) and never become rows; the work is quadratic.
+    definition.  They are summed tile by tile and never become rows; the work
+    is quadratic.
     """
     n = labelled.count()
     tiles = max(1, math.ceil(n / _TILE_ROWS))
+    tile_no = F.pmod(F.xxhash64(*[ref(k) for k in key_cols]), F.lit(tiles)).alias("tile")
     keys = F.struct(*[ref(k) for k in key_cols]).alias("key")
-    own = labelled.select(keys, F.col("cluster").cast("bigint").alias("cluster"), "x",
-                          F.pmod(F.xxhash64(*[ref(k) for k in key_cols]), F.lit(tiles)).alias("tile"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)).cast("array<bigint>"))
-    left = own.select("key", "cluster", "x", F.col("tile").alias("i"), every.alias("j"))
-    right = own.select(F.col("cluster").alias("near"), F.col("x").alias("at"), every.alias("i"), F.col("tile").alias("j"))
-    schema = T.StructType([own.schema["key"], T.StructField("own", T.LongType()),
-                           T.StructField("cluster", T.LongType()), T.StructField("total", T.DoubleType())])
+    left = labelled.select(keys, F.col("cluster").cast("bigint").alias("own"), F.col("x").alias("x"), tile_no)
+    right = labelled.select(F.col("cluster").cast("bigint").alias("near"), F.col("x").alias("at"), tile_no)
+    schema = T.StructType([left.schema["key"], T.StructField("own", T.LongType()),
+                           T.StructField("near", T.LongType()), T.StructField("total", T.DoubleType())])
 
     def tile(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
-            return pd.DataFrame({"key": [], "own": [], "cluster": [], "total": []})
+            return pd.DataFrame({"key": [], "own": [], "near": [], "total": []})
         x, y = np.stack(a["x"].to_numpy()), np.stack(b["at"].to_numpy())
         dist = np.zeros((len(x), len(y)))
         for j in range(x.shape[1]):
@@ -269,17 +289,16 @@ def silhouette_points(labelled: DataFrame, key_cols: Sequence[str]) -> DataFrame
         np.sqrt(dist, out=dist)
         out = []
         for c in np.unique(b["near"]):
-            part = a[["key"]].copy()
-            part["own"], part["cluster"] = a["cluster"], c
-            part["total"] = dist[:, (b["near"] == c).to_numpy()].sum(axis=1)
+            part = a[["key", "own"]].copy()
+            part["near"], part["total"] = c, dist[:, (b["near"] == c).to_numpy()].sum(axis=1)
             out.append(part)
         return pd.concat(out)
 
-    sums = (left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(tile, schema)
-            .groupBy("key", "own", "cluster").agg(F.sum("total").alias("total")))
-    sizes = own.groupBy("cluster").agg(F.count("*").alias("size"))
-    mine = F.col("own") == F.col("cluster")
-    s = (sums.join(sizes, "cluster").groupBy("key", "own").agg(
+    sums = (_every_pair_of_tiles(left, right, tiles, tile, schema)
+            .groupBy("key", "own", "near").agg(F.sum("total").alias("total")))
+    sizes = labelled.groupBy(F.col("cluster").cast("bigint").alias("near")).agg(F.count("*").alias("size"))
+    mine = F.col("own") == F.col("near")
+    s = (sums.join(sizes, "near").groupBy("key", "own").agg(
         F.max(F.when(mine, F.col("size"))).alias("size"),
         F.max(F.when(mine & (F.col("size") > 1), F.col("total") / (F.col("size") - 1))).alias("a"),
         F.min(F.when(~mine, F.col("total") / F.col("size"))).alias("b")))
@@ -298,24 +317,27 @@ def cluster_centres(labelled: DataFrame) -> DataFrame:
 
 
 def davies_bouldin(labelled: DataFrame) -> DataFrame:
-    """Mean over clusters of the worst (spread + spread) / centre distance; lower is better.
-
-    Needs the table of centres (one row per cluster) in each task.
-    """
-    centres = cluster_centres(labelled).orderBy("cluster").collect()  # one row per cluster
-    at, spread = np.array([r.centre for r in centres]), np.array([r.spread for r in centres])
+    """Mean over clusters of the worst (spread + spread) / centre distance; lower is better."""
+    centres = cluster_centres(labelled)
+    tiles = max(1, math.ceil(labelled.select("cluster").distinct().count() / _TILE_ROWS))
+    tile_no = F.pmod(F.xxhash64("cluster"), F.lit(tiles)).alias("tile")
+    left = centres.select(F.col("cluster").alias("one"), F.col("centre").alias("x"), F.col("spread").alias("s"), tile_no)
+    right = centres.select(F.col("cluster").alias("other"), F.col("centre").alias("y"), F.col("spread").alias("t"), tile_no)
 
-    def worst(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for i in batch["id"]:
-                gap = np.sqrt(((at - at[i]) ** 2).sum(axis=1))
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    ratio = np.where(gap > 0, (spread + spread[i]) / gap, 0.0)
-                out.append(float(ratio.max()) if len(ratio) > 1 else None)
-            yield pd.DataFrame({"worst": out})
-
-    each = labelled.sparkSession.range(len(centres)).mapInPandas(worst, "worst double")
+    def tile(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"one": [], "worst": []})
+        x, y = np.stack(a["x"].to_numpy()), np.stack(b["y"].to_numpy())
+        gap = np.sqrt(((x[:, None, :] - y[None, :, :]) ** 2).sum(axis=2))
+        both = a["s"].to_numpy()[:, None] + b["t"].to_numpy()[None, :]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = np.where(gap > 0, both / gap, 0.0)
+        ratio[a["one"].to_numpy()[:, None] == b["other"].to_numpy()[None, :]] = -1.0
+        return pd.DataFrame({"one": a["one"], "worst": ratio.max(axis=1)})
+
+    schema = T.StructType([T.StructField("one", centres.schema["cluster"].dataType), T.StructField("worst", T.DoubleType())])
+    each = (_every_pair_of_tiles(left, right, tiles, tile, schema)
+            .groupBy("one").agg(F.max("worst").alias("worst")).where("worst >= 0"))
     return each.agg(F.avg("worst").alias("davies_bouldin"), F.count("*").alias("n_clusters"))
 
 
@@ -355,12 +377,12 @@ def cluster(points: DataFrame, key_cols: Sequence[str], n_clusters: int = settin
 def cluster_summary(df: DataFrame, label_col: str, cols: Sequence[str] | None = None) -> DataFrame:
     """Size, share, mean and sample variance of the raw columns per cluster."""
     cols = list(cols) if cols is not None else [c for c in numeric_columns(df) if c != label_col]
-    clean = nan_to_null(df.select(ref(label_col).alias("cluster"), *[ref(c).cast("double").alias(c) for c in cols if c != label_col]))
+    clean = nan_to_null(df.select(ref(label_col).alias("cluster"), *[ref(c).cast("double").alias(c) for c in cols]))
     per = clean.groupBy("cluster").agg(F.count("*").alias("size"), *[e for i, c in enumerate(cols) for e in (
         F.avg(ref(c)).alias(f"m{i}"), F.var_samp(ref(c)).alias(f"v{i}"))])
-    total = per.agg(F.sum("size").alias("total"))  # a single row
-    return per.join(F.broadcast(total)).select(
-        "cluster", "size", percent(F.col("size"), F.col("total")).alias("percentage"), F.inline(F.array(*[
+    total = F.lit(df.count()).cast("bigint")
+    return per.select(
+        "cluster", "size", percent(F.col("size"), total).alias("percentage"), F.inline(F.array(*[
             F.struct(F.lit(c).alias("column"), F.col(f"m{i}").alias("mean"), F.col(f"v{i}").alias("variance"))
             for i, c in enumerate(cols)])))
 
