@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from plumbline import settings
 from plumbline.functions.columns import nan_to_null, numeric_columns, percent, ref, rows_from
-from plumbline.functions.quantiles import exact_quantiles
+from plumbline.functions.quantiles import ColumnQuantiles, exact_quantiles
 
 
 @dataclass
@@ -89,22 +89,28 @@ def _chosen(methods: Sequence[str] | None) -> dict[str, Detector]:
     return {m: _RULES[m]() for m in wanted if m in _RULES}
 
 
-def measure(df: DataFrame, cols: Sequence[str] | None = None) -> list[ColumnStats]:
-    """Statistics of each column: one moment pass, one quartile search, one deviation search."""
+def measure(df: DataFrame, cols: Sequence[str] | None = None,
+            methods: Sequence[str] | None = None) -> list[ColumnStats]:
+    """Statistics of each column: one moment pass, one quartile search, one deviation search.
+
+    Searches that none of the built-in ``methods`` asked for needs are left out.
+    """
     cols = list(cols) if cols is not None else numeric_columns(df)
     if not cols:
         return []
+    wanted = set(_chosen(methods))
     clean = nan_to_null(df.select(*[ref(c).cast("double").alias(c) for c in cols]))
     row = clean.agg(F.count("*").alias("n"), *[e for i, c in enumerate(cols) for e in (
         F.count(ref(c)).alias(f"n{i}"), F.avg(ref(c)).alias(f"avg{i}"), F.stddev_samp(ref(c)).alias(f"sd{i}"))]).first()
-    quart = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
+    quart = exact_quantiles(df, cols, [0.25, 0.5, 0.75]) if wanted - {"zscore"} else {}
     spread = exact_quantiles(df, {c: F.abs(ref(c).cast("double") - quart[c].get(0.5))
-                                  for c in cols if quart[c].count}, [0.5])
+                                  for c in cols if quart[c].count}, [0.5]) if wanted - {"zscore", "iqr"} else {}
+    none = ColumnQuantiles()
     return [ColumnStats(
         column=c, dtype=df.schema[c].dataType.simpleString(), total=row["n"], filled=row[f"n{i}"],
-        low=quart[c].low, high=quart[c].high, mean=row[f"avg{i}"], std=row[f"sd{i}"],
-        q1=quart[c].get(0.25), median=quart[c].get(0.5), q3=quart[c].get(0.75),
-        mad=spread[c].get(0.5) if c in spread else None) for i, c in enumerate(cols)]
+        low=quart.get(c, none).low, high=quart.get(c, none).high, mean=row[f"avg{i}"], std=row[f"sd{i}"],
+        q1=quart.get(c, none).get(0.25), median=quart.get(c, none).get(0.5), q3=quart.get(c, none).get(0.75),
+        mad=spread.get(c, none).get(0.5)) for i, c in enumerate(cols)]
 
 
 def _num(v: float | None) -> Column:
@@ -134,7 +140,7 @@ def column_statistics(df: DataFrame, cols: Sequence[str] | None = None,
 def detect(df: DataFrame, cols: Sequence[str] | None = None, methods: Sequence[str] | None = None,
            stats: list[ColumnStats] | None = None) -> DataFrame:
     """Outlier count and share per (column, method), with the numbers the method used."""
-    stats = stats or measure(df, cols)
+    stats = stats or measure(df, cols, methods)
     rules = _chosen(methods)
     aggs, items = [], []
     for i, s in enumerate(stats):
@@ -165,7 +171,7 @@ def flagged_rows(df: DataFrame, key_cols: Sequence[str], cols: Sequence[str] | N
 
     A narrow plan: one scan, literal limits, no join and no shuffle.
     """
-    stats = stats or measure(df, cols)
+    stats = stats or measure(df, cols, methods)
     rules = _chosen(methods)
     clean = nan_to_null(df.select(*[ref(c) for c in dict.fromkeys([*key_cols, *[s.column for s in stats]])]))
     cells, any_hit = [], F.lit(False)
@@ -191,7 +197,7 @@ def consensus(df: DataFrame, key_cols: Sequence[str], cols: Sequence[str] | None
 def consensus_counts(df: DataFrame, cols: Sequence[str] | None = None, methods: Sequence[str] | None = None,
                      stats: list[ColumnStats] | None = None) -> DataFrame:
     """Consensus rows per column; only columns that have any."""
-    stats = stats or measure(df, cols)
+    stats = stats or measure(df, cols, methods)
     return (flagged_rows(df, [], None, methods, stats, settings.CONSENSUS_VOTES)
             .groupBy("column").agg(F.count("*").alias("consensus_count")))
 
@@ -199,7 +205,7 @@ def consensus_counts(df: DataFrame, cols: Sequence[str] | None = None, methods:
 def summary(df: DataFrame, cols: Sequence[str] | None = None, methods: Sequence[str] | None = None,
             stats: list[ColumnStats] | None = None, name: str = "dataset") -> DataFrame:
     """Outliers per method over all columns, columns with consensus, thresholds: one row."""
-    stats = stats or measure(df, cols)
+    stats = stats or measure(df, cols, methods)
     rules = _chosen(methods)
     per_column = flagged_rows(df, [], None, list(rules), stats).groupBy("column").agg(
         *[F.count_if(F.col(m)).alias(m) for m in rules],
@@ -216,7 +222,7 @@ def summary(df: DataFrame, cols: Sequence[str] | None = None, methods: Sequence[
 def impact(df: DataFrame, cols: Sequence[str] | None = None, methods: Sequence[str] | None = None,
            stats: list[ColumnStats] | None = None) -> DataFrame:
     """Mean and std of each column with and without the rows each method flags."""
-    stats = stats or measure(df, cols)
+    stats = stats or measure(df, cols, methods)
     rules = _chosen(methods)
     aggs, items = [], []
     for i, s in enumerate(stats):
