@@ -23,7 +23,7 @@ BLOCK_ROWS = 32_768
 _ROW_IN_PARTITION = (1 << 33) - 1
 
 
-def _shared_folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; only a local session without one (tests) gets its own."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -38,7 +38,7 @@ def _shared_folder(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame) -> DataFrame:
     """Write the rows to the checkpoint folder and cut the lineage; partitions stay as they are."""
-    _shared_folder(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -48,7 +48,7 @@ def stage_table(df: DataFrame) -> DataFrame:
     For loops: unlike a checkpoint, the result carries no knowledge of the plan
     that made it, so plans do not grow from round to round.
     """
-    path = f"{_shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

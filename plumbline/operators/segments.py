@@ -422,6 +422,6 @@ def distant_points(assigned: DataFrame, key_cols: Sequence[str]) -> DataFrame:
     """Points unusually far from their own centre, by the interquartile rule on the distance."""
     from plumbline.operators.outliers import flagged_rows, measure
 
-    stats = measure(assigned, ["distance"])
+    stats = measure(assigned, ["distance"], ["iqr"])
     return flagged_rows(assigned, [*key_cols, "cluster"], ["distance"], ["iqr"], stats).select(
         *[ref(k) for k in key_cols], "cluster", F.col("value").alias("distance"))

@@ -8,7 +8,7 @@ indexed frame (series, ts, value, idx).  All later steps are aggregates over
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -58,8 +58,7 @@ def profile(df: DataFrame, time_col: str, value_cols: Sequence[str] | None = Non
     clean = nan_to_null(df.select(as_time(df, time_col).alias("_ts"), *[ref(c) for c in value_cols]))
     row = clean.agg(F.count("*").alias("n"), F.min("_ts").alias("start"), F.max("_ts").alias("end"),
                     *[F.count_if(ref(c).isNull()).alias(f"m{i}") for i, c in enumerate(value_cols)])
-    micros = [F.unix_micros(F.col(c).cast("timestamp")) for c in ("end", "start")]
-    span = F.floor((micros[0] - micros[1]) / F.lit(86_400_000_000))
+    span = F.extract(F.lit("DAY"), F.col("end") - F.col("start")).cast("bigint")
     return rows_from(row, [{
         _SERIES: F.lit(c), "total_observations": F.col("n"), "missing_values": F.col(f"m{i}"),
         "missing_percentage": F.bround(percent(F.col(f"m{i}"), F.col("n")), 2),
@@ -402,15 +401,33 @@ def component_strengths(parts: DataFrame) -> DataFrame:
         for c in ("trend", "seasonal", "residual")])
 
 
+Decomposer = Callable[[DataFrame, int], DataFrame]
+# name: (decomposer, whether it takes series with positive values only)
+_MODELS: dict[str, tuple[Decomposer, bool]] = {}
+
+
+def register_model(name: str, fit: Decomposer, positive_only: bool = False) -> None:
+    """Add a decomposition: (rows, period) to rows (series, method, idx, ts, value, trend, seasonal, residual)."""
+    _MODELS[name] = (fit, positive_only)
+
+
+register_model("additive", lambda rows, period: decompose(rows, period))
+register_model("multiplicative", lambda rows, period: decompose(rows, period, "multiplicative"), positive_only=True)
+
+
 def decompose_table(df: DataFrame, time_col: str, value_cols: Sequence[str] | None = None,
                     period: int = settings.SEASONAL_PERIOD, key_cols: Sequence[str] = (),
-                    rows: DataFrame | None = None) -> DataFrame:
-    """Additive parts of every complete series, multiplicative parts where all values are positive."""
+                    rows: DataFrame | None = None, models: Sequence[str] = ("additive", "multiplicative")) -> DataFrame:
+    """Parts of every complete series by each model; some models take positive series only."""
     value_cols = _value_cols(df, time_col, value_cols)
     whole, positive = _whole_series(df, time_col, value_cols)
     rows = rows if rows is not None else series_rows(df, time_col, value_cols, key_cols)
-    added = decompose(rows.where(F.col(_SERIES).isin(whole)), period)
-    return added.unionByName(decompose(rows.where(F.col(_SERIES).isin(positive)), period, "multiplicative"))
+    out = None
+    for name in models:
+        fit, positive_only = _MODELS[name]
+        part = fit(rows.where(F.col(_SERIES).isin(positive if positive_only else whole)), period)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def analyze(df: DataFrame, time_col: str, value_cols: Sequence[str] | None = None,
@@ -449,7 +466,11 @@ def overview(sections: dict[str, DataFrame]) -> DataFrame:
 def by_period(df: DataFrame, time_col: str, period: str, value_cols: Sequence[str] | None = None) -> DataFrame:
     """Count, sum, mean, min and max of each value column per calendar period (hour, day, month...)."""
     value_cols = _value_cols(df, time_col, value_cols)
-    return nan_to_null(df).groupBy(F.date_trunc(period, as_time(df, time_col)).alias("period")).agg(
+    time = as_time(df, time_col)
+    stamp = F.date_trunc(period, time)
+    if not isinstance(df.schema[time_col].dataType, T.TimestampType):
+        stamp = stamp.cast("timestamp_ntz")
+    return nan_to_null(df).groupBy(stamp.alias("period")).agg(
         F.count("*").alias("n_rows"), *[
             f(ref(c).cast("double")).alias(f"{c}_{k}") for c in value_cols
             for k, f in (("sum", F.sum), ("mean", F.avg), ("min", F.min), ("max", F.max))])
@@ -496,12 +517,18 @@ def missing_periods(df: DataFrame, time_col: str, period: str) -> DataFrame:
     return calendar.join(seen, "period", "left_anti")
 
 
+def _seconds(interval: Column) -> Column:
+    """Length of a day-time interval, independent of the session's time zone."""
+    units = {"DAY": 86400, "HOUR": 3600, "MINUTE": 60, "SECOND": 1}
+    return sum((F.extract(F.lit(u), interval).cast("double") * s for u, s in units.items()), F.lit(0.0))
+
+
 def interval_stats(df: DataFrame, time_col: str) -> DataFrame:
     """Spacing of the observations in seconds: extremes, mean, std and repeated stamps."""
     stamps = df.select(F.lit("time").alias(_SERIES), as_time(df, time_col).alias("ts")).where("ts is not null")
     rows = ordered_index(stamps, _SERIES, ["ts"]).select(
-        _SERIES, "idx", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
-    gap = (F.col("at") - F.lag("at").over(block_window(_SERIES))) / 1e6
+        _SERIES, "idx", "ts")
+    gap = _seconds(F.col("ts") - F.lag("ts").over(block_window(_SERIES)))
     gaps = neighbour_blocks(rows, back=1).withColumn("gap", gap).where("home and gap is not null")
     return gaps.agg(
         F.count("*").alias("n_intervals"), F.min("gap").alias("min_seconds"), F.avg("gap").alias("mean_seconds"),

@@ -127,6 +127,8 @@ def registry() -> dict[str, str]:
     q: dict[str, str] = {}
     lab_cols = list(LABELLED_TYPES)
 
+    q["csv_round_trip"] = f"SELECT doc_id, lang, source, n_chars, quality::DOUBLE AS quality, toxic::DOUBLE AS toxic FROM {LABELLED}"
+    q["table_guard"] = "SELECT count(*) AS n_rows FROM lineitem"
     q["column_types"] = _classes("lineitem", {c: (_class(t), _class(t)) for c, t in LINE_TYPES.items()})
     q["column_types_bool"] = _classes(
         f"(SELECT doc_id, lang, quality = 1 AS good FROM {LABELLED})",
@@ -301,6 +303,11 @@ SELECT cat, num, k AS n_groups, total AS n_total,
     q["tests_chi_square"] = f"""WITH {_chi('lineitem', 'l_returnflag', 'l_linestatus', False)}
 SELECT cat1, cat2, n_rows, n_cols, n_total, round(statistic, 6) AS statistic, df, round(exp(-statistic / 2), 6) AS p_value,
   exp(-statistic / 2) < 0.05 AS significant FROM res"""
+    q["tests_all_statistics"] = _union([
+        f"SELECT 'ttest' AS test, cat AS var1, num AS var2, statistic FROM ({q['tests_welch_t']})",
+        f"SELECT 'mannwhitney', cat, num, statistic FROM ({q['tests_mann_whitney']})",
+        f"SELECT 'anova', cat, num, statistic FROM ({q['tests_anova']})",
+        f"SELECT 'chi2', cat1, cat2, round(statistic, 5) FROM ({q['tests_chi_square']})"])
     q["tests_chi_square_yates"] = f"""WITH {_chi(LABELLED, 'quality', 'toxic', True)}
 SELECT cat1, cat2, n_rows, n_cols, n_total, round(statistic, 6) AS statistic, df FROM res"""
     q["tests_contingency"] = """SELECT 'o_orderstatus' AS cat1, 'o_orderpriority' AS cat2, o_orderstatus AS level1,
@@ -400,6 +407,11 @@ sp AS (SELECT label, avg(dist) AS s FROM (SELECT u.vec_id, u.label, sqrt(sum((v
 cc AS (SELECT a.label AS i, b.label AS k, sqrt(sum((a.c - b.c) * (a.c - b.c))) AS m FROM c a JOIN c b ON a.j = b.j AND a.label <> b.label GROUP BY 1, 2),
 w AS (SELECT i, max((x.s + y.s) / m) AS worst FROM cc JOIN sp x ON x.label = i JOIN sp y ON y.label = k GROUP BY 1)"""
     q["segments_davies_bouldin"] = f"WITH {points}, {db} SELECT round(avg(worst), 6) AS davies_bouldin, count(*) AS n_clusters FROM w"
+    q["segments_quality"] = f"""SELECT 'label' AS method, count(DISTINCT label) AS n_clusters, 0::BIGINT AS n_noise,
+  CASE WHEN count(*) <= 20000 THEN 'euclidean' ELSE 'squared' END AS silhouette_kind, (SELECT round(avg(s), 6) FROM ({sil} SELECT * FROM s)) AS silhouette,
+  (SELECT silhouette FROM ({q['segments_silhouette_squared']})) AS silhouette_squared,
+  (SELECT davies_bouldin FROM ({q['segments_davies_bouldin']})) AS davies_bouldin,
+  (SELECT avg(s) FROM ({sil} SELECT * FROM s)) >= 0.5 AS quality_acceptable FROM embeddings"""
     r = "(SELECT corr(l_quantity, l_extendedprice) FROM lineitem)"
     q["segments_pca"] = f"""SELECT l_orderkey, l_linenumber,
   round((a + CASE WHEN r > 0 THEN b ELSE -b END) / sqrt(2), 5) AS pc1, round((a - CASE WHEN r > 0 THEN b ELSE -b END) / sqrt(2), 5) AS pc2

@@ -6,15 +6,18 @@ are rounded so that they can be compared with another engine's.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.columns import ref
+from plumbline.functions.columns import ref, require_table
+from plumbline.functions.ordering import shared_folder
 from plumbline.operators import (
     distributions, importance, outliers, profile, quality, segments, stattests, temporal)
+from plumbline.sources.readers import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -84,9 +87,27 @@ def _parts(spark: SparkSession, folder: str) -> DataFrame:
     return segments.scaled(table(spark, folder, "part"), ["p_size", "p_retailprice"], ["p_partkey"])
 
 
+def _csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Labelled documents without text, written as CSV with its gaps and read back with inferred types."""
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}.csv"
+    labelled_documents(spark, folder).drop("text").write.option("header", True).option("nullValue", "NA").csv(path)
+    return read_table(spark, path)
+
+
+def _guarded(spark: SparkSession, folder: str) -> DataFrame:
+    """Row count of a table that meets the guard's demands."""
+    lines = table(spark, folder, "lineitem")
+    require_table(lines, min_rows=2, min_cols=5, required=LINE_KEY)
+    return lines.agg(F.count("*").alias("n_rows"))
+
+
 def registry() -> dict[str, Query]:
     q: dict[str, Query] = {}
 
+    # sources and guard
+    q["csv_round_trip"] = _csv_round_trip
+    q["table_guard"] = _guarded
+
     # columns and profiles
     q["column_types"] = lambda s, d: profile.column_classes(table(s, d, "lineitem"))
     q["column_types_bool"] = lambda s, d: profile.column_classes(
@@ -168,6 +189,8 @@ def registry() -> dict[str, Query]:
         table(s, d, "orders"), ["o_orderstatus", "o_orderpriority"])
     q["tests_run_all"] = lambda s, d: rounded(stattests.results_table(stattests.run_all(
         table(s, d, "lineitem"), ["l_returnflag", "l_linestatus"], LINE_NUMBERS)), 6)
+    q["tests_all_statistics"] = lambda s, d: rounded(stattests.results_table(stattests.run_all(
+        table(s, d, "lineitem"), ["l_returnflag", "l_linestatus"], LINE_NUMBERS)).select("test", "var1", "var2", "statistic"), 5)
     q["tests_significance_counts"] = lambda s, d: stattests.significance_counts(stattests.run_all(
         table(s, d, "orders"), ["o_orderstatus", "o_orderpriority"], ["o_totalprice"]))
 
