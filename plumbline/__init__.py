@@ -6,4 +6,11 @@ only read.  ``operators`` holds the analyses, ``functions`` the shared pieces
 ``sources`` readers and writers, ``plans`` whole-report jobs.
 """
 
+import sys
+
+from pyspark import cloudpickle
+
+# functions that run in tasks travel with their code: executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __version__ = "0.1.0"

@@ -223,7 +223,11 @@ def hierarchical(points: DataFrame, k: int = settings.CLUSTERS, seed: int = sett
     Bottom-up linkage needs all pairs of points; splitting needs only passes.
     """
     ready = points.withColumn("_v", array_to_vector("x"))
-    model = BisectingKMeans(k=k, seed=seed, featuresCol="_v", predictionCol="_c", maxIter=50).fit(ready)
+    training = ready.select("_v").persist()
+    try:
+        model = BisectingKMeans(k=k, seed=seed, featuresCol="_v", predictionCol="_c", maxIter=50).fit(training)
+    finally:
+        training.unpersist()
     centres = np.array(model.clusterCenters())
     place = np.argsort(np.lexsort(centres.T[::-1]))
     new = F.array(*[F.lit(int(p)) for p in place])
