@@ -119,16 +119,19 @@ def _one_round(features: DataFrame, runs: list[np.ndarray]) -> tuple[list[np.nda
     return moved, costs
 
 
-def _start_points(points: DataFrame, seed: int) -> np.ndarray:
+def _start_points(features: DataFrame, seed: int) -> np.ndarray:
     """A fixed pseudo-random set of distinct points, the same whatever the partitioning.
 
-    One point per hash bucket, merged map-side: copies of a point count once,
-    so a point that fills a third of the table cannot crowd out the others.
+    One point per hash bucket: copies of a point count once, so a point that
+    fills a third of the table cannot crowd out the others.  Both passes are
+    hash aggregates on numbers, merged map-side.
     """
-    h = F.xxhash64(F.lit(seed), "x")
-    rows = (points.groupBy(F.pmod(h, F.lit(START_POINTS)).alias("bucket"))
-            .agg(F.min(F.struct(h.alias("h"), F.col("x"))).alias("pick")).orderBy("bucket").collect())
-    return np.array([r.pick.x for r in rows])
+    cols = features.columns
+    hashed = features.withColumn("h", F.xxhash64(F.lit(seed), *cols))
+    lowest = hashed.groupBy(F.pmod("h", F.lit(START_POINTS)).alias("bucket")).agg(F.min("h").alias("h")).select("h")
+    # at most START_POINTS rows on the broadcast side
+    picked = hashed.join(F.broadcast(lowest), "h", "left_semi").distinct().orderBy("h", *cols).select(*cols).collect()
+    return np.array([list(r) for r in picked])
 
 
 def _fit(points: DataFrame, ks: Sequence[int], restarts: int, max_iter: int, tol: float,
@@ -138,11 +141,10 @@ def _fit(points: DataFrame, ks: Sequence[int], restarts: int, max_iter: int, tol
     A run ends when its centres move by no more than ``tol`` times the mean
     feature variance (squared distances, summed).
     """
-    sample = _start_points(points, seed)
-    tol *= float(sample.var(axis=0).mean())
-    features = points.select(*[F.col("x")[j].alias(f"f{j}") for j in range(sample.shape[1])]).persist()
+    features = points.select(*[F.col("x")[j].alias(f"f{j}") for j in range(width(points))]).persist()
     try:
-        return _move_until_still(features, sample, ks, restarts, max_iter, tol, seed)
+        sample = _start_points(features, seed)
+        return _move_until_still(features, sample, ks, restarts, max_iter, tol * float(sample.var(axis=0).mean()), seed)
     finally:
         features.unpersist()
 
