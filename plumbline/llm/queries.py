@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import mil_toxicity
+from plumbline.llm import mil_toxicity, packing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,5 +21,9 @@ def op6_mil_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", mil_toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "n_sentences", "offending")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), keep_ids=False)
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
