@@ -7,13 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import mil_toxicity, packing
+from plumbline.llm import chat_format, mil_toxicity, packing, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.range(1).select(F.lit(-1).cast("bigint").alias("conv_id"), F.lit(said).alias("prompt"), F.lit(said).alias("response"))
+    turns = chat_format.canonical_turns(rows).unionByName(chat_format.canonical_turns(extra))
+    made = chat_format.format_chats(turns)
+    read = made.select("conv_id", chat_format.read_turns(F.col("formatted")).alias("turns"),
+                       chat_format.loss_text(F.col("formatted"), F.col("loss")).alias("under_loss"),
+                       F.length("formatted").cast("bigint").alias("formatted_chars"))
+    digest = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select("conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(digest, 256).alias("turns_sha256"),
+                       F.length("under_loss").cast("bigint").alias("loss_chars"), F.sha2("under_loss", 256).alias("loss_sha256"),
+                       "formatted_chars")
+
+
 def op6_mil_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = mil_toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -21,6 +36,12 @@ def op6_mil_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", mil_toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "n_sentences", "offending")
 
 
+def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(url_rules.RULES, "host string, path string, verdict string")
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return url_rules.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules, ranges)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), keep_ids=False)
 
