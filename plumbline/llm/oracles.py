@@ -2,7 +2,35 @@
 
 from __future__ import annotations
 
+def _tree(text: str) -> str:
+    digests = "list_transform(string_split(s, chr(10)), lambda p: sha256(p))"
+    return f"list_transform(string_split({text}, chr(10) || chr(10)), lambda s: {digests})"
+
+
+def _root(tree: str) -> str:
+    return f"sha256(array_to_string(list_transform({tree}, lambda s: sha256(array_to_string(s, ''))), ''))"
+
+
+def _like(a: str, b: str) -> str:
+    return f"CASE WHEN len({a}) + len({b}) = 0 THEN 1.0 ELSE 2.0 * len(list_intersect({a}, {b})) / (len({a}) + len({b})) END"
+
+
+_PIECE = r"(?:[^ \t\r\f\x0B\n]*[^ \t\r\f\x0B\n.!?,;][ \t\r\f\x0B]+){0,3}[^ \t\r\f\x0B\n]+"
+
 SQL: dict[str, str] = {
+    "op2_merkle": f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+follow AS (SELECT *, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next_text FROM docs WINDOW w AS (ORDER BY doc_id DESC)),
+edits AS (SELECT *, left(text, len(text) - len(text) // 2) || left(next_text, len(text) // 2) AS edited FROM follow),
+trees AS (SELECT *, {_tree("text")} AS t, {_tree("edited")} AS e,
+  list_distinct(regexp_extract_all(text, '{_PIECE}')) AS own, list_distinct(regexp_extract_all(edited, '{_PIECE}')) AS other,
+  list_distinct(regexp_extract_all(next_text, '{_PIECE}')) AS following FROM edits),
+spots AS (SELECT *, list_filter(range(0, greatest(len(t), len(e))), lambda i: t[i + 1] IS DISTINCT FROM e[i + 1])[1] AS s FROM trees)
+SELECT doc_id, len(text) AS n_chars, sha256(edited) AS edited_sha256, {_root("t")} AS fingerprint, {_root("e")} AS edited_fingerprint,
+  ({_like("own", "other")})::DOUBLE AS near_edited, ({_like("own", "following")})::DOUBLE AS near_next, s AS edit_section,
+  list_filter(range(0, greatest(coalesce(len(t[s + 1]), 0), coalesce(len(e[s + 1]), 0))),
+    lambda i: t[s + 1][i + 1] IS DISTINCT FROM e[s + 1][i + 1])[1] AS edit_paragraph
+FROM spots""",
     "op3_chat_format": r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -15,7 +43,7 @@ SELECT conv_id, count(*) AS n_turns,
   coalesce(sum(len(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(formatted)::BIGINT AS formatted_chars
-FROM lengths GROUP BY conv_id""".replace("\\\\", "\\"),
+FROM lengths GROUP BY conv_id""",
     "op7_url_rules": r"""
 WITH rules(host, path, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'),
   ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),

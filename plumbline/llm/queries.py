@@ -7,13 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat_format, mil_toxicity, packing, url_rules
+from plumbline.llm import chat_format, merkle, mil_toxicity, packing, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranges = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    made = merkle.fingerprint_edits(table(spark, sf_dir, "documents"), ranges)
+    return made.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next",
+                       F.col("edit.section").alias("edit_section"), F.col("edit.paragraph").alias("edit_paragraph"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
