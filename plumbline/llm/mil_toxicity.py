@@ -25,7 +25,7 @@ from plumbline.llm.arrow_steps import add_columns
 from plumbline.llm.words import BARE, byte_slices, tokenise
 
 # training rows per class, taken in hash order of doc_id: the bounded sample that the classifier is fitted on
-SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 4000
+SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 3000
 PREFIXES = (4, 5, 6)
 FEATURES = 8192      # most features kept by screening
 MIN_DOCS = 3         # toxic documents a feature must appear in
