@@ -183,10 +183,10 @@ def score_texts(model: Model, texts: pa.Array, sieve: np.ndarray | None = None):
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with score (0 to 1), predicted (1 from 0.5 on), n_sentences and offending sentences (code points)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most FEATURES weights
+    sent = docs.sparkSession.sparkContext.broadcast((model.keys, model.weights, model.bias))  # plain arrays; at most FEATURES weights
 
     def make(batch: pa.RecordBatch) -> dict:
-        known = sent.value
+        known = Model(*sent.value)
         sieve = known.sieve()
         out = {"score": [], "n_sentences": [], "offending": []}
         for _, texts in byte_slices(batch.column("text")):

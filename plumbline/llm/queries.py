@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat_format, merkle, mil_toxicity, ngram_join, packing, substring_dedup, url_rules
+from plumbline.llm import chat_format, merkle, mil_toxicity, ngram_join, packing, pq_neardup, substring_dedup, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "formatted_chars")
 
 
+def op4_pq_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq_neardup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_classes(table(spark, sf_dir, "documents"))
 
