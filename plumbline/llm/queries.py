@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat_format, merkle, mil_toxicity, ngram_join, packing, pq_neardup, substring_dedup, url_rules
+from plumbline.llm import chat_format, lm_trie, merkle, mil_toxicity, ngram_join, packing, pq_neardup, substring_dedup, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = lm_trie.held_out(F.col("doc_id"))
+    return lm_trie.score(docs, ~out).select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranges = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     made = merkle.fingerprint_edits(table(spark, sf_dir, "documents"), ranges)
@@ -41,7 +47,7 @@ def op4_pq_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.similar_classes(table(spark, sf_dir, "documents"))
+    return ngram_join.similar_classes(table(spark, sf_dir, "documents"), words=3, share=90)
 
 
 def op6_mil_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
