@@ -10,6 +10,10 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
+def _typed(values, kind: pa.DataType) -> pa.Array:
+    return values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, type=kind)
+
+
 def add_columns(df: DataFrame, make: Callable[[pa.RecordBatch], dict], fields: list[T.StructField]) -> DataFrame:
     """``df`` with the columns that ``make`` returns for each batch; a column of the same name is replaced."""
     names = [f.name for f in fields]
@@ -20,7 +24,7 @@ def add_columns(df: DataFrame, make: Callable[[pa.RecordBatch], dict], fields: l
         types = {f.name: f.type for f in to_arrow_schema(T.StructType(fields))}
         for batch in batches:
             made = make(batch)
-            columns = [batch.column(c) for c in kept] + [pa.array(made[n], type=types[n]) for n in names]
+            columns = [batch.column(c) for c in kept] + [_typed(made[n], types[n]) for n in names]
             yield pa.RecordBatch.from_arrays(columns, [*kept, *names])
 
     return df.mapInArrow(step, schema)

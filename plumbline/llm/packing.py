@@ -24,13 +24,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from plumbline.llm.id_store import IdStore
 from plumbline.llm.words import byte_slices, tokenise
 
 WINDOW = 4096
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
 _SLICE = 8 << 20
-_REMEMBERED = 2_000_000  # distinct words whose ids a task keeps before it starts afresh (a matter of speed alone)
 
 
 def vocabulary_path() -> str:
@@ -50,42 +50,20 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self._clear()
-
-    def _clear(self) -> None:
-        self.keys, self.code = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.flat, self.begin, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _learn(self, words, hashes: np.ndarray, at: np.ndarray) -> None:
-        raw = words.data.tobytes()
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(
-            [raw[a:b].decode("utf-8", "replace") for a, b in zip(words.starts[at], words.ends[at])], add_special_tokens=False)]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        begin = len(self.flat) + np.cumsum(size) - size
-        self.flat = np.concatenate([self.flat, np.fromiter((x for i in ids for x in i), np.int32, int(size.sum()))])
-        self.code = np.concatenate([self.code, len(self.size) + np.arange(len(ids))])
-        self.begin, self.size = np.concatenate([self.begin, begin]), np.concatenate([self.size, size])
-        keys = np.concatenate([self.keys, hashes])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.code = keys[order], self.code[order]
+        self.store = IdStore()
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, each text followed by END_ID; where each text begins (and the end)."""
         words = tokenise(texts)
-        hashes = words.hashes()[0]
-        distinct, at, back = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) > _REMEMBERED:
-            self._clear()
-        spot = np.searchsorted(self.keys, distinct)
-        known = np.zeros(len(distinct), bool)
-        inside = spot < len(self.keys)
-        known[inside] = self.keys[spot[inside]] == distinct[inside]
-        if not known.all():
-            self._learn(words, distinct[~known], at[~known])
-        code = self.code[np.searchsorted(self.keys, distinct)][back] if len(distinct) else np.zeros(0, np.int64)
-        size = self.size[code]
-        upto = np.concatenate([[0], np.cumsum(size)])
-        ids = self.flat[np.arange(upto[-1]) + np.repeat(self.begin[code] - upto[:-1], size)] if len(code) else np.zeros(0, np.int32)
+
+        def learn(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            raw = words.data.tobytes()
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(
+                [raw[a:b].decode("utf-8", "replace") for a, b in zip(words.starts[at], words.ends[at])], add_special_tokens=False)]
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            return np.fromiter((x for i in ids for x in i), np.int32, int(size.sum())), size
+
+        ids, upto = self.store.expand(words.hashes()[0], learn)
         cuts = upto[words.first]
         out = np.full(len(ids) + len(texts), END_ID, np.int32)
         out[np.arange(len(ids)) + np.repeat(np.arange(len(texts)), np.diff(cuts))] = ids

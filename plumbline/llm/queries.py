@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat_format, lm_trie, merkle, mil_toxicity, ngram_join, packing, pq_neardup, substring_dedup, url_rules
+from plumbline.llm import chat_format, lm_trie, merkle, mil_toxicity, ngram_join, packing, pq_neardup, substring_dedup, url_rules, viterbi_pieces
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,15 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules, ranges)
 
 
+def op8_viterbi_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2(text, 256).alias("text_sha256"))
+    coded = viterbi_pieces.encode(docs).select("doc_id", "text_sha256", "ids")
+    return viterbi_pieces.decode(coded).select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_pieces"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"), (F.sha2("decoded", 256) == F.col("text_sha256")).alias("round_trip"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), keep_ids=False)
 
