@@ -1,7 +1,7 @@
-"""From raw documents to training sequences: stages that each take what the one before kept.
+"""From raw documents to training sequences: four stages that each take what the one before kept.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
-next stage's ``docs``.
+next stage's ``docs``.  All but the last return the columns of ``documents``.
 """
 
 from __future__ import annotations
@@ -9,9 +9,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from plumbline.functions.ordering import shared_folder
-from plumbline.llm import mil_toxicity
+from plumbline.llm import mil_toxicity, ngram_join, packing, substring_dedup
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +20,28 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mil_toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-STAGES = [("toxicity", toxicity)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the smallest doc_id of each class linked by five-word shingles at a Jaccard similarity of 0.8 or more."""
+    return ngram_join.keep_one(docs, words=5, share=80)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut passages of 50 words and more that an earlier document holds; what is left is the text, empty texts go.
+
+    ``n_chars`` is that of the new text.
+    """
+    cut = substring_dedup.parse(docs, window=50)
+    left = cut.where((F.col("n_removed") < F.col("n_words")) | (F.col("n_removed") == 0))
+    return left.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences: one row per piece of a document, with its place and ids."""
+    return packing.pack(docs)
+
+
+STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages),
+          ("sequences", sequences)]
 
 ORACLE_SQL = None  # a trained model and a packing decide the rows; tests compare the stages with plain versions
 

@@ -3,13 +3,14 @@
 The global order of n-grams is that of their hashes.  It is cut into fragments,
 and a document's set into its segments of them.
 
-* **Candidates.**  Two sets with similarity 0.9 differ in at most a ninth of the
-  smaller one's n-grams, so if the order is cut into more fragments than that,
-  one fragment is left in which their segments are the same.  The number of
-  fragments is fixed per class of sizes (growing by 10/9, so that partners are in the same
-  or the next class); sets that share a segment's key are candidates.
-* **Pruning.**  n-grams that no other candidate has are differences to any
-  partner; a pair must not have more of them than the threshold allows.
+* **Pruning.**  n-grams that no other document has are differences to any
+  partner, and a pair with similarity t has at most (1 - t) / t differences per n-gram of the
+  smaller set.  The first fragment of the order, wide enough to show more than that, goes to
+  shards by n-gram as short fingerprints; they count lone ones per document.
+* **Candidates.**  For what is left, the order is cut into more fragments than a pair may have
+  differences, so one fragment is left in which the two segments are the same.
+  The number of fragments is fixed per class of sizes (growing by 1 / t, so
+  that partners are in the same or the next class); sets that share a segment's key are candidates.
 * **Counting.**  The overlap of a candidate pair is counted in each fragment of
   a coarser cut separately and summed per pair; the exact rule then decides.
 
@@ -21,7 +22,7 @@ are exact, and no group is spelt out into all its pairs.
 Sets are named by a 64-bit hash of their content, n-grams by 64-bit hashes.
 Defined results: a null or empty text, or one of white space alone, has an empty set and is linked
 with nothing; so is a row with a null doc_id (its component is null); repeated
-rows share their component.
+rows share their component; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,14 +40,15 @@ from plumbline.llm.components import components
 from plumbline.llm.sizing import hot_join, pieces, text_size
 from plumbline.llm.words import byte_slices, mix, tokenise, window_hashes
 
-WORDS = 3
-# similarity 90 / 100: differing n-grams are at most 1/9 of the smaller set, sizes differ by 10/9 at most
-SHARE, OF = 90, 100
+# five words and a similarity of 0.8 unless the caller says otherwise
+WORDS, SHARE, OF = 5, 80, 100
 COUNT_FRAGMENTS = 8
 _SHARD_BYTES = 24 << 20
+# how much of the order is looked at for lone n-grams, in multiples of what must be exceeded
+_LOOK = 2.5
 
 
-def shingle_sets(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct n-gram hashes of each text, one after the other, and where each text's begin (and the end).
 
     A text with fewer words than ``words`` has its whole word sequence as its only n-gram.
@@ -76,23 +79,22 @@ def set_names(flat: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mix(_sums(mix(flat + np.uint64(0x632BE59BD9B4E019)), first) + mix(np.diff(first).astype(np.uint64))).view(np.int64)
 
 
-def size_classes(most: int) -> np.ndarray:
-    """Smallest size of each class, up to a class that holds ``most``."""
+def size_classes(most: int, share: int) -> np.ndarray:
+    """Smallest size of each class, up to the one after the class that holds ``most``."""
     starts = [1]
     while starts[-1] <= most:
-        starts.append(starts[-1] * 10 // 9 + 1)
-    return np.array(starts, dtype=np.int64)
+        starts.append(starts[-1] * OF // share + 1)
+    return np.array([*starts, starts[-1] * OF // share + 1], dtype=np.int64)
 
 
-def segment_keys(flat: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def segment_keys(flat: np.ndarray, first: np.ndarray, share: int) -> tuple[np.ndarray, np.ndarray]:
     """(set index, key) of each segment, in the cuts of the set's own size class and of the one below.
 
     A set that has so few full segments that all might differ from a partner's also gets keys for its empty ones.
     """
     size = np.diff(first)
-    starts = size_classes(int(size.max(initial=0)))
+    starts = size_classes(int(size.max(initial=0)), share)
     klass = np.searchsorted(starts, size, side="right") - 1
-    starts = np.append(starts, starts[-1] * 10 // 9 + 1)
     owner = np.repeat(np.arange(len(size)), size)
     spread = mix(flat ^ np.uint64(0xD6E8FEB86659FD93))
     high = flat >> np.uint64(32)
@@ -100,7 +102,7 @@ def segment_keys(flat: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nd
     for back in (0, 1):
         k = klass - back
         usable = (size > 0) & (k >= 0)
-        base = (starts[np.maximum(k, 0) + 1] - 1) // 9 + 1
+        base = (starts[np.maximum(k, 0) + 1] - 1) * (OF - share) // share + 1
         cuts = (base + 1 + base // 16).astype(np.uint64)
         at = (high * cuts[owner]) >> np.uint64(32)
         if not len(at):
@@ -115,7 +117,7 @@ def segment_keys(flat: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nd
         index.append(who[keep])
         keys.append(mix(total ^ tag)[keep])
         full = np.bincount(who, minlength=len(size))
-        for i in np.flatnonzero(usable & (full <= size // 9)):
+        for i in np.flatnonzero(usable & (full * share <= size * (OF - share))):
             a, b = np.searchsorted(who, [i, i + 1])
             empty = np.setdiff1d(np.arange(int(cuts[i])), at[heads[a:b]].astype(np.int64)).astype(np.uint64)
             index.append(np.full(len(empty), i))
@@ -125,23 +127,106 @@ def segment_keys(flat: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.concatenate(index), np.concatenate(keys)
 
 
-def _named_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        flat, first = shingle_sets(batch.column("text"))
-        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "sid": pa.array(set_names(flat, first)),
-                                          "n": pa.array(np.diff(first), pa.int64())})
+def _named_sets(words: int):
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, first = shingle_sets(batch.column("text"), words)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "sid": pa.array(set_names(flat, first)),
+                                              "n": pa.array(np.diff(first), pa.int64())})
+
+    return step
+
 
+def _to_lone_shards(words: int, shards: int, part: float):
+    """Short fingerprints of the n-grams in the first ``part`` of the order, to shards; the sets' names, to shard -1."""
 
-def _keys_to_shards(shards: int):
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat, first = shingle_sets(batch.column("text"))
-            names = set_names(flat, first)
-            _, once = np.unique(names, return_index=True)  # copies of a set in one batch say the same
-            where, keys = segment_keys(flat, first)
-            lone = np.zeros(len(names), bool)
+        base = TaskContext.get().partitionId() << 24
+        for number, batch in enumerate(batches):
+            flat, first = shingle_sets(batch.column("text"), words)
+            names, once = np.unique(set_names(flat, first), return_index=True)  # copies within a batch are one set
+            size = np.diff(first)
+            lone = np.zeros(len(size), bool)
             lone[once] = True
-            where, keys = where[lone[where]], keys[lone[where]]
+            place = np.zeros(len(size), np.int64)
+            place[once] = np.arange(len(once))
+            owner = np.repeat(np.arange(len(size)), size)
+            look = lone[owner] & (flat < np.uint64(int(part * 2.0 ** 64) - 1))
+            spread = mix(flat[look])
+            who = place[owner[look]].astype(np.int32)
+            shard = (spread % np.uint64(shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            bounds = np.searchsorted(shard[order], np.arange(shards + 1))
+            short = (spread >> np.uint64(32)).astype(np.uint32)
+            used = np.flatnonzero(np.diff(bounds))
+            bodies = [names.tobytes() + size[once].astype(np.int64).tobytes()]
+            for s in used:
+                pick = order[bounds[s]: bounds[s + 1]]
+                heads = np.flatnonzero(np.diff(who[pick], prepend=-1))
+                runs = np.diff(np.append(heads, len(pick))).astype(np.int32)
+                bodies.append(len(heads).to_bytes(8, "little") + np.diff(who[pick][heads], prepend=np.int32(0)).astype(np.int32).tobytes()
+                              + runs.tobytes() + short[pick].tobytes())
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([-1 - (base + number), *used], pa.int64()),
+                                              "unit": pa.array([base + number] * len(bodies), pa.int64()), "body": pa.array(bodies, pa.binary())})
+
+    return step
+
+
+def _count_lone(key: tuple, rows: pa.Table) -> pa.Table:
+    """Per unit, the sets with lone n-grams in this shard and how many; names pass through (kind 1)."""
+    if key[0].as_py() < 0:
+        return pa.table({"unit": rows.column("unit"), "kind": pa.array([1] * rows.num_rows, pa.int32()), "body": rows.column("body")})
+    unit, who, short = [], [], []
+    for u, body in zip(rows.column("unit").to_pylist(), rows.column("body")):
+        raw = body.as_py()
+        k, raw = int.from_bytes(raw[:8], "little"), raw[8:]
+        sets = np.cumsum(np.frombuffer(raw[: 4 * k], np.int32), dtype=np.int32)
+        runs = np.frombuffer(raw[4 * k: 8 * k], np.int32)
+        who.append(np.repeat(sets, runs))
+        short.append(np.frombuffer(raw[8 * k:], np.uint32))
+        unit.append(np.full(len(who[-1]), u, np.int64))
+    unit, who, short = np.concatenate(unit), np.concatenate(who), np.concatenate(short)
+    order = np.argsort(short, kind="stable")
+    ordered = short[order]
+    alone = np.ones(len(ordered), bool)
+    alone[1:] &= ordered[1:] != ordered[:-1]
+    alone[:-1] &= ordered[1:] != ordered[:-1]
+    hit = np.sort(order[alone])
+    out: dict[str, list] = {"unit": [], "body": []}
+    for u in np.unique(unit[hit]):
+        sets, n = np.unique(who[hit[unit[hit] == u]], return_counts=True)
+        out["unit"].append(int(u))
+        out["body"].append(sets.astype(np.int32).tobytes() + n.astype(np.int32).tobytes())
+    return pa.table({"unit": pa.array(out["unit"], pa.int64()), "kind": pa.array([0] * len(out["unit"]), pa.int32()),
+                     "body": pa.array(out["body"], pa.binary())})
+
+
+def _alive(share: int):
+    """The sets of a unit that have few enough lone n-grams for a partner."""
+
+    def step(rows: pa.Table) -> pa.Table:
+        kinds, bodies = rows.column("kind").to_pylist(), [b.as_py() for b in rows.column("body")]
+        both = np.frombuffer(bodies[kinds.index(1)], np.int64)
+        names, size = both[: len(both) // 2], both[len(both) // 2:]
+        lone = np.zeros(len(names), np.int64)
+        for kind, raw in zip(kinds, bodies):
+            if kind == 0:
+                half = np.frombuffer(raw, np.int32)
+                lone[half[: len(half) // 2]] += half[len(half) // 2:]
+        return pa.table({"sid": pa.array(names[(lone * share <= size * (OF - share)) & (size > 0)])})
+
+    return step
+
+
+def _keys_to_shards(shards: int, share: int):
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column("sid").to_numpy()
+            lists = batch.column("segments")
+            inner = lists.flatten()
+            flat = inner.flatten().to_numpy().view(np.uint64)
+            size = np.array([sum(map(len, x)) for x in lists.to_pylist()], dtype=np.int64)
+            where, keys = segment_keys(flat, np.concatenate([[0], np.cumsum(size)]).astype(np.int64), share)
             shard = (keys % np.uint64(shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
             bounds = np.searchsorted(shard[order], np.arange(shards + 1))
@@ -169,79 +254,93 @@ def _shared_keys(rows: pa.Table) -> pa.Table:
     return pa.table({"key": pa.array(keys[same].view(np.int64)), "sid": pa.array(sids[same])})
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(set, fragment, n-grams) of the sets that the rows ask for by ``sid``."""
-    for batch in batches:
-        flat, first = shingle_sets(batch.column("text"))
-        wanted = set_names(flat, first) == batch.column("sid").to_numpy()
-        sid, fragment, tokens = [], [], []
-        for i in np.flatnonzero(wanted):
-            own = flat[first[i]: first[i + 1]]
-            part = (own >> np.uint64(61)).astype(np.int64)
-            for f in np.unique(part):
-                sid.append(batch.column("sid")[int(i)].as_py())
-                fragment.append(int(f))
-                tokens.append(own[part == f].view(np.int64))
-        yield pa.RecordBatch.from_pydict({"sid": pa.array(sid, pa.int64()), "fragment": pa.array(fragment, pa.int32()),
-                                          "tokens": pa.array(tokens, pa.list_(pa.int64()))})
-
-
-def _may_link(a: str, b: str) -> Column:
-    """Sizes and lone n-grams leave room for the threshold (J >= 0.9: differences are at most (n + m) / 19)."""
+def _segments(words: int):
+    """The sets that the rows ask for by ``sid``, as their segments in the coarse cut."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = np.arange(1, COUNT_FRAGMENTS, dtype=np.uint64) << np.uint64(61)
+        for batch in batches:
+            flat, first = shingle_sets(batch.column("text"), words)
+            names = set_names(flat, first)
+            wanted = np.flatnonzero(names == batch.column("sid").to_numpy())
+            made = []
+            for i in wanted:
+                own = flat[first[i]: first[i + 1]]
+                made.append([x.view(np.int64) for x in np.split(own, np.searchsorted(own, edges))])
+            yield pa.RecordBatch.from_pydict({"sid": pa.array(names[wanted]), "n": pa.array(np.diff(first)[wanted], pa.int64()),
+                                              "segments": pa.array(made, pa.list_(pa.list_(pa.int64())))})
+
+    return step
+
+
+def _may_link(a: str, b: str, share: int) -> Column:
+    """Sizes and lone n-grams leave room for the threshold t: differences are at most (n + m)(1 - t) / (1 + t)."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return ((F.col(f"{a}.lone") + F.col(f"{b}.lone")) * (OF + SHARE) <= (OF - SHARE) * (n + m)) & \
-        (F.greatest(n, m) * SHARE <= F.least(n, m) * OF)
+    return ((F.col(f"{a}.lone") + F.col(f"{b}.lone")) * (OF + share) <= (OF - share) * (n + m)) & \
+        (F.greatest(n, m) * share <= F.least(n, m) * OF)
 
 
-def _linked(pairs: DataFrame, segments: DataFrame) -> DataFrame:
+def _linked(pairs: DataFrame, fragments: DataFrame, share: int) -> DataFrame:
     """The pairs (a, b, n, m) whose overlap, counted per fragment and summed, reaches the threshold."""
-    left = segments.select(F.col("sid").alias("a"), "fragment", F.col("tokens").alias("ta"))
-    right = segments.select(F.col("sid").alias("b"), "fragment", F.col("tokens").alias("tb"))
+    left = fragments.select(F.col("sid").alias("a"), "fragment", F.col("tokens").alias("ta"))
+    right = fragments.select(F.col("sid").alias("b"), "fragment", F.col("tokens").alias("tb"))
     partial = (pairs.join(left, "a").join(right, ["b", "fragment"])
-               .select("a", "b", "n", "m", F.size(F.array_intersect("ta", "tb")).cast("bigint").alias("common")))
-    total = partial.groupBy("a", "b").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.sum("common").alias("common"))
-    return total.where(F.col("common") * OF >= SHARE * (F.col("n") + F.col("m") - F.col("common"))).select("a", "b")
+               .select("a", "b", "n", "m", "fragment", F.size(F.array_intersect("ta", "tb")).cast("bigint").alias("common")))
+    # a repeated row of documents repeats its fragments' counts: each fragment is taken once
+    total = partial.groupBy("a", "b").agg(F.first("n").alias("n"), F.first("m").alias("m"),
+                                          F.collect_set(F.struct("fragment", "common")).alias("counts"))
+    total = total.withColumn("common", F.aggregate("counts", F.lit(0).cast("bigint"), lambda s, c: s + c["common"]))
+    return total.where(F.col("common") * OF >= share * (F.col("n") + F.col("m") - F.col("common"))).select("a", "b")
+
 
+def similar_classes(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
+    """Rows (doc_id, n_shingles, component_id) of ``docs`` (doc_id, text); component_id is the smallest doc_id linked.
 
-def similar_classes(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id) of ``docs`` (doc_id, text); component_id is the smallest doc_id linked."""
+    Sets are linked from a similarity of ``share`` / 100 on.
+    """
     docs = docs.select("doc_id", "text")
     shards = pieces(text_size(docs)[1], _SHARD_BYTES)
-    sets = stage_table(docs.mapInArrow(_named_sets, "doc_id long, sid long, n long"))
+    sets = stage_table(docs.mapInArrow(_named_sets(words), "doc_id long, sid long, n long"))
     linkable = sets.where("doc_id is not null and n > 0")
     classes = linkable.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"))
 
-    packed = docs.where("doc_id is not null").mapInArrow(_keys_to_shards(shards), "shard int, keys binary, sids binary")
-    members = stage_table(packed.groupBy("shard").applyInArrow(_shared_keys, "key long, sid long"))
-    asked = stage_table(classes.join(members.select("sid").distinct(), "sid", "left_semi"))
+    part = min(1.0, _LOOK * (OF - share) / share)
+    units = (docs.where("doc_id is not null").mapInArrow(_to_lone_shards(words, shards, part), "shard long, unit long, body binary")
+             .groupBy("shard").applyInArrow(_count_lone, "unit long, kind int, body binary"))
+    alive = units.groupBy("unit").applyInArrow(_alive(share), "sid long").distinct()
+    asked = classes.join(alive, "sid", "left_semi")
     found = docs.join(asked.select(F.col("rep").alias("doc_id"), "sid"), "doc_id").select("text", "sid")
-    segments = stage_table(found.mapInArrow(_segments, "sid long, fragment int, tokens array<long>")
-                           .groupBy("sid", "fragment").agg(F.first("tokens").alias("tokens")))
+    segments = stage_table(found.mapInArrow(_segments(words), "sid long, n long, segments array<array<long>>"))
+    fragments = segments.select("sid", F.posexplode("segments").alias("fragment", "tokens")).where(F.size("tokens") > 0)
+
+    packed = segments.mapInArrow(_keys_to_shards(shards, share), "shard int, keys binary, sids binary")
+    members = stage_table(packed.groupBy("shard").applyInArrow(_shared_keys, "key long, sid long"))
+    asked = members.select("sid").distinct()
     # n-grams that only one candidate has
-    lone = (segments.select("sid", F.explode("tokens").alias("t")).groupBy("t")
-            .agg(F.count("*").alias("c"), F.first("sid").alias("sid")).where("c = 1").groupBy("sid").agg(F.count("*").alias("lone")))
-    alive = (asked.join(lone, "sid", "left").select("sid", "n", F.coalesce("lone", F.lit(0)).alias("lone"))
-             .where(F.col("lone") * SHARE <= F.col("n") * (OF - SHARE)))
-    members = stage_table(members.join(alive, "sid"))
+    lone = (fragments.join(asked, "sid", "left_semi").select("sid", F.explode("tokens").alias("t")).groupBy("t")
+            .agg(F.min("sid").alias("sid"), F.max("sid").alias("other")).where("sid = other").groupBy("sid").agg(F.count("*").alias("lone")))
+    sized = (segments.select("sid", "n").distinct().join(lone, "sid", "left").select("sid", "n", F.coalesce("lone", F.lit(0)).alias("lone"))
+             .where(F.col("lone") * share <= F.col("n") * (OF - share)))
+    members = stage_table(members.join(sized, "sid"))
     total = members.count()
 
     best = (members.groupBy("key").agg(F.min(F.struct("lone", "sid", "n")).alias("hub"), F.count("*").alias("size"))
             .where("size > 1"))
     starred = hot_join(members, best, "key", "size", total).where("hub is not null and hub.sid <> sid")
-    first = stage_table(starred.select(F.struct("sid", "n", "lone").alias("x"), F.col("hub").alias("y")).where(_may_link("x", "y"))
+    first = stage_table(starred.select(F.struct("sid", "n", "lone").alias("x"), F.col("hub").alias("y")).where(_may_link("x", "y", share))
                         .select(F.col("y.sid").alias("a"), F.col("x.sid").alias("b"), F.col("y.n").alias("n"), F.col("x.n").alias("m"))
                         .distinct())
-    joined = components(_linked(first, segments))
+    joined = components(_linked(first, fragments, share))
 
     labelled = (members.join(joined.withColumnRenamed("node", "sid"), "sid", "left")
                 .withColumn("component", F.coalesce("component", "sid")))
     apart = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     left = stage_table(labelled.join(apart, "key", "left_semi"))
     rest = (left.alias("x").join(left.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.sid") < F.col("y.sid"))
-                                 & (F.col("x.component") != F.col("y.component")) & _may_link("x", "y"))
+                                 & (F.col("x.component") != F.col("y.component")) & _may_link("x", "y", share))
             .select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m")).distinct())
     done = first.select("a", "b").unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = _linked(stage_table(rest.join(done, ["a", "b"], "left_anti")), segments)
+    more = _linked(stage_table(rest.join(done, ["a", "b"], "left_anti")), fragments, share)
     joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     roots = classes.join(joined.withColumnRenamed("node", "sid"), "sid")
@@ -254,7 +353,7 @@ def similar_classes(docs: DataFrame) -> DataFrame:
             .unionByName(alone.select("doc_id", F.col("n").alias("n_shingles"), "component_id")))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
     """One document of each class of similar ones: the smallest doc_id; rows without links stay, columns unchanged."""
-    spare = similar_classes(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    spare = similar_classes(docs, words, share).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(spare, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

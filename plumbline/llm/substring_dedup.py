@@ -1,8 +1,8 @@
 """Repeated passages by relative Lempel-Ziv parsing: later documents are factored against earlier ones.
 
 A factor is a run of words that an earlier document (a smaller doc_id) holds
-too; it counts when it is at least ``WINDOW`` words long.  Documents lie in
-blocks.  Each block indexes all its windows of WINDOW words by hash and keeps,
+too; it counts when it is at least ``window`` words long.  Documents lie in
+blocks.  Each block indexes all its windows of that many words by hash and keeps,
 per distinct window, the first document that has it; these go to the index
 shards, which hold the windows of all blocks.  A shard answers each block whose
 first document is not the first of all with the reference: source document and
@@ -18,7 +18,7 @@ reaches a shard at most once per block.
 
 Defined results: a null text has no words; rows with a null doc_id are neither
 references nor cut; rows that share a doc_id are not earlier than each other;
-texts under WINDOW words stay whole.  Extra columns are kept.
+texts under ``window`` words stay whole.  Extra columns are kept.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from plumbline.llm.words import byte_slices, tokenise, window_hashes, window_sta
 
 WINDOW = 13
 ANCHOR = 5
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 _KEPT_BYTES = 7  # of each window hash; a shard holds windows of about one block's number
 
 
@@ -54,7 +54,8 @@ def _unplanes(raw: bytes, kind: str) -> np.ndarray:
 class Block:
     """The documents of one block in order of doc_id, their words, and their distinct windows."""
 
-    def __init__(self, rows: pa.Table):
+    def __init__(self, rows: pa.Table, window: int):
+        self.size = window
         ids = rows.column("doc_id").to_pandas()
         known = ids.notna().to_numpy()
         digest = [hashlib.md5(t.as_buffer() if t.is_valid else b"").digest() for t in rows.column("text")]
@@ -71,18 +72,18 @@ class Block:
         words = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         self.counts = np.concatenate(counts) if counts else np.zeros(0, np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.counts)])
-        at = window_starts(self.first, WINDOW)
+        at = window_starts(self.first, window)
         owner = np.repeat(np.arange(len(self.counts)), self.counts)
         at = at[self.known[owner[at]]] if len(at) else at
         self.at, self.owner = at, owner[at] if len(at) else at
-        self.window = window_hashes(words, WINDOW)[at] if len(at) else np.zeros(0, np.uint64)
+        self.window = window_hashes(words, window)[at] if len(at) else np.zeros(0, np.uint64)
         self.words = words
         self.distinct, self.leader, self.member = np.unique(self.window, return_index=True, return_inverse=True)
 
     def anchors(self) -> np.ndarray:
         """Smallest hash of ANCHOR words within each distinct window's first place."""
         least = window_hashes(self.words, ANCHOR)
-        span, width = 1, WINDOW - ANCHOR + 1
+        span, width = 1, self.size - ANCHOR + 1
         while span < width:
             step = min(span, width - span)
             least = np.minimum(least[: len(least) - step], least[step:])
@@ -90,9 +91,9 @@ class Block:
         return least[self.at[self.leader]]
 
 
-def _requests(shards: int):
+def _requests(shards: int, window: int):
     def step(key: tuple, rows: pa.Table) -> pa.Table:
-        block = Block(rows)
+        block = Block(rows, window)
         out: dict[str, list] = {"shard": [], "sender": [], "body": []}
         if len(block.at):
             places = np.sort(block.leader)  # first places in text order
@@ -161,9 +162,9 @@ def _answers(key: tuple, rows: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array(out["block"], pa.int32()), "body": pa.array(out["body"], pa.binary())})
 
 
-def _parse(keep_text: bool, names: list[str]):
+def _parse(keep_text: bool, names: list[str], window: int):
     def step(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        block = Block(rows)
+        block = Block(rows, window)
         source_doc = block.doc[block.owner[block.leader]].copy() if len(block.at) else np.zeros(0, np.int64)
         source_at = (block.at - block.first[block.owner])[block.leader] if len(block.at) else np.zeros(0, np.int64)
         for body in answers.column("body"):
@@ -178,14 +179,14 @@ def _parse(keep_text: bool, names: list[str]):
         late = np.flatnonzero(source_doc[block.member] < block.doc[block.owner]) if len(block.at) else np.zeros(0, np.int64)
         if len(late):
             np.add.at(gone, block.at[late], 1)
-            np.add.at(gone, block.at[late] + WINDOW, -1)
+            np.add.at(gone, block.at[late] + window, -1)
             doc, place = source_doc[block.member[late]], source_at[block.member[late]]
             fresh = np.ones(len(late), bool)
             fresh[1:] = (np.diff(block.at[late]) != 1) | (np.diff(block.owner[late]) != 0) | (np.diff(doc) != 0) | (np.diff(place) != 1)
             heads = np.flatnonzero(fresh)
             for h, n in zip(heads, np.diff(np.append(heads, len(late)))):
                 o = int(block.owner[late[h]])
-                factors[o].append({"start": int(block.at[late[h]] - block.first[o]), "length": int(n) + WINDOW - 1,
+                factors[o].append({"start": int(block.at[late[h]] - block.first[o]), "length": int(n) + window - 1,
                                    "source": int(doc[h]), "source_start": int(place[h])})
         removed = np.cumsum(gone)[:-1] > 0
         removed_upto = np.concatenate([[0], np.cumsum(removed)])
@@ -226,10 +227,10 @@ def _parse(keep_text: bool, names: list[str]):
     return step
 
 
-def parse(docs: DataFrame, keep_text: bool = True) -> DataFrame:
+def parse(docs: DataFrame, keep_text: bool = True, window: int = WINDOW) -> DataFrame:
     """``docs`` with n_words, n_removed, kept_sha256 and factors (in words: start, length, source, source_start).
 
-    ``text`` becomes what is left of it (with ``keep_text``; else it is left out).  Columns of these names, or
+    A factor of ``window`` (at least ANCHOR) words counts.  ``text`` becomes what is left of it (with ``keep_text``; else it is left out).  Columns of these names, or
     named ``block``, are replaced.
     """
     added = ("n_words", "n_removed", "kept_sha256", "factors", "block")
@@ -237,9 +238,9 @@ def parse(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     names = [c for c in docs.columns if c != "text" or keep_text]
     n = pieces(text_size(docs)[1], BLOCK_BYTES)
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
-    asked = dealt.groupBy("block").applyInArrow(_requests(n), "shard int, sender int, body binary")
+    asked = dealt.groupBy("block").applyInArrow(_requests(n, window), "shard int, sender int, body binary")
     told = asked.groupBy("shard").applyInArrow(_answers, "block int, body binary")
     span = T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in ("start", "length", "source", "source_start")]))
     schema = T.StructType([*docs.select(*[F.col(f"`{c}`") for c in names]).schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
                            T.StructField("kept_sha256", T.StringType()), T.StructField("factors", span)])
-    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_parse(keep_text, names), schema)
+    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_parse(keep_text, names, window), schema)
