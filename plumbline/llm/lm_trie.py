@@ -240,11 +240,18 @@ def _read(rows: pa.Table):
     return (vocabulary, *(np.concatenate(x) for x in (last, one, two, doc, train, unit)))
 
 
+def _last_words(facts: Facts, vocabulary: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and counts of the known words; a split word is known here even if this shard trains none of its occurrences."""
+    hot = facts.hot_counts(vocabulary)
+    here = np.bincount(last, minlength=len(vocabulary))
+    words = np.flatnonzero((here > 0) | (hot > 0))
+    return words, np.where(hot > 0, hot, here)[words]
+
+
 def build_trie(facts: Facts, vocabulary: np.ndarray, last: np.ndarray, one: np.ndarray, two: np.ndarray) -> Trie:
     """The trie of a shard's training occurrences (codes into ``vocabulary``)."""
     size = np.int64(len(vocabulary))
-    words, n1 = np.unique(last, return_counts=True)
-    count = np.where((hot := facts.hot_counts(vocabulary[words])) > 0, hot, n1)
+    words, count = _last_words(facts, vocabulary, last)
     pairs, n2 = np.unique(np.searchsorted(words, last) * size + one, return_counts=True)
     triples, n3 = np.unique(np.searchsorted(pairs, np.searchsorted(words, last) * size + one) * size + two, return_counts=True)
     up2, before = pairs // size, pairs % size
@@ -299,8 +306,7 @@ def _score_shard(sent):
         trie = Trie.from_buffer(level_map)
         score, node = occurrence_scores(facts, trie, vocabulary, last, one, two)
         # the base score is exact: counts, not codes
-        words, n1 = np.unique(last[train], return_counts=True)
-        count = np.where((hot := facts.hot_counts(vocabulary[words])) > 0, hot, n1)
+        _, count = _last_words(facts, vocabulary, last[train])
         per_word = np.append(np.log10(count + 1.0), 0.0)
         base = per_word[node]
         bodies, units = [], rows.column("unit").to_pylist()
