@@ -3,9 +3,8 @@
 The global order of n-grams is that of their hashes.  It is cut into fragments,
 and a document's set into its segments of them.
 
-* **Pruning.**  n-grams that no other document has are differences to any
-  partner, and a pair with similarity t has at most (1 - t) / t differences per n-gram of the
-  smaller set.  The first fragment of the order, wide enough to show more than that, goes to
+* **Pruning.**  n-grams that no other document has are in no overlap, and a set that
+  has a partner with similarity t shares at least that part of its n-grams.  The first fragment of the order, wide enough to show more than that, goes to
   shards by n-gram as short fingerprints; they count lone ones per document.
 * **Candidates.**  For what is left, the order is cut into more fragments than a pair may have
   differences, so one fragment is left in which the two segments are the same.
@@ -213,7 +212,7 @@ def _alive(share: int):
             if kind == 0:
                 half = np.frombuffer(raw, np.int32)
                 lone[half[: len(half) // 2]] += half[len(half) // 2:]
-        return pa.table({"sid": pa.array(names[(lone * share <= size * (OF - share)) & (size > 0)])})
+        return pa.table({"sid": pa.array(names[(lone * OF <= size * (OF - share)) & (size > 0)])})
 
     return step
 
@@ -274,10 +273,10 @@ def _segments(words: int):
 
 
 def _may_link(a: str, b: str, share: int) -> Column:
-    """Sizes and lone n-grams leave room for the threshold t: differences are at most (n + m)(1 - t) / (1 + t)."""
+    """Sizes and lone n-grams leave room for the threshold: lone ones are in no overlap."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return ((F.col(f"{a}.lone") + F.col(f"{b}.lone")) * (OF + share) <= (OF - share) * (n + m)) & \
-        (F.greatest(n, m) * share <= F.least(n, m) * OF)
+    most = F.least(n - F.col(f"{a}.lone"), m - F.col(f"{b}.lone"))
+    return most * (OF + share) >= share * (n + m)
 
 
 def _linked(pairs: DataFrame, fragments: DataFrame, share: int) -> DataFrame:
@@ -304,7 +303,7 @@ def similar_classes(docs: DataFrame, words: int = WORDS, share: int = SHARE) ->
     linkable = sets.where("doc_id is not null and n > 0")
     classes = linkable.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"))
 
-    part = min(1.0, _LOOK * (OF - share) / share)
+    part = min(1.0, _LOOK * (OF - share) / OF)
     units = (docs.where("doc_id is not null").mapInArrow(_to_lone_shards(words, shards, part), "shard long, unit long, body binary")
              .groupBy("shard").applyInArrow(_count_lone, "unit long, kind int, body binary"))
     alive = units.groupBy("unit").applyInArrow(_alive(share), "sid long").distinct()
@@ -320,7 +319,7 @@ def similar_classes(docs: DataFrame, words: int = WORDS, share: int = SHARE) ->
     lone = (fragments.join(asked, "sid", "left_semi").select("sid", F.explode("tokens").alias("t")).groupBy("t")
             .agg(F.min("sid").alias("sid"), F.max("sid").alias("other")).where("sid = other").groupBy("sid").agg(F.count("*").alias("lone")))
     sized = (segments.select("sid", "n").distinct().join(lone, "sid", "left").select("sid", "n", F.coalesce("lone", F.lit(0)).alias("lone"))
-             .where(F.col("lone") * share <= F.col("n") * (OF - share)))
+             .where(F.col("lone") * OF <= F.col("n") * (OF - share)))
     members = stage_table(members.join(sized, "sid"))
     total = members.count()
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.ordering import stage_table
-from plumbline.llm.components import components
+from plumbline.llm.components import components, lowest_members
 from plumbline.llm.sizing import hot_join
 
 THRESHOLD = 0.9
@@ -118,19 +118,6 @@ def _place(sent, probes: int):
     return step
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest member of each node's component, by propagation and jumping."""
-    low = np.arange(n)
-    while True:
-        new = low.copy()
-        np.minimum.at(new, a, low[b])
-        np.minimum.at(new, b, low[a])
-        new = new[new]
-        if (new == low).all():
-            return low
-        low = new
-
-
 def _tile(sent):
     def step(key: tuple, rows: pa.Table) -> pa.Table:
         index = Index(*sent.value)
@@ -176,7 +163,7 @@ def _tile(sent):
         used, flat = np.unique(np.concatenate([ids[q], ids[e]]), return_inverse=True)
         a, b = flat[: len(q)], flat[len(q):]
         links = np.bincount(a, copies[e], len(used)) + np.bincount(b, copies[q], len(used))
-        return pa.table({"vec_id": pa.array(used), "links": pa.array(links.astype(np.int64)), "root": pa.array(used[_roots(len(used), a, b)])})
+        return pa.table({"vec_id": pa.array(used), "links": pa.array(links.astype(np.int64)), "root": pa.array(used[lowest_members(len(used), a, b)])})
 
     return step
 

@@ -16,7 +16,9 @@ def docs(spark):
     return awkward_docs(spark).cache()
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("few", [0, 30, 20_000])
+def test_components_of_chains_and_stars(spark, monkeypatch, few):
+    monkeypatch.setattr("plumbline.llm.components.FEW", few)
     rng = np.random.default_rng(1)
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(int(a), int(b)) for a, b in rng.integers(200, 400, (90, 2))]
     links += [(7, 7), (500, 500), (1, 0)]
