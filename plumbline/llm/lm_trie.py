@@ -28,6 +28,7 @@ import mmap
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -170,9 +171,10 @@ def _occurrences(sent, shards: int):
         for number, batch in enumerate(batches):
             words, first = _tokens(batch.column("text"))
             owner = np.repeat(np.arange(batch.num_rows, dtype=np.int32), np.diff(first))
-            distinct, code = np.unique(np.append(words, _START), return_inverse=True)
-            start = code[-1]
-            code = code[:-1].astype(np.int32)
+            code, distinct = pd.factorize(np.append(words, _START))
+            code = code.astype(np.int32)
+            start, code = code[-1], code[:-1]
+            del words
             before = np.roll(code, 1)
             before[first[:-1]] = start
             two = np.roll(before, 1)
@@ -182,7 +184,7 @@ def _occurrences(sent, shards: int):
             home = (mix(distinct) % np.uint64(shards)).astype(np.int32)[code]
             split = np.flatnonzero((facts.hot_counts(distinct) > 0)[code])
             home[split] = (mix(distinct[code[split]] + mix(distinct[before[split]])) % np.uint64(shards)).astype(np.int32)
-            order = np.argsort(home, kind="stable")
+            order = np.argsort(home.astype(np.int16) if shards < 1 << 15 else home, kind="stable").astype(np.int32)
             bounds = np.searchsorted(home[order], np.arange(shards + 1))
             used = np.flatnonzero(np.diff(bounds))
             bodies = [np.asarray(batch.column("train").to_numpy(zero_copy_only=False), np.uint8).tobytes()
@@ -196,17 +198,21 @@ def _occurrences(sent, shards: int):
                 runs = np.diff(np.append(heads, len(pick))).astype(np.int32)
                 parts = [np.array([len(local), len(pick), len(heads)], np.int64).tobytes(), distinct[local].tobytes(),
                          three.astype(wide).tobytes(), np.diff(owner[pick][heads], prepend=np.int32(0)).astype(np.int32).tobytes(), runs.tobytes()]
-                bodies.append(b"".join(parts))
-            raw = [len(b).to_bytes(8, "little") + pa.compress(b, codec="zstd", asbytes=True) for b in bodies]
+                bodies.append(_squeeze(b"".join(parts)))
             train = [bodies[0][: batch.num_rows]] * len(bodies)
+            bodies[0] = _squeeze(bodies[0])
             yield pa.RecordBatch.from_pydict({
                 "shard": pa.array([-1 - (base + number), *used], pa.int64()), "unit": pa.array([base + number] * len(bodies), pa.int64()),
                 "ids": pa.array([batch.column("doc_id").to_pylist()] + [None] * len(used), pa.list_(pa.int64())),
-                "train": pa.array([np.packbits(np.frombuffer(t, np.uint8)).tobytes() for t in train], pa.binary()), "body": pa.array(raw, pa.binary())})
+                "train": pa.array([np.packbits(np.frombuffer(t, np.uint8)).tobytes() for t in train], pa.binary()), "body": pa.array(bodies, pa.binary())})
 
     return step
 
 
+def _squeeze(body: bytes) -> bytes:
+    return len(body).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True)
+
+
 def _unpack(raw: bytes) -> bytes:
     return pa.decompress(raw[8:], decompressed_size=int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True)
 
@@ -226,7 +232,7 @@ def _read(rows: pa.Table):
         runs = np.frombuffer(raw[at + 4 * d:], np.int32)
         train = np.unpackbits(np.frombuffer(flags.as_py(), np.uint8)).astype(bool)
         blocks.append((three, np.repeat(docs, runs), np.repeat(train[docs], runs), unit))
-    vocabulary, back = np.unique(np.concatenate(names), return_inverse=True)
+    back, vocabulary = pd.factorize(np.concatenate(names))
     back = back.astype(np.int32)
     at, last, one, two, doc, train, unit = 0, [], [], [], [], [], []
     for name, (three, docs, trains, u) in zip(names, blocks):
@@ -269,8 +275,8 @@ def occurrence_scores(facts: Facts, trie: Trie, vocabulary: np.ndarray, last: np
     """Per occurrence: the log10 it adds to its text, and the node of its word (-1: unknown)."""
     size = np.int64(len(vocabulary))
     # each distinct question once
-    pairs, to_pair = np.unique(last * size + one, return_inverse=True)
-    triples, to_triple = np.unique(to_pair * size + two, return_inverse=True)
+    to_pair, pairs = pd.factorize(last * size + one)
+    to_triple, triples = pd.factorize(to_pair * size + two)
     w, v = pairs // size, pairs % size
     node1 = trie.child(0, None, w)
     node2 = trie.child(1, node1, v)
