@@ -9,7 +9,6 @@ of the few rows next to them.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -24,16 +23,25 @@ _ROW_IN_PARTITION = (1 << 33) - 1
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only a local session without one (tests) gets its own."""
+    """The session's ``spark.checkpoint.dir``; without one, a folder below the warehouse, which executors share too."""
     sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/plumbline-work"
     if sc.getCheckpointDir() is None:
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="plumbline-")
         sc.setCheckpointDir(folder)
-    return folder or sc.getCheckpointDir()
+    return folder
+
+
+_STAGED: list[str] = []
+
+
+def release_staged(spark: SparkSession) -> None:
+    """Delete the tables this process has staged so far; results that still read them must be written before."""
+    jvm = spark.sparkContext._jvm
+    while _STAGED:
+        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -50,6 +58,7 @@ def stage_table(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -26,6 +26,9 @@ ADF_CRITICAL = {
 # KPSS critical values for a constant (Kwiatkowski et al. 1992).
 KPSS_POINTS = ((0.347, 0.10), (0.463, 0.05), (0.574, 0.025), (0.739, 0.01))
 
+# Fixed value: the rank-sum p is exact when a group is this small and nothing is tied
+EXACT_GROUP = 8
+
 _TINY = 1e-300
 
 
@@ -101,17 +104,51 @@ def chi2_upper(x: float, df: float) -> float:
     return gamma_upper(df / 2.0, x / 2.0)
 
 
+def _sums_up_to(limit: int, m: int) -> int:
+    """Number of multisets of parts 1..m that add up to ``limit`` at most.
+
+    Exact for any limit: on limits equal modulo L = lcm(1..m) it is a polynomial
+    of degree m, found from its values at the first m + 1 of them.
+    """
+    if limit < 0:
+        return 0
+    period = math.lcm(*range(1, m + 1))
+    step, rest = divmod(limit, period)
+    top = period * min(step, m) + rest
+    ways = [1] + [0] * top
+    for part in range(1, m + 1):
+        for s in range(part, top + 1):
+            ways[s] += ways[s - part]
+    total, known = 0, []
+    for s, w in enumerate(ways):
+        total += w
+        if s % period == rest:
+            known.append(total)
+    if step <= m:
+        return known[step]
+    # Newton's forward differences at ``step``
+    value = 0
+    for k in range(m + 1):
+        value += known[0] * math.comb(step, k)
+        known = [b - a for a, b in zip(known, known[1:])]
+    return value
+
+
 def rank_sum_exact(u: float, n1: int, n2: int) -> float:
-    """Two-sided exact p of the U statistic without ties, by counting arrangements."""
+    """Two-sided exact p of the U statistic without ties; the work depends on the smaller group alone.
+
+    Arrangements with U <= x are coefficients of prod (1 - q^(n+i)) / (1 - q^i), i = 1..m: the subsets of the
+    numerator's factors, each with the number of sums of the denominator's parts.
+    """
     m, n = min(n1, n2), max(n1, n2)
-    ways = [1] + [0] * (m * n)  # arrangements per value of U, built factor by factor
+    least = math.floor(min(u, n1 * n2 - u))  # the tail as far below the centre as u is away from it
+    numerator = {0: 1}
     for i in range(1, m + 1):
-        for s in range(m * n, n + i - 1, -1):
-            ways[s] -= ways[s - n - i]
-        for s in range(i, m * n + 1):
-            ways[s] += ways[s - i]
-    top = max(u, n1 * n2 - u)
-    return min(1.0, 2.0 * sum(ways[math.ceil(top):]) / sum(ways))
+        for used, sign in list(numerator.items()):
+            if used + n + i <= least:
+                numerator[used + n + i] = numerator.get(used + n + i, 0) - sign
+    tail = sum(sign * _sums_up_to(least - used, m) for used, sign in numerator.items())
+    return min(1.0, 2 * tail / math.comb(m + n, m))
 
 
 def _p(kind: str, x: float, a: float, b: float) -> float | None:
@@ -140,12 +177,12 @@ def p_value(kind: str, statistic: Column, df1: Column | None = None, df2: Column
 
 
 def rank_sum_p(u: Column, z: Column, n1: Column, n2: Column, ties: Column) -> Column:
-    """Two-sided rank-sum p: exact for a group of at most 8 without ties, else normal."""
+    """Two-sided rank-sum p: exact for a group of at most EXACT_GROUP without ties, else normal."""
     @F.pandas_udf("double")
     def tail(u: pd.Series, z: pd.Series, n1: pd.Series, n2: pd.Series, ties: pd.Series) -> pd.Series:
         out = []
         for us, zs, a, b, tie in zip(u, z, n1, n2, ties):
-            if min(a, b) <= 8 and tie == 0 and a * b <= 20_000:
+            if min(a, b) <= EXACT_GROUP and tie == 0:
                 out.append(rank_sum_exact(us, int(a), int(b)))
             else:
                 # below the centre the continuity-corrected z may be negative; p is then capped at 1

@@ -17,8 +17,8 @@ from plumbline.functions.columns import (
     categorical_columns, nan_to_null, numeric_columns, percent, ref, rows_from)
 from plumbline.functions.quantiles import ColumnQuantiles, exact_quantiles
 
-# fine bins and curve points of the density estimate
-DENSITY_BINS = 1024
+# density estimate: bin width and reach of a bin in bandwidths, and curve points
+BIN_SHARE, REACH = 1 / 64, 9.0
 DENSITY_POINTS = 200
 
 
@@ -107,9 +107,10 @@ def _auto_bins(q: ColumnQuantiles, integral: bool) -> tuple[float, int]:
 
 
 def histogram(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Rows (column, bin, lo, hi, count) of the non-empty automatic bins of each column."""
+    """Rows (column, bin, lo, hi, count) of the non-empty automatic bins of each column's finite values."""
     cols = _numeric(df, cols)
-    found = exact_quantiles(df, cols, [0.25, 0.75])
+    finite = df.select(*[F.when(F.abs(ref(c).cast("double")) < float("inf"), ref(c)).alias(c) for c in cols])
+    found = exact_quantiles(finite, cols, [0.25, 0.75])
     cols = [c for c in cols if found[c].count]
     schema = "column string, bin bigint, n_bins bigint, lo double, hi double, count bigint"
     if not cols:
@@ -124,23 +125,24 @@ def histogram(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
             F.when(x.isNotNull(), F.least(F.floor((x - start) / width), F.lit(bins - 1).cast("bigint"))).alias("bin"),
             F.lit(bins).cast("bigint").alias("n_bins"), F.lit(float(start)).alias("start"),
             F.lit(float(width)).alias("width")))
-    return (nan_to_null(df.select(*[ref(c) for c in cols])).select(F.inline(F.array(*cells)))
+    return (nan_to_null(finite.select(*[ref(c) for c in cols])).select(F.inline(F.array(*cells)))
             .where("bin is not null").groupBy("column", "bin", "n_bins", "start", "width")
             .agg(F.count("*").alias("count"))
             .select("column", "bin", "n_bins", (F.col("start") + F.col("bin") * F.col("width")).alias("lo"),
                     (F.col("start") + (F.col("bin") + 1) * F.col("width")).alias("hi"), "count"))
 
 
-def density(df: DataFrame, cols: Sequence[str] | None = None, bins: int = DENSITY_BINS,
-            points: int = DENSITY_POINTS) -> DataFrame:
+def density(df: DataFrame, cols: Sequence[str] | None = None, points: int = DENSITY_POINTS) -> DataFrame:
     """Gaussian density curve with Scott's bandwidth: rows (column, point, x, density).
 
-    The rows are first merged into ``bins`` narrow bins, each standing at the mean
-    of its values; the curve is summed over bins, so its cost does not grow with
-    the table.  The error is of the order of (bin width / bandwidth) squared.
+    The rows are first merged into bins of a fixed small part of the bandwidth,
+    whatever the range; only bins with rows are kept.  A bin adds to the grid
+    points within REACH bandwidths by the mean of its values, corrected for their
+    spread, so the error is of third order in (bin width / bandwidth).  Infinite values are left out.
     """
     cols = _numeric(df, cols)
     values = _doubles(df, cols)
+    values = values.select(*[F.when(F.abs(ref(c)) < float("inf"), ref(c)).alias(c) for c in cols])
     stats = values.agg(*[e for i, c in enumerate(cols) for e in (
         F.count(ref(c)).alias(f"n{i}"), F.stddev_samp(ref(c)).alias(f"sd{i}"),
         F.min(ref(c)).alias(f"lo{i}"), F.max(ref(c)).alias(f"hi{i}"))]).first() if cols else None
@@ -151,19 +153,27 @@ def density(df: DataFrame, cols: Sequence[str] | None = None, bins: int = DENSIT
             continue  # no curve for a constant or near-empty column
         cells.append(F.struct(
             F.lit(c).alias("column"), ref(c).alias("v"),
-            F.floor((ref(c) - lo) / (hi - lo) * bins).alias("bin"), F.lit(lo).alias("lo"),
+            F.floor((ref(c) - lo) / (sd * n ** -0.2 * BIN_SHARE)).alias("bin"), F.lit(lo).alias("lo"),
             F.lit((hi - lo) / (points - 1)).alias("step"), F.lit(sd * n ** -0.2).alias("h"),
             F.lit(n).cast("bigint").alias("n")))
     if not cells:
         return df.sparkSession.createDataFrame([], "column string, point bigint, x double, density double")
     merged = (values.select(F.inline(F.array(*cells))).where("v is not null")
               .groupBy("column", "bin", "lo", "step", "h", "n")
-              .agg(F.count("*").alias("weight"), F.avg("v").alias("at")))
-    curve = merged.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1)).cast("array<bigint>")).alias("point"))
+              .agg(F.count("*").alias("weight"), F.avg("v").alias("at"), F.var_pop("v").alias("var")))
+    first = F.greatest(F.ceil((F.col("at") - REACH * F.col("h") - F.col("lo")) / F.col("step")), F.lit(0).cast("bigint"))
+    last = F.least(F.floor((F.col("at") + REACH * F.col("h") - F.col("lo")) / F.col("step")), F.lit(points - 1).cast("bigint"))
+    near = merged.where(first <= last).select("*", F.explode(F.sequence(first, last)).alias("point"))
+    # grid points that no bin reaches have density 0
+    grid = merged.select("column", "lo", "step", "h", "n").distinct().select("*", F.explode(
+        F.sequence(F.lit(0), F.lit(points - 1)).cast("array<bigint>")).alias("point"))
+    curve = near.unionByName(grid.withColumn("weight", F.lit(0).cast("bigint")).withColumn("at", F.col("lo"))
+                             .withColumn("var", F.lit(0.0)), allowMissingColumns=True)
     x = F.col("lo") + F.col("point") * F.col("step")
     u = (x - F.col("at")) / F.col("h")
     return (curve.groupBy("column", "point", x.alias("x"), "h", "n")
-            .agg(F.sum(F.col("weight") * F.exp(u * u * -0.5)).alias("total"))
+            .agg(F.sum(F.col("weight") * F.exp(u * u * -0.5) * (
+                1 + (u * u - 1) * F.col("var") / (2 * F.col("h") * F.col("h")))).alias("total"))
             .select("column", "point", "x",
                     (F.col("total") / (F.col("n") * F.col("h") * math.sqrt(2 * math.pi))).alias("density")))
 

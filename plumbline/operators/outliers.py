@@ -7,6 +7,7 @@ shuffle of data, and outlier rows stay distributed.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -43,11 +44,16 @@ class ColumnStats:
 Detector = Callable[[ColumnStats, Column], Column]
 
 
+def _finite(*numbers: float | None) -> bool:
+    """No rule flags anything when the numbers it rests on are missing, infinite or NaN."""
+    return all(v is not None and math.isfinite(v) for v in numbers)
+
+
 def iqr_rule(multiplier: float = settings.IQR_MULTIPLIER) -> Detector:
     """Outside the quartiles by more than ``multiplier`` times their distance."""
     def flag(s: ColumnStats, x: Column) -> Column:
         lower, upper = iqr_bounds(s, multiplier)
-        return F.lit(False) if lower is None else (x < lower) | (x > upper)
+        return F.lit(False) if not _finite(lower, upper) else (x < lower) | (x > upper)
     return flag
 
 
@@ -60,7 +66,7 @@ def iqr_bounds(s: ColumnStats, multiplier: float = settings.IQR_MULTIPLIER) -> t
 def zscore_rule(limit: float = settings.ZSCORE_LIMIT) -> Detector:
     """More than ``limit`` sample standard deviations from the mean."""
     def flag(s: ColumnStats, x: Column) -> Column:
-        if s.filled < 2 or not s.std:
+        if s.filled < 2 or not s.std or not _finite(s.mean, s.std):
             return F.lit(False)
         return F.abs((x - s.mean) / s.std) > limit
     return flag
@@ -69,7 +75,7 @@ def zscore_rule(limit: float = settings.ZSCORE_LIMIT) -> Detector:
 def mad_rule(limit: float = settings.MAD_LIMIT) -> Detector:
     """Modified z-score, scaled by the median absolute deviation, above ``limit``."""
     def flag(s: ColumnStats, x: Column) -> Column:
-        if s.filled < 2 or not s.mad:
+        if s.filled < 2 or not s.mad or not _finite(s.median, s.mad):
             return F.lit(False)
         return F.abs(F.lit(settings.MAD_SCALE) * (x - s.median) / s.mad) > limit
     return flag

@@ -24,10 +24,8 @@ from plumbline import settings
 from plumbline.functions.columns import nan_to_null, numeric_columns, percent, ref
 from plumbline.operators.density import density_clusters
 
-# points used to pick starting centres
-START_POINTS = 4096
-# largest table for which the Euclidean silhouette, quadratic by definition, is the default
-EUCLIDEAN_POINTS = 20_000
+# rounds in which candidates for starting centres are drawn from all rows, and how many a round expects per centre
+START_ROUNDS, START_FACTOR = 5, 2
 _TILE_ROWS = 2048
 
 
@@ -73,13 +71,13 @@ def _sq_dist(x: Column, centre: Sequence[float | Column]) -> Column:
 
 # ---- k-means ----------------------------------------------------------------
 
-def _plus_plus(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """Spread-out starting centres: each next one drawn in proportion to its squared distance."""
-    centres = [sample[rng.integers(len(sample))]]
+def _plus_plus(sample: np.ndarray, weight: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """Spread-out starting centres: each next one drawn in proportion to its weight times squared distance."""
+    centres = [sample[rng.choice(len(sample), p=weight / weight.sum())]]
     near = ((sample - centres[0]) ** 2).sum(axis=1)
     while len(centres) < k:
-        total = near.sum()
-        pick = rng.choice(len(sample), p=near / total) if total > 0 else rng.integers(len(sample))
+        total = (near * weight).sum()
+        pick = rng.choice(len(sample), p=near * weight / total) if total > 0 else rng.integers(len(sample))
         centres.append(sample[pick])
         near = np.minimum(near, ((sample - sample[pick]) ** 2).sum(axis=1))
     return np.array(centres)
@@ -119,19 +117,33 @@ def _one_round(features: DataFrame, runs: list[np.ndarray]) -> tuple[list[np.nda
     return moved, costs
 
 
-def _start_points(features: DataFrame, seed: int) -> np.ndarray:
-    """A fixed pseudo-random set of distinct points, the same whatever the partitioning.
+def _candidates(features: DataFrame, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates for starting centres and how many rows are nearest to each (k-means||, Bahmani et al. 2012).
 
-    One point per hash bucket: copies of a point count once, so a point that
-    fills a third of the table cannot crowd out the others.  Both passes are
-    hash aggregates on numbers, merged map-side.
+    Each round draws rows from the whole table in proportion to their squared
+    distance from the candidates so far, in one pass; the draw depends on the
+    point and the round alone, so it is the same whatever the partitioning.  About 1 + START_ROUNDS * START_FACTOR * k distinct points come
+    to the driver.
     """
     cols = features.columns
-    hashed = features.withColumn("h", F.xxhash64(F.lit(seed), *cols))
-    lowest = hashed.groupBy(F.pmod("h", F.lit(START_POINTS)).alias("bucket")).agg(F.min("h").alias("h")).select("h")
-    # at most START_POINTS rows on the broadcast side
-    picked = hashed.join(F.broadcast(lowest), "h", "left_semi").distinct().orderBy("h", *cols).select(*cols).collect()
-    return np.array([list(r) for r in picked])
+    # copies of a point are one spot with a weight, so its chance is that of all its copies
+    spots = features.groupBy(*cols).agg(F.count("*").cast("double").alias("w")).persist()
+    try:
+        lowest = spots.agg(F.min(F.struct(F.xxhash64(F.lit(seed), *cols).alias("h"), *cols)).alias("p")).first().p
+        found = [[float(lowest[c]) for c in cols]]
+        for turn in range(START_ROUNDS):
+            near = spots.withColumn("d", F.col("w") * F.array_min(F.array(*[_sq_dist(F.array(*cols), c) for c in found])))
+            cost = near.agg(F.sum("d")).first()[0]
+            if not cost:
+                break
+            draw = F.pmod(F.xxhash64(F.lit(seed), F.lit(turn), *cols), F.lit(1 << 40)) / float(1 << 40)
+            drawn = near.where(draw < F.col("d") * (START_FACTOR * k / cost)).select(*cols).collect()
+            found += [[float(r[c]) for c in cols] for r in sorted(drawn)]
+        place = F.array(*[_sq_dist(F.array(*cols), c) for c in found])
+        weights = dict(spots.groupBy(F.array_position(place, F.array_min(place)).alias("i")).agg(F.sum("w")).collect())
+        return np.array(found), np.array([weights.get(i + 1, 0.0) for i in range(len(found))])
+    finally:
+        spots.unpersist()
 
 
 def _fit(points: DataFrame, ks: Sequence[int], restarts: int, max_iter: int, tol: float,
@@ -139,20 +151,20 @@ def _fit(points: DataFrame, ks: Sequence[int], restarts: int, max_iter: int, tol
     """Best centres and cost for each k, all restarts of all k moving together.
 
     A run ends when its centres move by no more than ``tol`` times the mean
-    feature variance (squared distances, summed).
+    feature variance of the table (squared distances, summed).
     """
     features = points.select(*[F.col("x")[j].alias(f"f{j}") for j in range(width(points))]).persist()
     try:
-        sample = _start_points(features, seed)
-        return _move_until_still(features, sample, ks, restarts, max_iter, tol * float(sample.var(axis=0).mean()), seed)
+        spread = np.mean([v or 0.0 for v in features.agg(*[F.var_pop(c) for c in features.columns]).first()])
+        return _move_until_still(features, _candidates(features, max(ks), seed), ks, restarts, max_iter, tol * float(spread), seed)
     finally:
         features.unpersist()
 
 
-def _move_until_still(features: DataFrame, sample: np.ndarray, ks: Sequence[int], restarts: int, max_iter: int,
+def _move_until_still(features: DataFrame, starts: tuple[np.ndarray, np.ndarray], ks: Sequence[int], restarts: int, max_iter: int,
                       tol: float, seed: int) -> dict[int, tuple[np.ndarray, float]]:
     owners = [(k, seed + r) for k in ks for r in range(restarts)]
-    runs = [_plus_plus(sample, k, np.random.default_rng([s, k])) for k, s in owners]
+    runs = [_plus_plus(*starts, k, np.random.default_rng([s, k])) for k, s in owners]
     best: dict[int, tuple[np.ndarray, float]] = {}
     live = list(range(len(runs)))
     for step in range(max_iter + 1):
@@ -347,25 +359,28 @@ def davies_bouldin(labelled: DataFrame) -> DataFrame:
     return each.agg(F.avg("worst").alias("davies_bouldin"), F.count("*").alias("n_clusters"))
 
 
-def quality(labelled: DataFrame, method: str, key_cols: Sequence[str],
-            euclidean_points: int = EUCLIDEAN_POINTS) -> DataFrame:
+def quality(labelled: DataFrame, method: str, key_cols: Sequence[str], measure: str = "squared") -> DataFrame:
     """One row of quality numbers; fewer than two labels give nulls and a failed gate.
 
-    Noise (-1) counts as a label.  Up to ``euclidean_points`` rows the silhouette
-    uses plain distances, beyond that squared ones; ``silhouette_kind`` says which.
+    Noise (-1) counts as a label.  ``measure`` names the silhouette that the gate
+    uses at any size: ``squared`` distances, linear in the rows, or ``euclidean``
+    ones, which compare all points and are only computed on request.
     """
+    if measure not in ("squared", "euclidean"):
+        raise ValueError(f"unknown silhouette measure {measure}")
     counts = labelled.agg(F.count("*").alias("n"), F.countDistinct("cluster").alias("k"),
                           F.count_if(F.col("cluster") == -1).alias("noise")).first()
-    score = both = db = None
-    kind = "euclidean" if counts.n <= euclidean_points else "squared"
+    plain = both = db = None
     if counts.k >= 2:
         shifted = labelled.withColumn("cluster", F.col("cluster") + 1)  # the evaluator takes no negative label
         both = silhouette_squared(shifted)
-        score = both if kind == "squared" else silhouette_points(labelled, key_cols).agg(F.avg("silhouette")).first()[0]
+        if measure == "euclidean":
+            plain = silhouette_points(labelled, key_cols).agg(F.avg("silhouette")).first()[0]
         db = davies_bouldin(labelled).first().davies_bouldin
-    row = (method, counts.k, counts.noise, kind, score, both, db, score is not None and score >= settings.GOOD_SILHOUETTE)
+    score = plain if measure == "euclidean" else both
+    row = (method, counts.k, counts.noise, measure, plain, both, db, score is not None and score >= settings.GOOD_SILHOUETTE)
     return labelled.sparkSession.createDataFrame(
-        [row], "method string, n_clusters bigint, n_noise bigint, silhouette_kind string, silhouette double, "
+        [row], "method string, n_clusters bigint, n_noise bigint, silhouette_kind string, silhouette_euclidean double, "
                "silhouette_squared double, davies_bouldin double, quality_acceptable boolean")
 
 

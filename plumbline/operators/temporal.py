@@ -309,22 +309,26 @@ def stationarity(rows: DataFrame) -> DataFrame:
 def kpss(rows: DataFrame, lags: int | None = None) -> DataFrame:
     """KPSS test around a constant: small p speaks against stationarity.
 
-    ``lags`` defaults to ceil(12 (n/100)^(1/4)) of the longest series.
+    ``lags`` defaults to ceil(12 (n/100)^(1/4)) of each series; products are summed up to the largest once.
     """
-    sizes = {r.series: r.n for r in _per_series(rows).collect()}  # one entry per value column
-    if lags is None:
-        n = max(sizes.values(), default=1)
-        lags = min(n - 1, math.ceil(12.0 * (n / 100.0) ** 0.25))
+    sizes = [r.n for r in _per_series(rows).collect()]  # one entry per value column
+
+    def default(n: int) -> int:
+        return min(n - 1, math.ceil(12.0 * (n / 100.0) ** 0.25))
+
+    most = lags if lags is not None else max(map(default, sizes), default=0)
+    # as many branches as there are value columns
+    own = F.lit(lags) if lags is not None else F.coalesce(*[F.when(F.col("n") == n, default(n)) for n in dict.fromkeys(sizes)], F.lit(0))
     usual = _per_series(rows).select(_SERIES, "n", "mean")
     centred = (rows.join(F.broadcast(usual), _SERIES)
                .select(_SERIES, "idx", "n", (F.col("value") - F.col("mean")).alias("e")))
     through = F.col("before_e") + F.col("e")
     partial = (running_totals(centred, _SERIES, ["idx"], ["e"]).groupBy(_SERIES)
                .agg(F.sum(through * through).alias("squares")))
-    weight = F.when(F.col("lag") == 0, 1.0).otherwise(2.0 * (1.0 - F.col("lag") / (lags + 1.0)))
-    long_run = _lag_products(rows, lags).groupBy(_SERIES, "n").agg(F.sum(weight * F.col("total")).alias("long_run"))
+    weight = F.when(F.col("lag") == 0, 1.0).otherwise(2.0 * (1.0 - F.col("lag") / (own + 1.0)))
+    long_run = _lag_products(rows, most).where(F.col("lag") <= own).groupBy(_SERIES, "n").agg(F.sum(weight * F.col("total")).alias("long_run"))
     table = long_run.join(F.broadcast(partial), _SERIES).select(
-        _SERIES, F.col("n").alias("n_obs"), F.lit(lags).cast("bigint").alias("n_lags"),
+        _SERIES, F.col("n").alias("n_obs"), own.cast("bigint").alias("n_lags"),
         F.try_divide(F.col("squares"), F.col("n") * F.col("long_run")).alias("statistic"))
 
     @F.pandas_udf("double")
@@ -430,6 +434,14 @@ def decompose_table(df: DataFrame, time_col: str, value_cols: Sequence[str] | No
     return out
 
 
+def _every_series(section: DataFrame, value_cols: Sequence[str], size: str) -> DataFrame:
+    """The section with a line for each value column; one without values has size 0 and insufficient data."""
+    names = section.sparkSession.createDataFrame([(c,) for c in value_cols], f"{_SERIES} string")
+    return (names.join(F.broadcast(section), _SERIES, "left")  # a section holds one line per value column
+            .withColumn(size, F.coalesce(size, F.lit(0).cast("bigint")))
+            .withColumn("status", F.coalesce("status", F.lit("insufficient_data"))).select(*section.columns))
+
+
 def analyze(df: DataFrame, time_col: str, value_cols: Sequence[str] | None = None,
             period: int = settings.SEASONAL_PERIOD, key_cols: Sequence[str] = ()) -> dict[str, DataFrame]:
     """Every section for every value column; the ordered rows are built once."""
@@ -439,12 +451,12 @@ def analyze(df: DataFrame, time_col: str, value_cols: Sequence[str] | None = Non
     parts = decompose_table(df, time_col, value_cols, period, key_cols, rows)
     return {
         "profile": profile(df, time_col, value_cols),
-        "stationarity": stationarity(rows),
+        "stationarity": _every_series(stationarity(rows), value_cols, "n_total"),
         "autocorrelation": acf,
         "significant_acf": significant_lags(acf, "acf"),
         "significant_pacf": significant_lags(acf, "pacf"),
-        "trend": trend(rows),
-        "changepoints": changepoints(rows),
+        "trend": _every_series(trend(rows), value_cols, "n_obs"),
+        "changepoints": _every_series(changepoints(rows), value_cols, "n_obs"),
         "first_changepoints": first_changepoints(rows),
         "decomposition": parts,
         "strengths": component_strengths(parts),

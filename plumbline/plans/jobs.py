@@ -10,9 +10,11 @@ from collections.abc import Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from plumbline import settings
-from plumbline.functions.columns import categorical_columns, numeric_columns, require_table
+from plumbline.functions.columns import categorical_columns, numeric_columns, ref, require_table
+from plumbline.functions.ordering import stage_table
 from plumbline.operators import distributions, outliers, quality, segments, stattests, temporal
 from plumbline.sources.readers import read_table
 from plumbline.sources.writers import header, write_report
@@ -66,6 +68,8 @@ def outliers_job(spark: SparkSession, source: str | DataFrame, output: str | Non
     The statistics are measured once and shared by all sections.
     """
     df, name = _open(spark, source)
+    if not [c for c in numeric_columns(df) if c not in key_cols]:
+        return _finish({}, output, fmt)  # a table of texts has no sections
     stats = outliers.measure(df, [c for c in numeric_columns(df) if c not in key_cols])
     return _finish({
         "column_statistics": outliers.column_statistics(df, stats=stats),
@@ -78,12 +82,19 @@ def outliers_job(spark: SparkSession, source: str | DataFrame, output: str | Non
 
 def segments_job(spark: SparkSession, source: str | DataFrame, output: str | None = None,
                  key_cols: Sequence[str] = (), n_clusters: int = settings.CLUSTERS, fmt: str = "json") -> Sections:
-    """Elbow table, three clusterings with their quality, k-means summary and projection."""
+    """Elbow table, three clusterings with their quality, k-means summary and projection.
+
+    Rows get a number of their own (``row_number``, kept by a staged copy), so keys may repeat or be left out; the
+    points carry the raw row along, so nothing is joined back.
+    """
     df, name = _open(spark, source)
     cols = [c for c in numeric_columns(df) if c not in key_cols]
-    points = segments.scaled(df, cols, key_cols)
-    labels, quality_rows = segments.cluster(points, key_cols, n_clusters)
-    labelled = df.join(labels["kmeans"].select(*key_cols, "cluster"), list(key_cols))
+    numbered = stage_table(df.select(F.monotonically_increasing_id().alias("row_number"),
+                                     F.struct(*[ref(c) for c in df.columns]).alias("row"), *[ref(c) for c in cols]))
+    points = segments.scaled(numbered, cols, ["row_number", "row"])
+    labels, quality_rows = segments.cluster(points, ["row_number"], n_clusters)
+    labelled = labels["kmeans"].select("row.*", "cluster")
+    shown = [F.col("row_number"), *[F.col("row")[k].alias(k) for k in key_cols]]
     sections = {
         "header": header(spark, {
             "default_n_clusters": settings.CLUSTERS, "pca_n_components": settings.PCA_COMPONENTS,
@@ -92,11 +103,11 @@ def segments_job(spark: SparkSession, source: str | DataFrame, output: str | Non
         "elbow": segments.elbow(points),
         "quality": quality_rows,
         "cluster_summary": segments.cluster_summary(labelled, "cluster", cols),
-        "pca": segments.project(labels["kmeans"].drop("distance")),
+        "pca": segments.project(labels["kmeans"].select(*shown, "cluster", "x")),
         "pca_variance": segments.explained_variance(points),
     }
     for method, rows in labels.items():
-        sections[f"labels_{method}"] = rows.select(*key_cols, "cluster")
+        sections[f"labels_{method}"] = rows.select(*shown, "cluster")
     return _finish(sections, output, fmt)
 
 

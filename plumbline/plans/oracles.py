@@ -127,7 +127,7 @@ def registry() -> dict[str, str]:
     q: dict[str, str] = {}
     lab_cols = list(LABELLED_TYPES)
 
-    q["csv_round_trip"] = f"SELECT doc_id, lang, source, n_chars, quality::DOUBLE AS quality, toxic::DOUBLE AS toxic FROM {LABELLED}"
+    q["csv_round_trip"] = f"SELECT doc_id, text, lang, source, n_chars, quality::DOUBLE AS quality, toxic::DOUBLE AS toxic FROM {LABELLED}"
     q["table_guard"] = "SELECT count(*) AS n_rows FROM lineitem"
     q["column_types"] = _classes("lineitem", {c: (_class(t), _class(t)) for c, t in LINE_TYPES.items()})
     q["column_types_bool"] = _classes(
@@ -221,11 +221,10 @@ FROM (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY count DESC, va
   UNION ALL SELECT 'p_name', p_name, count(*) FROM part GROUP BY 2) ORDER BY count DESC, "column", value NULLS LAST LIMIT 10"""
     q["dist_histogram"] = _auto_bins("events", [("value", False), ("user_id", True)])
     q["dist_density"] = """WITH s AS (SELECT count(*) AS n, stddev_samp(value) AS sd, min(value) AS lo, max(value) AS hi FROM events),
-b AS (SELECT floor((value - lo) / (hi - lo) * 1024) AS bin, count(*) AS w, avg(value) AS c FROM events, s GROUP BY 1),
 g AS (SELECT i, lo + i * ((hi - lo) / 199) AS x, sd * pow(n, -0.2) AS h, n FROM s, range(200) t(i))
 SELECT 'value' AS "column", i AS point, round(x, 6) AS x,
-  round(sum(w * exp(-0.5 * ((x - c) / h) * ((x - c) / h))) / (n * h * sqrt(2 * pi())), 6) AS density
-FROM g, b GROUP BY i, x, h, n"""
+  round(sum(exp(-0.5 * ((x - value) / h) * ((x - value) / h))) / (n * h * sqrt(2 * pi())), 6) AS density
+FROM g, events GROUP BY i, x, h, n"""
     q["dist_box_stats"] = _union([f"""SELECT '{c}' AS "column", round(q1, 4) AS q1, round(md, 4) AS median, round(q3, 4) AS q3,
   round(min({c}) FILTER ({c} >= q1 - 1.5 * (q3 - q1))::DOUBLE, 4) AS whisker_low,
   round(max({c}) FILTER ({c} <= q3 + 1.5 * (q3 - q1))::DOUBLE, 4) AS whisker_high,
@@ -408,7 +407,7 @@ cc AS (SELECT a.label AS i, b.label AS k, sqrt(sum((a.c - b.c) * (a.c - b.c))) A
 w AS (SELECT i, max((x.s + y.s) / m) AS worst FROM cc JOIN sp x ON x.label = i JOIN sp y ON y.label = k GROUP BY 1)"""
     q["segments_davies_bouldin"] = f"WITH {points}, {db} SELECT round(avg(worst), 6) AS davies_bouldin, count(*) AS n_clusters FROM w"
     q["segments_quality"] = f"""SELECT 'label' AS method, count(DISTINCT label) AS n_clusters, 0::BIGINT AS n_noise,
-  CASE WHEN count(*) <= 20000 THEN 'euclidean' ELSE 'squared' END AS silhouette_kind, (SELECT round(avg(s), 6) FROM ({sil} SELECT * FROM s)) AS silhouette,
+  'euclidean' AS silhouette_kind, (SELECT round(avg(s), 6) FROM ({sil} SELECT * FROM s)) AS silhouette_euclidean,
   (SELECT silhouette FROM ({q['segments_silhouette_squared']})) AS silhouette_squared,
   (SELECT davies_bouldin FROM ({q['segments_davies_bouldin']})) AS davies_bouldin,
   (SELECT avg(s) FROM ({sil} SELECT * FROM s)) >= 0.5 AS quality_acceptable FROM embeddings"""

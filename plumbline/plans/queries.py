@@ -88,9 +88,10 @@ def _parts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
-    """Labelled documents without text, written as CSV with its gaps and read back with inferred types."""
+    """Labelled documents, line breaks included, written as CSV with its gaps and read back with inferred types."""
     path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}.csv"
-    labelled_documents(spark, folder).drop("text").write.option("header", True).option("nullValue", "NA").csv(path)
+    (labelled_documents(spark, folder).write.option("header", True).option("nullValue", "NA").option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     return read_table(spark, path)
 
 
@@ -226,7 +227,7 @@ def registry() -> dict[str, Query]:
     q["segments_scaled"] = lambda s, d: rounded(_scaled_lines(s, d).select(
         *LINE_KEY, *[F.col("x")[i].alias(f"z{i}") for i in range(3)]), 5)
     q["segments_kmeans"] = lambda s, d: rounded(segments.kmeans(_scaled_lines(s, d)).select(*LINE_KEY, "cluster", "distance"))
-    q["segments_elbow"] = lambda s, d: rounded(segments.elbow(_scaled_lines(s, d), restarts=2), 3)
+    q["segments_elbow"] = lambda s, d: rounded(segments.elbow(_scaled_lines(s, d)), 3)
     q["segments_hierarchical"] = lambda s, d: segments.hierarchical(_scaled_lines(s, d)).select(*LINE_KEY, "cluster")
     q["segments_dbscan"] = lambda s, d: segments.density_clusters(
         _parts(s, d), ["p_partkey"], 0.1, 5).select("p_partkey", "cluster")
@@ -236,13 +237,13 @@ def registry() -> dict[str, Query]:
     q["segments_silhouette_squared"] = lambda s, d: table(s, d, "embeddings").agg(F.count("*").alias("n")).withColumn(
         "silhouette", F.round(F.lit(segments.silhouette_squared(_labelled_vectors(s, d))), 6))
     q["segments_davies_bouldin"] = lambda s, d: rounded(segments.davies_bouldin(_labelled_vectors(s, d)))
-    q["segments_quality"] = lambda s, d: rounded(segments.quality(_labelled_vectors(s, d), "label", ["vec_id"]))
+    q["segments_quality"] = lambda s, d: rounded(segments.quality(_labelled_vectors(s, d), "label", ["vec_id"], measure="euclidean"))
     q["segments_pca"] = lambda s, d: rounded(segments.project(segments.scaled(
         table(s, d, "lineitem"), ["l_quantity", "l_extendedprice"], LINE_KEY)), 5)
     q["segments_pca_variance"] = lambda s, d: rounded(segments.explained_variance(segments.scaled(
         table(s, d, "lineitem"), ["l_quantity", "l_extendedprice"])))
     q["segments_distant_points"] = lambda s, d: rounded(segments.distant_points(
-        segments.kmeans(_scaled_lines(s, d), restarts=1), LINE_KEY))
+        segments.kmeans(_scaled_lines(s, d)), LINE_KEY))
     q["feature_importance"] = lambda s, d: rounded(importance.forest_importance(
-        table(s, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax", "l_partkey"], trees=20))
+        table(s, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax", "l_partkey"]))
     return q

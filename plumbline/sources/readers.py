@@ -16,15 +16,20 @@ TRUE_TOKENS, FALSE_TOKENS = ["True", "TRUE", "true"], ["False", "FALSE", "false"
 _WHOLE = r"^\s*[+-]?[0-9]+\s*$"
 
 
-def read_csv(spark: SparkSession, path: str, infer: bool = True, multiline: bool = False,
+def read_csv(spark: SparkSession, path: str, infer: bool = True, multiline: bool = True,
              na_tokens: list[str] | None = None) -> DataFrame:
     """CSV with a header; missing tokens become null, then columns are typed in one pass.
 
     Whole numbers without gaps become bigint, other numbers double (a whole-number
     column with gaps too), true/false without gaps boolean; the rest, dates
-    included, stays text.  ``multiline`` allows line breaks inside quotes but
-    makes each file one task.
+    included, stays text.  Line breaks inside quotes are kept, which makes each file
+    one task; ``multiline=False`` splits files over tasks and raises when a record
+    has an open quote.
     """
+    if not multiline:
+        broken = spark.read.text(path).where(F.pmod(F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))), F.lit(2)) == 1)
+        if not broken.isEmpty():
+            raise ValueError("a quoted field spans lines; read with multiline=True")
     text = spark.read.csv(path, header=True, inferSchema=False, multiLine=multiline, escape='"')
     tokens = NA_TOKENS if na_tokens is None else na_tokens
     text = text.select(*[F.when(~ref(c).isin(tokens), ref(c)).alias(c) for c in text.columns])

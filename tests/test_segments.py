@@ -112,7 +112,7 @@ def test_quality_measures(spark, blobs, monkeypatch):
     assert math.isclose(segments.davies_bouldin(df).first().davies_bouldin, db, rel_tol=1e-9)
     one = df.withColumn("cluster", F.lit(0))
     row = segments.quality(one, "m", ["k"]).first()
-    assert row.silhouette is None and row.davies_bouldin is None and row.quality_acceptable is False
+    assert row.silhouette_euclidean is None and row.silhouette_squared is None and row.davies_bouldin is None and row.quality_acceptable is False
 
 
 def test_projection(spark, blobs):

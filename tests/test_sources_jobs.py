@@ -44,6 +44,31 @@ def test_reports_are_written(spark, tmp_path):
     assert len(lines(f"{out}/numeric_summary")) == 3
 
 
+def test_csv_line_breaks_in_quotes(spark, tmp_path):
+    path = tmp_path / "b.csv"
+    path.write_text('id,note,n\n1,"a\nb",3\n2,plain,4\n')
+    assert [tuple(r) for r in read_csv(spark, str(path)).collect()] == [(1, "a\nb", 3), (2, "plain", 4)]
+    with pytest.raises(ValueError, match="spans lines"):
+        read_csv(spark, str(path), multiline=False)
+
+
+def test_jobs_without_keys_or_numbers(spark):
+    table = spark.read.parquet(f"{DATA}/supplier.parquet")
+    found = jobs.segments_job(spark, table.unionByName(table))
+    assert found["labels_kmeans"].count() == 2 * table.count()
+    assert found["labels_kmeans"].columns == ["row_number", "cluster"]
+    assert jobs.outliers_job(spark, table.select("s_name")) == {}
+
+
+def test_series_without_values_keep_their_line(spark):
+    df = spark.createDataFrame([(f"2024-01-{i:02d}", float(i % 7), None) for i in range(1, 29)], "t string, v double, none double")
+    found = jobs.temporal_job(spark, df, "t", None, 7)
+    for section in ("trend", "changepoints", "stationarity", "overview"):
+        assert {r.series for r in found[section].collect()} == {"v", "none"}
+    row = found["trend"].where("series = 'none'").first()
+    assert row.n_obs == 0 and row.status == "insufficient_data" and row.slope is None
+
+
 def test_temporal_and_segment_jobs(spark, tmp_path):
     out = str(tmp_path / "s")
     jobs.temporal_job(spark, f"{DATA}/events.parquet", "ts", out, 24, ["value"], ["event_id"])

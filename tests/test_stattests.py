@@ -9,6 +9,20 @@ from plumbline.functions import tails
 from plumbline.operators import stattests
 
 
+def test_rank_sum_p_of_any_size():
+    from itertools import combinations
+
+    from plumbline.functions import tails
+
+    for a, b in ((1, 4), (3, 6), (5, 7)):
+        values = [sum(s) - a * (a - 1) // 2 for s in combinations(range(a + b), a)]
+        for u in range(a * b + 1):
+            want = 2 * sum(v >= max(u, a * b - u) for v in values) / len(values)
+            assert abs(tails.rank_sum_exact(u, a, b) - min(1.0, want)) < 1e-12
+    far = tails.rank_sum_exact(2.4e8, 8, 10 ** 8)  # three million times the old limit
+    assert abs(far - tails.rank_sum_exact(2.4e5, 8, 10 ** 5)) < 1e-4
+
+
 def test_closed_forms():
     for t in (0.3, 1.0, 12.7, 400.0):
         assert math.isclose(tails.t_two_sided(t, 1), 1 - 2 * math.atan(t) / math.pi, rel_tol=1e-9)
