@@ -41,7 +41,9 @@ from plumbline.llm.words import byte_slices, mix, tokenise
 A, SCALE, POWER = 4.0, 1.0, 0.75
 CELLS = 1 << 22
 _SHARD_BYTES = 20 << 20
-_END, _START = (np.uint64(x) for x in (0x51ED270B7A1C9E35, 0x2545F4914F6CDD1D))
+# words are told apart by the upper 56 bits of their hashes, which is what travels
+_MASK = np.uint64(0xFFFFFFFFFFFFFF00)
+_END, _START = (np.uint64(x) for x in (0x51ED270B7A1C9E00, 0x2545F4914F6CDD00))
 _LOG_STEP = 8.0  # table bytes per factor of e
 
 
@@ -54,7 +56,7 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     hashes, counts = [], []
     for _, piece in byte_slices(texts):
         w = tokenise(piece, lower=True)
-        hashes.append(w.hashes()[0])
+        hashes.append(w.hashes()[0] & _MASK)
         counts.append(w.counts())
     words = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
     n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
@@ -196,7 +198,7 @@ def _occurrences(sent, shards: int):
                 wide = "<u2" if len(local) <= 65536 else "<u4"
                 heads = np.flatnonzero(np.diff(owner[pick], prepend=-1))
                 runs = np.diff(np.append(heads, len(pick))).astype(np.int32)
-                parts = [np.array([len(local), len(pick), len(heads)], np.int64).tobytes(), distinct[local].tobytes(),
+                parts = [np.array([len(local), len(pick), len(heads)], np.int64).tobytes(), np.ascontiguousarray(distinct[local]).view(np.uint8).reshape(-1, 8)[:, 1:].tobytes(),
                          three.astype(wide).tobytes(), np.diff(owner[pick][heads], prepend=np.int32(0)).astype(np.int32).tobytes(), runs.tobytes()]
                 bodies.append(_squeeze(b"".join(parts)))
             train = [bodies[0][: batch.num_rows]] * len(bodies)
@@ -224,8 +226,10 @@ def _read(rows: pa.Table):
         raw = _unpack(body.as_py())
         k, n, d = np.frombuffer(raw[:24], np.int64)
         wide = np.dtype("<u2" if k <= 65536 else "<u4")
-        at = 24 + 8 * k
-        names.append(np.frombuffer(raw[24: at], np.uint64))
+        at = 24 + 7 * k
+        own = np.zeros((k, 8), np.uint8)
+        own[:, 1:] = np.frombuffer(raw[24: at], np.uint8).reshape(k, 7)
+        names.append(own.view(np.uint64).ravel())
         three = np.frombuffer(raw[at: at + 3 * n * wide.itemsize], wide).reshape(3, n)
         at += 3 * n * wide.itemsize
         docs = np.cumsum(np.frombuffer(raw[at: at + 4 * d], np.int32))
@@ -319,8 +323,8 @@ def _score_shard(sent):
         for u in range(len(units)):
             mine = slice(*np.searchsorted(unit, [u, u + 1]))
             docs, at = np.unique(doc[mine], return_inverse=True)
-            bodies.append(docs.astype(np.int32).tobytes() + np.bincount(at, node[mine] >= 0).astype(np.int32).tobytes()
-                          + np.bincount(at, base[mine]).tobytes() + np.bincount(at, score[mine]).tobytes())
+            bodies.append(_squeeze(docs.astype(np.int32).tobytes() + np.bincount(at, node[mine] >= 0).astype(np.int32).tobytes()
+                                   + np.bincount(at, base[mine]).tobytes() + np.bincount(at, score[mine]).tobytes()))
         return pa.table({"unit": pa.array(units, pa.int64()), "ids": pa.array([None] * len(units), pa.list_(pa.int64())),
                          "texts": empty, "sums": pa.array(bodies, pa.binary())})
 
@@ -339,7 +343,7 @@ def _sum_units(sent):
         known, base, score = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
         for sums in rows.column("sums"):
             if sums.is_valid:
-                raw = sums.as_py()
+                raw = _unpack(sums.as_py())
                 k = len(raw) // 24
                 docs = np.frombuffer(raw[: 4 * k], np.int32)
                 known[docs] += np.frombuffer(raw[4 * k: 8 * k], np.int32)
