@@ -14,6 +14,7 @@ from __future__ import annotations
 import numpy as np
 
 _ONE = np.uint64(1)
+_AT_ONCE = 1 << 17  # questions answered at a time, to bound memory
 
 
 class Sequence:
@@ -151,8 +152,13 @@ class Trie:
 
     def child(self, level: int, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Index in ``level`` of ``word`` below node ``parent`` of the level above; -1 when there is none."""
-        if level == 0:
-            return self.words[0].find(word)
+        out = np.empty(len(word), np.int64)
+        for a in range(0, len(word), _AT_ONCE):
+            some = slice(a, a + _AT_ONCE)
+            out[some] = self.words[0].find(word[some]) if level == 0 else self._child(level, parent[some], word[some])
+        return out
+
+    def _child(self, level: int, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
         out = np.full(len(parent), -1, np.int64)
         ask = np.flatnonzero(parent >= 0)
         if not len(ask):

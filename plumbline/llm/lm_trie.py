@@ -40,7 +40,7 @@ from plumbline.llm.words import byte_slices, mix, tokenise
 
 A, SCALE, POWER = 4.0, 1.0, 0.75
 CELLS = 1 << 22
-_SHARD_BYTES = 20 << 20
+_SHARD_BYTES = 12 << 20
 # words are told apart by the upper 56 bits of their hashes, which is what travels
 _MASK = np.uint64(0xFFFFFFFFFFFFFF00)
 _END, _START = (np.uint64(x) for x in (0x51ED270B7A1C9E00, 0x2545F4914F6CDD00))
@@ -263,7 +263,9 @@ def build_trie(facts: Facts, vocabulary: np.ndarray, last: np.ndarray, one: np.n
     size = np.int64(len(vocabulary))
     words, count = _last_words(facts, vocabulary, last)
     pairs, n2 = np.unique(np.searchsorted(words, last) * size + one, return_counts=True)
-    triples, n3 = np.unique(np.searchsorted(pairs, np.searchsorted(words, last) * size + one) * size + two, return_counts=True)
+    keys = np.searchsorted(words, last) * size + one
+    triples, n3 = np.unique(np.searchsorted(pairs, keys) * size + two, return_counts=True)
+    del keys
     up2, before = pairs // size, pairs % size
     up3 = triples // size
     chance, own = facts.chance(count), facts.spread(vocabulary[words])
