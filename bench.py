@@ -33,7 +33,8 @@ def main() -> None:
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     spark = (SparkSession.builder.master(f"local[{cpus}]").config("spark.driver.memory", "16g")
              .config("spark.sql.shuffle.partitions", cpus).config("spark.ui.enabled", "false")
-             .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate())
+             .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC")
+             .config("spark.checkpoint.dir", os.environ.get("BENCH_WORK_DIR", "/tmp/plumbline-bench")).getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     known = registry()
 

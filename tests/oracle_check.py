@@ -10,6 +10,7 @@ import glob
 import math
 import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -67,7 +68,8 @@ def main():
     wanted = sys.argv[2:]
     spark = (SparkSession.builder.master("local[8]").config("spark.driver.memory", "16g")
              .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
-             .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate())
+             .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC")
+             .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="plumbline-check-")).getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     con, sqls = connect(folder), entry.oracle_sql()
     for name, query in entry.queries().items():
