@@ -14,9 +14,11 @@ and a document's set into its segments of them.
   a coarser cut separately and summed per pair; the exact rule then decides.
 
 Equal sets are one class from the start.  Inside a group with one key only the
-pairs with its least altered member are counted first; then only pairs whose
-members these links have not joined yet.  Pairs that are left so are all counted, so components
-are exact, and no group is spelt out into all its pairs.
+pairs with its least altered member, the hub, are counted first; then only pairs whose
+members these links have not joined yet and whose differences from the hub are not farther apart
+than a pair's may be (the number of differences is a metric): a few rounds with one more hub
+per key, and then all pairs that are left, inside tiles that return no more rows than they
+have sets.  So components are exact, and no group is spelt out into all its pairs.
 
 Sets are named by a 64-bit hash of their content, n-grams by 64-bit hashes.
 Defined results: a null or empty text, or one of white space alone, has an empty set and is linked
@@ -35,13 +37,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.ordering import stage_table
-from plumbline.llm.components import components
+from plumbline.llm.components import components, lowest_members
 from plumbline.llm.sizing import hot_join, pieces, text_size
 from plumbline.llm.words import byte_slices, mix, tokenise, window_hashes
 
 # five words and a similarity of 0.8 unless the caller says otherwise
 WORDS, SHARE, OF = 5, 80, 100
 COUNT_FRAGMENTS = 8
+# rounds in which every key's members meet one more hub before what is left is counted pair by pair, in tiles of so many sets
+STARS = 2
+TILE = 512
 _SHARD_BYTES = 24 << 20
 # how much of the order is looked at for lone n-grams, in multiples of what must be exceeded
 _LOOK = 2.5
@@ -279,17 +284,55 @@ def _may_link(a: str, b: str, share: int) -> Column:
     return most * (OF + share) >= share * (n + m)
 
 
-def _linked(pairs: DataFrame, fragments: DataFrame, share: int) -> DataFrame:
-    """The pairs (a, b, n, m) whose overlap, counted per fragment and summed, reaches the threshold."""
-    left = fragments.select(F.col("sid").alias("a"), "fragment", F.col("tokens").alias("ta"))
-    right = fragments.select(F.col("sid").alias("b"), "fragment", F.col("tokens").alias("tb"))
-    partial = (pairs.join(left, "a").join(right, ["b", "fragment"])
-               .select("a", "b", "n", "m", "fragment", F.size(F.array_intersect("ta", "tb")).cast("bigint").alias("common")))
-    # a repeated row of documents repeats its fragments' counts: each fragment is taken once
-    total = partial.groupBy("a", "b").agg(F.first("n").alias("n"), F.first("m").alias("m"),
-                                          F.collect_set(F.struct("fragment", "common")).alias("counts"))
-    total = total.withColumn("common", F.aggregate("counts", F.lit(0).cast("bigint"), lambda s, c: s + c["common"]))
-    return total.where(F.col("common") * OF >= share * (F.col("n") + F.col("m") - F.col("common"))).select("a", "b")
+def _counted(pairs: DataFrame, segments: DataFrame) -> DataFrame:
+    """The pairs (a, b, n, m) with ``common``: overlaps counted in each fragment separately and summed."""
+    left = segments.select(F.col("sid").alias("a"), F.col("segments").alias("sa"))
+    right = segments.select(F.col("sid").alias("b"), F.col("segments").alias("sb"))
+    partial = F.zip_with("sa", "sb", lambda x, y: F.size(F.array_intersect(x, y)).cast("bigint"))
+    both = (pairs.join(left, "a").join(right, "b")
+            .select("a", "b", "n", "m", F.aggregate(partial, F.lit(0).cast("bigint"), lambda s, c: s + c).alias("common")))
+    # a repeated row of documents repeats its set
+    return both.groupBy("a", "b").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.max("common").alias("common"))
+
+
+def _linked(counted: DataFrame, share: int) -> DataFrame:
+    return counted.where(F.col("common") * OF >= share * (F.col("n") + F.col("m") - F.col("common"))).select("a", "b")
+
+
+def _tile_links(members: DataFrame, segments: DataFrame, share: int) -> DataFrame:
+    """Links (a, b) that join all members of a key which are linked: every pair of different components is counted.
+
+    A key's members are dealt over tiles of bounded size; a task has two tiles and returns a spanning forest of the links it finds.
+    """
+    tiles = F.ceil(F.col("size") / TILE)
+    own = F.pmod(F.xxhash64("sid"), tiles)
+    dealt = (members.select("key", "sid", "n", "component", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("bigint"), tiles - 1)).alias("other"))
+             .select("key", "sid", "n", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")))
+
+    def tile(key: tuple, rows: pa.Table) -> pa.Table:
+        sids, at = np.unique(rows.column("sid").to_numpy(), return_index=True)  # a repeated row of documents is one set
+        rows = rows.take(pa.array(at))
+        size, component, own = (rows.column(c).to_numpy() for c in ("n", "component", "own"))
+        sets = rows.column("segments").to_pylist()
+        common = np.zeros((len(sids), len(sids)), np.float32)
+        for f in range(COUNT_FRAGMENTS):
+            parts = [np.array(x[f], np.int64) for x in sets]
+            owner = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+            grams, code = np.unique(np.concatenate(parts), return_inverse=True)
+            for a in range(0, len(grams), 4096):
+                pick = (code >= a) & (code < a + 4096)
+                has = np.zeros((len(parts), min(4096, len(grams) - a)), np.float32)
+                has[owner[pick], code[pick] - a] = 1
+                common += has @ has.T
+        enough = common * OF >= share * (size[:, None] + size[None, :] - common)
+        wanted = (component[:, None] != component[None, :]) & ((own[:, None] != own[None, :]) | (key[1].as_py() == key[2].as_py()))
+        x, y = np.nonzero(enough & wanted)
+        low = lowest_members(len(sids), x, y)
+        hit = np.flatnonzero(low != np.arange(len(sids)))
+        return pa.table({"a": pa.array(sids[low[hit]]), "b": pa.array(sids[hit])})
+
+    return (dealt.join(segments.select("sid", "segments"), "sid").groupBy("key", "i", "j")
+            .applyInArrow(tile, "a long, b long"))
 
 
 def similar_classes(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
@@ -325,22 +368,39 @@ def similar_classes(docs: DataFrame, words: int = WORDS, share: int = SHARE) ->
 
     best = (members.groupBy("key").agg(F.min(F.struct("lone", "sid", "n")).alias("hub"), F.count("*").alias("size"))
             .where("size > 1"))
-    starred = hot_join(members, best, "key", "size", total).where("hub is not null and hub.sid <> sid")
-    first = stage_table(starred.select(F.struct("sid", "n", "lone").alias("x"), F.col("hub").alias("y")).where(_may_link("x", "y", share))
+    members = stage_table(hot_join(members, best, "key", "size", total).where("hub is not null").drop("size"))
+    first = stage_table(members.where("hub.sid <> sid").select(F.struct("sid", "n", "lone").alias("x"), F.col("hub").alias("y"))
+                        .where(_may_link("x", "y", share))
                         .select(F.col("y.sid").alias("a"), F.col("x.sid").alias("b"), F.col("y.n").alias("n"), F.col("x.n").alias("m"))
                         .distinct())
-    joined = components(_linked(first, fragments, share))
-
-    labelled = (members.join(joined.withColumnRenamed("node", "sid"), "sid", "left")
-                .withColumn("component", F.coalesce("component", "sid")))
-    apart = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    left = stage_table(labelled.join(apart, "key", "left_semi"))
-    rest = (left.alias("x").join(left.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.sid") < F.col("y.sid"))
-                                 & (F.col("x.component") != F.col("y.component")) & _may_link("x", "y", share))
-            .select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m")).distinct())
-    done = first.select("a", "b").unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = _linked(stage_table(rest.join(done, ["a", "b"], "left_anti")), fragments, share)
-    joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    counted = stage_table(_counted(first, segments))
+    joined = components(_linked(counted, share))
+
+    # what is left: members of one key in different components, whose distances to the key's hub leave room for a link
+    gap = counted.select(F.struct("a", "b").alias("pair"), (F.col("n") + F.col("m") - 2 * F.col("common")).alias("gap"))
+    members = stage_table(members.withColumn("pair", F.struct(F.col("hub.sid").alias("a"), F.col("sid").alias("b"))).join(gap, "pair", "left")
+                          .select("key", "sid", "n", "lone", F.when(F.col("hub.sid") == F.col("sid"), 0).otherwise(F.col("gap")).alias("gap")))
+    for turn in range(STARS + 1):
+        labelled = (members.join(joined.withColumnRenamed("node", "sid"), "sid", "left")
+                    .withColumn("component", F.coalesce("component", "sid")))
+        apart = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
+        members = stage_table(labelled.join(apart.select("key", "size"), "key"))
+        if members.isEmpty():
+            break
+        if turn < STARS:  # another hub per key, drawn from the members of components that are small there
+            held = members.groupBy("key", "component").agg(F.count("*").alias("held"), F.min(
+                F.struct(F.xxhash64("sid", "key", F.lit(turn)).alias("draw"), "sid", "n", "lone", "gap", "component")).alias("pick"))
+            hubs = held.groupBy("key").agg(F.min(F.struct("held", "pick")).alias("p")).select("key", "p.pick.*")
+            x, y = members.alias("x"), hubs.alias("y")
+            room = F.coalesce(F.abs(F.col("x.gap") - F.col("y.gap")) * (OF + share) <= (OF - share) * (F.col("x.n") + F.col("y.n")), F.lit(True))
+            pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component"))
+                           & _may_link("x", "y", share) & room)
+            pairs = pairs.select(F.col("y.sid").alias("a"), F.col("x.sid").alias("b"), F.col("y.n").alias("n"), F.col("x.n").alias("m")).distinct()
+            links = _linked(_counted(stage_table(pairs), segments), share)
+        else:
+            links = _tile_links(members, segments, share)
+        joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
+        members = members.drop("component", "size")
 
     roots = classes.join(joined.withColumnRenamed("node", "sid"), "sid")
     lowest = roots.groupBy("component").agg(F.min("rep").alias("component_id"))
