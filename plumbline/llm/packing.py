@@ -30,7 +30,7 @@ from plumbline.llm.words import byte_slices, tokenise
 WINDOW = 4096
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
-_SLICE = 8 << 20
+_SLICE, _WORDS = 2 << 20, 8192  # bytes of text and words at a time
 
 
 def vocabulary_path() -> str:
@@ -58,10 +58,14 @@ class WordIds:
 
         def learn(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             raw = words.data.tobytes()
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(
-                [raw[a:b].decode("utf-8", "replace") for a, b in zip(words.starts[at], words.ends[at])], add_special_tokens=False)]
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            return np.fromiter((x for i in ids for x in i), np.int32, int(size.sum())), size
+            flat, sizes = [], []
+            for k in range(0, len(at), _WORDS):
+                some = at[k: k + _WORDS]
+                ids = [e.ids for e in self.tokenizer.encode_batch_fast(
+                    [raw[a:b].decode("utf-8", "replace") for a, b in zip(words.starts[some], words.ends[some])], add_special_tokens=False)]
+                sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+                flat.append(np.fromiter((x for i in ids for x in i), np.int32, int(sizes[-1].sum())))
+            return np.concatenate(flat), np.concatenate(sizes)
 
         ids, upto = self.store.expand(words.hashes()[0], learn)
         cuts = upto[words.first]
