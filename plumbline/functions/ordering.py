@@ -116,10 +116,10 @@ def running_totals(df: DataFrame, group: str, by: Sequence[str | Column], totals
     per total, so no group has to fit into a task.
     """
     ordered = _range_sorted(df, [group], by)
-    offsets = _offsets(ordered, group, {c: F.col(c) for c in totals})
+    sent = df.sparkSession.sparkContext.broadcast(_offsets(ordered, group, {c: F.col(c) for c in totals}))
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pid = TaskContext.get().partitionId()
+        pid, offsets = TaskContext.get().partitionId(), sent.value
         carry: dict = {}
         for batch in batches:
             pieces = []

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from plumbline import settings
 from plumbline.functions.columns import categorical_columns, nan_to_null, numeric_columns, ref
-from plumbline.functions.ordering import running_totals
+from plumbline.functions.ordering import running_totals, stage_table
 from plumbline.functions.tails import add_p_value, rank_sum_p, with_verdict
 
 
@@ -233,7 +233,7 @@ def run_all(df: DataFrame, cats: Sequence[str] | None = None, nums: Sequence[str
             alpha: float = settings.ALPHA, min_rows: int = settings.MIN_GROUP_ROWS) -> dict[str, DataFrame]:
     """Every applicable test: t and rank-sum for two-level categories, ANOVA, chi-square."""
     cats, nums = _pick(df, cats, nums)
-    moments = group_moments(df, cats, nums)
+    moments = stage_table(group_moments(df, cats, nums))  # one row per group and number, shared by two tests
     return {
         "ttest": add_p_value(_welch(moments, min_rows), "t", alpha, "df"),
         "mannwhitney": mann_whitney(df, cats, nums, alpha=alpha, min_rows=min_rows),

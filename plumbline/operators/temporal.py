@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from plumbline import settings
 from plumbline.functions import tails
 from plumbline.functions.columns import nan_to_null, numeric_columns, percent, ref, rows_from
-from plumbline.functions.ordering import block_window, neighbour_blocks, ordered_index, running_totals
+from plumbline.functions.ordering import block_window, neighbour_blocks, ordered_index, running_totals, stage_table
 
 _SERIES = "series"
 
@@ -383,7 +383,8 @@ def decompose(rows: DataFrame, period: int = settings.SEASONAL_PERIOD, model: st
     level = phases.groupBy(_SERIES).agg(F.avg("raw").alias("level"))
     centred = phases.join(F.broadcast(level), _SERIES).select(
         _SERIES, "phase", (F.col("raw") / F.col("level") if ratio else F.col("raw") - F.col("level")).alias("seasonal"))
-    both = smooth.withColumn("phase", phase).join(F.broadcast(centred), [_SERIES, "phase"])
+    # series times period rows: left to the planner, which broadcasts them only below its size limit
+    both = smooth.withColumn("phase", phase).join(centred, [_SERIES, "phase"])
     left = (F.col("value") / F.col("seasonal") / F.col("trend") if ratio
             else F.col("value") - F.col("seasonal") - F.col("trend"))
     return both.select(_SERIES, F.lit(model).alias("method"), "idx", "ts", "value", "trend", "seasonal",
@@ -444,11 +445,11 @@ def _every_series(section: DataFrame, value_cols: Sequence[str], size: str) -> D
 
 def analyze(df: DataFrame, time_col: str, value_cols: Sequence[str] | None = None,
             period: int = settings.SEASONAL_PERIOD, key_cols: Sequence[str] = ()) -> dict[str, DataFrame]:
-    """Every section for every value column; the ordered rows are built once."""
+    """Every section for every value column; ordered rows, autocorrelations and components are built once."""
     value_cols = _value_cols(df, time_col, value_cols)
     rows = series_rows(df, time_col, value_cols, key_cols)
-    acf = partial_autocorrelation(autocorrelation(rows))
-    parts = decompose_table(df, time_col, value_cols, period, key_cols, rows)
+    acf = stage_table(partial_autocorrelation(autocorrelation(rows)))
+    parts = stage_table(decompose_table(df, time_col, value_cols, period, key_cols, rows))
     return {
         "profile": profile(df, time_col, value_cols),
         "stationarity": _every_series(stationarity(rows), value_cols, "n_total"),

@@ -115,7 +115,7 @@ def tests_job(spark: SparkSession, source: str | DataFrame, output: str | None =
               cats: Sequence[str] | None = None, nums: Sequence[str] | None = None, fmt: str = "json") -> Sections:
     """Every applicable hypothesis test and the count of significant ones."""
     df, name = _open(spark, source)
-    results = stattests.run_all(df, cats, nums)
+    results = {name: stage_table(table) for name, table in stattests.run_all(df, cats, nums).items()}  # one line per test
     return _finish({
         "header": header(spark, {"alpha": settings.ALPHA, "min_group_size": settings.GROUP_SIZE_SETTING},
                          dataset_name=name),
