@@ -41,6 +41,7 @@ from plumbline.llm.words import byte_slices, mix, tokenise
 A, SCALE, POWER = 4.0, 1.0, 0.75
 CELLS = 1 << 22
 _SHARD_BYTES = 12 << 20
+_UNIT_BYTES = 14 << 20  # texts that are coded together in a task
 # words are told apart by the upper 56 bits of their hashes, which is what travels
 _MASK = np.uint64(0xFFFFFFFFFFFFFF00)
 _END, _START = (np.uint64(x) for x in (0x51ED270B7A1C9E00, 0x2545F4914F6CDD00))
@@ -165,12 +166,13 @@ def gather_facts(train: DataFrame, shards: int) -> Facts:
 
 
 def _occurrences(sent, shards: int):
-    """Each batch's occurrences to the shards of their last words, coded by a dictionary per shard; the texts themselves to shard -1."""
+    """Each unit's occurrences to the shards of their last words, coded by a dictionary per shard; the texts themselves to shard -1."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         facts = Facts(*sent.value)
         base = TaskContext.get().partitionId() << 24
-        for number, batch in enumerate(batches):
+        units = (b.slice(at, len(piece)) for b in batches for at, piece in byte_slices(b.column("text"), _UNIT_BYTES))
+        for number, batch in enumerate(units):
             words, first = _tokens(batch.column("text"))
             owner = np.repeat(np.arange(batch.num_rows, dtype=np.int32), np.diff(first))
             code, distinct = pd.factorize(np.append(words, _START))
