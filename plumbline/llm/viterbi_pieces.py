@@ -30,7 +30,7 @@ from plumbline.llm.words import _P, _P_INVERSE, _powers, byte_slices, mix
 VOCABULARY = "piece_bpe_32k.model"
 _SPACE = 0x2581
 _UNKNOWN_PENALTY = 10.0
-_ROWS = 1 << 18  # characters of equal-length words that advance together
+_ROWS = 1 << 18  # characters of equal-length words that advance together; ids that are decoded together
 
 
 def vocabulary_path() -> str:
@@ -153,12 +153,17 @@ class Pieces:
 
     def decode(self, ids: np.ndarray, first: np.ndarray) -> list[str]:
         """Texts of id lists given in a row."""
-        data, upto = spread(self.bytes, self.begin[ids], self.size[ids])
-        raw = data.tobytes()
-        out = []
-        for a, b in zip(upto[first[:-1]], upto[first[1:]]):
-            text = raw[a:b].decode("utf-8", "replace")
-            out.append(text[1:] if text.startswith(" ") else text)
+        out, row, n = [], 0, len(first) - 1
+        while row < n:
+            to = max(row + 1, int(np.searchsorted(first, first[row] + _ROWS, side="right")) - 1)
+            some = ids[first[row]: first[to]]
+            data, upto = spread(self.bytes, self.begin[some], self.size[some])
+            raw = data.tobytes()
+            cuts = upto[first[row: to + 1] - first[row]]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                text = raw[a:b].decode("utf-8", "replace")
+                out.append(text[1:] if text.startswith(" ") else text)
+            row = to
         return out
 
 
