@@ -17,7 +17,7 @@ Equal sets are one class from the start.  Inside a group with one key only the
 pairs with its least altered member, the hub, are counted first; then only pairs whose
 members these links have not joined yet and whose differences from the hub are not farther apart
 than a pair's may be (the number of differences is a metric): a few rounds with one more hub
-per key, and then all pairs that are left, inside tiles that return no more rows than they
+per key, and then all pairs that are left: those of small groups once each, those of large groups inside tiles that return no more rows than they
 have sets.  So components are exact, and no group is spelt out into all its pairs.
 
 Sets are named by a 64-bit hash of their content, n-grams by 64-bit hashes.
@@ -44,9 +44,10 @@ from plumbline.llm.words import byte_slices, mix, tokenise, window_hashes
 # five words and a similarity of 0.8 unless the caller says otherwise
 WORDS, SHARE, OF = 5, 80, 100
 COUNT_FRAGMENTS = 8
-# rounds in which every key's members meet one more hub before what is left is counted pair by pair, in tiles of so many sets
+# rounds in which every key's members meet one more hub before what is left is counted pair by pair: in groups of at
+# most SMALL sets each pair once, in larger ones inside tiles of so many sets (the results are the same either way)
 STARS = 2
-TILE = 512
+TILE, SMALL = 512, 64
 _SHARD_BYTES = 24 << 20
 # how much of the order is looked at for lone n-grams, in multiples of what must be exceeded
 _LOOK = 2.5
@@ -387,18 +388,22 @@ def similar_classes(docs: DataFrame, words: int = WORDS, share: int = SHARE) ->
         members = stage_table(labelled.join(apart.select("key", "size"), "key"))
         if members.isEmpty():
             break
+        x, y = members.alias("x"), members.alias("y")
+        room = F.coalesce(F.abs(F.col("x.gap") - F.col("y.gap")) * (OF + share) <= (OF - share) * (F.col("x.n") + F.col("y.n")), F.lit(True))
         if turn < STARS:  # another hub per key, drawn from the members of components that are small there
             held = members.groupBy("key", "component").agg(F.count("*").alias("held"), F.min(
                 F.struct(F.xxhash64("sid", "key", F.lit(turn)).alias("draw"), "sid", "n", "lone", "gap", "component")).alias("pick"))
             hubs = held.groupBy("key").agg(F.min(F.struct("held", "pick")).alias("p")).select("key", "p.pick.*")
-            x, y = members.alias("x"), hubs.alias("y")
-            room = F.coalesce(F.abs(F.col("x.gap") - F.col("y.gap")) * (OF + share) <= (OF - share) * (F.col("x.n") + F.col("y.n")), F.lit(True))
-            pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component"))
-                           & _may_link("x", "y", share) & room)
-            pairs = pairs.select(F.col("y.sid").alias("a"), F.col("x.sid").alias("b"), F.col("y.n").alias("n"), F.col("x.n").alias("m")).distinct()
-            links = _linked(_counted(stage_table(pairs), segments), share)
-        else:
-            links = _tile_links(members, segments, share)
+            y, within = hubs.alias("y"), F.col("x.sid") != F.col("y.sid")
+        else:  # the rest: pairs of small groups once each, whatever number of keys they share; large groups in tiles
+            x, y = (members.where(F.col("size") <= SMALL).alias(t) for t in ("x", "y"))
+            within = F.col("x.sid") > F.col("y.sid")
+        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & within & (F.col("x.component") != F.col("y.component"))
+                       & _may_link("x", "y", share) & room)
+        pairs = pairs.select(F.col("y.sid").alias("a"), F.col("x.sid").alias("b"), F.col("y.n").alias("n"), F.col("x.n").alias("m")).distinct()
+        links = _linked(_counted(stage_table(pairs), segments), share)
+        if turn == STARS:
+            links = links.unionByName(_tile_links(members.where(F.col("size") > SMALL), segments, share))
         joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
         members = members.drop("component", "size")
 
