@@ -2,15 +2,17 @@
 
 A bounded sample fits the coarse centres and the codebooks; every vector is
 indexed.  A vector lies in the list of its nearest centre, coded by its
-residual in SUBSPACES parts.  It probes the nearest lists that can hold a
-neighbour.  Within a list distances to the codes come from lookup tables;
-since each code's own error is stored, a candidate is dropped only if the true
-distance cannot reach the threshold.  The cosine of what remains is computed
-in double precision and decides, so no link is below the threshold; only probing can miss one.
-
-Equal vectors are one entry.  A pair is handled in exactly one list, so link
-counts are exact sums; a list's entries and askers are dealt over tiles of
-bounded size, and each tile returns counts and a spanning forest, never its pairs.
+residual in SUBSPACES parts.  It asks every list that can hold a neighbour, by
+the plane half-way between two centres and the list's radius; no other list
+can.  Distances to the codes come from lookup tables; since each code's own
+error is stored, a candidate is dropped only if the true distance cannot reach
+the threshold.  The cosine of what remains is computed in double precision and
+decides, so the links are those of a comparison of all pairs.
+
+Equal vectors are one entry.  Lists are laid end to end, near ones together,
+and cut into blocks of bounded size.  A pair of vectors is handled in the one
+tile of its two blocks, so link counts are exact sums; a tile returns counts
+and a spanning forest, and never holds the pairs of more than one step.
 
 Defined results: null or zero vectors, those with null or non-finite
 components, and rows with a null vec_id link with nothing; vectors of different length are not comparable.
@@ -34,9 +36,12 @@ THRESHOLD = 0.9
 SAMPLE = 20_000        # vectors, in hash order, that centres and codebooks are fitted on
 MOST_LISTS = 4096
 SUBSPACES, CODES = 16, 256
-PROBES = 24
-TILE = 2048
+TILE = 16_384          # most vectors of a block
+_TILE_VALUES = 1 << 21 # most components of a block
+_BLOCKS = 12           # a small table is cut into this many blocks
+_ENTRIES, _ASKERS = 1024, 512  # vectors of a tile that are compared in one step
 _ROUNDS = 12
+_REACH = (2 - 2 * THRESHOLD) ** 0.5
 
 
 @dataclass
@@ -89,81 +94,155 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _probes(x: np.ndarray, centres: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lists of each row by nearness, and which of them can hold a vector within the threshold's distance.
-
-    A vector of list j is no farther from centre j than from the row's own centre, so it lies beyond the plane half-way between them.
+@dataclass
+class Layout:
+    """Lists end to end, cut into blocks: where each list starts, its vectors and radius; a block has ``size`` vectors on average."""
+
+    start: np.ndarray
+    count: np.ndarray
+    radius: np.ndarray
+    size: int
+
+    def block(self, home: np.ndarray, spread: np.ndarray) -> np.ndarray:
+        return (self.start[home] + spread % self.count[home]) // self.size
+
+    def held(self) -> tuple[np.ndarray, np.ndarray]:
+        """List and block of every part of a list, by block."""
+        lists = np.flatnonzero(self.count)
+        lists = lists[np.argsort(self.start[lists])]
+        first, last = self.start[lists] // self.size, (self.start[lists] + self.count[lists] - 1) // self.size
+        parts = last - first + 1
+        within = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        return np.repeat(lists, parts), np.repeat(first, parts) + within
+
+
+def lay_out(centres: np.ndarray, count: np.ndarray, radius: np.ndarray, most: int) -> Layout:
+    """Each list is followed by the nearest one that is left."""
+    order, left, at = [], np.ones(len(centres), bool), 0
+    for _ in range(len(centres)):
+        order.append(at)
+        left[at] = False
+        at = int(np.where(left, ((centres - centres[at]) ** 2).sum(1), np.inf).argmin())
+    start = np.zeros(len(centres), np.int64)
+    start[order] = np.cumsum(count[order]) - count[order]
+    n = int(count.sum())
+    return Layout(start, count, radius, -(-n // max(min(_BLOCKS, n), -(-n // most))))
+
+
+def _reachable(x: np.ndarray, centres: np.ndarray, home: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """Lists (columns) that can hold a vector within the threshold's distance of each row of ``x``.
+
+    A vector of list j is no farther from centre j than from the row's own centre, so it lies beyond the plane
+    half-way between them; and it is no farther from centre j than the list's radius.
     """
     d = _squares(x, centres)
-    most = min(most, len(centres))
-    near = np.argpartition(d, most - 1, axis=1)[:, :most]
-    near = np.take_along_axis(near, np.take_along_axis(d, near, 1).argsort(1, kind="stable"), 1)
-    dn = np.take_along_axis(d, near, 1)
-    apart = np.sqrt(((centres[near] - centres[near[:, :1]]) ** 2).sum(2))
-    reach = (2 - 2 * THRESHOLD) ** 0.5
-    return near, (dn - dn[:, :1]) <= 2 * reach * apart + 1e-9
+    own = np.take_along_axis(d, home[:, None], 1)
+    apart = np.sqrt(_squares(centres[home], centres))
+    return (d - own <= 2 * _REACH * apart + 1e-6) & (np.sqrt(d) <= radius + _REACH + 1e-6)
 
 
-def _place(sent, probes: int):
+def _place(sent):
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(*sent.value)
+        centres = sent.value[0]
         for batch in batches:
             if batch.num_rows:
-                near, can = _probes(_matrix(batch), index.centres, probes)
+                x = _matrix(batch)
+                home, gap = [], []
+                for a in range(0, len(x), 1024):
+                    d = _squares(x[a: a + 1024], centres)
+                    home.append(d.argmin(1))
+                    gap.append(np.sqrt(d.min(1)))
                 yield pa.RecordBatch.from_pydict({
                     "vec_id": batch.column("vec_id"), "v": batch.column("v"), "copies": batch.column("copies"),
-                    "home": pa.array(near[:, 0].astype(np.int32)),
-                    "probes": pa.array([n[c].astype(np.int32) for n, c in zip(near, can)], pa.list_(pa.int32()))})
+                    "home": pa.array(np.concatenate(home).astype(np.int32)), "gap": pa.array(np.concatenate(gap))})
 
     return step
 
 
+def _ask(sent, told):
+    """The block of each vector and the blocks, up to its own, that it has to ask."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres = sent.value[0]
+        layout = Layout(*told.value)
+        lists, blocks = layout.held()
+        named, first = np.unique(blocks, return_index=True)
+        for batch in batches:
+            if batch.num_rows:
+                x, home = _matrix(batch), batch.column("home").to_numpy()
+                own = layout.block(home, batch.column("spread").to_numpy())
+                asks = []
+                for a in range(0, len(x), 512):
+                    can = _reachable(x[a: a + 512], centres, home[a: a + 512], layout.radius)
+                    can = np.logical_or.reduceat(can[:, lists], first, axis=1) & (named[None, :] < own[a: a + 512, None])
+                    asks += [named[c].astype(np.int32) for c in can]
+                yield pa.RecordBatch.from_pydict({
+                    "vec_id": batch.column("vec_id"), "v": batch.column("v"), "copies": batch.column("copies"), "home": batch.column("home"),
+                    "block": pa.array(own.astype(np.int32)), "asks": pa.array(asks, pa.list_(pa.int32()))})
+
+    return step
+
+
+def _linked(x: np.ndarray, q: np.ndarray, e: np.ndarray, dense: np.ndarray | None) -> np.ndarray:
+    """Whether the cosine of rows q and e reaches the threshold; ``dense`` has the cosines up to rounding, if they are there."""
+    if dense is not None:
+        out = dense >= THRESHOLD
+        ask = np.flatnonzero(np.abs(dense - THRESHOLD) < 1e-12)
+    else:
+        out = np.zeros(len(q), bool)
+        ask = np.arange(len(q))
+    for a in range(0, len(ask), 16_384):
+        i = ask[a: a + 16_384]
+        out[i] = (x[q[i]] * x[e[i]]).sum(1) >= THRESHOLD
+    return out
+
+
 def _tile(sent):
     def step(key: tuple, rows: pa.Table) -> pa.Table:
         index = Index(*sent.value)
         rows = rows.sort_by("vec_id").combine_chunks()
-        home = key[0].as_py()
-        batch = pa.RecordBatch.from_arrays([rows.column("v").combine_chunks()], ["v"])
-        x = _matrix(batch)
-        ids = rows.column("vec_id").to_numpy()
-        copies = rows.column("copies").to_numpy()
-        entry = np.flatnonzero(rows.column("entry").to_numpy(zero_copy_only=False))
-        asker = np.flatnonzero(~rows.column("entry").to_numpy(zero_copy_only=False))
-        from_list = rows.column("home").to_numpy()
-        probes = [set(p) for p in rows.column("probes").to_pylist()]
-        empty = pa.table({"vec_id": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
-        if not len(entry) or not len(asker):
-            return empty
-        code, lost = index.codes(x[entry] - index.centres[home])
-        reach = (2 - 2 * THRESHOLD) ** 0.5
-        left, right = [], []
-        for a in range(0, len(asker), 256):
-            ask = asker[a: a + 256]
-            gap = x[ask] - index.centres[home]
-            square = np.zeros((len(ask), len(entry)))
-            for m, (part, book) in enumerate(zip(index.parts, index.books)):
-                square += _squares(gap[:, part], book)[:, code[:, m]]
-            q, e = np.nonzero(np.sqrt(square) <= reach + lost[None, :] + 1e-9)
-            q, e = ask[q], entry[e]
-            keep = ids[q] != ids[e]
-            # a pair of one list counts from its larger id; one that both lists would find, in the smaller list
-            same = from_list[q] == home
-            keep &= np.where(same, ids[q] > ids[e], True)
-            q, e = q[keep], e[keep]
-            exact = (x[q] * x[e]).sum(1) >= THRESHOLD
-            left.append(q[exact])
-            right.append(e[exact])
-        q, e = np.concatenate(left), np.concatenate(right)
-        if len(q):
-            other = from_list[q]
-            twice = np.array([o < home and o in probes[y] for o, y in zip(other, e)], bool)
-            q, e = q[~twice], e[~twice]
-        if not len(q):
-            return empty
-        used, flat = np.unique(np.concatenate([ids[q], ids[e]]), return_inverse=True)
-        a, b = flat[: len(q)], flat[len(q):]
-        links = np.bincount(a, copies[e], len(used)) + np.bincount(b, copies[q], len(used))
-        return pa.table({"vec_id": pa.array(used), "links": pa.array(links.astype(np.int64)), "root": pa.array(used[lowest_members(len(used), a, b)])})
+        x = _matrix(pa.RecordBatch.from_arrays([rows.column("v").combine_chunks()], ["v"]))
+        ids, copies, home = (rows.column(c).to_numpy() for c in ("vec_id", "copies", "home"))
+        is_entry = rows.column("entry").to_numpy(zero_copy_only=False)
+        entry = np.flatnonzero(is_entry)
+        within = key[0].as_py() == key[1].as_py()  # the tile of a block with itself
+        asker = entry if within else np.flatnonzero(~is_entry)
+        links, low = np.zeros(len(ids)), np.arange(len(ids))
+        lists, list_of = np.unique(home[entry], return_inverse=True)
+        code, lost = index.codes(x[entry] - index.centres[home[entry]])
+        coded = index.centres[home[entry]]
+        for m, (part, book) in enumerate(zip(index.parts, index.books)):
+            coded[:, part] += book[code[:, m]]
+        # |x - coded| <= reach + lost, as a bound on the product of the two; tables are in single precision
+        least = ((1 + (coded * coded).sum(1) - (_REACH + lost) ** 2) / 2 - 1e-4).astype(np.float32)
+        del coded
+        for a in range(0, len(asker), _ASKERS):
+            ask = asker[a: a + _ASKERS]
+            to_list = (index.centres[lists] @ x[ask].T).astype(np.float32)
+            tables = [(book @ x[ask][:, part].T).astype(np.float32) for part, book in zip(index.parts, index.books)]
+            for b in range(0, len(entry), _ENTRIES):
+                if within and entry[b] > ask[-1]:
+                    break
+                some = slice(b, b + _ENTRIES)
+                product = to_list[list_of[some]]
+                for m, table in enumerate(tables):
+                    product += table[code[some, m]]
+                e, q = np.nonzero(product >= least[some, None])
+                fits = ids[ask[q]] > ids[entry[some][e]] if within else ids[ask[q]] != ids[entry[some][e]]  # in a block a pair counts from its larger id
+                e, q = e[fits], q[fits]
+                if not len(q):
+                    continue
+                dense = (x[entry[some]] @ x[ask].T)[e, q] if 16 * len(q) > product.size else None
+                e, q = entry[some][e], ask[q]
+                exact = _linked(x, q, e, dense)
+                e, q = e[exact], q[exact]
+                links += np.bincount(q, copies[e], len(ids)) + np.bincount(e, copies[q], len(ids))
+                one, two = low[q], low[e]
+                new = one != two
+                if new.any():
+                    low = lowest_members(len(ids), one[new], two[new])[low]
+        used = np.flatnonzero(links)
+        return pa.table({"vec_id": pa.array(ids[used]), "links": pa.array(links[used].astype(np.int64)), "root": pa.array(ids[low[used]])})
 
     return step
 
@@ -173,10 +252,11 @@ def _usable(v: Column) -> Column:
     return F.coalesce(finite, F.lit(False)) & F.exists(v, lambda x: x != 0)
 
 
-def near_duplicates(vectors: DataFrame, probes: int = PROBES) -> DataFrame:
+def near_duplicates(vectors: DataFrame) -> DataFrame:
     """Rows (vec_id, n_links, component_id, kept) of ``vectors`` (vec_id, embedding)."""
     spark = vectors.sparkSession
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select("vec_id", F.col("embedding").cast(kind).alias("v"))
     rows = rows.withColumn("usable", F.coalesce(_usable(F.col("v")) & F.col("vec_id").isNotNull(), F.lit(False)))
     keyed = rows.where("usable").withColumn("key", F.struct(F.xxhash64("v"), F.xxhash64(F.lit(1), "v")))
     classes = stage_table(keyed.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v")))
@@ -186,23 +266,22 @@ def near_duplicates(vectors: DataFrame, probes: int = PROBES) -> DataFrame:
         sample = own.select("v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
         index = fit(_matrix(sample.combine_chunks().to_batches()[0]), r["count"])
         sent = spark.sparkContext.broadcast((index.centres, index.books, index.parts))  # plain arrays; at most MOST_LISTS centres
-        placed = stage_table(own.mapInArrow(_place(sent, probes), "vec_id long, v array<double>, copies long, home int, probes array<int>"))
-        # entries and askers of long lists are dealt over tiles
-        sizes = placed.groupBy("home").count().collect()  # at most MOST_LISTS rows
-        asks = placed.select(F.explode("probes").alias("home")).groupBy("home").count().collect()
-        entry_tiles = {s.home: -(-s["count"] // TILE) for s in sizes}
-        ask_tiles = {s.home: -(-s["count"] // (8 * TILE)) for s in asks}
-        tiles = spark.createDataFrame([(h, n, ask_tiles.get(h, 1)) for h, n in entry_tiles.items()], "list int, entries int, askers int")
-        spread = F.xxhash64("vec_id")
-        entries = (placed.join(F.broadcast(tiles), F.col("home") == F.col("list"))
-                   .withColumn("asking", F.explode(F.sequence(F.lit(0), F.col("askers") - 1)))
-                   .select("list", F.pmod(spread, F.col("entries")).cast("int").alias("tile"), "asking", "vec_id", "v", "copies", "home", "probes",
-                           F.lit(True).alias("entry")))
-        askers = (placed.withColumn("list", F.explode("probes")).join(F.broadcast(tiles), "list")
-                  .withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("entries") - 1)))
-                  .select("list", "tile", F.pmod(spread, F.col("askers")).cast("int").alias("asking"), "vec_id", "v", "copies", "home", "probes",
-                          F.lit(False).alias("entry")))
-        part = entries.unionByName(askers).groupBy("list", "tile", "asking").applyInArrow(_tile(sent), "vec_id long, links long, root long")
+        placed = stage_table(own.mapInArrow(_place(sent), f"vec_id long, v {kind}, copies long, home int, gap double"))
+        count, radius = np.zeros(len(index.centres), np.int64), np.zeros(len(index.centres))
+        for s in placed.groupBy("home").agg(F.count("*").alias("n"), F.max("gap").alias("gap")).collect():  # at most MOST_LISTS rows
+            count[s.home], radius[s.home] = s.n, s.gap
+        layout = lay_out(index.centres, count, radius, max(1, min(TILE, _TILE_VALUES // r.dim)))
+        told = spark.sparkContext.broadcast((layout.start, layout.count, layout.radius, layout.size))
+        spread = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 62)).alias("spread")
+        asking = stage_table(placed.select("vec_id", "v", "copies", "home", spread).mapInArrow(
+            _ask(sent, told), f"vec_id long, v {kind}, copies long, home int, block int, asks array<int>"))
+        askers = asking.select(F.explode("asks").alias("held"), F.col("block").alias("asking"), "vec_id", "v", "copies", "home", F.lit(False).alias("entry"))
+        # a block meets itself and those that have askers for it
+        tiles = askers.select("held", "asking").distinct().unionByName(asking.select(F.col("block").alias("held"), F.col("block").alias("asking")).distinct())
+        per_block = tiles.groupBy("held").agg(F.collect_list("asking").alias("asked"))
+        entries = (asking.join(per_block, F.col("block") == F.col("held"))
+                   .select("held", F.explode("asked").alias("asking"), "vec_id", "v", "copies", "home", F.lit(True).alias("entry")))
+        part = entries.unionByName(askers).groupBy("held", "asking").applyInArrow(_tile(sent), "vec_id long, links long, root long")
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], "vec_id long, links long, root long")

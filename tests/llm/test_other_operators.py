@@ -120,6 +120,23 @@ def test_near_vectors(spark, monkeypatch):
     assert pq_neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("tile", [70, 16_384])
+def test_near_vectors_of_a_dense_group_in_many_lists(spark, monkeypatch, tile):
+    monkeypatch.setattr(pq_neardup, "TILE", tile)
+    rng = np.random.default_rng(11)
+    x = np.ones(64) + 0.36 * rng.normal(size=(3000, 64))  # one group in some 50 lists, cosines about 0.88
+    x[::10] = rng.normal(size=(300, 64))
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    x = x.astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.9
+    want = components(range(len(x)), list(zip(*np.nonzero(np.triu(near)))))
+    got = pq_neardup.near_duplicates(df).collect()
+    assert len(got) == len(x) and near.sum() > 1_500_000
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: (int(near[i].sum()) - 1, want[i]) for i in range(len(x))}
+
+
 def test_url_rules(spark):
     rng = np.random.default_rng(3)
     hosts = ["com", "example.com", "www.example.com", "a.b.example.com", "net", "x.net", "example.comx", "", "Example.COM", "com.example"]
