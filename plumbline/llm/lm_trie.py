@@ -5,9 +5,10 @@ known word and gives it to the one class of unknown words; given the two words u
 
     P(w | u v) = (A c(u v w) + c(v w) + M(v) P(w)) / (A c(u v) + c(v) + M(v)),   M(v) = SCALE (1 + c'(v)) ** POWER
 
-which sums to one over the known words and the unknown class.  c'(v) is the
-largest count in v's cell of a table of fixed size (CELLS bytes), so every task
-can hold it.  The numerator depends on counts of n-grams that end in w, the
+which sums to one over the known words and the unknown class.  c'(v) is v's own
+count, rounded to a level of one byte.  Frequent words' counts are known to
+every task; those of all others are summed over the corpus and sent to just the
+shards in which the word is a context.  The numerator depends on counts of n-grams that end in w, the
 denominator on those that end in v, the word before: every occurrence (u, v, w)
 goes to the shard of its last word, which adds w's numerator and the
 denominator that w is the context of, and texts sum what the shards say.
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,13 +41,13 @@ from plumbline.llm.sizing import pieces, text_size
 from plumbline.llm.words import byte_slices, mix, tokenise
 
 A, SCALE, POWER = 4.0, 1.0, 0.75
-CELLS = 1 << 22
+_OFTEN = 256  # words with more than one in _OFTEN tokens of a shard are known to every task
 _SHARD_BYTES = 12 << 20
 _UNIT_BYTES = 14 << 20  # texts that are coded together in a task
 # words are told apart by the upper 56 bits of their hashes, which is what travels
 _MASK = np.uint64(0xFFFFFFFFFFFFFF00)
 _END, _START = (np.uint64(x) for x in (0x51ED270B7A1C9E00, 0x2545F4914F6CDD00))
-_LOG_STEP = 8.0  # table bytes per factor of e
+_LOG_STEP = 8.0  # levels of a count per factor of e
 
 
 def held_out(doc_id: Column) -> Column:
@@ -67,9 +69,13 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
-def _cell_range(words: np.ndarray, shards: int) -> np.ndarray:
-    """Shard of each word by its cell in the table, so that a shard owns a slice of cells."""
-    return ((words >> np.uint64(42)).astype(np.int64) * shards) >> 22
+def _slice_of(words: np.ndarray, slices: int) -> np.ndarray:
+    """Slice of the vocabulary that counts each word; it grows with the hash."""
+    return ((words >> np.uint64(42)).astype(np.int64) * slices) >> 22
+
+
+def _level(count: np.ndarray) -> np.ndarray:
+    return np.minimum(np.round(np.log1p(count) * _LOG_STEP), 255).astype(np.uint8)
 
 
 def _vocabulary_counts(shards: int):
@@ -77,7 +83,7 @@ def _vocabulary_counts(shards: int):
         for batch in batches:
             words, _ = _tokens(batch.column("text"))
             keys, n = np.unique(words, return_counts=True)
-            bounds = np.searchsorted(_cell_range(keys, shards), np.arange(shards + 1))
+            bounds = np.searchsorted(_slice_of(keys, shards), np.arange(shards + 1))
             used = np.flatnonzero(np.diff(bounds))
             yield pa.RecordBatch.from_pydict({
                 "shard": pa.array(used, pa.int32()), "docs": pa.array([batch.num_rows if i == 0 else 0 for i in range(len(used))], pa.int64()),
@@ -87,8 +93,8 @@ def _vocabulary_counts(shards: int):
     return step
 
 
-def _vocabulary_slice(shards: int, top: int):
-    """Totals of a slice of the vocabulary, its cells of the count table, and its most frequent words."""
+def _vocabulary_slice(top: int):
+    """Totals of a slice of the vocabulary and its most frequent words."""
 
     def step(key: tuple, rows: pa.Table) -> pa.Table:
         keys, counts = [], []
@@ -99,14 +105,8 @@ def _vocabulary_slice(shards: int, top: int):
             counts.append(np.frombuffer(raw[8 * k:], np.uint32))
         words, back = np.unique(np.concatenate(keys), return_inverse=True)
         count = np.bincount(back, np.concatenate(counts)).astype(np.int64)
-        s = key[0].as_py()
-        begin, end = -(-(s << 22) // shards), -(-((s + 1) << 22) // shards)
-        cells = np.zeros(end - begin, np.uint8)
-        np.maximum.at(cells, (words >> np.uint64(42)).astype(np.int64) - begin,
-                      np.minimum(np.round(np.log1p(count) * _LOG_STEP), 255).astype(np.uint8))
         often = np.argsort(-count, kind="stable")[:top]
-        return pa.table({"begin": pa.array([begin], pa.int64()), "cells": pa.array([cells.tobytes()], pa.binary()),
-                         "types": pa.array([len(words)], pa.int64()), "tokens": pa.array([int(count.sum())], pa.int64()),
+        return pa.table({"types": pa.array([len(words)], pa.int64()), "tokens": pa.array([int(count.sum())], pa.int64()),
                          "single": pa.array([int((count == 1).sum())], pa.int64()),
                          "docs": pa.array([sum(rows.column("docs").to_pylist())], pa.int64()),
                          "often": pa.array([words[often].tobytes() + count[often].tobytes()], pa.binary())})
@@ -115,19 +115,21 @@ def _vocabulary_slice(shards: int, top: int):
 
 
 class Facts:
-    """What every task knows: totals, the count table, and the hot words with their counts."""
+    """What every task knows: totals, the frequent words and the hot ones among them, with their counts."""
 
-    def __init__(self, types: int, tokens: int, single: int, docs: int, cells: np.ndarray, hot: np.ndarray, hot_count: np.ndarray):
+    def __init__(self, types: int, tokens: int, single: int, docs: int, often: np.ndarray, often_count: np.ndarray, hot: np.ndarray, hot_count: np.ndarray):
         self.types, self.tokens, self.single, self.docs = types, tokens, single, docs
-        self.cells, self.hot, self.hot_count = cells, hot, hot_count
+        self.often, self.often_count, self.hot, self.hot_count = often, often_count, hot, hot_count
 
     def parts(self) -> tuple:
-        return self.types, self.tokens, self.single, self.docs, self.cells, self.hot, self.hot_count
+        return self.types, self.tokens, self.single, self.docs, self.often, self.often_count, self.hot, self.hot_count
 
-    def spread(self, context: np.ndarray) -> np.ndarray:
-        """M(v)."""
-        about = np.expm1(self.cells[(context >> np.uint64(42)).astype(np.int64)] / _LOG_STEP)
-        return SCALE * (1 + np.where(context == _START, self.docs, about)) ** POWER
+    def spread(self, level: np.ndarray) -> np.ndarray:
+        """M(v) by the level of v's count."""
+        return SCALE * (1 + np.expm1(level / _LOG_STEP)) ** POWER
+
+    def spread_at_start(self) -> float:
+        return SCALE * (1 + self.docs) ** POWER
 
     def chance(self, count: np.ndarray) -> np.ndarray:
         """P(w) by the word's count; 0 is the unknown class."""
@@ -138,31 +140,129 @@ class Facts:
 
     def hot_counts(self, words: np.ndarray) -> np.ndarray:
         """Count of each word that is hot, else 0."""
-        if not len(self.hot):
-            return np.zeros(len(words), np.int64)
-        at = np.minimum(np.searchsorted(self.hot, words), len(self.hot) - 1)
-        return np.where(self.hot[at] == words, self.hot_count[at], 0)
+        return _looked_up(self.hot, self.hot_count, words)
+
+    def often_counts(self, words: np.ndarray) -> np.ndarray:
+        """Count of each word that is frequent, else 0."""
+        return _looked_up(self.often, self.often_count, words)
+
+
+def _looked_up(keys: np.ndarray, values: np.ndarray, words: np.ndarray) -> np.ndarray:
+    if not len(keys):
+        return np.zeros(len(words), values.dtype)
+    at = np.minimum(np.searchsorted(keys, words), len(keys) - 1)
+    return np.where(keys[at] == words, values[at], 0)
 
 
 def gather_facts(train: DataFrame, shards: int) -> Facts:
-    """One pass over the training texts: word counts meet in shards; a row per shard comes back (CELLS bytes in all)."""
-    top = 64
+    """One pass over the training texts: word counts meet in shards; a row per shard comes back."""
+    top = 4 * _OFTEN
     rows = (train.select("text").mapInArrow(_vocabulary_counts(shards), "shard int, docs long, body binary").groupBy("shard")
-            .applyInArrow(_vocabulary_slice(shards, top), "begin long, cells binary, types long, tokens long, single long, docs long, often binary")
+            .applyInArrow(_vocabulary_slice(top), "types long, tokens long, single long, docs long, often binary")
             .collect())
-    cells = np.zeros(CELLS, np.uint8)
     words, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for r in rows:
-        part = np.frombuffer(r.cells, np.uint8)
-        cells[r.begin: r.begin + len(part)] = part
         k = len(r.often) // 16
         words.append(np.frombuffer(r.often[: 8 * k], np.uint64))
         counts.append(np.frombuffer(r.often[8 * k:], np.int64))
     tokens = sum(r.tokens for r in rows)
     words, counts = np.concatenate(words), np.concatenate(counts)
-    hot = np.flatnonzero(counts * 4 * shards > tokens)  # fewer than 4 * shards words
-    hot = hot[np.argsort(words[hot])]
-    return Facts(sum(r.types for r in rows), tokens, sum(r.single for r in rows), sum(r.docs for r in rows), cells, words[hot], counts[hot])
+    often = np.flatnonzero(counts * _OFTEN * shards > tokens)  # fewer than _OFTEN * shards words
+    often = often[np.argsort(words[often])]
+    words, counts = words[often], counts[often]
+    hot = counts * 4 * shards > tokens  # fewer than 4 * shards words
+    return Facts(sum(r.types for r in rows), tokens, sum(r.single for r in rows), sum(r.docs for r in rows), words, counts, words[hot], counts[hot])
+
+
+def _coded(facts: Facts, texts: pa.Array, shards: int):
+    """Distinct words of a unit (the start among them), codes of each word and the two before, its shard, and where each text begins."""
+    words, first = _tokens(texts)
+    code, distinct = pd.factorize(np.append(words, _START))
+    code = code.astype(np.int32)
+    start, code = code[-1], code[:-1]
+    del words
+    before = np.roll(code, 1)
+    before[first[:-1]] = start
+    two = np.roll(before, 1)
+    two[first[:-1]] = start
+    second = first[:-1] + 1
+    two[second[second < first[1:]]] = start
+    home = (mix(distinct) % np.uint64(shards)).astype(np.int32)[code]
+    split = np.flatnonzero((facts.hot_counts(distinct) > 0)[code])
+    home[split] = (mix(distinct[code[split]] + mix(distinct[before[split]])) % np.uint64(shards)).astype(np.int32)
+    return distinct, code, before, two, home, first
+
+
+def _context_counts(sent, shards: int, slices: int):
+    """Each unit's contexts that are not frequent, to the slices of the vocabulary: the word, its count in training texts, the shards that ask for it.
+
+    Every occurrence of a word but the end token is the context of the next word, so these counts are the word counts.
+    """
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        facts = Facts(*sent.value)
+        for batch in (b.slice(at, len(piece)) for b in batches for at, piece in byte_slices(b.column("text"), _UNIT_BYTES)):
+            distinct, _, before, _, home, first = _coded(facts, batch.column("text"), shards)
+            rare = ((facts.often_counts(distinct) == 0) & (distinct != _START))[before]
+            train = np.repeat(batch.column("train").to_numpy(zero_copy_only=False).astype(bool), np.diff(first))
+            count = np.bincount(before[rare & train], minlength=len(distinct)).astype(np.uint32)
+            pairs = np.sort(pd.unique(before[rare].astype(np.int64) * shards + home[rare]))
+            word, shard = pairs // shards, (pairs % shards).astype(np.int32)
+            used, asks = np.unique(word, return_counts=True)
+            begin = np.cumsum(asks) - asks
+            of = _slice_of(distinct[used], slices)
+            for s in np.unique(of):
+                mine = np.flatnonzero(of == s)
+                spots = np.repeat(begin[mine], asks[mine]) + np.arange(asks[mine].sum()) - np.repeat(np.cumsum(asks[mine]) - asks[mine], asks[mine])
+                yield pa.RecordBatch.from_pydict({"slice": pa.array([s], pa.int64()), "body": pa.array([_squeeze(
+                    len(mine).to_bytes(8, "little") + distinct[used[mine]].tobytes() + count[used[mine]].tobytes() + asks[mine].astype(np.int32).tobytes()
+                    + shard[spots].tobytes())], pa.binary())})
+
+    return step
+
+
+def _tell_shards():
+    """To each shard the trained contexts it asks for, with the level of their count in the byte that the hashes leave free."""
+
+    def step(rows: pa.Table) -> pa.Table:
+        keys, counts, asks, shard = [], [], [], []
+        for body in rows.column("body"):
+            raw = _unpack(body.as_py())
+            k = int.from_bytes(raw[:8], "little")
+            keys.append(np.frombuffer(raw[8: 8 + 8 * k], np.uint64))
+            counts.append(np.frombuffer(raw[8 + 8 * k: 8 + 12 * k], np.uint32))
+            asks.append(np.frombuffer(raw[8 + 12 * k: 8 + 16 * k], np.int32))
+            shard.append(np.frombuffer(raw[8 + 16 * k:], np.int32))
+        back, words = pd.factorize(np.concatenate(keys))
+        level = _level(np.bincount(back, np.concatenate(counts), len(words)))
+        pairs = pd.unique(np.concatenate(shard).astype(np.int64) * len(words) + np.repeat(back, np.concatenate(asks)))
+        pairs = np.sort(pairs[level[pairs % len(words)] > 0])
+        to, word = pairs // len(words), pairs % len(words)
+        named, first = np.unique(to, return_index=True)
+        told = words | level.astype(np.uint64)
+        return pa.table({"shard": pa.array(named, pa.int64()), "body": pa.array(
+            [_squeeze(np.sort(told[w]).tobytes()) for w in np.split(word, first[1:])] if len(named) else [], pa.binary())})
+
+    return step
+
+
+def _dealt(docs: DataFrame, sent, shards: int) -> DataFrame:
+    """What the shards get: occurrences, and (without ``train``) the levels of their contexts' counts."""
+    slices = pieces(shards, 4)
+    told = (docs.select("text", "train").mapInArrow(_context_counts(sent, shards, slices), "slice long, body binary").groupBy("slice")
+            .applyInArrow(_tell_shards(), "shard long, body binary")
+            .selectExpr("shard", "-1L as unit", "cast(null as array<long>) as ids", "cast(null as binary) as train", "body"))
+    return docs.mapInArrow(_occurrences(sent, shards), "shard long, unit long, ids array<long>, train binary, body binary").unionByName(told)
+
+
+def _levels(facts: Facts, vocabulary: np.ndarray, told: pa.Table) -> np.ndarray:
+    """Level of the count of each word of ``vocabulary`` that is a context in this shard."""
+    level = _level(facts.often_counts(vocabulary))
+    bodies = [np.frombuffer(_unpack(b.as_py()), np.uint64) for b in told.column("body")]
+    if bodies:
+        both = np.sort(np.concatenate(bodies))
+        level = np.maximum(level, _looked_up(both & _MASK, (both & ~_MASK).astype(np.uint8), vocabulary))
+    return level
 
 
 def _occurrences(sent, shards: int):
@@ -173,21 +273,8 @@ def _occurrences(sent, shards: int):
         base = TaskContext.get().partitionId() << 24
         units = (b.slice(at, len(piece)) for b in batches for at, piece in byte_slices(b.column("text"), _UNIT_BYTES))
         for number, batch in enumerate(units):
-            words, first = _tokens(batch.column("text"))
+            distinct, code, before, two, home, first = _coded(facts, batch.column("text"), shards)
             owner = np.repeat(np.arange(batch.num_rows, dtype=np.int32), np.diff(first))
-            code, distinct = pd.factorize(np.append(words, _START))
-            code = code.astype(np.int32)
-            start, code = code[-1], code[:-1]
-            del words
-            before = np.roll(code, 1)
-            before[first[:-1]] = start
-            two = np.roll(before, 1)
-            two[first[:-1]] = start
-            second = first[:-1] + 1
-            two[second[second < first[1:]]] = start
-            home = (mix(distinct) % np.uint64(shards)).astype(np.int32)[code]
-            split = np.flatnonzero((facts.hot_counts(distinct) > 0)[code])
-            home[split] = (mix(distinct[code[split]] + mix(distinct[before[split]])) % np.uint64(shards)).astype(np.int32)
             order = np.argsort(home.astype(np.int16) if shards < 1 << 15 else home, kind="stable").astype(np.int32)
             bounds = np.searchsorted(home[order], np.arange(shards + 1))
             used = np.flatnonzero(np.diff(bounds))
@@ -260,7 +347,11 @@ def _last_words(facts: Facts, vocabulary: np.ndarray, last: np.ndarray) -> tuple
     return words, np.where(hot > 0, hot, here)[words]
 
 
-def build_trie(facts: Facts, vocabulary: np.ndarray, last: np.ndarray, one: np.ndarray, two: np.ndarray) -> Trie:
+def _context_spread(facts: Facts, vocabulary: np.ndarray, level: np.ndarray, context: np.ndarray) -> np.ndarray:
+    return np.where(vocabulary[context] == _START, facts.spread_at_start(), facts.spread(level[context]))
+
+
+def build_trie(facts: Facts, vocabulary: np.ndarray, level: np.ndarray, last: np.ndarray, one: np.ndarray, two: np.ndarray) -> Trie:
     """The trie of a shard's training occurrences (codes into ``vocabulary``)."""
     size = np.int64(len(vocabulary))
     words, count = _last_words(facts, vocabulary, last)
@@ -270,8 +361,8 @@ def build_trie(facts: Facts, vocabulary: np.ndarray, last: np.ndarray, one: np.n
     del keys
     up2, before = pairs // size, pairs % size
     up3 = triples // size
-    chance, own = facts.chance(count), facts.spread(vocabulary[words])
-    over2 = n2 + facts.spread(vocabulary[before]) * chance[up2]
+    chance, own = facts.chance(count), facts.spread(_level(count))
+    over2 = n2 + _context_spread(facts, vocabulary, level, before) * chance[up2]
     return Trie.build(
         [(None, words), (up2, before), (up3, triples % size)],
         [{"word": np.log10(chance), "next": -np.log10(count + own), "base": np.log10(count + 1.0)},
@@ -279,7 +370,7 @@ def build_trie(facts: Facts, vocabulary: np.ndarray, last: np.ndarray, one: np.n
          {"word": np.log10(A * n3 + over2[up3])}])
 
 
-def occurrence_scores(facts: Facts, trie: Trie, vocabulary: np.ndarray, last: np.ndarray, one: np.ndarray, two: np.ndarray):
+def occurrence_scores(facts: Facts, trie: Trie, vocabulary: np.ndarray, level: np.ndarray, last: np.ndarray, one: np.ndarray, two: np.ndarray):
     """Per occurrence: the log10 it adds to its text, and the node of its word (-1: unknown)."""
     size = np.int64(len(vocabulary))
     # each distinct question once
@@ -290,9 +381,9 @@ def occurrence_scores(facts: Facts, trie: Trie, vocabulary: np.ndarray, last: np
     node2 = trie.child(1, node1, v)
     up = triples // size
     node3 = trie.child(2, node2[up], triples % size)
-    spread = np.log10(facts.spread(vocabulary[v]))
+    spread = np.log10(_context_spread(facts, vocabulary, level, v))
     unknown = float(np.log10(facts.chance(np.zeros(1, np.int64)))[0])
-    own = facts.spread(vocabulary[w])
+    own = facts.spread(np.zeros(1))  # of a word that no training text has
     word = np.where(node1 >= 0, trie.value(0, "word", np.maximum(node1, 0)) if trie.words[0].n else 0, unknown) + spread
     after = np.where(node1 >= 0, trie.value(0, "next", np.maximum(node1, 0)) if trie.words[0].n else 0, -np.log10(own))
     if trie.words[0].n:
@@ -307,18 +398,20 @@ def occurrence_scores(facts: Facts, trie: Trie, vocabulary: np.ndarray, last: np
 
 def _score_shard(sent):
     def step(key: tuple, rows: pa.Table) -> pa.Table:
+        told, rows = rows.filter(pc.is_null(rows.column("train"))), rows.filter(pc.is_valid(rows.column("train")))
         empty = pa.array([None] * rows.num_rows, pa.binary())
         if key[0].as_py() < 0:
             return pa.table({"unit": rows.column("unit"), "ids": rows.column("ids"), "texts": rows.column("body"), "sums": empty})
         facts = Facts(*sent.value)
         vocabulary, last, one, two, doc, train, unit = _read(rows)
+        level = _levels(facts, vocabulary, told)
         last, one = last.astype(np.int64), one.astype(np.int64)
-        raw = build_trie(facts, vocabulary, last[train], one[train], two[train]).to_bytes()
+        raw = build_trie(facts, vocabulary, level, last[train], one[train], two[train]).to_bytes()
         level_map = mmap.mmap(-1, len(raw))  # the levels are read where they lie, as from a file
         level_map[:] = raw
         del raw
         trie = Trie.from_buffer(level_map)
-        score, node = occurrence_scores(facts, trie, vocabulary, last, one, two)
+        score, node = occurrence_scores(facts, trie, vocabulary, level, last, one, two)
         # the base score is exact: counts, not codes
         _, count = _last_words(facts, vocabulary, last[train])
         per_word = np.append(np.log10(count + 1.0), 0.0)
@@ -353,7 +446,7 @@ def _sum_units(sent):
                 known[docs] += np.frombuffer(raw[4 * k: 8 * k], np.int32)
                 base[docs] += np.frombuffer(raw[8 * k: 16 * k])
                 score[docs] += np.frombuffer(raw[16 * k:])
-        begin = -np.log10(A * facts.docs + facts.docs + facts.spread(np.array([_START])))[0]
+        begin = -np.log10(A * facts.docs + facts.docs + facts.spread_at_start())
         return pa.table({"doc_id": ids, "n_tokens": pa.array(size), "n_known": pa.array(known),
                          "base_score": pa.array(base - size * np.log10(facts.tokens + facts.types + 1)), "score": pa.array(score + begin)})
 
@@ -366,8 +459,8 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
     docs = docs.select("doc_id", "text", train.alias("train"))
     shards = pieces(text_size(docs)[1], _SHARD_BYTES)
     facts = gather_facts(docs.where("train"), shards)
-    sent = spark.sparkContext.broadcast(facts.parts())  # CELLS bytes and fewer than 4 * shards words
-    told = (docs.mapInArrow(_occurrences(sent, shards), "shard long, unit long, ids array<long>, train binary, body binary")
+    sent = spark.sparkContext.broadcast(facts.parts())  # fewer than _OFTEN * shards words
+    told = (_dealt(docs, sent, shards)
             .groupBy("shard").applyInArrow(_score_shard(sent), "unit long, ids array<long>, texts binary, sums binary"))
     out = told.groupBy("unit").applyInArrow(_sum_units(sent), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.withColumn("train_tokens", F.lit(facts.tokens).cast("bigint"))
@@ -380,10 +473,12 @@ def train_tries(docs: DataFrame) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(gather_facts(docs, shards).parts())
 
     def step(key: tuple, rows: pa.Table) -> pa.Table:
+        told, rows = rows.filter(pc.is_null(rows.column("train"))), rows.filter(pc.is_valid(rows.column("train")))
+        facts = Facts(*sent.value)
         vocabulary, last, one, two, *_ = _read(rows)
-        trie = build_trie(Facts(*sent.value), vocabulary, last.astype(np.int64), one.astype(np.int64), two)
+        trie = build_trie(facts, vocabulary, _levels(facts, vocabulary, told), last.astype(np.int64), one.astype(np.int64), two)
         return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "vocabulary": pa.array([vocabulary.tobytes()], pa.binary()),
                          "trie": pa.array([trie.to_bytes()], pa.binary())})
 
-    return (docs.mapInArrow(_occurrences(sent, shards), "shard long, unit long, ids array<long>, train binary, body binary")
+    return (_dealt(docs, sent, shards)
             .where("shard >= 0").groupBy("shard").applyInArrow(step, "shard long, vocabulary binary, trie binary"))

@@ -117,6 +117,21 @@ def test_lm_scores(spark, docs, monkeypatch, shard_bytes):
     assert fresh and sum(r.score for r in fresh) > sum(r.base_score for r in fresh)
 
 
+def test_lm_context_counts_are_the_words_own(spark, monkeypatch):
+    """Words of two training texts that agree in the 22 upper bits of their hashes, one rare and one frequent, in many shards."""
+    monkeypatch.setattr(lm_trie, "_SHARD_BYTES", 3000)
+    some = tokenise(pa.array([" ".join(f"w{i}" for i in range(6000))], pa.large_string())).hashes()[0] >> np.uint64(42)
+    order = np.argsort(some, kind="stable")
+    at = int(np.flatnonzero(some[order][1:] == some[order][:-1])[0])
+    rare, common = (f"w{i}" for i in order[at: at + 2])
+    texts = [f"a {rare} b", " ".join([common, "x"] * 20), *(f"f{i} g{i} h{i} k{i} l{i}" for i in range(800))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-1, f"a {rare} b")], "doc_id long, text string")
+    one = spark.createDataFrame([(i, t.replace(common, "q")) for i, t in enumerate(texts)] + [(-1, f"a {rare} b")], "doc_id long, text string")
+    apart = {r.doc_id: r.score for r in lm_trie.score(one, F.col("doc_id") >= 0).collect()}
+    got = {r.doc_id: r.score for r in lm_trie.score(df, F.col("doc_id") >= 0).collect()}
+    assert abs(got[-1] - apart[-1]) < 0.02 and abs(got[0] - apart[0]) < 0.02
+
+
 def test_lm_tries_are_kept_and_read_back(spark, docs):
     rows = lm_trie.train_tries(docs).collect()
     assert rows and all(elias_fano.Trie.from_buffer(r.trie).words[0].n > 0 for r in rows)
