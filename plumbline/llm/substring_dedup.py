@@ -1,15 +1,15 @@
-"""Repeated passages by relative Lempel-Ziv parsing: later documents are factored against earlier ones.
+"""Repeated passages by windows that earlier documents hold, reported as factors against their sources.
 
-A factor is a run of words that an earlier document (a smaller doc_id) holds
-too; it counts when it is at least ``window`` words long.  Documents lie in
-blocks.  Each block indexes all its windows of that many words by hash and keeps,
+A word is removed when a window of ``window`` words over it stands in an earlier
+document (a smaller doc_id) too.  Documents lie in blocks.  Each block indexes all its windows of that many words by hash and keeps,
 per distinct window, the first document that has it; these go to the index
 shards, which hold the windows of all blocks.  A shard answers each block whose
 first document is not the first of all with the reference: source document and
-place.  The block then parses its documents from left to right: a factor grows
-while the next window's reference lies one word further in the same source, and
-where a factor ends, the windows across the border are still checked one by
-one, so the removed words are exactly those under windows with an earlier source.
+place.  These window hits alone decide which words go.  Factors are made from
+the hits afterwards: hits that follow each other, with references one word further
+in the same source, are one.  They are no greedy longest factors: only the first
+holder of each window is known, so one breaks where an inner window has another
+source, and neighbours may overlap by up to window - 1 words.
 
 Windows that follow each other mostly share their smallest five-word hash, which
 picks the shard, so that they travel as runs with one position each.  A block
