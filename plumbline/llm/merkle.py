@@ -1,12 +1,12 @@
-"""Document fingerprints: a Merkle tree over sections, paragraphs and pieces of a text, in column expressions.
+"""Document fingerprints: a Merkle tree over sections and paragraphs of a text, and a likeness of two texts, in column expressions.
 
 Sections are parted by an empty line, paragraphs by a line break, so the parts
 joined again give the text.  A paragraph's digest is the SHA-256 of its text, a
 section's that of its paragraphs' digests, the root's that of its sections'
 digests: equal roots mean equal texts, and where roots differ, the branches
-that differ say where the edit is.  Under each paragraph lie pieces of up to four
-words, cut after punctuation; the share of pieces two texts have in common (twice
-the common ones over the sum of both) grades how alike their trees are.
+that differ say where the edit is.  Beside the tree, and not part of it, texts are
+cut into pieces of up to four words, also after punctuation; the share of pieces two
+texts have in common (twice the common ones over the sum of both) grades how alike they are.
 
 Defined results: a null text is empty, and an empty text has one empty section
 and paragraph and no pieces; texts without pieces are alike to degree 1 among themselves and 0 to
