@@ -17,6 +17,12 @@ def _like(a: str, b: str) -> str:
 
 _PIECE = r"(?:[^ \t\r\f\x0B\n]*[^ \t\r\f\x0B\n.!?,;][ \t\r\f\x0B]+){0,3}[^ \t\r\f\x0B\n]+"
 
+
+def _bare_words(text: str) -> str:
+    lower = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
 SQL: dict[str, str] = {
     "op2_merkle": f"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
@@ -54,8 +60,24 @@ parts AS (SELECT n, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEF
 fits AS (SELECT n, arg_max(struct_pack(rule := r.host || r.path, verdict := r.verdict), len(r.host || r.path) * 1000 + len(r.host)) AS best
   FROM parts p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY n)
 SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict FROM parts LEFT JOIN fits USING (n)""",
+    "op11_decontaminate": f"""
+WITH docs AS (SELECT row_number() OVER () AS n, doc_id, {_bare_words("text")} AS w FROM documents),
+items AS (SELECT item_id, {_bare_words("text")} AS w FROM benchmark WHERE item_id IS NOT NULL),
+phrases AS (SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS phrase
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM items WHERE len(w) > 0)),
+places AS (SELECT n, size, i, array_to_string(w[i:i + size - 1], ' ') AS phrase
+  FROM (SELECT n, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM docs, (SELECT DISTINCT size FROM phrases))),
+hits AS (SELECT DISTINCT n, i, size FROM places SEMI JOIN phrases USING (size, phrase)),
+hit_words AS (SELECT n, i + unnest(range(0, size)) AS spot FROM hits),
+spots AS (SELECT DISTINCT n, spot FROM hit_words),
+totals AS (SELECT n, count(*) AS n_hit, count(*) FILTER (follows IS NULL) AS n_spans
+  FROM (SELECT a.n, b.spot AS follows FROM spots a LEFT JOIN spots b ON a.n = b.n AND b.spot = a.spot - 1) GROUP BY n),
+named AS (SELECT n, list(DISTINCT item_id::VARCHAR) AS ids FROM places JOIN phrases USING (size, phrase) GROUP BY n)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(ids), 0)::BIGINT AS n_items,
+  sha256(coalesce(array_to_string(list_sort(ids), ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_spans, 0) AS n_spans
+FROM docs LEFT JOIN totals USING (n) LEFT JOIN named USING (n)""",
 }
 
 
 def registry() -> dict[str, str]:
-    return dict(SQL)
+    return dict(SQL)
\ No newline at end of file

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat_format, lm_trie, merkle, mil_toxicity, ngram_join, packing, pq_neardup, substring_dedup, url_rules, viterbi_pieces
+from plumbline.llm import chat_format, decontaminate, lm_trie, merkle, mil_toxicity, ngram_join, packing, pq_neardup, substring_dedup, url_rules, viterbi_pieces
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,5 +81,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.parse(docs, keep_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256", "factors")
 
 
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", F.size("spans").cast("bigint").alias("n_spans"))
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
