@@ -76,6 +76,18 @@ named AS (SELECT n, list(DISTINCT item_id::VARCHAR) AS ids FROM places JOIN phra
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(ids), 0)::BIGINT AS n_items,
   sha256(coalesce(array_to_string(list_sort(ids), ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_spans, 0) AS n_spans
 FROM docs LEFT JOIN totals USING (n) LEFT JOIN named USING (n)""",
+    "op12_ranked_search": f"""
+WITH docs AS (SELECT row_number() OVER () AS n, doc_id, {_bare_words("text")} AS w FROM documents WHERE doc_id IS NOT NULL),
+totals AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM docs),
+parts AS (SELECT n, any_value(doc_id) AS doc_id, any_value(size)::BIGINT AS size, term, count(*) AS tf
+  FROM (SELECT n, doc_id, len(w) AS size, unnest(w) AS term FROM docs) GROUP BY n, term),
+item_terms AS (SELECT DISTINCT item_id, unnest({_bare_words("text")}) AS term FROM benchmark WHERE item_id IS NOT NULL),
+weights AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM parts, totals GROUP BY term),
+scores AS (SELECT item_id, n, any_value(doc_id) AS doc_id,
+    sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * size * n_docs) // n_terms))))::BIGINT AS score
+  FROM item_terms JOIN parts USING (term) JOIN weights USING (term), totals GROUP BY item_id, n)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scores WHERE score > 0
+QUALIFY rank <= 50""",
 }
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat_format, decontaminate, lm_trie, merkle, mil_toxicity, ngram_join, packing, pq_neardup, substring_dedup, url_rules, viterbi_pieces
+from plumbline.llm import chat_format, decontaminate, lm_trie, merkle, mil_toxicity, ngram_join, packing, pq_neardup, ranked_search, substring_dedup, url_rules, viterbi_pieces
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,5 +88,9 @@ def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", F.size("spans").cast("bigint").alias("n_spans"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
