@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat_format, decontaminate, lm_trie, merkle, mil_toxicity, ngram_join, packing, pq_neardup, ranked_search, substring_dedup, url_rules, viterbi_pieces
+from plumbline.llm import chat_format, decontaminate, hard_negatives, lm_trie, merkle, mil_toxicity, ngram_join, packing, pq_neardup, ranked_search, substring_dedup, url_rules, viterbi_pieces
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,5 +92,12 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hard_negatives.usable(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = rows.select("vec_id", label.alias("label"), hard_negatives.whole_numbers(F.col("embedding")).alias("q"))
+    return hard_negatives.mine(whole, F.col("vec_id") % 50 == 0)
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
