@@ -44,7 +44,8 @@ class Gnat:
         while todo:
             rows, parent, child = todo.pop()
             chosen, away = [], np.full(len(rows), np.inf)
-            while len(chosen) < min(fanout, len(rows)) and (not chosen or away.max() > 0):
+            wanted = min(fanout, len(rows), 1 - -len(rows) // leaf_rows)  # no more than the leaves it takes, and one
+            while len(chosen) < max(2, wanted) and (not chosen or away.max() > 0) and len(rows):
                 chosen.append(int(np.argmax(away)) if chosen else 0)
                 away = np.minimum(away, squares(sample[rows], sample[rows[chosen[-1:]]])[:, 0])
             if parent >= 0 and len(chosen) < 2:

@@ -36,8 +36,8 @@ from plumbline.llm.sizing import hot_join, pieces
 POSITIVES, NEGATIVES = 5, 3
 FLOOR, CEILING = 50, 95  # a negative's share of the positive's score, in hundredths
 SAMPLE_ROWS, SAMPLE_BYTES = 8192, 16 << 20
-LEAF_ROWS, LEAST_SAMPLE = 2048, 8
-TILE_ROWS, ASKERS, GROUP = 4096, 64, 128
+LEAF_ROWS, LEAST_SAMPLE = 4096, 8
+TILE_ROWS, ASKERS, GROUP = 8192, 64, 128
 _STATE = ("block long, unit string, label long, q binary, leaf long, "
           "pos_score array<long>, pos_id array<long>, neg_slot array<long>, neg_score array<long>, neg_id array<long>")
 _ASK = "leaf long, chunk long, block long, member array<long>, q binary, label array<long>, least array<double>, most array<double>"
@@ -210,15 +210,17 @@ def _answer(width: int, positive: bool, kept: int) -> Callable[[pa.Table, pa.Tab
             least, most = (np.array(asks.column(c)[a].as_py(), dtype=np.float64).reshape(len(member), -1) for c in ("least", "most"))
             scores = (_unpack(asks.column("q").slice(a, 1), width) @ x.T)[:, unit]
             found: list[tuple] = []
+            floor, ceiling = np.nanmin(least, axis=1), np.nanmax(most, axis=1)
             for r in range(len(member)):
-                able = np.flatnonzero(labels == label[r]) if positive else np.flatnonzero(labels != label[r])
-                own = scores[r, able]
-                for w in range(least.shape[1]):
-                    fits = np.flatnonzero((own >= least[r, w]) & (own <= most[r, w]))
-                    if len(fits) > 4 * kept:
-                        fits = fits[own[fits] >= np.partition(own[fits], -kept)[-kept]]
-                    fits = fits[np.argsort(-own[fits], kind="stable")[:kept]]
-                    found.append((np.full(len(fits), member[r]), np.full(len(fits), w), own[fits].astype(np.int64), ids[able[fits]]))
+                own = scores[r]
+                able = np.flatnonzero((own >= floor[r]) & (own <= ceiling[r]) & ((labels == label[r]) == positive))
+                able = able[np.argsort(-own[able], kind="stable")]
+                falling = own[able]
+                from_, to = np.searchsorted(-falling, -most[r]), np.searchsorted(-falling, -least[r], side="right")
+                spot = from_[:, None] + np.arange(kept)
+                w, k = np.nonzero(spot < to[:, None])
+                pick = able[spot[w, k]]
+                found.append((np.full(len(pick), member[r]), w, own[pick].astype(np.int64), ids[pick]))
             parts = [np.concatenate(c) for c in zip(*found)]
             if len(parts[0]):
                 for name, value in zip(out, [asks.column("block")[a].as_py(), *[p.tolist() for p in parts]]):
