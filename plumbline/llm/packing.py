@@ -31,6 +31,7 @@ WINDOW = 4096
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
 _SLICE, _WORDS = 2 << 20, 8192  # bytes of text and words at a time
+_LINE = 64  # words that the tokenizer gets as one text
 
 
 def vocabulary_path() -> str:
@@ -61,10 +62,16 @@ class WordIds:
             flat, sizes = [], []
             for k in range(0, len(at), _WORDS):
                 some = at[k: k + _WORDS]
-                ids = [e.ids for e in self.tokenizer.encode_batch_fast(
-                    [raw[a:b].decode("utf-8", "replace") for a, b in zip(words.starts[some], words.ends[some])], add_special_tokens=False)]
-                sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
-                flat.append(np.fromiter((x for i in ids for x in i), np.int32, int(sizes[-1].sum())))
+                own = [raw[a:b] for a, b in zip(words.starts[some], words.ends[some])]
+                lines = [b" ".join(own[j: j + _LINE]).decode("utf-8", "replace") for j in range(0, len(own), _LINE)]
+                # a token belongs to the word in whose characters it starts
+                begin = np.cumsum([0, *(len(w.decode("utf-8", "replace")) + 1 for w in own)])[:-1]
+                line_at = begin[::_LINE]
+                made = self.tokenizer.encode_batch(lines, add_special_tokens=False)
+                n = np.fromiter((len(e.ids) for e in made), np.int64, len(made))
+                start = np.fromiter((o[0] for e in made for o in e.offsets), np.int64, int(n.sum())) + np.repeat(line_at, n)
+                sizes.append(np.bincount(np.searchsorted(begin, start, side="right") - 1, minlength=len(own)))
+                flat.append(np.fromiter((x for e in made for x in e.ids), np.int32, int(n.sum())))
             return np.concatenate(flat), np.concatenate(sizes)
 
         ids, upto = self.store.expand(words.hashes()[0], learn)
