@@ -6,8 +6,10 @@ A sentence's chance is a logistic function of the words in it and of their
 document labels, and the fitted sentence chances then say where the offence is.
 
 Defined results: a null or empty text scores 0; rows with a null label, and
-held-out rows, teach nothing; repeated rows are scored alike; a training table
-without toxic rows gives a model that scores 0 everywhere.
+held-out rows, teach nothing; repeated rows are scored alike; a document with
+contradicting labels counts as toxic, one doc_id with several texts teaches by
+the text of smallest hash; a training table without toxic rows gives a model
+that scores 0 everywhere.
 """
 
 from __future__ import annotations
@@ -17,15 +19,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.functions.ordering import stage_table
 from plumbline.llm.arrow_steps import add_columns
 from plumbline.llm.words import BARE, byte_slices, tokenise
 
 # training rows per class, taken in hash order of doc_id: the bounded sample that the classifier is fitted on
-SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 3000
+SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 4000
 PREFIXES = (4, 5, 6)
 FEATURES = 8192      # most features kept by screening
 MIN_DOCS = 3         # toxic documents a feature must appear in
@@ -62,30 +65,56 @@ def _sentences(texts: pa.Array):
     return words, np.searchsorted(ends, words.starts, side="right"), np.searchsorted(ends, words.text_at, side="right"), ends
 
 
-def _training_rows(rows: DataFrame) -> DataFrame:
-    """(toxic, sentence lengths, feature hashes) of each training document, made in the tasks."""
-
+def _text_features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(sentence of each entry, feature hash) of each text, every feature once a sentence; sentences count from 0."""
+    words, sentence, _, _ = _sentences(texts)
+    hashes = np.stack(words.hashes(*PREFIXES), axis=1) if len(words.starts) else np.zeros((0, 1), np.uint64)
+    for a, b in zip(words.first[:-1], words.first[1:]):
+        _, own = np.unique(sentence[a:b], return_inverse=True)
+        pairs = np.unique(np.stack([np.repeat(own, hashes.shape[1]).astype(np.uint64), hashes[a:b].ravel()], axis=1), axis=0)
+        yield pairs[:, 0].astype(np.int64), pairs[:, 1]
+
+
+def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(feature, toxic documents, other documents) that hold it, counted per slice of text."""
+    none = np.zeros(0, np.uint64)
+    for batch in batches:
+        labels = batch.column("toxic").to_numpy()
+        for at, texts in byte_slices(batch.column("text")):
+            found: dict[int, list] = {0: [none], 1: [none]}
+            for i, (_, feats) in enumerate(_text_features(texts)):
+                found[int(labels[at + i])].append(np.unique(feats))
+            toxic, clean = np.concatenate(found[1]), np.concatenate(found[0])
+            keys, code = np.unique(np.concatenate([toxic, clean]), return_inverse=True)
+            yield pa.RecordBatch.from_pydict({
+                "feature": pa.array(keys.view(np.int64)), "toxic": pa.array(np.bincount(code[: len(toxic)], minlength=len(keys))),
+                "clean": pa.array(np.bincount(code[len(toxic):], minlength=len(keys)))})
+
+
+def _hits(keys: np.ndarray):
+    """Per training document: label, number of sentences with words, and (sentence, place in ``keys``) of the features kept."""
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels = batch.column("toxic").to_pylist()
-            sizes, feats = [], []
+            out: dict[str, list] = {"sentences": [], "sent": [], "col": []}
             for _, texts in byte_slices(batch.column("text")):
-                words, sentence, _, _ = _sentences(texts)
-                hashes = np.stack(words.hashes(*PREFIXES), axis=1) if len(words.starts) else np.zeros((0, 1), np.uint64)
-                for a, b in zip(words.first[:-1], words.first[1:]):
-                    pairs = np.unique(np.stack([np.repeat(sentence[a:b], hashes.shape[1]).astype(np.uint64),
-                                                hashes[a:b].ravel()], axis=1), axis=0)
-                    _, n = np.unique(pairs[:, 0], return_counts=True)
-                    sizes.append(n.astype(np.int32).tobytes())
-                    feats.append(pairs[:, 1].tobytes())
-            yield pa.RecordBatch.from_pydict({"toxic": pa.array(labels, pa.int32()), "sizes": pa.array(sizes, pa.binary()),
-                                              "feats": pa.array(feats, pa.binary())})
+                for sentence, feats in _text_features(texts):
+                    k = np.minimum(np.searchsorted(keys, feats), len(keys) - 1)
+                    hit = keys[k] == feats
+                    out["sentences"].append(int(sentence.max()) + 1 if len(sentence) else 0)
+                    out["sent"].append(sentence[hit].astype("<i4").tobytes())
+                    out["col"].append(k[hit].astype("<i4").tobytes())
+            yield pa.RecordBatch.from_pydict({"toxic": batch.column("toxic"), "sentences": pa.array(out["sentences"], pa.int64()),
+                                              "sent": pa.array(out["sent"], pa.binary()), "col": pa.array(out["col"], pa.binary())})
 
-    return rows.mapInArrow(step, "toxic int, sizes binary, feats binary")
+    return step
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on a bounded sample of the labelled rows of ``docs`` (doc_id, text) that are not held out."""
+    """Fit on a bounded sample of the labelled rows of ``docs`` (doc_id, text) that are not held out.
+
+    Features are screened by grouped counts; the driver gets only the features kept and, of each sampled document,
+    the number of its sentences and where kept features stand.
+    """
     learn = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     present = learn.join(docs.select("doc_id"), "doc_id", "left_semi")
     picked = None
@@ -93,46 +122,33 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         part = present.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         picked = part if picked is None else picked.unionByName(part)
     ids = picked.collect()  # at most SAMPLE_TOXIC + SAMPLE_CLEAN pairs
+    none = Model(np.zeros(0, np.uint64), np.zeros(0), -40.0)
+    toxic_docs = sum(r.toxic for r in ids)
+    if not toxic_docs:
+        return none
     chosen = docs.sparkSession.createDataFrame([(r.doc_id, r.toxic) for r in ids], "doc_id long, toxic int")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("toxic", "text")
-    return fit([(r.toxic, np.frombuffer(r.sizes, np.int32), np.frombuffer(r.feats, np.uint64)) for r in _training_rows(rows).collect()])
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+    rows = stage_table(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("place", F.row_number().over(first))
+                       .where("place = 1").select("toxic", "text"))
+    counts = rows.mapInArrow(_feature_counts, "feature long, toxic long, clean long").groupBy("feature").agg(
+        F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where(F.col("toxic") >= min(MIN_DOCS, toxic_docs))
+    a, b = F.col("toxic") / F.lit(float(toxic_docs)), F.col("clean") / F.lit(float(max(len(ids) - toxic_docs, 1)))
+    kept = counts.where(a > 2 * b).orderBy(((a - b) / F.sqrt(a + b)).desc(), "feature").limit(FEATURES).collect()
+    if not kept:
+        return none
+    keys = np.sort(np.array([r.feature for r in kept], dtype=np.int64).view(np.uint64))
+    return fit(keys, [(r.toxic, r.sentences, np.frombuffer(r.sent, "<i4"), np.frombuffer(r.col, "<i4"))
+                      for r in rows.mapInArrow(_hits(keys), "toxic int, sentences long, sent binary, col binary").collect()])
 
 
-def fit(bags: list[tuple[int, np.ndarray, np.ndarray]]) -> Model:
-    """Noisy-or logistic model of (label, features per sentence, features) bags."""
+def fit(keys: np.ndarray, bags: list[tuple[int, int, np.ndarray, np.ndarray]]) -> Model:
+    """Noisy-or logistic model of (label, sentences, sentence of each hit, feature of each hit) bags; other sentences count for the bias."""
     y = np.array([b[0] for b in bags], dtype=np.float64)
-    none = Model(np.zeros(0, np.uint64), np.zeros(0), -40.0)
-    if not y.sum():
-        return none
-    doc_feats = [np.unique(b[2]) for b in bags]
-    seen = {}
-    for value in (1, 0):
-        parts = [f for f, b in zip(doc_feats, bags) if b[0] == value]
-        seen[value] = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, int))
-    keys, toxic_docs = seen[1]
-    at = np.searchsorted(seen[0][0], keys)
-    clean_docs = np.zeros(len(keys))
-    if len(seen[0][0]):
-        hit = seen[0][0][np.minimum(at, len(seen[0][0]) - 1)] == keys
-        clean_docs[hit] = seen[0][1][at[hit]]
-    a, b = toxic_docs / max(y.sum(), 1), clean_docs / max((1 - y).sum(), 1)
-    score = (a - b) / np.sqrt(a + b)
-    good = np.flatnonzero((toxic_docs >= min(MIN_DOCS, y.sum())) & (a > 2 * b))
-    good = good[np.argsort(-score[good], kind="stable")[:FEATURES]]
-    keys = np.sort(keys[good])
-    if not len(keys):
-        return none
-    # the bags as (sentence, feature) pairs over the kept features; sentences without any count for the bias alone
-    sent, col, doc, total = [], [], [], 0
-    for i, (_, sizes, feats) in enumerate(bags):
-        owner = np.repeat(np.arange(len(sizes)), sizes) + total
-        k = np.minimum(np.searchsorted(keys, feats), len(keys) - 1)
-        hit = keys[k] == feats
-        sent.append(owner[hit])
-        col.append(k[hit])
-        doc.append(np.full(len(sizes), i))
-        total += len(sizes)
-    sent, col, doc = (np.concatenate(x) for x in (sent, col, doc))
+    sizes = np.array([b[1] for b in bags], dtype=np.int64)
+    before, total = np.cumsum(sizes) - sizes, int(sizes.sum())
+    sent = np.concatenate([b[2] + at for b, at in zip(bags, before)])
+    col = np.concatenate([b[3] for b in bags])
+    doc = np.repeat(np.arange(len(bags)), sizes)
     w = np.zeros(len(keys) + 1)
     w[-1] = START_BIAS
     m, v = np.zeros_like(w), np.zeros_like(w)
