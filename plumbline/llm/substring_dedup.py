@@ -27,6 +27,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,13 +57,13 @@ class Block:
 
     def __init__(self, rows: pa.Table, window: int):
         self.size = window
-        ids = rows.column("doc_id").to_pandas()
-        known = ids.notna().to_numpy()
+        known = pc.is_valid(rows.column("doc_id")).to_numpy()
+        ids = pc.fill_null(rows.column("doc_id"), 0).to_numpy()  # whole numbers throughout: no detour over floats
         digest = [hashlib.md5(t.as_buffer() if t.is_valid else b"").digest() for t in rows.column("text")]
-        order = np.array(sorted(range(len(ids)), key=lambda i: (not known[i], ids[i] if known[i] else 0, digest[i])), dtype=np.int64)
+        order = np.array(sorted(range(len(ids)), key=lambda i: (not known[i], ids[i], digest[i])), dtype=np.int64)
         self.rows = rows.take(pa.array(order))
         self.known = known[order]
-        self.doc = np.array([int(ids[i]) if known[i] else 0 for i in order], dtype=np.int64)
+        self.doc = ids[order].astype(np.int64)
         hashes, counts, self.slices = [], [], []
         for at, texts in byte_slices(self.rows.column("text")):
             words = tokenise(texts)
