@@ -33,10 +33,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.ordering import stage_table
+from plumbline.llm.arrow_steps import add_columns
 from plumbline.llm.components import components, lowest_members
 from plumbline.llm.sizing import hot_join, pieces, text_size
 from plumbline.llm.words import byte_slices, mix, tokenise, window_hashes
@@ -336,12 +338,11 @@ def _tile_links(members: DataFrame, segments: DataFrame, share: int) -> DataFram
             .applyInArrow(tile, "a long, b long"))
 
 
-def similar_classes(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id) of ``docs`` (doc_id, text); component_id is the smallest doc_id linked.
+def _classes(docs: DataFrame, words: int, share: int) -> tuple[DataFrame, DataFrame]:
+    """All rows (doc_id, sid, n), and per set (sid, copies, class, first): a number for its class and the class's first member.
 
-    Sets are linked from a similarity of ``share`` / 100 on.
+    ``first`` is the smallest (doc_id, sid) of the class.
     """
-    docs = docs.select("doc_id", "text")
     shards = pieces(text_size(docs)[1], _SHARD_BYTES)
     sets = stage_table(docs.mapInArrow(_named_sets(words), "doc_id long, sid long, n long"))
     linkable = sets.where("doc_id is not null and n > 0")
@@ -408,16 +409,53 @@ def similar_classes(docs: DataFrame, words: int = WORDS, share: int = SHARE) ->
         members = members.drop("component", "size")
 
     roots = classes.join(joined.withColumnRenamed("node", "sid"), "sid")
-    lowest = roots.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = (classes.join(joined.withColumnRenamed("node", "sid"), "sid", "left").join(lowest, "component", "left")
-             .select("sid", "copies", F.coalesce("component_id", "rep").alias("component_id")))
-    placed = hot_join(linkable, named, "sid", "copies", sets.count())
+    lowest = roots.groupBy("component").agg(F.min(F.struct(F.col("rep").alias("doc_id"), "sid")).alias("lowest"))
+    named = classes.join(joined.withColumnRenamed("node", "sid"), "sid", "left").join(lowest, "component", "left")
+    own = F.struct(F.col("rep").alias("doc_id"), "sid")
+    return sets, named.select("sid", "copies", F.coalesce("component", "sid").alias("class"), F.coalesce("lowest", own).alias("first"))
+
+
+def similar_classes(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
+    """Rows (doc_id, n_shingles, component_id) of ``docs`` (doc_id, text); component_id is the smallest doc_id linked.
+
+    Sets are linked from a similarity of ``share`` / 100 on.
+    """
+    sets, named = _classes(docs.select("doc_id", "text"), words, share)
+    placed = hot_join(sets.where("doc_id is not null and n > 0"), named, "sid", "copies", sets.count())
     alone = sets.where("doc_id is null or n = 0").withColumn("component_id", F.col("doc_id"))
-    return (placed.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return (placed.select("doc_id", F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id"))
             .unionByName(alone.select("doc_id", F.col("n").alias("n_shingles"), "component_id")))
 
 
+def _with_sets(docs: DataFrame, words: int) -> DataFrame:
+    """``docs`` with the name (sid) and size (n) of each row's set."""
+    name = _named_sets(words)
+
+    def make(batch: pa.RecordBatch) -> dict:
+        made = pa.Table.from_batches(list(name(iter([batch.select(["doc_id", "text"])]))))
+        return {"_sid": made.column("sid").combine_chunks(), "_n": made.column("n").combine_chunks()}
+
+    return add_columns(docs, make, [T.StructField("_sid", T.LongType()), T.StructField("_n", T.LongType())])
+
+
 def keep_one(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
-    """One document of each class of similar ones: the smallest doc_id; rows without links stay, columns unchanged."""
-    spare = similar_classes(docs, words, share).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(spare, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One row of each class of similar ones, that of the smallest doc_id; rows without links stay, columns unchanged.
+
+    Rows are judged by their texts, also where a doc_id occurs with several: of (1, a) (1, a) (2, a) (2, b) one row (1, a)
+    and the row (2, b) stay.  Rows of a class that share its smallest doc_id: the one with the smallest hash of all its
+    columns stays.  Rows with an empty set or a null doc_id all stay.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    sets, named = _classes(docs.select("doc_id", "text"), words, share)
+    judged = hot_join(sets.where("doc_id is not null and n > 0"), named, "sid", "copies", sets.count())
+    spare = judged.where(F.struct("doc_id", "sid") != F.col("first")).select("doc_id").distinct()
+    # ids that occur more than once are settled row by row
+    again = stage_table(sets.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    kept = docs.join(spare.unionByName(again), "doc_id", "left_anti").select(*columns)
+    if again.isEmpty():
+        return kept
+    rows = _with_sets(docs.join(again, "doc_id", "left_semi").select(*columns), words)
+    first = named.select(F.col("first.doc_id").alias("doc_id"), F.col("first.sid").alias("_sid")).distinct()
+    pick = Window.partitionBy("doc_id", "_sid").orderBy(F.xxhash64(*columns))
+    chosen = rows.where("_n > 0").join(first, ["doc_id", "_sid"], "left_semi").withColumn("_place", F.row_number().over(pick)).where("_place = 1")
+    return kept.unionByName(rows.where("_n = 0").select(*columns)).unionByName(chosen.select(*columns))

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from plain import awkward_docs, cut_repeats, similar, words
+from plain import awkward_docs, components, cut_repeats, shingles, similar, words
 from plumbline.llm import elias_fano, lm_trie, mil_toxicity, ngram_join, packing, substring_dedup, viterbi_pieces
 from plumbline.llm.words import byte_slices, tokenise
 
@@ -179,11 +180,44 @@ def test_segment_keys_of_empty_fragments():
                 assert set(keys[where == 0].tolist()) & set(keys[where == 1].tolist())
 
 
-def test_keep_one_keeps_columns(spark, docs):
+def plain_keep_one(rows, words, share):
+    """(doc_id, set) of the row that stays of each class, by comparing all sets; and the rows without a set or id, counted."""
+    free = Counter((i, shingles(t, words)) for i, t in rows if i is None or not shingles(t, words))
+    first = {}
+    for i, t in rows:
+        s = shingles(t, words)
+        if i is not None and s:
+            first[s] = min(first.get(s, i), i)
+    sets = list(first)
+    links = [(x, y) for x in range(len(sets)) for y in range(x) if 100 * len(sets[x] & sets[y]) >= share * len(sets[x] | sets[y])]
+    classes = {}
+    for x, root in components(range(len(sets)), links).items():
+        classes.setdefault(root, []).append(sets[x])
+    return [min(first[s] for s in own) for own in classes.values()], free
+
+
+def test_keep_one_keeps_one_row_of_each_class(spark, docs):
     kept = ngram_join.keep_one(docs, 5, 80)
     assert kept.columns == docs.columns
-    want = similar(texts_of(docs), 5, 80)
-    assert Counter(r.doc_id for r in kept.collect()) == Counter(i for i, _ in texts_of(docs) if i is None or want[i] == i)
+    want, free = plain_keep_one(texts_of(docs), 5, 80)
+    got = [(r.doc_id, shingles(r.text, 5)) for r in kept.collect()]
+    assert Counter(g for g in got if g[0] is None or not g[1]) == free
+    assert Counter(i for i, s in got if i is not None and s) == Counter(want)
+
+
+def test_keep_one_judges_rows_not_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(12)) for x in "abc")
+    rows = [(1, a), (1, a), (2, a), (2, b), (3, c), (3, c.upper()), (4, b), (None, a), (5, ""), (5, b), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), (r.text or "").lower()) for r in ngram_join.keep_one(df).collect())
+    assert got == sorted([("1", a), ("2", b), ("3", c), ("None", a), ("5", ""), ("5", "")])
+
+
+def test_substring_dedup_of_large_ids_beside_nulls(spark):
+    passage = " ".join(f"w{i}" for i in range(40))
+    rows = [(2 ** 60 + 1, passage), (2 ** 60, passage), (None, passage), (2 ** 60 + 2, None)]
+    out = substring_dedup.parse(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted((str(r.doc_id), r.n_removed) for r in out) == sorted([(str(2 ** 60), 0), (str(2 ** 60 + 1), 40), ("None", 0), (str(2 ** 60 + 2), 0)])
 
 
 @pytest.mark.parametrize("k,block_bytes", [(13, 6 << 20), (13, 3000), (50, 3000)])
@@ -307,6 +341,54 @@ def test_toxicity_learns_sentences_from_documents(spark):
     assert {r.score for r in mil_toxicity.score(docs, none).collect()} == {0.0} or max(r.score for r in mil_toxicity.score(docs, none).collect()) < 1e-9
 
 
+def plain_chance(model, text):
+    """Noisy-or over the sentences of one text, word by word."""
+    weight = dict(zip(model.keys.tolist(), model.weights.tolist()))
+    clean = 1.0
+    for sentence in re.split(r"[.!?\n]", re.sub("[A-Z]", lambda m: m.group().lower(), text or "")):
+        found = set()
+        for word in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", sentence):
+            raw = word.encode()
+            found.update(int(part_hash(raw, kind)) for kind in range(1 + len(mil_toxicity.PREFIXES)))
+        if found:
+            clean *= 1 - 1 / (1 + math.exp(-(model.bias + sum(weight.get(f, 0.0) for f in found))))
+    return 1 - clean
+
+
+def part_hash(raw, kind=0):
+    """The feature hash of a word (kind 0) or of one of its beginnings."""
+    n = len(raw)
+    texts = pa.LargeStringArray.from_buffers(1, pa.py_buffer(np.array([0, n], np.int64).tobytes()), pa.py_buffer(raw))
+    return tokenise(texts, breaks=np.zeros(256, bool)).hashes(*mil_toxicity.PREFIXES)[kind][0]
+
+
+def test_toxicity_scores_are_the_noisy_or_of_the_weights(spark, docs):
+    rng = np.random.default_rng(9)
+    texts = [(" ".join(f"w{rng.integers(0, 60)}" for _ in range(5)) + rng.choice([". ", "! ", "\n"])) * 3 + (" grumbling é" if i % 3 == 0 else "") for i in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = mil_toxicity.train(df, spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(200)], "doc_id long, toxic int"))
+    assert len(model.keys) and set(np.sort(model.keys).tolist()) == set(model.keys.tolist())
+    for rows in (df.collect(), docs.collect()):
+        got = mil_toxicity.score_texts(model, pa.array([r.text or "" for r in rows], pa.large_string()))[0]
+        assert np.allclose(got, [plain_chance(model, r.text) for r in rows], atol=1e-12)
+
+
+def test_toxicity_screening_equals_counting_by_hand(spark):
+    """The features kept are the best by document counts; the driver gets hits on them alone."""
+    rows = [(i, ("bad thing. " if i % 2 else "good thing. ") + f"word{i}", i % 2) for i in range(40)]
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = mil_toxicity.train(df, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    assert model.keys.tolist() == sorted(int(part_hash(b"bad", kind)) for kind in range(4))
+
+
+def test_toxicity_of_one_id_with_two_texts_is_reproducible(spark):
+    rows = [(i, f"{'foul' if i % 2 else 'fair'} words here {i}") for i in range(60)] + [(1, "another text"), (3, None)]
+    labels = [(i, i % 2) for i in range(60)] + [(4, 1)]
+    made = [mil_toxicity.train(spark.createDataFrame(rows[::step], "doc_id long, text string").repartition(n),
+                               spark.createDataFrame(labels[::step], "doc_id long, toxic int")) for step, n in ((1, 1), (-1, 5))]
+    assert made[0].keys.tolist() == made[1].keys.tolist() and np.allclose(made[0].weights, made[1].weights)
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     labels = spark.createDataFrame([], "doc_id long, toxic int")
