@@ -2,16 +2,17 @@
 
 ``series_rows`` puts every value column of a table into one long, globally
 indexed frame (series, ts, value, idx).  All later steps are aggregates over
-``idx`` or lags inside equal-sized neighbour blocks, keyed by series.
+``idx``, or stream the sorted partitions with a few rows from their neighbours.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +20,8 @@ from pyspark.sql import types as T
 from plumbline import settings
 from plumbline.functions import tails
 from plumbline.functions.columns import nan_to_null, numeric_columns, percent, ref, rows_from
-from plumbline.functions.ordering import block_window, neighbour_blocks, ordered_index, running_totals, stage_table
+from plumbline.functions.ordering import block_window, neighbour_blocks, ordered_index, stage_table
+from plumbline.functions.streams import Chunk, frame_sums, over_neighbours
 
 _SERIES = "series"
 
@@ -92,10 +94,27 @@ def trend(rows: DataFrame) -> DataFrame:
         *[F.when(enough, F.col(c)).alias(c) for c in ("mean", "std", "min", "max")])
 
 
+def _facts(rows: DataFrame) -> dict:
+    """Size, mean and extremes by series: one entry per value column."""
+    return {r[_SERIES]: r for r in _per_series(rows).collect()}
+
+
+def _kind(rows: DataFrame, column: str) -> str:
+    return rows.schema[column].dataType.simpleString()
+
+
 def _steps(rows: DataFrame) -> DataFrame:
-    blocks = neighbour_blocks(rows, back=1)
-    step = F.col("value") - F.lag("value").over(block_window(_SERIES))
-    return blocks.withColumn("step", step).where("home and step is not null").select(_SERIES, "ts", "idx", "step")
+    """Each row but the first with its difference from the row before; one stream over the sorted rows."""
+    def step(chunks: Iterator[Chunk]) -> Iterator[pa.RecordBatch]:
+        for c in chunks:
+            change = c.own - c.at(-1)
+            there = np.flatnonzero(c.first + np.arange(len(change)) > c.first - c.lead)
+            kept = c.rows.take(pa.array(there)).combine_chunks()
+            for part in kept.select([_SERIES, "ts", "idx"]).append_column("step", pa.array(change[there])).to_batches():
+                yield part
+
+    return over_neighbours(rows.select(_SERIES, "ts", "idx", "value"), _SERIES, 1, 0, step,
+                           f"series string, ts {_kind(rows, 'ts')}, idx bigint, step double")
 
 
 def changepoint_rows(rows: DataFrame, sigmas: float = settings.CHANGEPOINT_SIGMAS) -> DataFrame:
@@ -145,22 +164,23 @@ def first_changepoints(rows: DataFrame, sigmas: float = settings.CHANGEPOINT_SIG
 
 # ---- autocorrelation --------------------------------------------------------
 
-def _lag_products(rows: DataFrame, lags: int) -> DataFrame:
+def _lag_products(rows: DataFrame, lags: int, facts: dict) -> DataFrame:
     """Rows (series, n, lag, total): sums of centred products of values ``lag`` apart, lags 0..``lags``."""
-    usual = _per_series(rows).select(_SERIES, "n", "mean")
-    centred = (rows.join(F.broadcast(usual), _SERIES)
-               .select(_SERIES, "idx", "n", (F.col("value") - F.col("mean")).alias("x")))
-
-    def products(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("idx")
-        x, home = block["x"].to_numpy(), block["home"].to_numpy()
-        own = np.where(home, x, 0.0)
-        return pd.DataFrame({
-            "series": block["series"].iloc[0], "n": block["n"].iloc[0], "lag": np.arange(lags + 1),
-            "total": [float(own[k:] @ x[:len(x) - k]) if k < len(x) else 0.0 for k in range(lags + 1)]})
-
-    return (neighbour_blocks(centred, back=lags).groupBy(_SERIES, "blk")
-            .applyInPandas(products, "series string, n bigint, lag bigint, total double")
+    facts = {name: (r.n, r.mean) for name, r in facts.items()}
+
+    def step(chunks: Iterator[Chunk]) -> Iterator[pa.RecordBatch]:
+        totals: dict[str, np.ndarray] = {}
+        for c in chunks:
+            x = c.values - facts[c.group][1]
+            own = np.zeros(len(x))
+            own[c.lead: c.lead + len(c.rows)] = x[c.lead: c.lead + len(c.rows)]
+            found = np.array([float(own[k:] @ x[:len(x) - k]) if k < len(x) else 0.0 for k in range(lags + 1)])
+            totals[c.group] = totals.get(c.group, 0.0) + found
+        for name, total in totals.items():
+            yield pa.RecordBatch.from_pydict({"series": [name] * (lags + 1), "n": [facts[name][0]] * (lags + 1),
+                                              "lag": np.arange(lags + 1), "total": total})
+
+    return (over_neighbours(rows.select(_SERIES, "idx", "value"), _SERIES, lags, 0, step, "series string, n bigint, lag bigint, total double")
             .groupBy(_SERIES, "n", "lag").agg(F.sum("total").alias("total")))
 
 
@@ -170,7 +190,7 @@ def autocorrelation(rows: DataFrame, lags: int = settings.ACF_LAGS) -> DataFrame
     A series with fewer than ``lags + 5`` values gives one row without lag.
     """
     per_lag = Window.partitionBy(_SERIES)  # lags + 1 rows
-    sums = _lag_products(rows, lags).withColumn(
+    sums = _lag_products(rows, lags, _facts(rows)).withColumn(
         "power", F.max(F.when(F.col("lag") == 0, F.col("total"))).over(per_lag))
     enough = F.col("n") >= lags + 5
     return sums.where(enough | (F.col("lag") == 0)).select(
@@ -236,37 +256,39 @@ _ADF_SCHEMA = ("series string, n_total bigint, status string, statistic double,
 def stationarity(rows: DataFrame) -> DataFrame:
     """Augmented Dickey-Fuller test with a constant, lag chosen by AIC.
 
-    Blocks return the cross products of the regression's columns; their sum
-    serves every lag, so the data is read once.  The longest lag grows with
+    Tasks stream their rows and return the cross products of the regression's columns;
+    their sum serves every lag, so the sorted data is read once.  The longest lag grows with
     n^(1/4), and the sums with its square.
     """
-    usual = _per_series(rows).select(_SERIES, "n", "mean", "low", "high")
-    sizes = {r.series: r.n for r in usual.collect()}  # one entry per value column
-    longest = max((adf_max_lag(n) for n in sizes.values() if n >= 10), default=0)
-    centred = (rows.join(F.broadcast(usual.where("n >= 10 and high > low")), _SERIES)
-               .select(_SERIES, "idx", "n", (F.col("value") - F.col("mean")).alias("y")))
-    blocks = neighbour_blocks(centred, back=longest + 1)
-
-    def products(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("idx")
-        series, n, at = block["series"].iloc[0], int(block["n"].iloc[0]), block["idx"].to_numpy()
-        lags, y = adf_max_lag(n), block["y"].to_numpy()
-        d = np.diff(y, prepend=np.nan)
-        use = np.flatnonzero(block["home"].to_numpy() & (at >= lags + 1))
-        z = np.empty((len(use), lags + 3))
-        if len(use):
-            z[:, 0], z[:, 1], z[:, 2] = d[use], 1.0, y[use - 1]
-            for k in range(1, lags + 1):
-                z[:, k + 2] = d[use - k]
-        gram = z.T @ z
-        i, j = np.triu_indices(lags + 3)
-        out = pd.DataFrame({"series": series, "n": n, "i": i, "j": j, "v": gram[i, j]})
-        head = block[block["home"] & (at <= lags)]  # the first values, for the refit on more rows
-        if len(head):
-            out = pd.concat([out, pd.DataFrame({"series": series, "n": n, "i": -1, "j": head["idx"], "v": head["y"]})])
-        return out
-
-    sums = (blocks.groupBy(_SERIES, "blk").applyInPandas(products, "series string, n bigint, i int, j int, v double")
+    every = _facts(rows)
+    facts = {name: (r.n, r.mean) for name, r in every.items() if r.n >= 10 and r.high > r.low}
+    longest = max((adf_max_lag(n) for n, _ in facts.values()), default=0)
+
+    def step(chunks: Iterator[Chunk]) -> Iterator[pa.RecordBatch]:
+        grams: dict[str, np.ndarray] = {}
+        for c in chunks:
+            n, mean = facts[c.group]
+            lags, y = adf_max_lag(n), c.values - mean
+            d = np.diff(y, prepend=np.nan)
+            at = c.first + np.arange(len(c.rows))
+            use = c.lead + np.flatnonzero(at >= lags + 1)
+            z = np.empty((len(use), lags + 3))
+            if len(use):
+                z[:, 0], z[:, 1], z[:, 2] = d[use], 1.0, y[use - 1]
+                for k in range(1, lags + 1):
+                    z[:, k + 2] = d[use - k]
+            grams[c.group] = grams.get(c.group, 0.0) + z.T @ z
+            head = np.flatnonzero(at <= lags)  # the first values, for the refit on more rows
+            if len(head):
+                yield pa.RecordBatch.from_pydict({"series": [c.group] * len(head), "n": [n] * len(head), "i": pa.array([-1] * len(head), pa.int32()),
+                                                  "j": pa.array(at[head], pa.int32()), "v": c.own[head] - mean})
+        for name, gram in grams.items():
+            i, j = np.triu_indices(len(gram))
+            yield pa.RecordBatch.from_pydict({"series": [name] * len(i), "n": [facts[name][0]] * len(i), "i": pa.array(i, pa.int32()),
+                                              "j": pa.array(j, pa.int32()), "v": gram[i, j]})
+
+    sums = (over_neighbours(rows.where(F.col(_SERIES).isin(list(facts))).select(_SERIES, "idx", "value"), _SERIES, longest + 1, 0, step,
+                            "series string, n bigint, i int, j int, v double")
             .groupBy(_SERIES, "n", "i", "j").agg(F.sum("v").alias("v")))
 
     def finish(table: pd.DataFrame) -> pd.DataFrame:
@@ -300,18 +322,48 @@ def stationarity(rows: DataFrame) -> DataFrame:
 
     names = [part.split()[0] for part in _ADF_SCHEMA.split(", ")]
     tested = sums.groupBy(_SERIES).applyInPandas(finish, _ADF_SCHEMA)
-    rest = usual.where("n < 10 or high = low").select(
-        _SERIES, F.col("n").alias("n_total"),
-        F.when(F.col("n") < 10, F.lit("insufficient_data")).otherwise("constant").alias("status"))
+    rest = rows.sparkSession.createDataFrame(
+        [(name, r.n, "insufficient_data" if r.n < 10 else "constant") for name, r in every.items() if name not in facts],
+        "series string, n_total bigint, status string")
     return nan_to_null(tested).unionByName(rest, allowMissingColumns=True)
 
 
+def _running_squares(rows: DataFrame, facts: dict) -> DataFrame:
+    """(series, squares): the sum of the squared running sums of the centred values.
+
+    A task returns one line per series: rows, total, and the sums of its own running sums and of their squares; lines in a
+    row are joined by B, the total before: sum (B + s)^2 = sum s^2 + 2 B sum s + rows B^2.
+    """
+    means = {name: r.mean for name, r in facts.items()}
+
+    def step(chunks: Iterator[Chunk]) -> Iterator[pa.RecordBatch]:
+        lines: dict[str, list] = {}
+        for c in chunks:
+            upto = np.cumsum(c.own - means[c.group])
+            line = lines.setdefault(c.group, [c.first, 0, 0.0, 0.0, 0.0])
+            upto += line[2]
+            line[1:] = [line[1] + len(upto), float(upto[-1]), line[3] + float(upto.sum()), line[4] + float(upto @ upto)]
+        for name, line in lines.items():
+            yield pa.RecordBatch.from_pydict({"series": [name]} | {k: [v] for k, v in zip(("first", "n", "total", "sums", "squares"), line)})
+
+    def join(table: pd.DataFrame) -> pd.DataFrame:
+        table = table.sort_values("first")
+        before = table["total"].cumsum().shift(fill_value=0.0)
+        whole = table["squares"] + 2 * before * table["sums"] + table["n"] * before * before
+        return pd.DataFrame({"series": [table["series"].iloc[0]], "squares": [float(whole.sum())]})
+
+    lines = over_neighbours(rows.select(_SERIES, "idx", "value"), _SERIES, 0, 0, step,
+                            "series string, first bigint, n bigint, total double, sums double, squares double")
+    return lines.groupBy(_SERIES).applyInPandas(join, "series string, squares double")  # a line per task
+
+
 def kpss(rows: DataFrame, lags: int | None = None) -> DataFrame:
     """KPSS test around a constant: small p speaks against stationarity.
 
     ``lags`` defaults to ceil(12 (n/100)^(1/4)) of each series; products are summed up to the largest once.
     """
-    sizes = [r.n for r in _per_series(rows).collect()]  # one entry per value column
+    facts = _facts(rows)
+    sizes = [r.n for r in facts.values()]
 
     def default(n: int) -> int:
         return min(n - 1, math.ceil(12.0 * (n / 100.0) ** 0.25))
@@ -319,14 +371,9 @@ def kpss(rows: DataFrame, lags: int | None = None) -> DataFrame:
     most = lags if lags is not None else max(map(default, sizes), default=0)
     # as many branches as there are value columns
     own = F.lit(lags) if lags is not None else F.coalesce(*[F.when(F.col("n") == n, default(n)) for n in dict.fromkeys(sizes)], F.lit(0))
-    usual = _per_series(rows).select(_SERIES, "n", "mean")
-    centred = (rows.join(F.broadcast(usual), _SERIES)
-               .select(_SERIES, "idx", "n", (F.col("value") - F.col("mean")).alias("e")))
-    through = F.col("before_e") + F.col("e")
-    partial = (running_totals(centred, _SERIES, ["idx"], ["e"]).groupBy(_SERIES)
-               .agg(F.sum(through * through).alias("squares")))
+    partial = _running_squares(rows, facts)
     weight = F.when(F.col("lag") == 0, 1.0).otherwise(2.0 * (1.0 - F.col("lag") / (own + 1.0)))
-    long_run = _lag_products(rows, most).where(F.col("lag") <= own).groupBy(_SERIES, "n").agg(F.sum(weight * F.col("total")).alias("long_run"))
+    long_run = _lag_products(rows, most, facts).where(F.col("lag") <= own).groupBy(_SERIES, "n").agg(F.sum(weight * F.col("total")).alias("long_run"))
     table = long_run.join(F.broadcast(partial), _SERIES).select(
         _SERIES, F.col("n").alias("n_obs"), own.cast("bigint").alias("n_lags"),
         F.try_divide(F.col("squares"), F.col("n") * F.col("long_run")).alias("statistic"))
@@ -350,6 +397,29 @@ def _whole_series(df: DataFrame, time_col: str, value_cols: Sequence[str]) -> tu
     return whole, positive
 
 
+_PHASES = 200_000
+
+
+def _smoothed(rows: DataFrame, sizes: dict[str, int], period: int) -> DataFrame:
+    """The rows with ``trend``, the centred moving average over one period: one stream, whatever the period."""
+    half = period // 2
+
+    def step(chunks: Iterator[Chunk]) -> Iterator[pa.RecordBatch]:
+        for c in chunks:
+            trend = np.full(len(c.rows), np.nan)
+            low, high = max(half - c.first, 0), min(sizes[c.group] - half - c.first, len(trend))  # rows with a whole frame
+            if low < high:
+                a, b = c.lead + low - half, c.lead + high + half
+                sums = frame_sums(c.values[a:b], 2 * half + 1)
+                if period % 2 == 0:
+                    sums -= (c.values[a: b - 2 * half] + c.values[a + 2 * half: b]) / 2.0
+                trend[low:high] = sums / period
+            made = c.rows.select([_SERIES, "idx", "ts", "value"]).append_column("trend", pa.array(trend, from_pandas=True))
+            yield from made.combine_chunks().to_batches()
+
+    return over_neighbours(rows, _SERIES, half, half, step, f"series string, idx bigint, ts {_kind(rows, 'ts')}, value double, trend double")
+
+
 def decompose(rows: DataFrame, period: int = settings.SEASONAL_PERIOD, model: str = "additive") -> DataFrame:
     """Classical decomposition: rows (series, method, idx, ts, value, trend, seasonal, residual).
 
@@ -362,19 +432,9 @@ def decompose(rows: DataFrame, period: int = settings.SEASONAL_PERIOD, model: st
     if model not in ("additive", "multiplicative"):
         raise ValueError(f"unknown model {model!r}")
     ratio = model == "multiplicative"
-    usual = _per_series(rows).where(F.col("n") >= 2 * period)
-    if ratio:
-        usual = usual.where("low > 0")
-    kept = rows.join(F.broadcast(usual.select(_SERIES, "n")), _SERIES)
-    half = period // 2
-    ordered = block_window(_SERIES)
-    frame_sum = F.sum("value").over(ordered.rowsBetween(-half, half))
-    if period % 2 == 0:
-        ends = (F.lag("value", half).over(ordered) + F.lead("value", half).over(ordered)) / 2.0
-        frame_sum = frame_sum - ends
-    inside = (F.col("idx") >= half) & (F.col("idx") < F.col("n") - half)
-    smooth = (neighbour_blocks(kept, back=half, ahead=half).withColumn("trend", F.when(inside, frame_sum / period))
-              .where("home").select(_SERIES, "idx", "ts", "value", "trend"))
+    facts = {name: r.n for name, r in _facts(rows).items() if r.n >= 2 * period and not (ratio and r.low <= 0)}
+    kept = rows.where(F.col(_SERIES).isin(list(facts))).select(_SERIES, "idx", "ts", "value")
+    smooth = _smoothed(kept, facts, period)
     apart = F.col("value") / F.col("trend") if ratio else F.col("value") - F.col("trend")
     phase = F.pmod(F.col("idx"), F.lit(period).cast("bigint"))
     phases = (smooth.where("trend is not null").groupBy(_SERIES, phase.alias("phase"))
@@ -383,8 +443,9 @@ def decompose(rows: DataFrame, period: int = settings.SEASONAL_PERIOD, model: st
     level = phases.groupBy(_SERIES).agg(F.avg("raw").alias("level"))
     centred = phases.join(F.broadcast(level), _SERIES).select(
         _SERIES, "phase", (F.col("raw") / F.col("level") if ratio else F.col("raw") - F.col("level")).alias("seasonal"))
-    # series times period rows: left to the planner, which broadcasts them only below its size limit
-    both = smooth.withColumn("phase", phase).join(centred, [_SERIES, "phase"])
+    # series times period rows: broadcast while their number is small, beyond that left to the planner
+    both = smooth.withColumn("phase", phase).join(
+        F.broadcast(centred) if len(facts) * period <= _PHASES else centred, [_SERIES, "phase"])
     left = (F.col("value") / F.col("seasonal") / F.col("trend") if ratio
             else F.col("value") - F.col("seasonal") - F.col("trend"))
     return both.select(_SERIES, F.lit(model).alias("method"), "idx", "ts", "value", "trend", "seasonal",
