@@ -10,9 +10,11 @@ of the few rows next to them.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -139,6 +141,35 @@ def running_totals(df: DataFrame, group: str, by: Sequence[str | Column], totals
     return ordered.mapInPandas(stream, schema)
 
 
+def running_fold(df: DataFrame, group: str, by: Sequence[str | Column], total: str, step: Callable, schema: str) -> DataFrame:
+    """``step`` over the rows of each group in order, with what ``total`` (whole numbers) sums to before each row.
+
+    One range sort; each partition is streamed once.  ``step`` gets (group, sums before, rows) for pieces of a group and
+    returns a dictionary of columns, or None.
+    """
+    ordered = _range_sorted(df, [group], by)
+    sent = df.sparkSession.sparkContext.broadcast({k: int(v[total]) for k, v in _offsets(ordered, group, {total: F.col(total)}).items()})
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pid, start = TaskContext.get().partitionId(), {}
+        for batch in batches:
+            codes = batch.column(group).dictionary_encode()
+            names, codes = codes.dictionary.to_pylist(), codes.indices.to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(codes)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                g, rows = names[codes[a]], batch.slice(a, b - a)
+                n = rows.column(total).to_numpy()
+                upto = start.get(g, sent.value[(pid, g)]) + np.cumsum(n)
+                start[g] = int(upto[-1])
+                made = step(g, upto - n, rows)
+                if made:
+                    yield pa.RecordBatch.from_pydict(made)
+
+    return ordered.mapInArrow(stream, schema)
+
+
 def neighbour_blocks(indexed: DataFrame, back: int, ahead: int = 0, block: int = BLOCK_ROWS) -> DataFrame:
     """Add ``blk`` and ``home``: each block also gets copies of ``back`` rows before and ``ahead`` after it.
 

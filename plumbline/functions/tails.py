@@ -26,6 +26,18 @@ ADF_CRITICAL = {
 # KPSS critical values for a constant (Kwiatkowski et al. 1992).
 KPSS_POINTS = ((0.347, 0.10), (0.463, 0.05), (0.574, 0.025), (0.739, 0.01))
 
+# P-value of the Kolmogorov-Smirnov distance from a normal with estimated mean and standard deviation
+# (Lilliefors): the exponent of Dallal and Wilkinson (1986) up to p = 0.1, and polynomials in the distance scaled by
+# Stephens (1974) beyond; (limit, coefficients from degree 0).
+LILLIEFORS_EXPONENT = (-7.01256, 2.78019, 2.99587, -0.122119, 0.974598, 1.67997)
+LILLIEFORS_LARGE, LILLIEFORS_POWER = 100, 0.49
+LILLIEFORS_ONE = 0.302
+LILLIEFORS_PARTS = (
+    (0.5, (2.76773, -19.828315, 80.709644, -138.55152, 81.218052)),
+    (0.9, (-4.901232, 40.662806, -97.490286, 94.029866, -32.355711)),
+    (1.31, (6.198765, -19.558097, 23.186922, -12.234627, 2.423045)),
+)
+
 # Fixed value: the rank-sum p is exact when a group is this small and nothing is tied
 EXACT_GROUP = 8
 
@@ -192,6 +204,22 @@ def rank_sum_p(u: Column, z: Column, n1: Column, n2: Column, ties: Column) -> Co
     return tail(u.cast("double"), z.cast("double"), n1.cast("double"), n2.cast("double"), ties.cast("double"))
 
 
+def lilliefors_p(distance: Column, n: Column) -> Column:
+    """Chance of a larger distance of ``n`` normal values from the normal with their own mean and standard deviation."""
+    slope, shift, lift, constant, root, inverse = LILLIEFORS_EXPONENT
+    size = F.least(n, F.lit(LILLIEFORS_LARGE)).cast("double")
+    d = distance * F.pow(F.greatest(n / F.lit(float(LILLIEFORS_LARGE)), F.lit(1.0)), F.lit(LILLIEFORS_POWER))
+    small = F.exp(slope * d * d * (size + shift) + lift * d * F.sqrt(size + shift) + constant + root / F.sqrt(size) + inverse / size)
+    scaled = (F.sqrt(n) - 0.01 + 0.85 / F.sqrt(n)) * distance
+    large = F.when(scaled <= LILLIEFORS_ONE, 1.0)
+    for limit, parts in LILLIEFORS_PARTS:
+        value = F.lit(parts[-1])
+        for c in parts[-2::-1]:
+            value = value * scaled + F.lit(c)
+        large = large.when(scaled <= limit, value)
+    return F.when(small > 0.1, large.otherwise(0.0)).otherwise(small)
+
+
 def adf_p(tau: float) -> float:
     if tau > ADF_P_MAX:
         return 1.0

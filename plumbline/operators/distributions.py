@@ -9,13 +9,17 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.columns import (
     categorical_columns, nan_to_null, numeric_columns, percent, ref, rows_from)
+from plumbline.functions.ordering import running_fold
 from plumbline.functions.quantiles import ColumnQuantiles, exact_quantiles
+from plumbline.functions.tails import lilliefors_p
 
 # density estimate: bin width and reach of a bin in bandwidths, and curve points
 BIN_SHARE, REACH = 1 / 64, 9.0
@@ -210,27 +214,29 @@ def shape(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 
 def normality_ks(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Kolmogorov-Smirnov distance of each column from the normal with its own mean and std."""
-    from pyspark.ml.stat import KolmogorovSmirnovTest
+    """Kolmogorov-Smirnov distance of each column from the normal with its own mean and std, with the Lilliefors p-value.
 
+    Equal values are merged first; one range sort then serves all columns, and each task returns its largest gap per column.
+    Columns with fewer than 4 finite values, or only one value, have no line.
+    """
     cols = _numeric(df, cols)
-    values = _doubles(df, cols)
-    stats = values.agg(*[e for i, c in enumerate(cols) for e in (
-        F.avg(ref(c)).alias(f"avg{i}"), F.stddev_samp(ref(c)).alias(f"sd{i}"))]).first()
-    tests = []
-    for i, c in enumerate(cols):
-        if not stats[f"sd{i}"]:
-            continue
-        tested = KolmogorovSmirnovTest.test(
-            values.select(ref(c).alias("x")).where("x is not null"), "x", "norm",
-            float(stats[f"avg{i}"]), float(stats[f"sd{i}"]))
-        tests.append(tested.select(F.lit(c).alias("column"), F.col("statistic"), F.col("pValue").alias("p_value")))
-    if not tests:
-        return df.sparkSession.createDataFrame([], "column string, statistic double, p_value double")
-    out = tests[0]
-    for t in tests[1:]:
-        out = out.unionByName(t)
-    return out
+    long = _doubles(df, cols).select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), ref(c).alias("value")) for c in cols]))).where(
+        "value is not null and abs(value) < double('infinity')")
+    counts = long.groupBy("column", "value").agg(F.count("*").alias("n"))
+    facts = {r["column"]: (r.n, r.mean, r.sd) for r in long.groupBy("column").agg(  # a line per column
+        F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd")).collect() if r.n >= 4 and r.sd > 0}
+
+    def gaps(column: str, before: np.ndarray, rows: pa.RecordBatch) -> dict:
+        n, mean, sd = facts[column]
+        share = np.array([0.5 * math.erfc(-z) for z in ((rows.column("value").to_numpy() - mean) / (sd * math.sqrt(2.0))).tolist()])
+        upto = before + rows.column("n").to_numpy()
+        return {"column": [column], "gap": [float(max((upto / n - share).max(), (share - before / n).max()))]}
+
+    found = (running_fold(counts.where(F.col("column").isin(list(facts))), "column", ["value"], "n", gaps, "column string, gap double")
+             .groupBy("column").agg(F.max("gap").alias("statistic")))
+    size = F.create_map(*[F.lit(x) for c, (n, _, _) in facts.items() for x in (c, n)]) if facts else F.lit(None).cast("map<string,bigint>")
+    sized = found.withColumn("n", size[F.col("column")].cast("bigint"))
+    return sized.select("column", "n", "statistic", lilliefors_p(F.col("statistic"), F.col("n")).alias("p_value"))
 
 
 def tails(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import RandomForestRegressor
@@ -14,7 +15,9 @@ from pyspark.sql import functions as F
 
 from plumbline import settings
 from plumbline.functions.columns import categorical_columns, nan_to_null, numeric_columns, ref
-from plumbline.functions.ordering import ordered_index
+from plumbline.functions.ordering import ordered_index, stage_table
+
+_ROUNDS = 4
 
 
 def _training(df: DataFrame, target: str, cols: Sequence[str]) -> tuple[DataFrame, bool]:
@@ -29,35 +32,76 @@ def _training(df: DataFrame, target: str, cols: Sequence[str]) -> tuple[DataFram
     return clean.select(F.array(*[ref(c) for c in cols]).alias("x"), "y"), is_class
 
 
+def keyed_places(rows: np.ndarray, n: int, key: int) -> np.ndarray:
+    """Where each row number 0..n-1 goes under the permutation named by ``key``: Feistel rounds, walked until inside the range.
+
+    Every task can place its own rows; nothing is sorted or exchanged to draw a shuffle.
+    """
+    half = max(1, ((n - 1).bit_length() + 1) // 2)
+    mask = np.uint64((1 << half) - 1)
+    out, open_ = rows.astype(np.uint64), np.arange(len(rows))
+    while len(open_):
+        left, right = out[open_] >> np.uint64(half), out[open_] & mask
+        for turn in range(_ROUNDS):
+            x = right * np.uint64(0x9E3779B97F4A7C15) + np.uint64((key * _ROUNDS + turn) * 0xD1B54A32D192ED03 % (1 << 64))
+            x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            left, right = right, left ^ ((x >> np.uint64(32)) & mask)
+        out[open_] = left << np.uint64(half) | right
+        open_ = open_[out[open_] >= n]
+    return out.astype(np.int64)
+
+
+def _fitted(rows: DataFrame, is_class: bool, trees: int, max_depth: int, seed: int):
+    kind = RandomForestClassifier if is_class else RandomForestRegressor
+    return kind(featuresCol="v", labelCol="y", predictionCol="p", numTrees=trees, maxDepth=max_depth, seed=seed).fit(
+        rows.withColumn("v", array_to_vector("x")))
+
+
+def _scores(judged: DataFrame, is_class: bool, by: str) -> dict[int, float]:
+    """Accuracy, or R-squared, of the predictions ``p`` for each value of ``by``."""
+    if is_class:
+        found = judged.groupBy(by).agg(F.avg((F.col("p") == F.col("y")).cast("double")).alias("score"))
+    else:
+        found = judged.groupBy(by).agg((1 - F.sum((F.col("y") - F.col("p")) * (F.col("y") - F.col("p"))) / (F.var_pop("y") * F.count("*"))).alias("score"))
+    return {r[by]: r.score for r in found.collect()}
+
+
+def permuted(numbered: DataFrame, n: int, at: int, repeats: int, seed: int) -> DataFrame:
+    """Rows (turn, y, x) for ``repeats`` shuffles: ``x`` of each row with feature ``at`` sent over from another row."""
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            idx, value = batch.column("idx").to_numpy(), batch.column("other")
+            for turn in range(repeats):
+                yield pa.RecordBatch.from_pydict({"idx": keyed_places(idx, n, (seed * 1009 + at) * 1009 + turn),
+                                                  "turn": pa.array([turn] * len(idx), pa.int32()), "other": value})
+
+    sent = numbered.select("idx", F.col("x")[at].alias("other")).mapInArrow(send, "idx long, turn int, other double")
+    swapped = F.transform("x", lambda v, i: F.when(i == at, F.col("other")).otherwise(v))
+    return sent.join(numbered, "idx").select("turn", "y", swapped.alias("x"))
+
+
 def forest_importance(df: DataFrame, target: str, cols: Sequence[str] | None = None,
                       trees: int = settings.FOREST_TREES, min_importance: float = settings.MIN_IMPORTANCE,
-                      repeats: int = 0, max_depth: int = 5, seed: int = settings.SEED) -> DataFrame:
-    """Rows (feature, importance) of at least ``min_importance``, largest first.
+                      repeats: int = settings.PERMUTATION_REPEATS, max_depth: int = 5, seed: int = settings.SEED) -> DataFrame:
+    """Rows (feature, importance, permutation_mean, permutation_std) of at least ``min_importance``, largest first.
 
-    With ``repeats`` the table also has ``permutation_mean``: the mean drop in
-    accuracy (or R-squared) when the feature's values are shuffled over the rows.
+    ``permutation_mean`` is the mean drop in accuracy (or R-squared) over ``repeats`` shuffles of the feature's values over
+    the rows, ``permutation_std`` its population spread; null without repeats.  All shuffles of a feature are scored in one job.
     """
     cols = list(cols) if cols is not None else [c for c in numeric_columns(df) if c != target]
     rows, is_class = _training(df, target, cols)
-    ready = rows.withColumn("v", array_to_vector("x"))
-    kind = RandomForestClassifier if is_class else RandomForestRegressor
-    model = kind(featuresCol="v", labelCol="y", predictionCol="p", numTrees=trees, maxDepth=max_depth, seed=seed).fit(ready)
-    found = [(c, float(w)) for c, w in zip(cols, model.featureImportances.toArray())]
-    table = [(c, w, None) for c, w in found if w >= min_importance]
+    model = _fitted(rows, is_class, trees, max_depth, seed)
+    table = [(c, float(w), None, None) for c, w in zip(cols, model.featureImportances.toArray()) if w >= min_importance]
     if repeats:
-        judge = (MulticlassClassificationEvaluator(labelCol="y", predictionCol="p", metricName="accuracy") if is_class
-                 else RegressionEvaluator(labelCol="y", predictionCol="p", metricName="r2"))
-        base = judge.evaluate(model.transform(ready))
-        numbered = ordered_index(rows.withColumn("g", F.lit("r")), "g", ["y", "x"]).drop("g")
-        table = [(c, w, sum(base - judge.evaluate(model.transform(_shuffled(numbered, cols.index(c), seed + r)))
-                            for r in range(repeats)) / repeats) for c, w, _ in table]
-    table.sort(key=lambda t: -t[1])
-    return df.sparkSession.createDataFrame(table, "feature string, importance double, permutation_mean double")
+        numbered = stage_table(ordered_index(rows.withColumn("g", F.lit("r")), "g", ["y", "x"]).drop("g"))
+        n = numbered.count()
 
+        def scores(judged: DataFrame) -> dict[int, float]:
+            return _scores(model.transform(judged.withColumn("v", array_to_vector("x"))), is_class, "turn")
 
-def _shuffled(numbered: DataFrame, at: int, seed: int) -> DataFrame:
-    """The rows with feature ``at`` taken from a pseudo-random other row, by a join on row numbers."""
-    mixed = ordered_index(numbered.select(F.lit("r").alias("g"), F.xxhash64("idx", F.lit(seed)).alias("h"),
-                                          F.col("x")[at].alias("other")), "g", ["h"]).select("idx", "other")
-    swapped = F.transform(F.col("x"), lambda v, i: F.when(i == at, F.col("other")).otherwise(v))
-    return numbered.join(mixed, "idx").select("y", array_to_vector(swapped).alias("v"))
+        base = scores(numbered.withColumn("turn", F.lit(0)))[0]
+        for k, (c, w, _, _) in enumerate(table):
+            drops = np.array([base - s for s in scores(permuted(numbered, n, cols.index(c), repeats, seed)).values()])
+            table[k] = (c, w, float(drops.mean()), float(drops.std()))
+    table.sort(key=lambda t: -t[1])
+    return df.sparkSession.createDataFrame(table, "feature string, importance double, permutation_mean double, permutation_std double")

@@ -29,6 +29,31 @@ MONTHLY = ("(SELECT date_trunc('month', o_orderdate) AS ts, sum(o_totalprice) AS
            "FROM orders GROUP BY 1)")
 
 
+def _phi(z: str) -> str:
+    """Normal distribution function by its series around 0."""
+    x = f"least(abs({z}), 8.0)"
+    terms = f"list_sum(list_transform(range(0, 120), lambda k: exp((2 * k + 1) * ln({x}) - lgamma(2 * k + 2) + k * ln(2) + lgamma(k + 1))))"
+    return f"(0.5 + sign({z}) * CASE WHEN {z} = 0 THEN 0 ELSE exp(-{x} * {x} / 2) / sqrt(2 * pi()) * {terms} END)"
+
+
+def _lilliefors(table: str, cols: list[str]) -> str:
+    """Largest gap to the normal with the column's own mean and deviation, and its p-value."""
+    return f"""WITH tall AS (SELECT * FROM {_tall(table, cols)} WHERE v IS NOT NULL),
+m AS (SELECT col, count(*)::DOUBLE AS n, avg(v) AS mean, stddev_samp(v) AS sd FROM tall GROUP BY col),
+c AS (SELECT col, v, count(*) AS k FROM tall GROUP BY col, v),
+r AS (SELECT col, v, k, sum(k) OVER (PARTITION BY col ORDER BY v) AS upto FROM c),
+g AS (SELECT col, n, greatest(upto / n - share, share - (upto - k) / n) AS gap
+  FROM (SELECT col, n, upto, k, {_phi("z")} AS share FROM (SELECT r.*, n, (v - mean) / sd AS z FROM r JOIN m USING (col)))),
+s AS (SELECT col, n, max(gap) AS d, least(n, 100) AS size, max(gap) * pow(greatest(n / 100, 1), 0.49) AS scaled,
+  (sqrt(n) - 0.01 + 0.85 / sqrt(n)) * max(gap) AS k FROM g GROUP BY col, n),
+p AS (SELECT *, exp(-7.01256 * scaled * scaled * (size + 2.78019) + 2.99587 * scaled * sqrt(size + 2.78019) - 0.122119
+  + 0.974598 / sqrt(size) + 1.67997 / size) AS small FROM s)
+SELECT col AS "column", n::BIGINT AS n, round(d, 6) AS statistic, round(CASE WHEN small <= 0.1 THEN small WHEN k <= 0.302 THEN 1
+  WHEN k <= 0.5 THEN 2.76773 - 19.828315 * k + 80.709644 * k * k - 138.55152 * k ** 3 + 81.218052 * k ** 4
+  WHEN k <= 0.9 THEN -4.901232 + 40.662806 * k - 97.490286 * k * k + 94.029866 * k ** 3 - 32.355711 * k ** 4
+  WHEN k <= 1.31 THEN 6.198765 - 19.558097 * k + 23.186922 * k * k - 12.234627 * k ** 3 + 2.423045 * k ** 4 ELSE 0 END, 6)::DOUBLE AS p_value FROM p"""
+
+
 def _steps() -> str:
     return f"""s AS (SELECT idx, ts, value - lag(value) OVER (ORDER BY idx) AS step FROM {EVENT_IDX}),
 u AS (SELECT avg(step) AS m, stddev_pop(step) AS sd FROM s),
@@ -195,6 +220,7 @@ WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0) GRO
 FROM lineitem WHERE {cond}""" for c, label, text, cond in (
         ("l_quantity", "below minimum", "l_quantity::VARCHAR", "l_quantity < 3"),
         ("l_quantity", "above maximum", "l_quantity::VARCHAR", "l_quantity > 45"),
+        ("l_extendedprice", "below minimum", "l_extendedprice::VARCHAR", "l_extendedprice < 2000"),
         ("l_returnflag", "not allowed", "l_returnflag", "l_returnflag NOT IN ('A', 'N')"))])
     q["quality_gates"] = _union([f"""SELECT '{c}' AS "column", round(m, 6) AS missing_rate, round(u, 6) AS unique_ratio,
   m <= 0.3 AS missing_ok, u >= 0.01 AND u <= 0.95 AS unique_ok FROM (
@@ -241,6 +267,8 @@ GROUP BY q1, md, q3""" for c in ("value", "user_id")])
   round(exp(-n / 6.0 * (skew * skew + kurt * kurt / 4) / 2), 6) AS jarque_bera_p FROM {jb("events", "value")}"""
     q["dist_normality_jarque_bera"] = f"""SELECT 's_acctbal' AS "column", n, round(n / 6.0 * (skew * skew + kurt * kurt / 4), 6) AS jarque_bera,
   round(exp(-n / 6.0 * (skew * skew + kurt * kurt / 4) / 2), 6) AS jarque_bera_p FROM {jb("supplier", "s_acctbal")}"""
+    q["dist_normality_ks"] = _lilliefors("events", ["value", "user_id"])
+    q["dist_normality_ks_small"] = _lilliefors("supplier", ["s_acctbal"])
     q["dist_tails"] = _union([f"""SELECT '{c}' AS "column", count(*) AS n, """ + ", ".join(
         f"""round(p[{i}], 6) AS p{k}, round(count(*) FILTER ({c} {op} p[{i}]) / count(*)::DOUBLE, 6) AS share_beyond_p{k}"""
         for i, (k, op) in enumerate((("01", "<"), ("05", "<"), ("95", ">"), ("99", ">")), 1))
@@ -322,7 +350,8 @@ SELECT cat1, cat2, n_rows, n_cols, n_total, round(statistic, 6) AS statistic, df
   {way.format(v='value')}, round(regr_r2(value, idx), 6) AS r_squared, round(avg(value), 6) AS mean,
   round(stddev_pop(value), 6) AS std, round(min(value), 6) AS min, round(max(value), 6) AS max FROM {EVENT_IDX}"""
     q["series_trend_monthly"] = _union([f"""SELECT '{s}' AS series, count(*) AS n_obs, 'ok' AS status, {way.format(v=c)},
-  round(regr_r2({c}, idx), 6) AS r_squared FROM (SELECT *, row_number() OVER (ORDER BY ts) - 1 AS idx FROM {MONTHLY})"""
+  round(regr_r2({c}, idx), 6) AS r_squared, round(regr_slope({c}, idx), 2) AS slope, round(avg({c}), 2) AS mean, round(stddev_pop({c}), 2) AS std,
+  round(min({c})::DOUBLE, 2) AS min, round(max({c})::DOUBLE, 2) AS max FROM (SELECT *, row_number() OVER (ORDER BY ts) - 1 AS idx FROM {MONTHLY})"""
                                         for s, c in (("o_totalprice_sum", "total"), ("n_rows", "n"))])
     q["series_changepoints"] = f"""WITH {_steps()} SELECT 'value' AS series, (SELECT count(*) FROM events) AS n_obs, 'ok' AS status,
   (SELECT count(*) FROM c) AS n_changepoints, round(m, 6) AS mean_change, round(sd, 6) AS std_change FROM u"""
@@ -340,10 +369,18 @@ WHERE lag >= 1 AND abs(acf) > 1.96 / sqrt(n) ORDER BY lag LIMIT 10"""
     q["series_decompose_additive"] = f"""WITH {_decompose(EVENT_IDX, 24, False, 'value')}
 SELECT series, method, idx, ts, round(value, 6) AS value, round(trend, 6) AS trend, round(seasonal, 6) AS seasonal,
   round(residual, 6) AS residual FROM o"""
-    monthly = f"(SELECT ts, n::DOUBLE AS value, row_number() OVER (ORDER BY ts) - 1 AS idx FROM {MONTHLY})"
-    q["series_decompose_multiplicative"] = f"""WITH {_decompose(monthly, 12, True, 'n_rows')}
-SELECT series, method, idx, ts, round(value, 6) AS value, round(trend, 6) AS trend, round(seasonal, 6) AS seasonal,
-  round(residual, 6) AS residual FROM o"""
+    q["series_decompose_multiplicative"] = _union([f"""SELECT * FROM (WITH {_decompose(
+        f"(SELECT ts, {c}::DOUBLE AS value, row_number() OVER (ORDER BY ts) - 1 AS idx FROM {MONTHLY})", 12, True, series)}
+SELECT series, method, idx, ts, round(value, 2) AS value, round(trend, 2) AS trend, round(seasonal, 6) AS seasonal,
+  round(residual, 6) AS residual FROM o)""" for series, c in (("o_totalprice_sum", "total"), ("n_rows", "n"))])
+    q["series_partial_autocorrelation"] = f"""{acf.replace("WITH x", "WITH RECURSIVE x")},
+r AS (SELECT list(acf ORDER BY lag) AS r FROM a),
+d(k, phi, noise, last) AS (SELECT 1::BIGINT, [r[2]], 1 - r[2] * r[2], r[2] FROM r
+  UNION ALL SELECT k + 1, list_concat(list_transform(range(1, k + 1), lambda j: phi[j] - l * phi[k + 1 - j]), [l]), noise * (1 - l * l), l
+  FROM (SELECT k, phi, noise, (r[k + 2] - list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[k + 2 - j]))) / noise AS l
+        FROM d, r WHERE k < 40))
+SELECT 'value' AS series, n AS n_obs, 'ok' AS status, round(1.96 / sqrt(n), 8) AS confidence_limit, lag, round(acf, 8) AS acf,
+  CASE WHEN lag = 0 THEN 1.0 ELSE round(last, 8) END::DOUBLE AS pacf FROM a LEFT JOIN d ON k = lag, n"""
     q["series_component_strengths"] = f"""WITH {_decompose(EVENT_IDX, 24, False, 'value')},
 v AS (SELECT var_pop(trend) AS t, var_pop(seasonal) AS s, var_pop(residual) AS r FROM o)
 SELECT 'value' AS series, 'additive' AS method, round(t / (t + s + r), 6) AS trend_strength,
@@ -363,7 +400,9 @@ k AS (SELECT ceil(12 * pow(max(n) / 100.0, 0.25))::BIGINT AS lags, max(n) AS n F
 s AS (SELECT sum(c * c) AS squares FROM (SELECT sum(e) OVER (ORDER BY idx) AS c FROM e)),
 g AS (SELECT i AS lag, sum(a.e * b.e) AS total FROM k, range(0, 200) t(i), e a JOIN e b ON a.idx = b.idx + i WHERE i <= lags GROUP BY i),
 v AS (SELECT sum(CASE WHEN lag = 0 THEN total ELSE 2 * (1 - lag / (lags + 1.0)) * total END) AS long_run FROM g, k)
-SELECT 'value' AS series, n AS n_obs, lags AS n_lags, round(squares / (n * long_run), 8) AS statistic FROM k, s, v"""
+SELECT 'value' AS series, n AS n_obs, lags AS n_lags, round(x, 8) AS statistic, round(CASE WHEN x <= 0.347 THEN 0.1 WHEN x <= 0.463 THEN 0.1 - (x - 0.347) / 0.116 * 0.05
+  WHEN x <= 0.574 THEN 0.05 - (x - 0.463) / 0.111 * 0.025 WHEN x <= 0.739 THEN 0.025 - (x - 0.574) / 0.165 * 0.015 ELSE 0.01 END, 8)::DOUBLE AS p_value
+FROM (SELECT n, lags, squares / (n * long_run) AS x FROM k, s, v)"""
 
     z = {c: f"({c} - (SELECT avg({c}) FROM lineitem)) / (SELECT stddev_pop({c}) FROM lineitem)" for c in LINE_NUMBERS}
     q["segments_scaled"] = f"""SELECT l_orderkey, l_linenumber, round({z['l_quantity']}, 5) AS z0, round({z['l_extendedprice']}, 5) AS z1,

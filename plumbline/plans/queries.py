@@ -55,6 +55,11 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
         for f in df.schema])
 
 
+def _to_cents(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Amounts in the hundreds of millions, compared to the cent."""
+    return df.withColumns({c: F.round(c, 2) for c in cols})
+
+
 def _joined_issues(df: DataFrame) -> DataFrame:
     return df.withColumn("issues", F.array_join("issues", "; "))
 
@@ -135,9 +140,7 @@ def registry() -> dict[str, Query]:
         table(s, d, "customer").where("c_acctbal >= 0").select("c_custkey"))
     q["quality_duplicate_records"] = lambda s, d: quality.duplicate_records(table(s, d, "documents"), ["text"]).select(
         F.md5("text").alias("text_md5"), "copies")
-    q["quality_issue_records"] = lambda s, d: quality.issue_records(
-        table(s, d, "lineitem"), LINE_KEY, {k: RULES[k] for k in ("l_quantity", "l_returnflag")}).select(
-        *LINE_KEY, "column", "issue", "value")
+    q["quality_issue_records"] = lambda s, d: quality.issue_records(table(s, d, "lineitem"), LINE_KEY, RULES)
     q["quality_gates"] = lambda s, d: rounded(quality.gates(labelled_documents(s, d)))
 
     # distributions
@@ -154,8 +157,8 @@ def registry() -> dict[str, Query]:
     q["dist_shape"] = lambda s, d: rounded(distributions.shape(table(s, d, "events"), ["value"]).drop("jarque_bera"), 6)
     q["dist_normality_jarque_bera"] = lambda s, d: rounded(
         distributions.shape(table(s, d, "supplier"), ["s_acctbal"]).select("column", "n", "jarque_bera", "jarque_bera_p"))
-    q["dist_normality_ks"] = lambda s, d: rounded(distributions.normality_ks(table(s, d, "events"), ["value"]).select(
-        "column", "statistic"))
+    q["dist_normality_ks"] = lambda s, d: rounded(distributions.normality_ks(table(s, d, "events"), ["value", "user_id"]))
+    q["dist_normality_ks_small"] = lambda s, d: rounded(distributions.normality_ks(table(s, d, "supplier"), ["s_acctbal"]))
     q["dist_tails"] = lambda s, d: rounded(distributions.tails(table(s, d, "lineitem"), LINE_NUMBERS), 6)
 
     # outliers
@@ -199,8 +202,8 @@ def registry() -> dict[str, Query]:
     q["series_index"] = lambda s, d: _event_rows(s, d)
     q["series_profile"] = lambda s, d: temporal.profile(table(s, d, "events"), "ts", ["value", "user_id"])
     q["series_trend"] = lambda s, d: rounded(temporal.trend(_event_rows(s, d)), 6)
-    q["series_trend_monthly"] = lambda s, d: rounded(temporal.trend(_monthly_rows(s, d)).select(
-        "series", "n_obs", "status", "direction", "r_squared"), 6)
+    q["series_trend_monthly"] = lambda s, d: rounded(_to_cents(
+        temporal.trend(_monthly_rows(s, d)), ["slope", "mean", "std", "min", "max"]), 6)
     q["series_changepoints"] = lambda s, d: rounded(temporal.changepoints(_event_rows(s, d)), 6)
     q["series_changepoint_rows"] = lambda s, d: rounded(temporal.changepoint_rows(_event_rows(s, d)), 6)
     q["series_first_changepoints"] = lambda s, d: rounded(temporal.first_changepoints(_event_rows(s, d)), 6)
@@ -209,10 +212,10 @@ def registry() -> dict[str, Query]:
     q["series_partial_autocorrelation"] = lambda s, d: rounded(
         temporal.partial_autocorrelation(temporal.autocorrelation(_event_rows(s, d))), 8)
     q["series_stationarity"] = lambda s, d: rounded(temporal.stationarity(_event_rows(s, d)), 6)
-    q["series_kpss"] = lambda s, d: rounded(temporal.kpss(_event_rows(s, d)).drop("p_value"), 8)
+    q["series_kpss"] = lambda s, d: rounded(temporal.kpss(_event_rows(s, d)), 8)
     q["series_decompose_additive"] = lambda s, d: rounded(temporal.decompose(_event_rows(s, d), 24), 6)
-    q["series_decompose_multiplicative"] = lambda s, d: rounded(temporal.decompose(
-        _monthly_rows(s, d).where("series = 'n_rows'"), 12, "multiplicative"), 6)
+    q["series_decompose_multiplicative"] = lambda s, d: rounded(_to_cents(
+        temporal.decompose(_monthly_rows(s, d), 12, "multiplicative"), ["value", "trend"]), 6)
     q["series_component_strengths"] = lambda s, d: rounded(temporal.component_strengths(
         temporal.decompose(_event_rows(s, d), 24)), 6)
     q["series_by_period"] = lambda s, d: rounded(temporal.by_period(table(s, d, "events"), "ts", "hour", ["value"]), 4)

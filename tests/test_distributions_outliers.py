@@ -106,3 +106,28 @@ def test_own_rule(demo):
     outliers.register_rule("huge", lambda: lambda s, x: x > F.lit(900.0))
     got = outliers.detect(demo, ["transaction_amount"], ["huge", "unknown"]).collect()
     assert [(r.method, r.outlier_count) for r in got] == [("huge", 2)]
+
+
+def test_normality_p_is_even_under_normality(spark):
+    """60 columns of normal values with estimated parameters: half the p-values are below one half, few below a twentieth."""
+    data = np.random.default_rng(12).normal(5, 3, (400, 60))
+    names = [f"c{i}" for i in range(60)]
+    df = spark.createDataFrame([tuple(map(float, row)) for row in data], ", ".join(f"{c} double" for c in names))
+    p = np.array([r.p_value for r in distributions.normality_ks(df).collect()])
+    assert len(p) == 60 and 0.3 < (p < 0.5).mean() < 0.7 and (p < 0.05).mean() < 0.15 and p.min() < 0.2
+
+
+def test_normality_distance_equals_a_scan(spark):
+    rng = np.random.default_rng(13)
+    table = {"even": rng.random(300), "ties": rng.integers(0, 4, 300).astype(float), "flat": np.full(300, 2.0)}
+    rows = [tuple(float(v[i]) for v in table.values()) + (None if i % 2 else float("nan") if i % 4 else 1.0 * i, float("inf") if i == 0 else float(i * i)) for i in range(300)]
+    df = spark.createDataFrame(rows, "even double, ties double, flat double, gaps double, wild double").repartition(5)
+    got = {r["column"]: r for r in distributions.normality_ks(df).collect()}
+    assert set(got) == {"even", "ties", "gaps", "wild"}
+    for name, x in (("even", table["even"]), ("ties", table["ties"]), ("wild", np.array([i * i for i in range(1, 300)], float))):
+        x = np.sort(x)
+        share = np.array([0.5 * math.erfc(-(v - x.mean()) / x.std(ddof=1) / math.sqrt(2)) for v in x])
+        n = len(x)
+        gap = max(max(np.searchsorted(x, v, "right") / n - s, s - np.searchsorted(x, v, "left") / n) for v, s in zip(x, share))
+        assert got[name].n == n and math.isclose(got[name].statistic, gap, abs_tol=1e-12) and got[name].p_value < 0.05
+    assert distributions.normality_ks(df.limit(0)).count() == 0

@@ -136,3 +136,45 @@ def test_importance_finds_the_signal(spark):
     df = spark.createDataFrame(rows, "a double, b double, t string")
     got = importance.forest_importance(df, "t", trees=10, repeats=1).collect()
     assert got[0].feature == "a" and got[0].permutation_mean > 0.2
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 17, 64, 1000, 4097])
+def test_keyed_places_are_permutations(n):
+    drawn = [importance.keyed_places(np.arange(n), n, key) for key in range(6)]
+    assert all(sorted(p.tolist()) == list(range(n)) for p in drawn)
+    if n > 60:
+        assert len({tuple(p.tolist()) for p in drawn}) == 6
+        assert all((p == np.arange(n)).mean() < 0.1 and abs(np.corrcoef(p, np.arange(n))[0, 1]) < 0.35 for p in drawn)
+        some = np.arange(n)[::7]
+        assert (importance.keyed_places(some, n, 3) == drawn[3][::7]).all()  # any task places its own rows alike
+
+
+@pytest.mark.parametrize("target", ["t", "y"])
+def test_permutation_importance_equals_shuffling_by_hand(spark, target):
+    rng = np.random.default_rng(11)
+    rows = [(float(a), float(b), "hi" if a > 0 else "lo", float(2 * a + b)) for a, b in rng.normal(size=(200, 2))]
+    df = spark.createDataFrame(rows, "a double, b double, t string, y double")
+    got = importance.forest_importance(df, target, ["a", "b"], trees=5, min_importance=0.0, repeats=3).collect()
+    ready, is_class = importance._training(df, target, ["a", "b"])
+    model = importance._fitted(ready, is_class, 5, 5, 42)
+    data = [(r.y, list(r.x)) for r in sorted(ready.collect(), key=lambda r: (r.y, list(r.x)))]
+
+    def score(table):
+        made = model.transform(spark.createDataFrame(table, "y double, x array<double>").selectExpr("y", "x").withColumn(
+            "v", importance.array_to_vector("x"))).collect()
+        y, p = np.array([r.y for r in made]), np.array([r.p for r in made])
+        return (y == p).mean() if is_class else 1 - ((y - p) ** 2).sum() / ((y - y.mean()) ** 2).sum()
+
+    base = score(data)
+    for r in got:
+        at, drops = ["a", "b"].index(r.feature), []
+        for turn in range(3):
+            places = importance.keyed_places(np.arange(200), 200, (42 * 1009 + at) * 1009 + turn)
+            table = [(y, list(x)) for y, x in data]
+            for j, i in enumerate(places):
+                table[i][1][at] = data[j][1][at]
+            drops.append(base - score(table))
+        assert math.isclose(r.permutation_mean, np.mean(drops), abs_tol=1e-9)
+        assert math.isclose(r.permutation_std, np.std(drops), abs_tol=1e-9)
+    assert got[0].feature == "a" and got[0].permutation_mean > 0.1
+    assert importance.forest_importance(df, target, ["a", "b"], trees=2, repeats=0).first().permutation_mean is None
