@@ -7,27 +7,38 @@ cells.  Points are only compared with points of thin cells (fewer than
 ``min_samples`` points each), which bounds the comparisons per point.  Two
 full cells are compared by bounding boxes, split until the boxes decide or
 hold few points.  A cell with a third of all rows therefore costs a scan.
+
+Neighbouring cells are found by their grid numbers up to three axes.  Beyond,
+where a cell has more neighbouring places than there are cells, they are found
+by pivots: a cell lives with its nearest pivot, is copied only to pivots whose
+cells may lie within reach, and is compared only with cells at a like distance
+from the pivot.  Crowded groups are dealt into tiles.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline import settings
 from plumbline.functions.columns import ref
+from plumbline.functions.joins import spread_join
 from plumbline.functions.ordering import materialise, ordered_index, stage_table
 
 # points of one cell per join task
 _SPLIT_POINTS = 50_000
 # a pair of full boxes with at most this many point pairs is compared point by point
 _SMALL_PAIR = 4096
-# grid axes used as join keys; further axes are checked after the join
+# most grid axes used as join keys; with more axes cells meet by pivots
 _KEY_AXES = 3
+# pivots, the cells one of them should hold, and the cells compared with their group at once
+_PIVOTS, _PIVOT_CELLS, _TILE_CELLS = 512, 1000, 2048
 
 
 def _gap2(a: Column, b: Column, d: int) -> Column:
@@ -69,22 +80,93 @@ def _grid(points: DataFrame, side: float, d: int) -> Column:
 
 def _cell_pairs(cells: DataFrame, eps: float, d: int) -> DataFrame:
     """Ordered pairs (a, b) of different non-empty cells whose boxes come within eps."""
-    axes = min(d, _KEY_AXES)
+    if d > _KEY_AXES:
+        return _pairs_by_pivots(cells, eps, d)
     reach = math.isqrt(d) + 1
-    steps = [s for s in itertools.product(range(-reach, reach + 1), repeat=axes)
+    steps = [s for s in itertools.product(range(-reach, reach + 1), repeat=d)
              if sum(max(abs(v) - 1, 0) ** 2 for v in s) <= d]
     near = F.explode(F.array(*[F.array(*[F.lit(int(v)).cast("bigint") for v in s]) for s in steps]))
     left = cells.select(F.col("cid").alias("a"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"),
                         F.col("cell"), near.alias("step"))
     left = left.select("a", "lo_a", "hi_a", *[
-        (F.col("cell")[j] + F.col("step")[j]).alias(f"k{j}") for j in range(axes)])
+        (F.col("cell")[j] + F.col("step")[j]).alias(f"k{j}") for j in range(d)])
     right = cells.select(F.col("cid").alias("b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"),
-                         *[F.col("cell")[j].alias(f"k{j}") for j in range(axes)])
-    both = left.join(right, [f"k{j}" for j in range(axes)]).where(F.col("a") != F.col("b"))
+                         *[F.col("cell")[j].alias(f"k{j}") for j in range(d)])
+    both = left.join(right, [f"k{j}" for j in range(d)]).where(F.col("a") != F.col("b"))
     box = [F.col(c) for c in ("lo_a", "hi_a", "lo_b", "hi_b")]
     return both.where(_box_near2(*box, d) <= eps * eps).select("a", "b")
 
 
+def _matrix(column: pa.Array | pa.ChunkedArray, d: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy().reshape(-1, d)
+
+
+def _pairs_by_pivots(cells: DataFrame, eps: float, d: int) -> DataFrame:
+    """The pairs of ``_cell_pairs`` in any number of axes.
+
+    Centres of neighbouring cells are at most ``reach`` apart (a cell's diagonal is at most eps).  If y lives with pivot p,
+    then d(x, p) <= d(x, x's pivot) + 2 reach for every neighbour x of y, and d(x, p) and d(y, p) differ by at most reach:
+    x visits the rings (of width reach around the pivot) of such pivots only.
+    """
+    reach, spark = 2.0 * eps * (1 + 1e-9), cells.sparkSession
+    n = cells.count()
+    wanted = max(1, min(_PIVOTS, n // _PIVOT_CELLS))
+    drawn = cells.orderBy(F.xxhash64("cell")).limit(wanted).select("lo", "hi").collect()  # a sample by hash, at most _PIVOTS cells
+    sent = spark.sparkContext.broadcast(np.array([[(a + b) / 2 for a, b in zip(r.lo, r.hi)] for r in drawn]).reshape(-1, d))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots = sent.value
+        for batch in batches:
+            if not len(batch):
+                continue
+            lo, hi = _matrix(batch.column("lo"), d), _matrix(batch.column("hi"), d)
+            away = np.sqrt(np.maximum(sum((((lo[:, j] + hi[:, j]) / 2)[:, None] - pivots[:, j]) ** 2 for j in range(d)), 0))
+            home = np.argmin(away, axis=1)
+            who, pivot = np.nonzero(away <= away[np.arange(len(batch)), home][:, None] + 2 * reach)
+            far = away[who, pivot]
+            ring = np.floor(far / reach).astype(np.int64)
+            for step in (-1, 0, 1):
+                pick = np.flatnonzero(ring + step >= 0)
+                own = (home[who[pick]] == pivot[pick]) & (step == 0)
+                yield pa.RecordBatch.from_pydict({
+                    "pivot": pa.array(pivot[pick], pa.int64()), "ring": pa.array(ring[pick] + step, pa.int64()), "home": pa.array(own),
+                    "cid": batch.column("cid").take(pa.array(who[pick])), "lo": batch.column("lo").take(pa.array(who[pick])),
+                    "hi": batch.column("hi").take(pa.array(who[pick]))})
+
+    placed = stage_table(cells.select("cid", "lo", "hi").mapInArrow(
+        place, "pivot bigint, ring bigint, home boolean, cid bigint, lo array<double>, hi array<double>"))
+    tiles = placed.groupBy("pivot", "ring").agg(F.count_if("home").alias("homes"), F.count("*").alias("all")).where("homes > 0").select(
+        "pivot", "ring", F.ceil(F.col("homes") / _TILE_CELLS).alias("rows"), F.ceil(F.col("all") / (8 * _TILE_CELLS)).alias("cols"))
+    dealt = placed.join(tiles, ["pivot", "ring"])
+
+    def every(most: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(most) - 1))
+
+    key = ["pivot", "ring", "row", "col"]
+    homes = dealt.where("home").withColumn("row", F.pmod(F.xxhash64("cid"), "rows")).withColumn("col", every("cols")).select(*key, "cid", "lo", "hi")
+    guests = dealt.withColumn("col", F.pmod(F.xxhash64("cid"), "cols")).withColumn("row", every("rows")).select(
+        *[F.col(c).alias(f"g_{c}") for c in (*key, "cid", "lo", "hi")])
+
+    def compare(own: pa.Table, other: pa.Table) -> pa.Table:
+        b, a = own.column("cid").to_numpy(), other.column("g_cid").to_numpy()
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        if len(a) and len(b):
+            lo_b, hi_b, lo_a, hi_a = (_matrix(t.column(c), d) for t, c in ((own, "lo"), (own, "hi"), (other, "g_lo"), (other, "g_hi")))
+            for at in range(0, len(b), 256):  # 256 cells against the group at once
+                some = slice(at, at + 256)
+                gap2 = np.zeros((len(b[some]), len(a)))
+                for j in range(d):
+                    g = np.maximum(np.maximum(lo_a[:, j] - hi_b[some, j][:, None], lo_b[some, j][:, None] - hi_a[:, j]), 0.0)
+                    gap2 += g * g
+                x, y = np.nonzero((gap2 <= eps * eps) & (b[some][:, None] != a))
+                found.append((a[y], b[some][x]))
+        empty = np.zeros(0, np.int64)
+        return pa.table({"a": np.concatenate([empty, *[f[0] for f in found]]), "b": np.concatenate([empty, *[f[1] for f in found]])})
+
+    return homes.groupBy(*key).cogroup(guests.groupBy(*[f"g_{c}" for c in key])).applyInArrow(compare, "a bigint, b bigint").distinct()
+
+
 def _full_edges(points: DataFrame, pairs: DataFrame, eps: float, side: float, d: int) -> DataFrame:
     """Edges among full cells: (a, b) with a < b that hold points within eps of each other.
 
@@ -221,6 +303,6 @@ def density_clusters(points: DataFrame, key_cols: Sequence[str], eps: float = se
     rest = core_q.unionByName(own.select("p", "cid")).join(thin_core.select("p"), "p", "left_anti")
     border = rest.join(of_cell, "cid").groupBy("p").agg(F.min("cluster").alias("cluster"))
     core = core_points.select("p", "cid").join(of_cell, "cid").select("p", "cluster")
-    labels = placed.select("p", "x").join(core.unionByName(border), "p", "left").select(
-        "x", F.coalesce("cluster", F.lit(-1).cast("bigint")).alias("cluster"))
-    return points.join(labels, "x")
+    labels = placed.select("p", "x", "w").join(core.unionByName(border), "p", "left").select(
+        "x", "w", F.coalesce("cluster", F.lit(-1).cast("bigint")).alias("cluster"))
+    return spread_join(points, stage_table(labels), "x", "w", points.count())

@@ -408,16 +408,21 @@ FROM (SELECT n, lags, squares / (n * long_run) AS x FROM k, s, v)"""
     q["segments_scaled"] = f"""SELECT l_orderkey, l_linenumber, round({z['l_quantity']}, 5) AS z0, round({z['l_extendedprice']}, 5) AS z1,
   round({z['l_discount']}, 5) AS z2 FROM lineitem"""
     zp = {c: f"({c} - (SELECT avg({c}) FROM part)) / (SELECT stddev_pop({c}) FROM part)" for c in ("p_size", "p_retailprice")}
-    q["segments_dbscan"] = f"""WITH RECURSIVE pts AS MATERIALIZED (SELECT p_partkey AS k, {zp['p_size']} AS x, {zp['p_retailprice']} AS y FROM part),
-nb AS MATERIALIZED (SELECT a.k AS a, b.k AS b FROM pts a JOIN pts b ON b.x BETWEEN a.x - 0.11 AND a.x + 0.11
-  WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.1::DOUBLE * 0.1::DOUBLE),
-core AS MATERIALIZED (SELECT a AS k FROM nb GROUP BY a HAVING count(*) >= 5),
+    def dbscan(table: str, key: str, points: str, near: str, least: int) -> str:
+        return f"""WITH RECURSIVE pts AS MATERIALIZED ({points}),
+nb AS MATERIALIZED (SELECT a.k AS a, b.k AS b FROM pts a JOIN pts b ON {near}),
+core AS MATERIALIZED (SELECT a AS k FROM nb GROUP BY a HAVING count(*) >= {least}),
 ce AS MATERIALIZED (SELECT a, b FROM nb WHERE a IN (SELECT k FROM core) AND b IN (SELECT k FROM core)),
 reach AS (SELECT k, k AS root FROM core UNION SELECT ce.b, reach.root FROM reach JOIN ce ON reach.k = ce.a),
 comp AS (SELECT k, min(root) AS root FROM reach GROUP BY k),
 lab AS (SELECT k, dense_rank() OVER (ORDER BY root) - 1 AS c FROM comp),
 edge AS (SELECT nb.a AS k, min(lab.c) AS c FROM nb JOIN lab ON lab.k = nb.b WHERE nb.a NOT IN (SELECT k FROM core) GROUP BY 1)
-SELECT p_partkey, coalesce(lab.c, edge.c, -1)::BIGINT AS cluster FROM part LEFT JOIN lab ON lab.k = p_partkey LEFT JOIN edge ON edge.k = p_partkey"""
+SELECT {key}, coalesce(lab.c, edge.c, -1)::BIGINT AS cluster FROM {table} LEFT JOIN lab ON lab.k = {key} LEFT JOIN edge ON edge.k = {key}"""
+
+    q["segments_dbscan"] = dbscan("part", "p_partkey", f"SELECT p_partkey AS k, {zp['p_size']} AS x, {zp['p_retailprice']} AS y FROM part",
+                                  "b.x BETWEEN a.x - 0.11 AND a.x + 0.11 AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.1::DOUBLE * 0.1::DOUBLE", 5)
+    q["segments_dbscan_six_axes"] = dbscan("embeddings", "vec_id", "SELECT vec_id AS k, embedding[1:6]::DOUBLE[] AS x FROM embeddings",
+                                           "list_sum(list_transform(list_zip(a.x, b.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) <= 0.12::DOUBLE * 0.12::DOUBLE", 4)
     q["segments_cluster_summary"] = _union([f"""SELECT l_returnflag AS cluster, count(*) AS size,
   round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS percentage, '{c}' AS "column", round(avg({c}), 4) AS mean,
   round(var_samp({c}), 4) AS variance FROM lineitem GROUP BY 1""" for c in LINE_NUMBERS])

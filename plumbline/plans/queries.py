@@ -234,6 +234,8 @@ def registry() -> dict[str, Query]:
     q["segments_hierarchical"] = lambda s, d: segments.hierarchical(_scaled_lines(s, d)).select(*LINE_KEY, "cluster")
     q["segments_dbscan"] = lambda s, d: segments.density_clusters(
         _parts(s, d), ["p_partkey"], 0.1, 5).select("p_partkey", "cluster")
+    q["segments_dbscan_six_axes"] = lambda s, d: segments.density_clusters(table(s, d, "embeddings").select(
+        "vec_id", F.slice("embedding", 1, 6).cast("array<double>").alias("x")), ["vec_id"], 0.12, 4).select("vec_id", "cluster")
     q["segments_cluster_summary"] = lambda s, d: rounded(segments.cluster_summary(
         table(s, d, "lineitem"), "l_returnflag", LINE_NUMBERS), 4)
     q["segments_silhouette"] = lambda s, d: rounded(segments.silhouette_points(_labelled_vectors(s, d), ["vec_id"]), 6)

@@ -83,6 +83,32 @@ def test_dbscan_equals_brute_force(spark, monkeypatch):
     assert (got == brute_dbscan(x, 0.25, 5)).all()
 
 
+@pytest.mark.parametrize("d,pivots,tile", [(4, 1, 2048), (6, 20, 2048), (6, 7, 16), (5, 400, 3)])
+def test_dbscan_beyond_three_axes(spark, monkeypatch, d, pivots, tile):
+    monkeypatch.setattr(density, "_PIVOT_CELLS", max(1, 400 // pivots))
+    monkeypatch.setattr(density, "_TILE_CELLS", tile)
+    rng = np.random.default_rng(d)
+    x = np.concatenate([rng.normal(c, 0.15, (90, d)) for c in (0, 1, 1.4)] + [rng.uniform(-2, 3, (60, d)), np.full((30, d), 0.25)])
+    got = by_key(density.density_clusters(frame(spark, x), ["k"], 0.35, 5))
+    assert (got == brute_dbscan(x, 0.35, 5)).all() and len(set(got.tolist())) > 2
+
+
+def test_dbscan_with_a_third_of_the_rows_in_one_cell(spark):
+    """Rows of a hot point stay where they are: no task of the result holds much more than its share."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([np.full((3000, 2), 0.5), rng.uniform(0, 40, (6000, 2))])[rng.permutation(9000)]
+    points = frame(spark, x).repartition(9, "k")
+    shared = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        made = density.density_clusters(points, ["k"], 0.3, 5)
+        sizes = [r["count"] for r in made.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert sum(sizes) == 9000 and max(sizes) < 9000 / 3 * 0.8
+        assert (by_key(made) == brute_dbscan(x, 0.3, 5)).all()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", shared)
+
+
 def test_dbscan_long_chain(spark):
     x = np.column_stack([np.arange(300) * 0.1, np.zeros(300)])[np.random.default_rng(0).permutation(300)]
     got = by_key(density.density_clusters(frame(spark, x), ["k"], 0.15, 2))
