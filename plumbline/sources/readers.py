@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import ref
+from plumbline.sources.csv_records import records
 
 # Texts that mean "missing" in a CSV file
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
@@ -16,21 +17,23 @@ TRUE_TOKENS, FALSE_TOKENS = ["True", "TRUE", "true"], ["False", "FALSE", "false"
 _WHOLE = r"^\s*[+-]?[0-9]+\s*$"
 
 
-def read_csv(spark: SparkSession, path: str, infer: bool = True, multiline: bool = True,
-             na_tokens: list[str] | None = None) -> DataFrame:
+def _raw_csv(spark: SparkSession, path: str) -> DataFrame:
+    """All fields as text; names as Spark's own reader gives them from the first header."""
+    names = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"').columns
+    schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+    fields = F.from_csv("record", schema, {"escape": '"', "mode": "PERMISSIVE"})
+    return records(spark, path).where("not head").select(fields.alias("fields")).select(
+        *[F.col("fields").getField(n).alias(n) for n in names])
+
+
+def read_csv(spark: SparkSession, path: str, infer: bool = True, na_tokens: list[str] | None = None) -> DataFrame:
     """CSV with a header; missing tokens become null, then columns are typed in one pass.
 
     Whole numbers without gaps become bigint, other numbers double (a whole-number
     column with gaps too), true/false without gaps boolean; the rest, dates
-    included, stays text.  Line breaks inside quotes are kept, which makes each file
-    one task; ``multiline=False`` splits files over tasks and raises when a record
-    has an open quote.
+    included, stays text.  Line breaks inside quotes are kept, and files are split over tasks all the same.
     """
-    if not multiline:
-        broken = spark.read.text(path).where(F.pmod(F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))), F.lit(2)) == 1)
-        if not broken.isEmpty():
-            raise ValueError("a quoted field spans lines; read with multiline=True")
-    text = spark.read.csv(path, header=True, inferSchema=False, multiLine=multiline, escape='"')
+    text = _raw_csv(spark, path)
     tokens = NA_TOKENS if na_tokens is None else na_tokens
     text = text.select(*[F.when(~ref(c).isin(tokens), ref(c)).alias(c) for c in text.columns])
     if not infer:

@@ -1,10 +1,13 @@
 import json
 import os
+import random
 
 import pytest
 
 from conftest import DATA
 from plumbline.plans import jobs
+from plumbline.sources import readers
+from plumbline.sources.csv_records import inside_after
 from plumbline.sources.readers import read_csv, read_table
 
 
@@ -48,8 +51,73 @@ def test_csv_line_breaks_in_quotes(spark, tmp_path):
     path = tmp_path / "b.csv"
     path.write_text('id,note,n\n1,"a\nb",3\n2,plain,4\n')
     assert [tuple(r) for r in read_csv(spark, str(path)).collect()] == [(1, "a\nb", 3), (2, "plain", 4)]
-    with pytest.raises(ValueError, match="spans lines"):
-        read_csv(spark, str(path), multiline=False)
+
+
+def wild_csv(rng, rows, end):
+    """Fields with quotes, doubled quotes, commas, line breaks and stray quotes; empty lines between records."""
+    def field():
+        text = "".join(rng.choice(["a", "é", ",", "\n", '""', " ", "\n\n", "x" * 30]) for _ in range(rng.randint(0, 9)))
+        kind = rng.random()
+        if kind < 0.5:
+            return f'"{text}"'
+        return rng.choice(["plain", "7", "", 'in "the" middle', "it's", "end\""]) if kind < 0.9 else '"' + "long line\n" * rng.randint(5, 40) + '"'
+
+    return end.join(["id,one,two", *(f"{i},{field()},{field()}" + (end if rng.random() < 0.1 else "") for i in range(rows))]) + rng.choice(["", end])
+
+
+@pytest.mark.parametrize("seed,size", [(0, 40), (1, 64), (2, 200), (3, 1000), (4, 100_000)])
+def test_csv_split_anywhere_equals_one_task(spark, tmp_path, seed, size):
+    """Splits of any size, inside quotes and across whole records, give what Spark's reader gives in one task per file."""
+    rng = random.Random(seed)
+    for name in ("a", "b", "c"):
+        (tmp_path / f"{name}.csv").write_bytes(wild_csv(rng, 60, "\r\n" if name == "c" and seed % 2 else "\n").encode())
+    (tmp_path / "empty.csv").write_text("id,one,two\n")
+    path = str(tmp_path)
+    want = spark.read.csv(path, header=True, multiLine=True, escape='"').collect()
+    conf = {"spark.sql.files.maxPartitionBytes": str(size), "spark.sql.files.openCostInBytes": "0"}
+    shared = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        raw = readers._raw_csv(spark, path)
+        tasks = raw.rdd.getNumPartitions()
+        got = raw.collect()
+    finally:
+        for k, v in shared.items():
+            spark.conf.set(k, v)
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) >= 170
+    assert size > 1000 or tasks > 10
+
+
+def test_open_field_at_the_end_of_a_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,x\n1,"never closed\n2,b\n')
+    (tmp_path / "b.csv").write_text('id,x\n3,c\n')
+    got = sorted(r.id for r in readers._raw_csv(spark, str(tmp_path)).collect())
+    assert got == ["1", "3"]
+
+
+@pytest.mark.parametrize("line,outside,inside", [
+    ('a,b', False, True), ('"a', True, False), ('a,"b', True, False), ('"a""', True, False), ('"a"",b"', False, True), ('a"b', False, False), ('', False, True),
+    ('"a",b,"c', True, False), ('","', False, True), ('""', False, True), ('"""', True, True), (',"', True, False)])
+def test_quote_states(line, outside, inside):
+    def plain(open_):
+        field_start, i = True, 0
+        while i < len(line):
+            c = line[i]
+            if open_:
+                if c == '"' and line[i + 1: i + 2] == '"':
+                    i += 1
+                elif c == '"':
+                    open_, field_start = False, False
+            elif c == '"' and field_start:
+                open_ = True
+            else:
+                field_start = c == ","
+            i += 1
+        return open_
+
+    assert inside_after(line, False) == plain(False) and inside_after(line, True) == plain(True)
+    assert plain(False) == outside
 
 
 def test_jobs_without_keys_or_numbers(spark):
