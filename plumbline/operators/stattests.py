@@ -7,14 +7,15 @@ work on distinct values with counts, so a hot value is one row.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline import settings
-from plumbline.functions.columns import categorical_columns, nan_to_null, numeric_columns, ref
+from plumbline.functions.columns import categorical_columns, nan_to_null, numeric_columns, ref, value_key
+from plumbline.functions.joins import spread_join
 from plumbline.functions.ordering import running_totals, stage_table
 from plumbline.functions.tails import add_p_value, rank_sum_p, with_verdict
 
@@ -132,8 +133,9 @@ def mann_whitney(df: DataFrame, cats: Sequence[str] | None = None, nums: Sequenc
                  min_rows: int = settings.MIN_GROUP_ROWS, with_p: bool = True) -> DataFrame:
     """Mann-Whitney U of the first level of each two-level category.
 
-    Rows become counts per distinct value; a distributed running total of the
-    second group's counts gives U without ranking rows in one place.
+    Rows become one line per number and distinct value with two counters for every
+    category; one range sort and running totals of the second groups' counters give
+    every U without ranking rows in one place.
     """
     cats, nums = _pick(df, cats, nums)
     clean = nan_to_null(df.select(*[ref(c) for c in dict.fromkeys([*cats, *nums])]))
@@ -144,31 +146,29 @@ def mann_whitney(df: DataFrame, cats: Sequence[str] | None = None, nums: Sequenc
     empty = df.sparkSession.createDataFrame([], _MW_SCHEMA)
     if not pairs or not nums:
         return _rank_verdict(empty, alpha) if with_p else empty
-    tests = [(c, x) for c in pairs for x in nums]
-    cells = []
-    for i, (c, x) in enumerate(tests):
-        first, second = pairs[c]
-        side = F.when(_level(c) == first, F.lit(1)).when(_level(c) == second, F.lit(2))
-        cells.append(F.struct(F.lit(i).cast("bigint").alias("test"), ref(x).cast("double").alias("v"), side.alias("side")))
-    counts = (clean.select(F.inline(F.array(*cells))).where("v is not null and side is not null")
-              .groupBy("test", (F.col("v") + 0.0).alias("v"))
-              .agg(F.count_if(F.col("side") == 1).alias("c1"), F.count_if(F.col("side") == 2).alias("c2")))
-    below = running_totals(counts, "test", ["v"], ["c2"])
-    t = (F.col("c1") + F.col("c2")).cast("double")
-    u = (below.groupBy("test").agg(
-        F.sum("c1").alias("n_g1"), F.sum("c2").alias("n_g2"),
-        F.sum(F.col("c1") * (F.col("before_c2") + F.col("c2") / 2.0)).alias("statistic"),
-        F.sum(t * t * t - t).alias("tie_term"))
-        .where((F.col("n_g1") >= min_rows) & (F.col("n_g2") >= min_rows)))
-    names = F.array(*[F.struct(F.lit(c).alias("cat"), F.lit(x).alias("num"), F.lit(pairs[c][0]).alias("group1"),
-                               F.lit(pairs[c][1]).alias("group2")) for c, x in tests])
+    # a row per number, not per test: every category has its two counters in it
+    sides = [F.when(_level(c) == first, 1).when(_level(c) == second, 2) for c, (first, second) in pairs.items()]
+    cells = F.array(*[F.struct(F.lit(x).alias("num"), (ref(x).cast("double") + 0.0).alias("v")) for x in nums])
+    held = clean.select(*[s.alias(f"s{i}") for i, s in enumerate(sides)], F.inline(cells)).where("v is not null").where(
+        F.coalesce(*[F.col(f"s{i}") for i in range(len(sides))]).isNotNull())
+    counts = held.groupBy("num", "v").agg(*[F.count_if(F.col(f"s{i}") == side).alias(f"c{side}_{i}") for i in range(len(sides)) for side in (1, 2)])
+    below = running_totals(counts, "num", ["v"], [f"c2_{i}" for i in range(len(sides))])
+    sums = []
+    for i in range(len(sides)):
+        c1, c2 = F.col(f"c1_{i}"), F.col(f"c2_{i}")
+        t = (c1 + c2).cast("double")
+        sums += [F.sum(c1).alias(f"n1_{i}"), F.sum(c2).alias(f"n2_{i}"), F.sum(c1 * (F.col(f"before_c2_{i}") + c2 / 2.0)).alias(f"u_{i}"),
+                 F.sum(t * t * t - t).alias(f"tie_{i}")]
+    u = below.groupBy("num").agg(*sums).select("num", F.inline(F.array(*[F.struct(
+        F.lit(c).alias("cat"), F.lit(first).alias("group1"), F.lit(second).alias("group2"), F.col(f"n1_{i}").alias("n_g1"),
+        F.col(f"n2_{i}").alias("n_g2"), F.col(f"u_{i}").alias("statistic"), F.col(f"tie_{i}").alias("tie_term"))
+        for i, (c, (first, second)) in enumerate(pairs.items())]))).where((F.col("n_g1") >= min_rows) & (F.col("n_g2") >= min_rows))
     n1, n2 = F.col("n_g1").cast("double"), F.col("n_g2").cast("double")
     n = n1 + n2
     spread = F.sqrt(n1 * n2 / 12.0 * ((n + 1) - F.try_divide(F.col("tie_term"), n * (n - 1))))
     larger = F.greatest(F.col("statistic"), n1 * n2 - F.col("statistic"))
-    named = u.withColumn("of", F.element_at(names, (F.col("test") + 1).cast("int")))
-    out = named.select("of.cat", "of.num", "of.group1", "of.group2", "n_g1", "n_g2", "statistic", "tie_term",
-                       F.try_divide(larger - n1 * n2 / 2.0 - 0.5, spread).alias("z"))
+    out = u.select("cat", "num", "group1", "group2", "n_g1", "n_g2", "statistic", "tie_term",
+                   F.try_divide(larger - n1 * n2 / 2.0 - 0.5, spread).alias("z"))
     return _rank_verdict(out, alpha) if with_p else out
 
 
@@ -177,16 +177,20 @@ def _rank_verdict(table: DataFrame, alpha: float) -> DataFrame:
         F.col("statistic"), F.col("z"), F.col("n_g1"), F.col("n_g2"), F.col("tie_term"))), alpha)
 
 
-def contingency(df: DataFrame, cats: Sequence[str]) -> DataFrame:
-    """Observed cells (cat1, cat2, level1, level2, n) of every pair of the given categories."""
+def _cells(df: DataFrame, cats: Sequence[str], level: Callable[[str], Column]) -> DataFrame:
     pairs = list(combinations(cats, 2))
-    cells = F.array(*[F.struct(F.lit(a).alias("cat1"), F.lit(b).alias("cat2"), _level(a).alias("level1"),
-                               _level(b).alias("level2")) for a, b in pairs])
+    cells = F.array(*[F.struct(F.lit(a).alias("cat1"), F.lit(b).alias("cat2"), level(a).alias("level1"),
+                               level(b).alias("level2")) for a, b in pairs])
     return (nan_to_null(df.select(*[ref(c) for c in cats])).select(F.inline(cells))
             .where("level1 is not null and level2 is not null")
             .groupBy("cat1", "cat2", "level1", "level2").agg(F.count("*").alias("n")))
 
 
+def contingency(df: DataFrame, cats: Sequence[str]) -> DataFrame:
+    """Observed cells (cat1, cat2, level1, level2, n) of every pair of the given categories."""
+    return _cells(df, cats, _level)
+
+
 def chi_square(df: DataFrame, cats: Sequence[str] | None = None, alpha: float = settings.ALPHA,
                with_p: bool = True) -> DataFrame:
     """Chi-square independence test of every pair of categories; a 2 x 2 table gets Yates' correction.
@@ -199,16 +203,21 @@ def chi_square(df: DataFrame, cats: Sequence[str] | None = None, alpha: float =
     if len(cats) < 2:
         empty = df.sparkSession.createDataFrame([], schema)
         return add_p_value(empty, "chi2", alpha, "df") if with_p else empty
-    cells = contingency(df, cats)
+    # long texts travel as digests; the source is read once, all that follows works on the staged cells
+    cells = stage_table(_cells(df, cats, lambda c: value_key(df, c)).select(
+        "cat1", "cat2", F.struct("cat1", "cat2", "level1").alias("k1"), F.struct("cat1", "cat2", "level2").alias("k2"), "n"))
     pair = ["cat1", "cat2"]
-    rows = cells.groupBy(*pair, "level1").agg(F.sum("n").alias("r"))
-    cols = cells.groupBy(*pair, "level2").agg(F.sum("n").alias("c"))
+    rows = cells.groupBy(*pair, "k1").agg(F.sum("n").alias("r"), F.count("*").alias("held"))
+    cols = cells.groupBy(*pair, "k2").agg(F.sum("n").alias("c"), F.count("*").alias("held"))
     # one row per tested pair of columns: bounded by the schema
     size = (rows.groupBy(*pair).agg(F.count("*").alias("n_rows"), F.sum("r").alias("n_total"),
                                     F.sum(F.lit(1.0) / F.col("r")).alias("inv_r"))
             .join(cols.groupBy(*pair).agg(F.count("*").alias("n_cols"), F.sum(F.lit(1.0) / F.col("c")).alias("inv_c")),
                   pair).where("n_rows >= 2 and n_cols >= 2"))
-    full = cells.join(rows, [*pair, "level1"]).join(cols, [*pair, "level2"]).join(F.broadcast(size), pair)
+    # a level in many cells meets its margin by broadcast, the others by shuffle
+    total = cells.count()
+    full = spread_join(cells, rows.select("k1", "r", "held"), "k1", "held", total)
+    full = spread_join(full, cols.select("k2", "c", "held"), "k2", "held", total).join(F.broadcast(size), pair)
     expected = F.col("r").cast("double") * F.col("c") / F.col("n_total")
     gap = F.col("n") - expected
     sums = full.groupBy(*pair, "n_rows", "n_cols", "n_total", "inv_r", "inv_c").agg(

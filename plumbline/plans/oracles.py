@@ -111,18 +111,68 @@ def _moments(table: str, pairs: list[tuple[str, str]]) -> str:
                          for c, x in pairs]) + ")"
 
 
-def _rank_sum(table: str, cat: str, num: str, g1: str, g2: str) -> str:
-    return f"""SELECT '{cat}' AS cat, '{num}' AS num, '{g1}' AS group1, '{g2}' AS group2, n1 AS n_g1, n2 AS n_g2,
-  round(u, 5) AS statistic, round(tie, 5) AS tie_term,
-  round((greatest(u, n1 * n2 - u) - n1 * n2 / 2.0 - 0.5)
-        / sqrt(n1::DOUBLE * n2 / 12.0 * ((n1 + n2 + 1) - tie / ((n1 + n2)::DOUBLE * (n1 + n2 - 1)))), 5) AS z
+def _verdict(p: str, digits: int) -> str:
+    return f"round({p}, {digits})::DOUBLE AS p_value, {p} < 0.05 AS significant, 0.05::DOUBLE AS alpha"
+
+
+def _rank_sum(table: str, cat: str, num: str, g1: str, g2: str, digits: int = 5) -> str:
+    """The normal p-value: for groups that are large or have ties."""
+    return f"""SELECT cat, num, group1, group2, n_g1, n_g2, round(statistic, {digits}) AS statistic, round(tie_term, {digits}) AS tie_term, round(z, {digits}) AS z,
+  {_verdict(f'least(1.0, 2 * (1 - {_phi("z")}))', digits)}
+FROM (SELECT '{cat}' AS cat, '{num}' AS num, '{g1}' AS group1, '{g2}' AS group2, n1 AS n_g1, n2 AS n_g2, u AS statistic, tie AS tie_term,
+  (greatest(u, n1 * n2 - u) - n1 * n2 / 2.0 - 0.5)
+        / sqrt(n1::DOUBLE * n2 / 12.0 * ((n1 + n2 + 1) - tie / ((n1 + n2)::DOUBLE * (n1 + n2 - 1)))) AS z
 FROM (SELECT count(*) FILTER (g = '{g1}') AS n1, count(*) FILTER (g = '{g2}') AS n2,
         sum(CASE WHEN g = '{g1}' THEN mid ELSE 0.0 END)
           - count(*) FILTER (g = '{g1}')::DOUBLE * (count(*) FILTER (g = '{g1}') + 1) / 2 AS u,
         sum((t::DOUBLE * t * t - t) / t) AS tie
       FROM (SELECT {cat} AS g, count(*) OVER (PARTITION BY {num}) AS t,
               rank() OVER (ORDER BY {num}) + (count(*) OVER (PARTITION BY {num}) - 1) / 2.0::DOUBLE AS mid
-            FROM {table} WHERE {cat} IN ('{g1}', '{g2}')))"""
+            FROM {table} WHERE {cat} IN ('{g1}', '{g2}'))))"""
+
+
+def _welch(table: str, pairs: list[tuple[str, str]], digits: int = 5) -> str:
+    """p by Simpson's rule over the t density from 0 to the statistic."""
+    steps = 2000
+    area = (f"list_sum(list_transform(range(0, {steps + 1}), lambda i: (CASE WHEN i = 0 OR i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) "
+            f"* pow(1 + pow(i * h, 2) / v, -(v + 1) / 2))) * h / 3 * exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(v * pi())")
+    return f"""SELECT cat, num, group1, group2, n_g1, n_g2, round(s, {digits}) AS statistic, round(v, {digits}) AS df, {_verdict("p", digits)}
+FROM (SELECT *, greatest(1 - 2 * {area}, 0) AS p FROM (SELECT *, least(abs(s), 40.0) / {steps} AS h FROM (
+  SELECT a.cat, a.num, a.level AS group1, b.level AS group2, a.n AS n_g1, b.n AS n_g2, (a.m - b.m) / sqrt(a.v / a.n + b.v / b.n) AS s,
+    (a.v / a.n + b.v / b.n) ** 2 / ((a.v / a.n) ** 2 / (a.n - 1) + (b.v / b.n) ** 2 / (b.n - 1)) AS v
+  FROM {_moments(table, pairs)} a JOIN {_moments(table, pairs)} b ON a.cat = b.cat AND a.num = b.num AND a.level < b.level
+  WHERE (SELECT count(DISTINCT level) FROM {_moments(table, pairs)} c WHERE c.cat = a.cat AND c.num = a.num) = 2)))"""
+
+
+def _f_test(table: str, pairs: list[tuple[str, str]], digits: int = 5) -> str:
+    """p in closed form: an even number of groups less one by the finite sum, one by the t density."""
+    x = "(d2 / (d2 + d1 * f))"
+    steps = 2000
+    area = (f"list_sum(list_transform(range(0, {steps + 1}), lambda i: (CASE WHEN i = 0 OR i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) "
+            f"* pow(1 + pow(i * h, 2) / d2, -(d2 + 1) / 2))) * h / 3 * exp(lgamma((d2 + 1) / 2) - lgamma(d2 / 2)) / sqrt(d2 * pi())")
+    whole = (f"pow({x}, d2 / 2) * list_sum(list_transform(range(0, (d1 / 2)::BIGINT), lambda i: "
+             f"exp(lgamma(d2 / 2 + i) - lgamma(d2 / 2) - lgamma(i + 1)) * pow(1 - {x}, i)))")
+    return f"""SELECT cat, num, k AS n_groups, total AS n_total, round(f, {digits}) AS statistic, k - 1 AS df1, total - k AS df2, {_verdict("p", digits)}
+FROM (SELECT *, CASE WHEN d1 = 1 THEN greatest(1 - 2 * {area}, 0) ELSE {whole} END AS p FROM (SELECT *, least(sqrt(f), 40.0) / {steps} AS h FROM (
+  SELECT cat, num, k, total, (k - 1)::DOUBLE AS d1, (total - k)::DOUBLE AS d2,
+    (sum(n * (m - grand) * (m - grand)) / (k - 1)) / (sum((n - 1) * v) / (total - k)) AS f
+  FROM {_moments(table, pairs)} g JOIN (SELECT cat, num, count(*) AS k, sum(n)::BIGINT AS total, sum(n * m) / sum(n) AS grand
+    FROM {_moments(table, pairs)} GROUP BY cat, num) gm USING (cat, num) GROUP BY cat, num, k, total)))"""
+
+
+def _chi_result(table: str, a: str, b: str, yates: bool, digits: int = 6) -> str:
+    """p in closed form for one degree of freedom and for even numbers of them."""
+    p = (f"CASE WHEN df = 1 THEN 2 * (1 - {_phi('sqrt(statistic)')}) ELSE exp(-statistic / 2) * "
+         "list_sum(list_transform(range(0, (df / 2)::BIGINT), lambda i: pow(statistic / 2, i) / exp(lgamma(i + 1)))) END")
+    return f"""SELECT cat1, cat2, n_rows, n_cols, n_total, round(statistic, {digits}) AS statistic, df, {_verdict("p", digits)}
+FROM (WITH {_chi(table, a, b, yates)} SELECT *, {p} AS p FROM res)"""
+
+
+def _tests_table(parts: dict[str, str]) -> str:
+    """One line per test of several kinds."""
+    names = {"chi2": ("cat1", "cat2")}
+    return _union([f"SELECT '{kind}' AS test, {names.get(kind, ('cat', 'num'))[0]} AS var1, {names.get(kind, ('cat', 'num'))[1]} AS var2, "
+                   f"statistic, p_value, significant FROM ({sql})" for kind, sql in parts.items()])
 
 
 def _chi(table: str, a: str, b: str, yates: bool) -> str:
@@ -314,29 +364,23 @@ SELECT 'events' AS dataset_name, 3::BIGINT AS numeric_columns_analyzed, count(*)
 
     q["tests_group_sizes"] = f"""SELECT cat, num, level, n FROM {_moments('events', [('event_type', 'value'), ('event_type', 'user_id')])}"""
     pairs = [("l_linestatus", x) for x in LINE_NUMBERS]
-    q["tests_welch_t"] = f"""WITH g AS (SELECT * FROM {_moments('lineitem', pairs)}),
-p AS (SELECT a.cat, a.num, a.level AS group1, b.level AS group2, a.n AS n_g1, b.n AS n_g2, a.m AS m1, b.m AS m2, a.v / a.n AS e1,
-  b.v / b.n AS e2 FROM g a JOIN g b ON a.cat = b.cat AND a.num = b.num AND a.level < b.level)
-SELECT cat, num, group1, group2, n_g1, n_g2, round((m1 - m2) / sqrt(e1 + e2), 5) AS statistic,
-  round((e1 + e2) * (e1 + e2) / (e1 * e1 / (n_g1 - 1) + e2 * e2 / (n_g2 - 1)), 5) AS df FROM p"""
-    q["tests_mann_whitney"] = _union([_rank_sum("lineitem", "l_linestatus", x, "F", "O") for x in LINE_NUMBERS])
-    q["tests_mann_whitney_named_groups"] = _rank_sum("customer", "c_mktsegment", "c_acctbal", "MACHINERY", "BUILDING")
     both = [(c, x) for c in ("l_returnflag", "l_linestatus") for x in LINE_NUMBERS]
-    q["tests_anova"] = f"""WITH g AS (SELECT * FROM {_moments('lineitem', both)}),
-gm AS (SELECT cat, num, count(*) AS k, sum(n)::BIGINT AS total, sum(n * m) / sum(n) AS grand FROM g GROUP BY cat, num)
-SELECT cat, num, k AS n_groups, total AS n_total,
-  round((sum(n * (m - grand) * (m - grand)) / (k - 1)) / (sum((n - 1) * v) / (total - k)), 5) AS statistic,
-  k - 1 AS df1, total - k AS df2 FROM g JOIN gm USING (cat, num) GROUP BY cat, num, k, total"""
-    q["tests_chi_square"] = f"""WITH {_chi('lineitem', 'l_returnflag', 'l_linestatus', False)}
-SELECT cat1, cat2, n_rows, n_cols, n_total, round(statistic, 6) AS statistic, df, round(exp(-statistic / 2), 6) AS p_value,
-  exp(-statistic / 2) < 0.05 AS significant FROM res"""
-    q["tests_all_statistics"] = _union([
-        f"SELECT 'ttest' AS test, cat AS var1, num AS var2, statistic FROM ({q['tests_welch_t']})",
-        f"SELECT 'mannwhitney', cat, num, statistic FROM ({q['tests_mann_whitney']})",
-        f"SELECT 'anova', cat, num, statistic FROM ({q['tests_anova']})",
-        f"SELECT 'chi2', cat1, cat2, round(statistic, 5) FROM ({q['tests_chi_square']})"])
-    q["tests_chi_square_yates"] = f"""WITH {_chi(LABELLED, 'quality', 'toxic', True)}
-SELECT cat1, cat2, n_rows, n_cols, n_total, round(statistic, 6) AS statistic, df FROM res"""
+    ranks = lambda digits: _union([_rank_sum("lineitem", "l_linestatus", x, "F", "O", digits) for x in LINE_NUMBERS])
+    q["tests_welch_t"] = _welch("lineitem", pairs)
+    q["tests_mann_whitney"] = ranks(5)
+    q["tests_mann_whitney_named_groups"] = _rank_sum("customer", "c_mktsegment", "c_acctbal", "MACHINERY", "BUILDING")
+    q["tests_anova"] = _f_test("lineitem", both)
+    q["tests_chi_square"] = _chi_result("lineitem", "l_returnflag", "l_linestatus", False)
+    q["tests_chi_square_orders"] = _chi_result("orders", "o_orderstatus", "o_orderpriority", False)
+    q["tests_chi_square_yates"] = _chi_result(LABELLED, "quality", "toxic", True)
+    q["tests_run_all"] = _tests_table({"ttest": _welch("lineitem", pairs, 6), "mannwhitney": ranks(6), "anova": _f_test("lineitem", both, 6),
+                                       "chi2": q["tests_chi_square"]})
+    q["tests_all_statistics"] = "SELECT test, var1, var2, round(statistic, 5) AS statistic FROM (" + _tests_table({
+        "ttest": q["tests_welch_t"], "mannwhitney": q["tests_mann_whitney"], "anova": q["tests_anova"],
+        "chi2": _chi_result("lineitem", "l_returnflag", "l_linestatus", False, 5)}) + ")"
+    q["tests_significance_counts"] = "SELECT test, count(*) FILTER (significant) AS n_significant, count(*) AS n_tests FROM (" + _tests_table({
+        "anova": _f_test("orders", [("o_orderstatus", "o_totalprice"), ("o_orderpriority", "o_totalprice")]),
+        "chi2": q["tests_chi_square_orders"]}) + ") GROUP BY test"
     q["tests_contingency"] = """SELECT 'o_orderstatus' AS cat1, 'o_orderpriority' AS cat2, o_orderstatus AS level1,
   o_orderpriority AS level2, count(*) AS n FROM orders GROUP BY 3, 4"""
 

@@ -105,3 +105,37 @@ def test_run_all(spark, sample):
     counts = {r.test: r.n_tests for r in stattests.significance_counts(
         stattests.run_all(spark.createDataFrame(sample))).collect()}
     assert counts == {"ttest": 2, "mannwhitney": 2, "anova": 4, "chi2": 1}
+
+
+def test_contingency_with_a_hot_level_and_long_texts(spark, tmp_path):
+    """One level holds a third of the rows and of the cells; texts beyond the digest length are told apart to the last letter."""
+    rng = np.random.default_rng(6)
+    n = 4000
+    a = np.where(rng.random(n) < 0.34, "hot", np.char.add("x" * 300, rng.integers(0, 40, n).astype(str)))
+    b = np.where(a == "hot", np.arange(n) % 900, rng.integers(0, 900, n)).astype(str)
+    spark.createDataFrame(list(zip(a.tolist(), b.tolist())), "a string, b string").write.parquet(str(tmp_path / "t"))
+    made = stattests.chi_square(spark.read.parquet(str(tmp_path / "t")), ["a", "b"])
+    plan = made._jdf.queryExecution().optimizedPlan().toString() + made._jdf.queryExecution().executedPlan().toString()
+    assert str(tmp_path / "t") not in plan  # the source was read once, for the staged cells
+    seen = pd.crosstab(pd.Series(a), pd.Series(b)).to_numpy().astype(float)
+    expected = seen.sum(1)[:, None] * seen.sum(0) / seen.sum()
+    got = made.first()
+    assert math.isclose(got.statistic, ((seen - expected) ** 2 / expected).sum(), rel_tol=1e-9)
+    assert (got.n_rows, got.n_cols, got.n_total) == (*seen.shape, n)
+
+
+def test_rank_tests_of_many_pairs_share_one_line_per_value(spark):
+    rng = np.random.default_rng(7)
+    n = 500
+    table = pd.DataFrame({"x": rng.integers(0, 30, n).astype(float), "y": rng.normal(size=n), "a": rng.choice(["p", "q"], n), "b": rng.choice(["u", "v"], n),
+                          "c": rng.choice(["k", "l", "m"], n)})
+    table.loc[::9, "x"] = np.nan
+    table.loc[::7, "a"] = None
+    df = spark.createDataFrame([tuple(None if pd.isna(v) else v for v in r) for r in table.itertuples(index=False)], "x double, y double, a string, b string, c string")
+    got = {(r.cat, r.num): r for r in stattests.mann_whitney(df, ["a", "b", "c"], ["x", "y"]).collect()}
+    assert set(got) == {(c, x) for c in "ab" for x in "xy"}
+    for (c, x), r in got.items():
+        g = sorted(table[c].dropna().unique())
+        one, two = (table.loc[(table[c] == v) & table[x].notna(), x].to_numpy() for v in g)
+        u = (one[:, None] > two).sum() + (one[:, None] == two).sum() / 2
+        assert (r.group1, r.group2, r.n_g1, r.n_g2) == (*g, len(one), len(two)) and math.isclose(r.statistic, u, rel_tol=1e-12)
