@@ -1,7 +1,8 @@
 """Whole-report jobs: read a table, run every section of one analysis, write the report.
 
 ``source`` is a path or a DataFrame.  Each job returns its sections; with an
-``output`` folder they are written there as well.
+``output`` folder they are published there as a new run, and the sections
+returned are those read back from it.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from plumbline.functions.columns import categorical_columns, numeric_columns, re
 from plumbline.functions.ordering import stage_table
 from plumbline.operators import distributions, outliers, quality, segments, stattests, temporal
 from plumbline.sources.readers import read_table
-from plumbline.sources.writers import header, write_report
+from plumbline.sources.writers import header, read_report, write_report
 
 Sections = dict[str, DataFrame]
 
@@ -32,9 +33,10 @@ def _open(spark: SparkSession, source: str | DataFrame) -> tuple[DataFrame, str]
 
 
 def _finish(sections: Sections, output: str | None, fmt: str) -> Sections:
-    if output:
-        write_report(sections, output, fmt)
-    return sections
+    if not output or not sections:
+        return sections
+    spark = next(iter(sections.values())).sparkSession
+    return read_report(spark, output, write_report(sections, output, fmt))
 
 
 def quality_job(spark: SparkSession, source: str | DataFrame, output: str | None = None,

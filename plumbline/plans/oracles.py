@@ -54,6 +54,17 @@ SELECT col AS "column", n::BIGINT AS n, round(d, 6) AS statistic, round(CASE WHE
   WHEN k <= 1.31 THEN 6.198765 - 19.558097 * k + 23.186922 * k * k - 12.234627 * k ** 3 + 2.423045 * k ** 4 ELSE 0 END, 6)::DOUBLE AS p_value FROM p"""
 
 
+def _told(sections: dict[str, tuple[str, str, str, str]]) -> str:
+    """Sections (SQL, names of numbers, texts, flags) told column by column: rows with a value, and their sum or different values."""
+    parts = []
+    for name, (sql, numbers, texts, flags) in sections.items():
+        fields = [(c, f'round(sum("{c}"::DOUBLE), 2)') for c in numbers.split()]
+        fields += [(c, f'count(DISTINCT "{c}")::DOUBLE') for c in (texts + " " + flags).split()]
+        listed = ", ".join(f"""{{'field': '{c}', 'n': count("{c}"), 'total': {total}}}""" for c, total in fields)
+        parts.append(f"SELECT '{name}' AS section, u.field AS field, u.n AS n, u.total AS total FROM (SELECT unnest(l) AS u FROM (SELECT [{listed}] AS l FROM ({sql})))")
+    return _union(parts)
+
+
 def _steps() -> str:
     return f"""s AS (SELECT idx, ts, value - lag(value) OVER (ORDER BY idx) AS step FROM {EVENT_IDX}),
 u AS (SELECT avg(step) AS m, stddev_pop(step) AS sd FROM s),
@@ -505,4 +516,45 @@ w AS (SELECT i, max((x.s + y.s) / m) AS worst FROM cc JOIN sp x ON x.label = i J
 FROM (SELECT l_orderkey, l_linenumber, {z['l_quantity']} AS a, {z['l_extendedprice']} AS b, {r} AS r FROM lineitem)"""
     q["segments_pca_variance"] = f"""SELECT 1 AS component, round((1 + abs({r})) / 2, 6) AS explained_variance_ratio
 UNION ALL SELECT 2, round((1 - abs({r})) / 2, 6)"""
+
+    # whole jobs: the sections' own SQL, told column by column
+    flags = _union([f"""SELECT '{c}' AS "column", {c}::VARCHAR AS value, count(*) AS count, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS percent
+FROM lineitem GROUP BY {c}""" for c in ("l_returnflag", "l_linestatus")])
+    modes = f"""SELECT "column", arg_max(value, count) AS top, max(count) AS top_count, 0::BIGINT AS missing, 0.0 AS missing_percent FROM ({flags}) GROUP BY "column\""""
+    q["job_quality"] = _told({
+        "completeness": (q["quality_completeness"], "null_count null_percentage complete_count overall_completeness", "column", ""),
+        "consistency": (q["quality_consistency"], "unique_values duplicate_count duplicate_percentage", "column", "")})
+    q["job_distributions"] = _told({
+        "numeric_summary": (q["dist_numeric_summary"], "count mean std min p25 p50 p75 max missing missing_percent", "column", ""),
+        "frequencies": (flags, "count percent", "column value", ""), "modes": (modes, "top_count missing missing_percent", "column top", "")})
+    q["job_outliers"] = _told({
+        "column_statistics": (q["outliers_column_statistics"], "total_values null_count min max mean median std", "column dtype", ""),
+        "outliers": (q["outliers_detect"], "n outlier_count outlier_percentage lower upper q1 q3 iqr mean std median mad", "column method note", ""),
+        "summary": (q["outliers_summary"], "numeric_columns_analyzed iqr_outliers zscore_outliers mad_outliers consensus_columns iqr_multiplier "
+                    "zscore_threshold mad_threshold", "dataset_name", ""),
+        "consensus": (f"""WITH {_flags('events', ev)} SELECT col AS "column", round(v, 4) AS value FROM fl WHERE {votes} >= 2""", "value", "column", "")})
+    every = _tests_table({"ttest": q["tests_welch_t"], "mannwhitney": q["tests_mann_whitney"], "anova": q["tests_anova"], "chi2": q["tests_chi_square"]})
+    q["job_tests"] = _told({
+        "ttest": (q["tests_welch_t"], "n_g1 n_g2 statistic df p_value alpha", "cat num group1 group2", "significant"),
+        "mannwhitney": (q["tests_mann_whitney"], "n_g1 n_g2 statistic tie_term z p_value alpha", "cat num group1 group2", "significant"),
+        "anova": (q["tests_anova"], "n_groups n_total statistic df1 df2 p_value alpha", "cat num", "significant"),
+        "chi2": (q["tests_chi_square"], "n_rows n_cols n_total statistic df p_value alpha", "cat1 cat2", "significant"),
+        "significant": (f"SELECT test, count(*) FILTER (significant) AS n_significant, count(*) AS n_tests FROM ({every}) GROUP BY test",
+                        "n_significant n_tests", "test", "")})
+    outside = """SELECT series, lag, pacf FROM ({}) WHERE lag >= 1 AND abs(pacf) > confidence_limit ORDER BY lag LIMIT 10"""
+    q["job_series"] = _told({
+        "profile": (f"SELECT * FROM ({q['series_profile']}) WHERE series = 'value'", "total_observations missing_values missing_percentage span_days", "series", ""),
+        "autocorrelation": (q["series_partial_autocorrelation"], "n_obs confidence_limit lag acf pacf", "series status", ""),
+        "significant_acf": (q["series_significant_lags"], "lag acf", "series", ""),
+        "significant_pacf": (outside.format(q["series_partial_autocorrelation"]), "lag pacf", "series", ""),
+        "trend": (q["series_trend"], "n_obs slope r_squared mean std min max", "series status direction", ""),
+        "changepoints": (q["series_changepoints"], "n_obs n_changepoints mean_change std_change", "series status", ""),
+        "first_changepoints": (q["series_first_changepoints"], "rank idx step", "series", "")})
+    parts = "SELECT p_partkey FROM part"
+    shares = "SELECT corr(p_size, p_retailprice) AS r FROM part"
+    q["job_segments"] = _told({
+        "labels_kmeans": (parts, "p_partkey", "", ""), "labels_hierarchical": (parts, "p_partkey", "", ""),
+        "pca_variance": (f"SELECT 1 AS component, round((1 + abs(r)) / 2, 6) AS explained_variance_ratio FROM ({shares}) UNION ALL "
+                         f"SELECT 2, round((1 - abs(r)) / 2, 6) FROM ({shares})", "component explained_variance_ratio", "", "")})
+    q["series_decompose_table"] = q["series_decompose_additive"]
     return q

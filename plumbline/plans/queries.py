@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.columns import ref, require_table
+from plumbline.functions.columns import ref, require_table, rows_from
 from plumbline.functions.ordering import shared_folder
+from plumbline.plans import jobs
 from plumbline.operators import (
     distributions, importance, outliers, profile, quality, segments, stattests, temporal)
 from plumbline.sources.readers import read_table
@@ -107,6 +108,26 @@ def _guarded(spark: SparkSession, folder: str) -> DataFrame:
     return lines.agg(F.count("*").alias("n_rows"))
 
 
+def _written(spark: SparkSession, job: Callable[[str], dict], sections: dict[str, int], extra: dict[str, list[str]] | None = None) -> DataFrame:
+    """A job's published sections, read back and told column by column: rows with a value, and their sum.
+
+    ``sections``: digits to which a section's values are rounded first.  Texts and flags are told by the number of
+    different values; times and nested columns are left out.
+    """
+    made, out = job(f"{shared_folder(spark)}/report-{uuid.uuid4().hex}"), None
+    for name, digits in sections.items():
+        df = rounded(made[name], digits)
+        cols = [f for f in df.schema if isinstance(f.dataType, (T.NumericType, T.StringType, T.BooleanType))
+                and f.name not in (extra or {}).get(name, [])]
+        told = df.agg(*[e for i, f in enumerate(cols) for e in (
+            F.count(ref(f.name)).alias(f"n{i}"),
+            (F.sum(ref(f.name).cast("double")) if isinstance(f.dataType, T.NumericType) else F.countDistinct(ref(f.name)).cast("double")).alias(f"t{i}"))])
+        part = rows_from(told, [{"section": F.lit(name), "field": F.lit(f.name), "n": F.col(f"n{i}"), "total": F.round(F.col(f"t{i}"), 2)}
+                                for i, f in enumerate(cols)])
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def registry() -> dict[str, Query]:
     q: dict[str, Query] = {}
 
@@ -250,6 +271,22 @@ def registry() -> dict[str, Query]:
         table(s, d, "lineitem"), ["l_quantity", "l_extendedprice"])))
     q["segments_distant_points"] = lambda s, d: rounded(segments.distant_points(
         segments.kmeans(_scaled_lines(s, d)), LINE_KEY))
+    # whole jobs, from what they published
+    q["job_quality"] = lambda s, d: _written(s, lambda out: jobs.quality_job(s, labelled_documents(s, d), out), {"completeness": 6, "consistency": 6})
+    q["job_distributions"] = lambda s, d: _written(s, lambda out: jobs.distributions_job(
+        s, table(s, d, "lineitem").select(*LINE_NUMBERS, "l_returnflag", "l_linestatus"), out, "parquet"),
+        {"numeric_summary": 4, "frequencies": 6, "modes": 6})
+    q["job_outliers"] = lambda s, d: _written(s, lambda out: jobs.outliers_job(s, f"{d}/events.parquet", out), {
+        "column_statistics": 4, "outliers": 4, "summary": 4, "consensus": 4})
+    q["job_tests"] = lambda s, d: _written(s, lambda out: jobs.tests_job(
+        s, table(s, d, "lineitem"), out, ["l_returnflag", "l_linestatus"], LINE_NUMBERS), {"ttest": 5, "mannwhitney": 5, "anova": 5, "chi2": 6, "significant": 6})
+    q["job_series"] = lambda s, d: _written(s, lambda out: jobs.temporal_job(
+        s, f"{d}/events.parquet", "ts", out, 24, ["value"], ["event_id"]),
+        {"profile": 6, "autocorrelation": 8, "significant_acf": 8, "significant_pacf": 8, "trend": 6, "changepoints": 6, "first_changepoints": 6})
+    q["job_segments"] = lambda s, d: _written(s, lambda out: jobs.segments_job(
+        s, table(s, d, "part").select("p_partkey", "p_size", "p_retailprice"), out, ["p_partkey"], fmt="parquet"),
+        {"labels_kmeans": 6, "labels_hierarchical": 6, "pca_variance": 6}, {"labels_kmeans": ["row_number", "cluster"], "labels_hierarchical": ["row_number", "cluster"]})
+    q["series_decompose_table"] = lambda s, d: rounded(temporal.decompose_table(table(s, d, "events"), "ts", ["value"], 24, ["event_id"], models=["additive"]), 6)
     q["feature_importance"] = lambda s, d: rounded(importance.forest_importance(
         table(s, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax", "l_partkey"]))
     return q

@@ -9,6 +9,7 @@ from plumbline.plans import jobs
 from plumbline.sources import readers
 from plumbline.sources.csv_records import inside_after
 from plumbline.sources.readers import read_csv, read_table
+from plumbline.sources.writers import finished_runs, read_report, write_report
 
 
 def test_csv_types_and_tokens(spark, tmp_path):
@@ -25,26 +26,51 @@ def test_csv_types_and_tokens(spark, tmp_path):
         read_table(spark, str(tmp_path / "none.csv"))
 
 
-def lines(folder):
-    return [json.loads(line) for name in os.listdir(folder) if name.endswith(".json")
-            for line in open(os.path.join(folder, name))]
-
-
-def test_reports_are_written(spark, tmp_path):
+def test_reports_are_published(spark, tmp_path):
     out = str(tmp_path / "q")
-    jobs.quality_job(spark, f"{DATA}/supplier.parquet", out, {"s_acctbal": {"min": 0}})
-    assert lines(f"{out}/header")[0]["dataset_name"] == "supplier"
-    assert len(lines(f"{out}/completeness")) == 4
+    made = jobs.quality_job(spark, f"{DATA}/supplier.parquet", out, {"s_acctbal": {"min": 0}})
+    read = read_report(spark, out)
+    assert set(read) == set(made) and read["header"].first().dataset_name == "supplier"
+    assert read["completeness"].count() == 4
+    run = finished_runs(spark, out).first().run
+    shown = [json.loads(line) for name in os.listdir(f"{out}/{run}/validity") if name.endswith(".json") for line in open(f"{out}/{run}/validity/{name}")]
+    assert len(shown) == made["validity"].count() and "issues" in shown[0]  # fields without a value are there too
     out = str(tmp_path / "o")
     jobs.outliers_job(spark, f"{DATA}/events.parquet", out, ["event_id"], fmt="parquet")
-    found = spark.read.parquet(f"{out}/consensus")
-    assert found.columns == ["event_id", "column", "value"]
+    assert read_report(spark, out)["consensus"].columns == ["event_id", "column", "value"]
     out = str(tmp_path / "t")
     jobs.tests_job(spark, spark.read.parquet(f"{DATA}/customer.parquet"), out, ["c_mktsegment"], ["c_acctbal"])
-    assert len(lines(f"{out}/anova")) == 1
+    assert read_report(spark, out)["anova"].count() == 1
     out = str(tmp_path / "d")
     jobs.distributions_job(spark, f"{DATA}/supplier.parquet", out)
-    assert len(lines(f"{out}/numeric_summary")) == 3
+    assert read_report(spark, out)["numeric_summary"].count() == 3
+
+
+@pytest.mark.parametrize("fmt", ["json", "parquet"])
+def test_readers_see_finished_runs_only(spark, tmp_path, fmt):
+    out, rows = str(tmp_path), spark.createDataFrame([(1, "a", 0.5), (2, None, None)], "k long, t string, x double")
+    with pytest.raises(ValueError, match="no finished run"):
+        read_report(spark, out)
+    first = write_report({"one": rows, "none": rows.limit(0)}, out, fmt)
+
+    def fail(batches):
+        raise RuntimeError("an executor's task that fails for good")
+        yield
+
+    with pytest.raises(Exception, match="fails for good"):
+        write_report({"one": rows.limit(1), "two": rows.mapInArrow(fail, rows.schema)}, out, fmt)
+    assert [r.run for r in finished_runs(spark, out).select("run").distinct().collect()] == [first]
+    read = read_report(spark, out)
+    assert sorted(read["one"].collect()) == sorted(rows.collect()) and read["one"].schema == rows.schema and read["none"].count() == 0
+    second = write_report({"one": rows.limit(1)}, out, fmt)
+    assert read_report(spark, out)["one"].count() == 1 and read_report(spark, out, first)["one"].count() == 2 and first != second
+    rows.limit(1).write.mode("append").format(fmt).save(f"{out}/{second}/one")
+    with pytest.raises(ValueError, match="lost rows"):
+        read_report(spark, out)
+    with pytest.raises(ValueError, match="manifest"):
+        write_report({"manifest": rows}, out, fmt)
+    with pytest.raises(ValueError, match="format"):
+        write_report({"one": rows}, out, "text")
 
 
 def test_csv_line_breaks_in_quotes(spark, tmp_path):
