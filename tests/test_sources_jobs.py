@@ -166,10 +166,10 @@ def test_series_without_values_keep_their_line(spark):
 def test_temporal_and_segment_jobs(spark, tmp_path):
     out = str(tmp_path / "s")
     jobs.temporal_job(spark, f"{DATA}/events.parquet", "ts", out, 24, ["value"], ["event_id"])
-    assert lines(f"{out}/overview")[0]["series"] == "value"
-    settings = json.loads(lines(f"{out}/header")[0]["configuration"])
-    assert settings["acf_max_lags"] == 40
+    read = read_report(spark, out)
+    assert read["overview"].first().series == "value"
+    assert json.loads(read["header"].first().configuration)["acf_max_lags"] == 40
     out = str(tmp_path / "g")
     table = spark.read.parquet(f"{DATA}/supplier.parquet").drop("s_name")
     jobs.segments_job(spark, table, out, ["s_suppkey"])
-    assert sum(r["size"] for r in lines(f"{out}/cluster_summary")) == 2 * table.count()
+    assert sum(r["size"] for r in read_report(spark, out)["cluster_summary"].collect()) == 2 * table.count()
