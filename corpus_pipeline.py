@@ -30,9 +30,12 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     ``n_chars`` is that of the new text.
     """
-    cut = substring_dedup.parse(docs, window=50)
+    own = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("bigint")}
+    # all other columns travel packed, whatever they are called
+    rest = F.struct(*([F.col(f"`{c}`") for c in docs.columns if c not in own] or [F.lit(True)]))
+    cut = substring_dedup.parse(docs.select("doc_id", "text", rest.alias("rest")), window=50)
     left = cut.where((F.col("n_removed") < F.col("n_words")) | (F.col("n_removed") == 0))
-    return left.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    return left.select(*[own.get(c, F.col("rest").getField(c)).alias(c) for c in docs.columns])
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
