@@ -247,12 +247,12 @@ def _tell_shards():
 
 
 def _dealt(docs: DataFrame, sent, shards: int) -> DataFrame:
-    """What the shards get: occurrences, and (without ``train``) the levels of their contexts' counts."""
+    """What the shards get: occurrences, and (as unit -1) the levels of their contexts' counts."""
     slices = pieces(shards, 4)
     told = (docs.select("text", "train").mapInArrow(_context_counts(sent, shards, slices), "slice long, body binary").groupBy("slice")
             .applyInArrow(_tell_shards(), "shard long, body binary")
-            .selectExpr("shard", "-1L as unit", "cast(null as array<long>) as ids", "cast(null as binary) as train", "body"))
-    return docs.mapInArrow(_occurrences(sent, shards), "shard long, unit long, ids array<long>, train binary, body binary").unionByName(told)
+            .selectExpr("shard", "-1L as unit", "cast(null as array<long>) as ids", "body"))
+    return docs.mapInArrow(_occurrences(sent, shards), "shard long, unit long, ids array<long>, body binary").unionByName(told)
 
 
 def _levels(facts: Facts, vocabulary: np.ndarray, told: pa.Table) -> np.ndarray:
@@ -278,28 +278,63 @@ def _occurrences(sent, shards: int):
             order = np.argsort(home.astype(np.int16) if shards < 1 << 15 else home, kind="stable").astype(np.int32)
             bounds = np.searchsorted(home[order], np.arange(shards + 1))
             used = np.flatnonzero(np.diff(bounds))
-            bodies = [np.asarray(batch.column("train").to_numpy(zero_copy_only=False), np.uint8).tobytes()
-                      + np.diff(first).astype(np.int32).tobytes()]
+            train = batch.column("train").to_numpy(zero_copy_only=False).astype(bool)
+            bodies = [_squeeze(np.diff(first).astype(np.int32).tobytes())]
             for s in used:
                 pick = order[bounds[s]: bounds[s + 1]]
                 three = np.concatenate([code[pick], before[pick], two[pick]])
-                local, three = np.unique(three, return_inverse=True)
-                wide = "<u2" if len(local) <= 65536 else "<u4"
+                local, three, uses = np.unique(three, return_inverse=True, return_counts=True)
+                names, place = _names(distinct[local], uses)
                 heads = np.flatnonzero(np.diff(owner[pick], prepend=-1))
                 runs = np.diff(np.append(heads, len(pick))).astype(np.int32)
-                parts = [np.array([len(local), len(pick), len(heads)], np.int64).tobytes(), np.ascontiguousarray(distinct[local]).view(np.uint8).reshape(-1, 8)[:, 1:].tobytes(),
-                         three.astype(wide).tobytes(), np.diff(owner[pick][heads], prepend=np.int32(0)).astype(np.int32).tobytes(), runs.tobytes()]
-                bodies.append(_squeeze(b"".join(parts)))
-            train = [bodies[0][: batch.num_rows]] * len(bodies)
-            bodies[0] = _squeeze(bodies[0])
+                docs = owner[pick][heads]
+                bodies.append(_squeeze(b"".join([
+                    np.array([len(local), len(pick), len(heads)], np.int64).tobytes(), names, _planes(place[three].astype(_width(len(local)))),
+                    np.diff(docs, prepend=np.int32(0)).astype(np.int32).tobytes(), runs.tobytes(), np.packbits(train[docs]).tobytes()])))
             yield pa.RecordBatch.from_pydict({
                 "shard": pa.array([-1 - (base + number), *used], pa.int64()), "unit": pa.array([base + number] * len(bodies), pa.int64()),
                 "ids": pa.array([batch.column("doc_id").to_pylist()] + [None] * len(used), pa.list_(pa.int64())),
-                "train": pa.array([np.packbits(np.frombuffer(t, np.uint8)).tobytes() for t in train], pa.binary()), "body": pa.array(bodies, pa.binary())})
+                "body": pa.array(bodies, pa.binary())})
 
     return step
 
 
+def _width(words: int) -> np.dtype:
+    return np.dtype("<u2" if words <= 65536 else "<u4")
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Little-endian numbers as all their low bytes, then all the next ones: frequent words have zeros in the high ones."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
+
+
+def _from_planes(raw: bytes, kind: np.dtype) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
+
+
+def _names(hashes: np.ndarray, uses: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The dictionary of a message and the code of each word in it.
+
+    Words stand by the power of two of their uses, then by hash: of the 56 bits the upper 16 are sent as
+    steps from the word before (nearly always small, so they compress), the other 40 as they are.
+    """
+    order = np.lexsort((hashes, -np.frexp(uses)[1]))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    hashes = hashes[order]
+    steps = np.diff((hashes >> np.uint64(48)).astype("<u2"), prepend=np.uint16(0))
+    return _planes(steps) + np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, 1:6]).tobytes(), place
+
+
+def _hashes(raw: bytes) -> np.ndarray:
+    """The hashes that ``_names`` wrote."""
+    words = len(raw) // 7
+    high = np.cumsum(_from_planes(raw[: 2 * words], np.dtype("<u2")), dtype=np.uint16)
+    own = np.zeros((words, 8), np.uint8)
+    own[:, 1:6] = np.frombuffer(raw[2 * words:], np.uint8).reshape(words, 5)
+    return own.view("<u8").ravel() | high.astype(np.uint64) << np.uint64(48)
+
+
 def _squeeze(body: bytes) -> bytes:
     return len(body).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True)
 
@@ -311,20 +346,18 @@ def _unpack(raw: bytes) -> bytes:
 def _read(rows: pa.Table):
     """The occurrences of a shard: vocabulary, codes of the last word and the two before, text (over all units), whether it trains."""
     names, blocks = [], []
-    for unit, (flags, body) in enumerate(zip(rows.column("train"), rows.column("body"))):
+    for unit, body in enumerate(rows.column("body")):
         raw = _unpack(body.as_py())
         k, n, d = np.frombuffer(raw[:24], np.int64)
-        wide = np.dtype("<u2" if k <= 65536 else "<u4")
+        wide = _width(k)
         at = 24 + 7 * k
-        own = np.zeros((k, 8), np.uint8)
-        own[:, 1:] = np.frombuffer(raw[24: at], np.uint8).reshape(k, 7)
-        names.append(own.view(np.uint64).ravel())
-        three = np.frombuffer(raw[at: at + 3 * n * wide.itemsize], wide).reshape(3, n)
+        names.append(_hashes(raw[24: at]))
+        three = _from_planes(raw[at: at + 3 * n * wide.itemsize], wide).reshape(3, n)
         at += 3 * n * wide.itemsize
         docs = np.cumsum(np.frombuffer(raw[at: at + 4 * d], np.int32))
-        runs = np.frombuffer(raw[at + 4 * d:], np.int32)
-        train = np.unpackbits(np.frombuffer(flags.as_py(), np.uint8)).astype(bool)
-        blocks.append((three, np.repeat(docs, runs), np.repeat(train[docs], runs), unit))
+        runs = np.frombuffer(raw[at + 4 * d: at + 8 * d], np.int32)
+        train = np.unpackbits(np.frombuffer(raw[at + 8 * d:], np.uint8), count=d).astype(bool)
+        blocks.append((three, np.repeat(docs, runs), np.repeat(train, runs), unit))
     back, vocabulary = pd.factorize(np.concatenate(names))
     back = back.astype(np.int32)
     at, last, one, two, doc, train, unit = 0, [], [], [], [], [], []
@@ -398,7 +431,7 @@ def occurrence_scores(facts: Facts, trie: Trie, vocabulary: np.ndarray, level: n
 
 def _score_shard(sent):
     def step(key: tuple, rows: pa.Table) -> pa.Table:
-        told, rows = rows.filter(pc.is_null(rows.column("train"))), rows.filter(pc.is_valid(rows.column("train")))
+        told, rows = rows.filter(pc.less(rows.column("unit"), 0)), rows.filter(pc.greater_equal(rows.column("unit"), 0))
         empty = pa.array([None] * rows.num_rows, pa.binary())
         if key[0].as_py() < 0:
             return pa.table({"unit": rows.column("unit"), "ids": rows.column("ids"), "texts": rows.column("body"), "sums": empty})
@@ -436,7 +469,7 @@ def _sum_units(sent):
             if t.is_valid:
                 ids, texts = i.values, _unpack(t.as_py())
         n = len(ids)
-        size = np.frombuffer(texts[n:], np.int32).astype(np.int64)
+        size = np.frombuffer(texts, np.int32).astype(np.int64)
         known, base, score = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
         for sums in rows.column("sums"):
             if sums.is_valid:
@@ -473,7 +506,7 @@ def train_tries(docs: DataFrame) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(gather_facts(docs, shards).parts())
 
     def step(key: tuple, rows: pa.Table) -> pa.Table:
-        told, rows = rows.filter(pc.is_null(rows.column("train"))), rows.filter(pc.is_valid(rows.column("train")))
+        told, rows = rows.filter(pc.less(rows.column("unit"), 0)), rows.filter(pc.greater_equal(rows.column("unit"), 0))
         facts = Facts(*sent.value)
         vocabulary, last, one, two, *_ = _read(rows)
         trie = build_trie(facts, vocabulary, _levels(facts, vocabulary, told), last.astype(np.int64), one.astype(np.int64), two)
