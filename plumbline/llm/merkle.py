@@ -1,15 +1,16 @@
-"""Document fingerprints: a Merkle tree over sections and paragraphs of a text, and a likeness of two texts, in column expressions.
+"""Document fingerprints: a Merkle tree over the sections, paragraphs and pieces of a text, and the likeness of two trees, in column expressions.
 
-Sections are parted by an empty line, paragraphs by a line break, so the parts
-joined again give the text.  A paragraph's digest is the SHA-256 of its text, a
-section's that of its paragraphs' digests, the root's that of its sections'
-digests: equal roots mean equal texts, and where roots differ, the branches
-that differ say where the edit is.  Beside the tree, and not part of it, texts are
-cut into pieces of up to four words, also after punctuation; the share of pieces two
-texts have in common (twice the common ones over the sum of both) grades how alike they are.
+Sections are parted by an empty line, paragraphs by a line break, and a paragraph
+is cut into pieces of up to four words, also after punctuation and inside words of
+more than 24 characters; the parts joined again give the text.  A piece's digest,
+the leaf, is the SHA-256 of its text, a paragraph's that of its leaves, a section's that of its
+paragraphs' digests, the root's that of its sections' digests: equal roots mean
+equal texts, and where roots differ, the branches that differ say where the edit is, down
+to the piece.  The likeness of two trees is the share of distinct leaves they have in
+common (twice the common ones over the sum of both).
 
 Defined results: a null text is empty, and an empty text has one empty section
-and paragraph and no pieces; texts without pieces are alike to degree 1 among themselves and 0 to
+and paragraph and no leaves; trees without leaves are alike to degree 1 among themselves and 0 to
 others; equal rows get equal fingerprints.
 """
 
@@ -18,46 +19,60 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# up to three words that end in no punctuation, then one word; never across a line break
+# up to three words that end in no punctuation with the gaps after them, then one word or 24 characters of it, and its gap
 _GAP = r" \t\r\f\x0B"
-PIECE = rf"(?:[^{_GAP}\n]*[^{_GAP}\n.!?,;][{_GAP}]+){{0,3}}[^{_GAP}\n]+"
+PIECE = (rf"(?:[^{_GAP}\n]{{0,23}}[^{_GAP}\n.!?,;][{_GAP}]{{1,24}}){{0,3}}[^{_GAP}\n]{{1,24}}[{_GAP}]{{0,24}}|[{_GAP}]{{1,24}}")
+
+
+def _digest(parts: Column) -> Column:
+    return F.sha2(F.array_join(parts, ""), 256)
 
 
 def tree(text: Column) -> Column:
-    """Struct of root and sections; each section has a digest and its paragraphs' digests."""
-    def section(s: Column) -> Column:
-        paragraphs = F.transform(F.split(s, "\n", -1), lambda p: F.sha2(p, 256))
-        return F.struct(F.sha2(F.array_join(paragraphs, ""), 256).alias("digest"), paragraphs.alias("paragraphs"))
+    """Sections with their digests and paragraphs; each paragraph has a digest and its leaves, the pieces' digests."""
+    def paragraph(p: Column) -> Column:
+        return F.transform(F.regexp_extract_all(p, F.lit(PIECE), F.lit(0)), lambda piece: F.sha2(piece, 256))
+
+    def with_digests(leaves: Column) -> Column:
+        return F.transform(leaves, lambda own: F.struct(_digest(own).alias("digest"), own.alias("leaves")))
 
-    return F.transform(F.split(text, "\n\n", -1), section)
+    paragraphs = F.transform(F.split(text, "\n\n", -1), lambda s: with_digests(F.transform(F.split(s, "\n", -1), paragraph)))
+    return F.transform(paragraphs, lambda s: F.struct(_digest(s["digest"]).alias("digest"), s.alias("paragraphs")))
 
 
 def root(sections: Column) -> Column:
-    return F.sha2(F.array_join(F.transform(sections, lambda s: s["digest"]), ""), 256)
+    return _digest(sections["digest"])
 
 
-def pieces(text: Column) -> Column:
-    """Hashes of the distinct pieces of a text."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), lambda p: F.xxhash64(p)))
+def leaves(sections: Column) -> Column:
+    """The distinct leaves of a tree."""
+    return F.array_distinct(F.flatten(F.transform(sections, lambda s: F.flatten(s["paragraphs"]["leaves"]))))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of common pieces, 0 to 1, of two piece arrays."""
+    """Share of common leaves, 0 to 1, of two arrays of distinct leaves."""
     both = F.size(a) + F.size(b)
     return F.when(both == 0, F.lit(1.0)).otherwise(F.lit(2.0) * F.size(F.array_intersect(a, b)) / both)
 
 
+def _first(a: Column, b: Column) -> Column:
+    """Place, from 0, of the first entry in which two arrays differ, the longer one's rest included; null when equal."""
+    last = F.greatest(F.coalesce(F.size(a), F.lit(0)), F.coalesce(F.size(b), F.lit(0))) - 1
+    places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    return F.get(F.filter(places, lambda i: ~F.get(a, i).eqNullSafe(F.get(b, i))), 0)
+
+
 def first_difference(a: Column, b: Column) -> Column:
-    """Struct (section, paragraph), from 0, of the first differing branch of two trees; null when equal.
+    """Struct (section, paragraph, piece), from 0, of the first differing branch of two trees; null when equal.
 
-    Only the first section whose digests differ is opened.
+    Only the first branch whose digests differ is opened on each level; the piece is null where one
+    tree has no such paragraph or it has no leaves there.
     """
-    s = F.get(F.filter(F.sequence(F.lit(0), F.greatest(F.size(a), F.size(b)) - 1),
-                       lambda i: ~F.get(a, i)["digest"].eqNullSafe(F.get(b, i)["digest"])), 0)
+    s = _first(a["digest"], b["digest"])
     pa, pb = F.get(a, s)["paragraphs"], F.get(b, s)["paragraphs"]
-    last = F.greatest(F.coalesce(F.size(pa), F.lit(0)), F.coalesce(F.size(pb), F.lit(0))) - 1
-    p = F.get(F.filter(F.sequence(F.lit(0), last), lambda i: ~F.get(pa, i).eqNullSafe(F.get(pb, i))), 0)
-    return F.when(s.isNotNull(), F.struct(s.alias("section"), p.alias("paragraph")))
+    p = _first(pa["digest"], pb["digest"])
+    piece = _first(F.get(pa, p)["leaves"], F.get(pb, p)["leaves"])
+    return F.when(s.isNotNull(), F.struct(s.alias("section"), p.alias("paragraph"), piece.alias("piece")))
 
 
 def with_next(docs: DataFrame, ranges: int) -> DataFrame:
@@ -100,8 +115,8 @@ def fingerprint_edits(docs: DataFrame, ranges: int) -> DataFrame:
     made = (with_next(docs, ranges)
             .withColumn("edited", edited)
             .withColumn("tree", tree(F.col("text"))).withColumn("edited_tree", tree(F.col("edited")))
-            .withColumn("own", pieces(F.col("text"))).withColumn("other", pieces(F.col("edited")))
-            .withColumn("following", pieces(F.col("next_text"))))
+            .withColumn("own", leaves(F.col("tree"))).withColumn("other", leaves(F.col("edited_tree")))
+            .withColumn("following", leaves(tree(F.col("next_text")))))
     return made.select(
         "doc_id", n.cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
         root(F.col("tree")).alias("fingerprint"), root(F.col("edited_tree")).alias("edited_fingerprint"),

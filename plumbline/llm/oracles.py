@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
-def _tree(text: str) -> str:
-    digests = "list_transform(string_split(s, chr(10)), lambda p: sha256(p))"
-    return f"list_transform(string_split({text}, chr(10) || chr(10)), lambda s: {digests})"
+_GAP = r" \t\r\f\x0B"
+_PIECE = rf"(?:[^{_GAP}\n]{{0,23}}[^{_GAP}\n.!?,;][{_GAP}]{{1,24}}){{0,3}}[^{_GAP}\n]{{1,24}}[{_GAP}]{{0,24}}|[{_GAP}]{{1,24}}"
+
+
+def _leaves(text: str) -> str:
+    """Leaves by section and paragraph."""
+    pieces = f"list_transform(regexp_extract_all(p, '{_PIECE}'), lambda x: sha256(x))"
+    return f"list_transform(string_split({text}, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda p: {pieces}))"
+
+
+def _digests(leaves: str) -> str:
+    """Paragraphs' digests by section."""
+    return f"list_transform({leaves}, lambda s: list_transform(s, lambda p: sha256(array_to_string(p, ''))))"
 
 
 def _root(tree: str) -> str:
@@ -15,7 +25,10 @@ def _like(a: str, b: str) -> str:
     return f"CASE WHEN len({a}) + len({b}) = 0 THEN 1.0 ELSE 2.0 * len(list_intersect({a}, {b})) / (len({a}) + len({b})) END"
 
 
-_PIECE = r"(?:[^ \t\r\f\x0B\n]*[^ \t\r\f\x0B\n.!?,;][ \t\r\f\x0B]+){0,3}[^ \t\r\f\x0B\n]+"
+def _place(a: str, b: str) -> str:
+    """Place, from 0, of the first entry in which two lists differ."""
+    return (f"list_filter(range(0, greatest(coalesce(len({a}), 0), coalesce(len({b}), 0))), "
+            f"lambda i: {a}[i + 1] IS DISTINCT FROM {b}[i + 1])[1]")
 
 
 def _bare_words(text: str) -> str:
@@ -28,15 +41,15 @@ SQL: dict[str, str] = {
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 follow AS (SELECT *, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next_text FROM docs WINDOW w AS (ORDER BY doc_id DESC)),
 edits AS (SELECT *, left(text, len(text) - len(text) // 2) || left(next_text, len(text) // 2) AS edited FROM follow),
-trees AS (SELECT *, {_tree("text")} AS t, {_tree("edited")} AS e,
-  list_distinct(regexp_extract_all(text, '{_PIECE}')) AS own, list_distinct(regexp_extract_all(edited, '{_PIECE}')) AS other,
-  list_distinct(regexp_extract_all(next_text, '{_PIECE}')) AS following FROM edits),
-spots AS (SELECT *, list_filter(range(0, greatest(len(t), len(e))), lambda i: t[i + 1] IS DISTINCT FROM e[i + 1])[1] AS s FROM trees)
+leaves AS (SELECT *, {_leaves("text")} AS tl, {_leaves("edited")} AS el, {_leaves("next_text")} AS nl FROM edits),
+trees AS (SELECT *, {_digests("tl")} AS t, {_digests("el")} AS e, list_distinct(flatten(flatten(tl))) AS own,
+  list_distinct(flatten(flatten(el))) AS other, list_distinct(flatten(flatten(nl))) AS following FROM leaves),
+sections AS (SELECT *, {_place("t", "e")} AS s FROM trees),
+paragraphs AS (SELECT *, {_place("t[s + 1]", "e[s + 1]")} AS p FROM sections)
 SELECT doc_id, len(text) AS n_chars, sha256(edited) AS edited_sha256, {_root("t")} AS fingerprint, {_root("e")} AS edited_fingerprint,
-  ({_like("own", "other")})::DOUBLE AS near_edited, ({_like("own", "following")})::DOUBLE AS near_next, s AS edit_section,
-  list_filter(range(0, greatest(coalesce(len(t[s + 1]), 0), coalesce(len(e[s + 1]), 0))),
-    lambda i: t[s + 1][i + 1] IS DISTINCT FROM e[s + 1][i + 1])[1] AS edit_paragraph
-FROM spots""",
+  ({_like("own", "other")})::DOUBLE AS near_edited, ({_like("own", "following")})::DOUBLE AS near_next, s AS edit_section, p AS edit_paragraph,
+  {_place("tl[s + 1][p + 1]", "el[s + 1][p + 1]")} AS edit_piece
+FROM paragraphs""",
     "op3_chat_format": r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

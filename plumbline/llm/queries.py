@@ -24,7 +24,8 @@ def op2_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranges = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     made = merkle.fingerprint_edits(table(spark, sf_dir, "documents"), ranges)
     return made.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next",
-                       F.col("edit.section").alias("edit_section"), F.col("edit.paragraph").alias("edit_paragraph"))
+                       F.col("edit.section").alias("edit_section"), F.col("edit.paragraph").alias("edit_paragraph"),
+                       F.col("edit.piece").alias("edit_piece"))
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

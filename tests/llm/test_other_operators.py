@@ -60,9 +60,28 @@ def test_tree_says_where_an_edit_is(spark):
     df = spark.createDataFrame([(a, b), (a, a), ("", "q"), ("p\n\nq", "p")], "a string, b string")
     rows = df.select(merkle.first_difference(merkle.tree(F.col("a")), merkle.tree(F.col("b"))).alias("d"),
                      merkle.root(merkle.tree(F.col("a"))).alias("root")).collect()
-    assert [tuple(r.d) if r.d else None for r in rows] == [(1, 0), None, (0, 0), (1, 0)]
+    assert [tuple(r.d) if r.d else None for r in rows] == [(1, 0, 0), None, (0, 0, 0), (1, 0, 0)]
     h = lambda s: hashlib.sha256(s.encode()).hexdigest()
-    assert rows[0].root == h(h(h("x") + h("y")) + h(h("z one") + h("end")))
+    leaf = lambda s: h(h(s))  # noqa: E731  (a paragraph of one piece)
+    assert rows[0].root == h(h(leaf("x") + leaf("y")) + h(leaf("z one") + leaf("end")))
+
+
+def test_leaves_are_the_whole_text_and_grade_edits(spark):
+    """Pieces joined give the paragraph, whatever its blanks; likeness is that of the leaves, also in texts without blanks."""
+    rng = np.random.default_rng(3)
+    texts = ["", " ", "\n\n\n", "a  b, c.d e f g h", " \t x" + " " * 90 + "y" * 200 + "\r\n", "\u00e4\U0001f600 " * 9]
+    texts += ["".join(rng.choice(list("ab ,.\n\t\u6f22"), int(n))) for n in rng.integers(0, 300, 60)]
+    df = spark.createDataFrame([(t,) for t in texts], "a string")
+    cut = df.select("a", F.transform(F.split("a", "\n", -1), lambda p: F.regexp_extract_all(p, F.lit(merkle.PIECE), F.lit(0))).alias("cut"),
+                    merkle.leaves(merkle.tree(F.col("a"))).alias("leaves")).collect()
+    for r in cut:
+        assert "\n".join("".join(p) for p in r.cut) == r.a
+        assert sorted(r.leaves) == sorted({hashlib.sha256(x.encode()).hexdigest() for p in r.cut for x in p})
+    whole = "".join(rng.choice(list("abcdefgh"), 2400))
+    halves = spark.createDataFrame([(whole, whole[:1200] + "z" * 1200), (whole, whole), ("", ""), ("", "a"), ("w " * 50, "w " * 49 + "v")], "a string, b string")
+    own, other = (merkle.leaves(merkle.tree(F.col(c))) for c in "ab")
+    near = [r[0] for r in halves.select(merkle.likeness(own, other)).collect()]
+    assert near[1:4] == [1.0, 1.0, 0.0] and 0.4 < near[0] < 0.7 and 0 < near[4] < 1
 
 
 def test_chats_of_all_layouts_come_back(spark):
