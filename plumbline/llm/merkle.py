@@ -55,11 +55,19 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(both == 0, F.lit(1.0)).otherwise(F.lit(2.0) * F.size(F.array_intersect(a, b)) / both)
 
 
+def _bound(body, **values: Column) -> Column:
+    """``body`` of a struct of the values, each of which is worked out once, however often the body reads it."""
+    return F.get(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), body), 0)
+
+
 def _first(a: Column, b: Column) -> Column:
     """Place, from 0, of the first entry in which two arrays differ, the longer one's rest included; null when equal."""
-    last = F.greatest(F.coalesce(F.size(a), F.lit(0)), F.coalesce(F.size(b), F.lit(0))) - 1
-    places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.get(F.filter(places, lambda i: ~F.get(a, i).eqNullSafe(F.get(b, i))), 0)
+    def place(v: Column) -> Column:
+        last = F.greatest(F.coalesce(F.size(v["a"]), F.lit(0)), F.coalesce(F.size(v["b"]), F.lit(0))) - 1
+        places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        return F.get(F.filter(places, lambda i: ~F.get(v["a"], i).eqNullSafe(F.get(v["b"], i))), 0)
+
+    return _bound(place, a=a, b=b)
 
 
 def first_difference(a: Column, b: Column) -> Column:
@@ -68,11 +76,17 @@ def first_difference(a: Column, b: Column) -> Column:
     Only the first branch whose digests differ is opened on each level; the piece is null where one
     tree has no such paragraph or it has no leaves there.
     """
-    s = _first(a["digest"], b["digest"])
-    pa, pb = F.get(a, s)["paragraphs"], F.get(b, s)["paragraphs"]
-    p = _first(pa["digest"], pb["digest"])
-    piece = _first(F.get(pa, p)["leaves"], F.get(pb, p)["leaves"])
-    return F.when(s.isNotNull(), F.struct(s.alias("section"), p.alias("paragraph"), piece.alias("piece")))
+    def in_section(v: Column) -> Column:
+        return _bound(in_paragraph, a=F.get(v["a"], v["s"])["paragraphs"], b=F.get(v["b"], v["s"])["paragraphs"], s=v["s"])
+
+    def in_paragraph(v: Column) -> Column:
+        return _bound(in_leaves, a=v["a"], b=v["b"], s=v["s"], p=_first(v["a"]["digest"], v["b"]["digest"]))
+
+    def in_leaves(v: Column) -> Column:
+        piece = _first(F.get(v["a"], v["p"])["leaves"], F.get(v["b"], v["p"])["leaves"])
+        return F.when(v["s"].isNotNull(), F.struct(v["s"].alias("section"), v["p"].alias("paragraph"), piece.alias("piece")))
+
+    return _bound(in_section, a=a, b=b, s=_first(a["digest"], b["digest"]))
 
 
 def with_next(docs: DataFrame, ranges: int) -> DataFrame:

@@ -66,6 +66,12 @@ def test_tree_says_where_an_edit_is(spark):
     assert rows[0].root == h(h(leaf("x") + leaf("y")) + h(leaf("z one") + leaf("end")))
 
 
+def test_a_difference_in_a_long_text_is_found(spark):
+    long = "\n\n".join("\n".join(f"line {i} of {k}, with words" for i in range(60)) for k in range(60))
+    df = spark.createDataFrame([(long, long[:-1] + "!")], "a string, b string").withColumn("a", merkle.tree(F.col("a"))).withColumn("b", merkle.tree(F.col("b")))
+    assert tuple(df.select(merkle.first_difference(F.col("a"), F.col("b")).alias("d")).first().d) == (59, 59, 1)
+
+
 def test_leaves_are_the_whole_text_and_grade_edits(spark):
     """Pieces joined give the paragraph, whatever its blanks; likeness is that of the leaves, also in texts without blanks."""
     rng = np.random.default_rng(3)
