@@ -44,10 +44,12 @@ A, SCALE, POWER = 4.0, 1.0, 0.75
 _OFTEN = 256  # words with more than one in _OFTEN tokens of a shard are known to every task
 _SHARD_BYTES = 12 << 20
 _UNIT_BYTES = 14 << 20  # texts that are coded together in a task
-# words are told apart by the upper 56 bits of their hashes, which is what travels
+# words are told apart by the upper 56 bits of their hashes, contexts within a shard by the upper 40: that is what travels
 _MASK = np.uint64(0xFFFFFFFFFFFFFF00)
+_SHORT = np.uint64(0xFFFFFFFFFF000000)
 _END, _START = (np.uint64(x) for x in (0x51ED270B7A1C9E00, 0x2545F4914F6CDD00))
 _LOG_STEP = 8.0  # levels of a count per factor of e
+_BASE_BITS, _SCORE_BITS = 32, 24  # binary places of a shard's sums for a text
 
 
 def held_out(doc_id: Column) -> Column:
@@ -87,7 +89,7 @@ def _vocabulary_counts(shards: int):
             used = np.flatnonzero(np.diff(bounds))
             yield pa.RecordBatch.from_pydict({
                 "shard": pa.array(used, pa.int32()), "docs": pa.array([batch.num_rows if i == 0 else 0 for i in range(len(used))], pa.int64()),
-                "body": pa.array([keys[bounds[s]: bounds[s + 1]].tobytes() + n[bounds[s]: bounds[s + 1]].astype(np.uint32).tobytes()
+                "body": pa.array([_squeeze(_hash_bytes(keys[bounds[s]: bounds[s + 1]], 5) + _planes(n[bounds[s]: bounds[s + 1]].astype("<u4")))
                                   for s in used], pa.binary())})
 
     return step
@@ -99,10 +101,10 @@ def _vocabulary_slice(top: int):
     def step(key: tuple, rows: pa.Table) -> pa.Table:
         keys, counts = [], []
         for body in rows.column("body"):
-            raw = body.as_py()
-            k = len(raw) // 12
-            keys.append(np.frombuffer(raw[: 8 * k], np.uint64))
-            counts.append(np.frombuffer(raw[8 * k:], np.uint32))
+            raw = _unpack(body.as_py())
+            k = len(raw) // 11
+            keys.append(_hashes(raw[: 7 * k], 5))
+            counts.append(_from_planes(raw[7 * k:], np.dtype("<u4")))
         words, back = np.unique(np.concatenate(keys), return_inverse=True)
         count = np.bincount(back, np.concatenate(counts)).astype(np.int64)
         often = np.argsort(-count, kind="stable")[:top]
@@ -205,9 +207,13 @@ def _context_counts(sent, shards: int, slices: int):
             distinct, _, before, _, home, first = _coded(facts, batch.column("text"), shards)
             rare = ((facts.often_counts(distinct) == 0) & (distinct != _START))[before]
             train = np.repeat(batch.column("train").to_numpy(zero_copy_only=False).astype(bool), np.diff(first))
-            count = np.bincount(before[rare & train], minlength=len(distinct)).astype(np.uint32)
-            pairs = np.sort(pd.unique(before[rare].astype(np.int64) * shards + home[rare]))
-            word, shard = pairs // shards, (pairs % shards).astype(np.int32)
+            by_hash = np.argsort(distinct)
+            place = np.empty(len(distinct), np.int64)
+            place[by_hash] = np.arange(len(distinct))
+            distinct = distinct[by_hash]
+            count = np.bincount(place[before[rare & train]], minlength=len(distinct)).astype("<u4")
+            pairs = np.sort(pd.unique(place[before[rare]] * shards + home[rare]))
+            word, shard = pairs // shards, (pairs % shards).astype(_width(shards))
             used, asks = np.unique(word, return_counts=True)
             begin = np.cumsum(asks) - asks
             of = _slice_of(distinct[used], slices)
@@ -215,33 +221,34 @@ def _context_counts(sent, shards: int, slices: int):
                 mine = np.flatnonzero(of == s)
                 spots = np.repeat(begin[mine], asks[mine]) + np.arange(asks[mine].sum()) - np.repeat(np.cumsum(asks[mine]) - asks[mine], asks[mine])
                 yield pa.RecordBatch.from_pydict({"slice": pa.array([s], pa.int64()), "body": pa.array([_squeeze(
-                    len(mine).to_bytes(8, "little") + distinct[used[mine]].tobytes() + count[used[mine]].tobytes() + asks[mine].astype(np.int32).tobytes()
-                    + shard[spots].tobytes())], pa.binary())})
+                    len(mine).to_bytes(8, "little") + _hash_bytes(distinct[used[mine]], 5) + _planes(count[used[mine]])
+                    + _planes(asks[mine].astype("<i4")) + _planes(shard[spots]))], pa.binary())})
 
     return step
 
 
-def _tell_shards():
-    """To each shard the trained contexts it asks for, with the level of their count in the byte that the hashes leave free."""
+def _tell_shards(shards: int):
+    """To each shard the trained contexts it asks for, and the levels of their counts."""
 
     def step(rows: pa.Table) -> pa.Table:
         keys, counts, asks, shard = [], [], [], []
         for body in rows.column("body"):
             raw = _unpack(body.as_py())
             k = int.from_bytes(raw[:8], "little")
-            keys.append(np.frombuffer(raw[8: 8 + 8 * k], np.uint64))
-            counts.append(np.frombuffer(raw[8 + 8 * k: 8 + 12 * k], np.uint32))
-            asks.append(np.frombuffer(raw[8 + 12 * k: 8 + 16 * k], np.int32))
-            shard.append(np.frombuffer(raw[8 + 16 * k:], np.int32))
+            keys.append(_hashes(raw[8: 8 + 7 * k], 5))
+            counts.append(_from_planes(raw[8 + 7 * k: 8 + 11 * k], np.dtype("<u4")))
+            asks.append(_from_planes(raw[8 + 11 * k: 8 + 15 * k], np.dtype("<i4")))
+            shard.append(_from_planes(raw[8 + 15 * k:], _width(shards)))
         back, words = pd.factorize(np.concatenate(keys))
         level = _level(np.bincount(back, np.concatenate(counts), len(words)))
         pairs = pd.unique(np.concatenate(shard).astype(np.int64) * len(words) + np.repeat(back, np.concatenate(asks)))
         pairs = np.sort(pairs[level[pairs % len(words)] > 0])
         to, word = pairs // len(words), pairs % len(words)
         named, first = np.unique(to, return_index=True)
-        told = words | level.astype(np.uint64)
+        told = words & _SHORT | level.astype(np.uint64)
+        lists = [np.sort(told[w]) for w in np.split(word, first[1:])] if len(named) else []
         return pa.table({"shard": pa.array(named, pa.int64()), "body": pa.array(
-            [_squeeze(np.sort(told[w]).tobytes()) for w in np.split(word, first[1:])] if len(named) else [], pa.binary())})
+            [_squeeze(_hash_bytes(w, 3) + (w & ~_SHORT).astype(np.uint8).tobytes()) for w in lists], pa.binary())})
 
     return step
 
@@ -250,18 +257,23 @@ def _dealt(docs: DataFrame, sent, shards: int) -> DataFrame:
     """What the shards get: occurrences, and (as unit -1) the levels of their contexts' counts."""
     slices = pieces(shards, 4)
     told = (docs.select("text", "train").mapInArrow(_context_counts(sent, shards, slices), "slice long, body binary").groupBy("slice")
-            .applyInArrow(_tell_shards(), "shard long, body binary")
+            .applyInArrow(_tell_shards(shards), "shard long, body binary")
             .selectExpr("shard", "-1L as unit", "cast(null as array<long>) as ids", "body"))
     return docs.mapInArrow(_occurrences(sent, shards), "shard long, unit long, ids array<long>, body binary").unionByName(told)
 
 
-def _levels(facts: Facts, vocabulary: np.ndarray, told: pa.Table) -> np.ndarray:
-    """Level of the count of each word of ``vocabulary`` that is a context in this shard."""
-    level = _level(facts.often_counts(vocabulary))
-    bodies = [np.frombuffer(_unpack(b.as_py()), np.uint64) for b in told.column("body")]
-    if bodies:
-        both = np.sort(np.concatenate(bodies))
-        level = np.maximum(level, _looked_up(both & _MASK, (both & ~_MASK).astype(np.uint8), vocabulary))
+def _levels(facts: Facts, contexts: np.ndarray, told: pa.Table) -> np.ndarray:
+    """Level of the count of each of a shard's contexts."""
+    level = _level(_looked_up(facts.often & _SHORT, facts.often_count, contexts))
+    words, levels = [], []
+    for body in told.column("body"):
+        raw = _unpack(body.as_py())
+        k = len(raw) // 6
+        words.append(_hashes(raw[: 5 * k], 3))
+        levels.append(np.frombuffer(raw[5 * k:], np.uint8))
+    if words:
+        both = np.sort(np.concatenate(words) | np.concatenate(levels).astype(np.uint64))
+        level = np.maximum(level, _looked_up(both & _SHORT, (both & ~_SHORT).astype(np.uint8), contexts))
     return level
 
 
@@ -284,12 +296,21 @@ def _occurrences(sent, shards: int):
                 pick = order[bounds[s]: bounds[s + 1]]
                 three = np.concatenate([code[pick], before[pick], two[pick]])
                 local, three, uses = np.unique(three, return_inverse=True, return_counts=True)
-                names, place = _names(distinct[local], uses)
+                last, context = three[:len(pick)], three[len(pick):]
+                own = np.zeros(len(local), bool)
+                own[last] = True
+                others = len(local) - int(own.sum())
+                place = np.empty(len(local), np.int64)
+                names, place[~own] = _names(distinct[local[~own]], uses[~own], 3)
+                own_names, place[own] = _names(distinct[local[own]], uses[own], 5)
+                last = place[last].astype(_width(len(local) - others))
+                place[own] += others
                 heads = np.flatnonzero(np.diff(owner[pick], prepend=-1))
                 runs = np.diff(np.append(heads, len(pick))).astype(np.int32)
                 docs = owner[pick][heads]
                 bodies.append(_squeeze(b"".join([
-                    np.array([len(local), len(pick), len(heads)], np.int64).tobytes(), names, _planes(place[three].astype(_width(len(local)))),
+                    np.array([others, len(local) - others, len(pick), len(heads)], np.int64).tobytes(), names, own_names,
+                    _planes(last), _planes(place[context].astype(_width(len(local)))),
                     np.diff(docs, prepend=np.int32(0)).astype(np.int32).tobytes(), runs.tobytes(), np.packbits(train[docs]).tobytes()])))
             yield pa.RecordBatch.from_pydict({
                 "shard": pa.array([-1 - (base + number), *used], pa.int64()), "unit": pa.array([base + number] * len(bodies), pa.int64()),
@@ -312,26 +333,26 @@ def _from_planes(raw: bytes, kind: np.dtype) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
 
 
-def _names(hashes: np.ndarray, uses: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """The dictionary of a message and the code of each word in it.
-
-    Words stand by the power of two of their uses, then by hash: of the 56 bits the upper 16 are sent as
-    steps from the word before (nearly always small, so they compress), the other 40 as they are.
-    """
+def _names(hashes: np.ndarray, uses: np.ndarray, low: int) -> tuple[bytes, np.ndarray]:
+    """A dictionary of a message, by the power of two of the uses, then by hash, and the place of each word in it."""
     order = np.lexsort((hashes, -np.frexp(uses)[1]))
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
-    hashes = hashes[order]
+    return _hash_bytes(hashes[order], low), place
+
+
+def _hash_bytes(hashes: np.ndarray, low: int) -> bytes:
+    """The upper 16 bits of hashes as steps from the one before (small where they ascend, so they compress), ``low`` more bytes as they are."""
     steps = np.diff((hashes >> np.uint64(48)).astype("<u2"), prepend=np.uint16(0))
-    return _planes(steps) + np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, 1:6]).tobytes(), place
+    return _planes(steps) + np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, 6 - low:6]).tobytes()
 
 
-def _hashes(raw: bytes) -> np.ndarray:
-    """The hashes that ``_names`` wrote."""
-    words = len(raw) // 7
+def _hashes(raw: bytes, low: int) -> np.ndarray:
+    """The hashes that ``_hash_bytes`` wrote."""
+    words = len(raw) // (2 + low)
     high = np.cumsum(_from_planes(raw[: 2 * words], np.dtype("<u2")), dtype=np.uint16)
     own = np.zeros((words, 8), np.uint8)
-    own[:, 1:6] = np.frombuffer(raw[2 * words:], np.uint8).reshape(words, 5)
+    own[:, 6 - low:6] = np.frombuffer(raw[2 * words:], np.uint8).reshape(words, low)
     return own.view("<u8").ravel() | high.astype(np.uint64) << np.uint64(48)
 
 
@@ -344,32 +365,35 @@ def _unpack(raw: bytes) -> bytes:
 
 
 def _read(rows: pa.Table):
-    """The occurrences of a shard: vocabulary, codes of the last word and the two before, text (over all units), whether it trains."""
-    names, blocks = [], []
+    """The occurrences of a shard: its words and contexts, codes of the last word and the two before, text (over all units), whether it trains."""
+    names, around, blocks = [], [], []
     for unit, body in enumerate(rows.column("body")):
         raw = _unpack(body.as_py())
-        k, n, d = np.frombuffer(raw[:24], np.int64)
-        wide = _width(k)
-        at = 24 + 7 * k
-        names.append(_hashes(raw[24: at]))
-        three = _from_planes(raw[at: at + 3 * n * wide.itemsize], wide).reshape(3, n)
-        at += 3 * n * wide.itemsize
-        docs = np.cumsum(np.frombuffer(raw[at: at + 4 * d], np.int32))
-        runs = np.frombuffer(raw[at + 4 * d: at + 8 * d], np.int32)
-        train = np.unpackbits(np.frombuffer(raw[at + 8 * d:], np.uint8), count=d).astype(bool)
-        blocks.append((three, np.repeat(docs, runs), np.repeat(train, runs), unit))
-    back, vocabulary = pd.factorize(np.concatenate(names))
-    back = back.astype(np.int32)
-    at, last, one, two, doc, train, unit = 0, [], [], [], [], [], []
-    for name, (three, docs, trains, u) in zip(names, blocks):
-        local = back[at: at + len(name)]
-        at += len(name)
-        for to, codes in zip((last, one, two), three):
-            to.append(local[codes])
+        others, own, n, d = (int(x) for x in np.frombuffer(raw[:32], np.int64))
+        sizes = [5 * others, 7 * own, n * _width(own).itemsize, 2 * n * _width(others + own).itemsize, 4 * d, 4 * d]
+        ends = 32 + np.cumsum(sizes)
+        other, mine, last, context, docs, runs = (raw[e - size: e] for e, size in zip(ends, sizes))
+        names.append(_hashes(mine, 5))
+        around.append(np.append(_hashes(other, 3), names[-1] & _SHORT))
+        runs = np.frombuffer(runs, np.int32)
+        train = np.unpackbits(np.frombuffer(raw[ends[-1]:], np.uint8), count=d).astype(bool)
+        blocks.append((_from_planes(last, _width(own)), _from_planes(context, _width(others + own)).reshape(2, n),
+                       np.repeat(np.cumsum(np.frombuffer(docs, np.int32)), runs), np.repeat(train, runs), unit))
+    word, vocabulary = pd.factorize(np.concatenate(names))
+    near, contexts = pd.factorize(np.concatenate(around))
+    word, near = word.astype(np.int32), near.astype(np.int32)
+    at, beside, last, one, two, doc, train, unit = 0, 0, [], [], [], [], [], []
+    for own, all_names, (lasts, (ones, twos), docs, trains, u) in zip(names, around, blocks):
+        local = near[beside: beside + len(all_names)]
+        last.append(word[at: at + len(own)][lasts])
+        one.append(local[ones])
+        two.append(local[twos])
+        at += len(own)
+        beside += len(all_names)
         doc.append(docs.astype(np.int32))
         train.append(trains)
         unit.append(np.full(len(docs), u, np.int32))
-    return (vocabulary, *(np.concatenate(x) for x in (last, one, two, doc, train, unit)))
+    return (vocabulary, contexts, *(np.concatenate(x) for x in (last, one, two, doc, train, unit)))
 
 
 def _last_words(facts: Facts, vocabulary: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -380,13 +404,13 @@ def _last_words(facts: Facts, vocabulary: np.ndarray, last: np.ndarray) -> tuple
     return words, np.where(hot > 0, hot, here)[words]
 
 
-def _context_spread(facts: Facts, vocabulary: np.ndarray, level: np.ndarray, context: np.ndarray) -> np.ndarray:
-    return np.where(vocabulary[context] == _START, facts.spread_at_start(), facts.spread(level[context]))
+def _context_spread(facts: Facts, contexts: np.ndarray, level: np.ndarray, context: np.ndarray) -> np.ndarray:
+    return np.where(contexts[context] == _START & _SHORT, facts.spread_at_start(), facts.spread(level[context]))
 
 
-def build_trie(facts: Facts, vocabulary: np.ndarray, level: np.ndarray, last: np.ndarray, one: np.ndarray, two: np.ndarray) -> Trie:
-    """The trie of a shard's training occurrences (codes into ``vocabulary``)."""
-    size = np.int64(len(vocabulary))
+def build_trie(facts: Facts, vocabulary: np.ndarray, contexts: np.ndarray, level: np.ndarray, last: np.ndarray, one: np.ndarray, two: np.ndarray) -> Trie:
+    """The trie of a shard's training occurrences (codes into ``vocabulary``, and into ``contexts`` for the words before)."""
+    size = np.int64(len(contexts))
     words, count = _last_words(facts, vocabulary, last)
     pairs, n2 = np.unique(np.searchsorted(words, last) * size + one, return_counts=True)
     keys = np.searchsorted(words, last) * size + one
@@ -395,7 +419,7 @@ def build_trie(facts: Facts, vocabulary: np.ndarray, level: np.ndarray, last: np
     up2, before = pairs // size, pairs % size
     up3 = triples // size
     chance, own = facts.chance(count), facts.spread(_level(count))
-    over2 = n2 + _context_spread(facts, vocabulary, level, before) * chance[up2]
+    over2 = n2 + _context_spread(facts, contexts, level, before) * chance[up2]
     return Trie.build(
         [(None, words), (up2, before), (up3, triples % size)],
         [{"word": np.log10(chance), "next": -np.log10(count + own), "base": np.log10(count + 1.0)},
@@ -403,9 +427,10 @@ def build_trie(facts: Facts, vocabulary: np.ndarray, level: np.ndarray, last: np
          {"word": np.log10(A * n3 + over2[up3])}])
 
 
-def occurrence_scores(facts: Facts, trie: Trie, vocabulary: np.ndarray, level: np.ndarray, last: np.ndarray, one: np.ndarray, two: np.ndarray):
+def occurrence_scores(facts: Facts, trie: Trie, vocabulary: np.ndarray, contexts: np.ndarray, level: np.ndarray, last: np.ndarray, one: np.ndarray,
+                      two: np.ndarray):
     """Per occurrence: the log10 it adds to its text, and the node of its word (-1: unknown)."""
-    size = np.int64(len(vocabulary))
+    size = np.int64(len(contexts))
     # each distinct question once
     to_pair, pairs = pd.factorize(last * size + one)
     to_triple, triples = pd.factorize(to_pair * size + two)
@@ -414,7 +439,7 @@ def occurrence_scores(facts: Facts, trie: Trie, vocabulary: np.ndarray, level: n
     node2 = trie.child(1, node1, v)
     up = triples // size
     node3 = trie.child(2, node2[up], triples % size)
-    spread = np.log10(_context_spread(facts, vocabulary, level, v))
+    spread = np.log10(_context_spread(facts, contexts, level, v))
     unknown = float(np.log10(facts.chance(np.zeros(1, np.int64)))[0])
     own = facts.spread(np.zeros(1))  # of a word that no training text has
     word = np.where(node1 >= 0, trie.value(0, "word", np.maximum(node1, 0)) if trie.words[0].n else 0, unknown) + spread
@@ -429,6 +454,11 @@ def occurrence_scores(facts: Facts, trie: Trie, vocabulary: np.ndarray, level: n
     return (score + after[up])[to_triple], node1[to_pair]
 
 
+def _fixed(sums: np.ndarray, bits: int) -> bytes:
+    """Numbers in steps of 2 ** -bits, finer than what is summed."""
+    return _planes(np.round(np.ldexp(sums, bits)).astype("<i8"))
+
+
 def _score_shard(sent):
     def step(key: tuple, rows: pa.Table) -> pa.Table:
         told, rows = rows.filter(pc.less(rows.column("unit"), 0)), rows.filter(pc.greater_equal(rows.column("unit"), 0))
@@ -436,15 +466,15 @@ def _score_shard(sent):
         if key[0].as_py() < 0:
             return pa.table({"unit": rows.column("unit"), "ids": rows.column("ids"), "texts": rows.column("body"), "sums": empty})
         facts = Facts(*sent.value)
-        vocabulary, last, one, two, doc, train, unit = _read(rows)
-        level = _levels(facts, vocabulary, told)
+        vocabulary, contexts, last, one, two, doc, train, unit = _read(rows)
+        level = _levels(facts, contexts, told)
         last, one = last.astype(np.int64), one.astype(np.int64)
-        raw = build_trie(facts, vocabulary, level, last[train], one[train], two[train]).to_bytes()
+        raw = build_trie(facts, vocabulary, contexts, level, last[train], one[train], two[train]).to_bytes()
         level_map = mmap.mmap(-1, len(raw))  # the levels are read where they lie, as from a file
         level_map[:] = raw
         del raw
         trie = Trie.from_buffer(level_map)
-        score, node = occurrence_scores(facts, trie, vocabulary, level, last, one, two)
+        score, node = occurrence_scores(facts, trie, vocabulary, contexts, level, last, one, two)
         # the base score is exact: counts, not codes
         _, count = _last_words(facts, vocabulary, last[train])
         per_word = np.append(np.log10(count + 1.0), 0.0)
@@ -453,8 +483,8 @@ def _score_shard(sent):
         for u in range(len(units)):
             mine = slice(*np.searchsorted(unit, [u, u + 1]))
             docs, at = np.unique(doc[mine], return_inverse=True)
-            bodies.append(_squeeze(docs.astype(np.int32).tobytes() + np.bincount(at, node[mine] >= 0).astype(np.int32).tobytes()
-                                   + np.bincount(at, base[mine]).tobytes() + np.bincount(at, score[mine]).tobytes()))
+            bodies.append(_squeeze(_planes(np.diff(docs, prepend=0).astype("<i4")) + _planes(np.bincount(at, node[mine] >= 0).astype("<i4"))
+                                   + _fixed(np.bincount(at, base[mine]), _BASE_BITS) + _fixed(np.bincount(at, score[mine]), _SCORE_BITS)))
         return pa.table({"unit": pa.array(units, pa.int64()), "ids": pa.array([None] * len(units), pa.list_(pa.int64())),
                          "texts": empty, "sums": pa.array(bodies, pa.binary())})
 
@@ -475,10 +505,10 @@ def _sum_units(sent):
             if sums.is_valid:
                 raw = _unpack(sums.as_py())
                 k = len(raw) // 24
-                docs = np.frombuffer(raw[: 4 * k], np.int32)
-                known[docs] += np.frombuffer(raw[4 * k: 8 * k], np.int32)
-                base[docs] += np.frombuffer(raw[8 * k: 16 * k])
-                score[docs] += np.frombuffer(raw[16 * k:])
+                docs = np.cumsum(_from_planes(raw[: 4 * k], np.dtype("<i4")))
+                known[docs] += _from_planes(raw[4 * k: 8 * k], np.dtype("<i4"))
+                base[docs] += np.ldexp(_from_planes(raw[8 * k: 16 * k], np.dtype("<i8")), -_BASE_BITS)
+                score[docs] += np.ldexp(_from_planes(raw[16 * k:], np.dtype("<i8")), -_SCORE_BITS)
         begin = -np.log10(A * facts.docs + facts.docs + facts.spread_at_start())
         return pa.table({"doc_id": ids, "n_tokens": pa.array(size), "n_known": pa.array(known),
                          "base_score": pa.array(base - size * np.log10(facts.tokens + facts.types + 1)), "score": pa.array(score + begin)})
@@ -500,7 +530,7 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
 
 
 def train_tries(docs: DataFrame) -> DataFrame:
-    """The model itself: rows (shard, trie), each trie one buffer for ``Trie.from_buffer``, trained on all of ``docs``."""
+    """The model itself: rows (shard, vocabulary, contexts, trie), each trie one buffer for ``Trie.from_buffer``, trained on all of ``docs``."""
     docs = docs.select(F.lit(None).cast("bigint").alias("doc_id"), "text", F.lit(True).alias("train"))
     shards = pieces(text_size(docs)[1], _SHARD_BYTES)
     sent = docs.sparkSession.sparkContext.broadcast(gather_facts(docs, shards).parts())
@@ -508,10 +538,10 @@ def train_tries(docs: DataFrame) -> DataFrame:
     def step(key: tuple, rows: pa.Table) -> pa.Table:
         told, rows = rows.filter(pc.less(rows.column("unit"), 0)), rows.filter(pc.greater_equal(rows.column("unit"), 0))
         facts = Facts(*sent.value)
-        vocabulary, last, one, two, *_ = _read(rows)
-        trie = build_trie(facts, vocabulary, _levels(facts, vocabulary, told), last.astype(np.int64), one.astype(np.int64), two)
+        vocabulary, contexts, last, one, two, *_ = _read(rows)
+        trie = build_trie(facts, vocabulary, contexts, _levels(facts, contexts, told), last.astype(np.int64), one.astype(np.int64), two)
         return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "vocabulary": pa.array([vocabulary.tobytes()], pa.binary()),
-                         "trie": pa.array([trie.to_bytes()], pa.binary())})
+                         "contexts": pa.array([contexts.tobytes()], pa.binary()), "trie": pa.array([trie.to_bytes()], pa.binary())})
 
     return (_dealt(docs, sent, shards)
-            .where("shard >= 0").groupBy("shard").applyInArrow(step, "shard long, vocabulary binary, trie binary"))
+            .where("shard >= 0").groupBy("shard").applyInArrow(step, "shard long, vocabulary binary, contexts binary, trie binary"))
