@@ -42,7 +42,7 @@ from plumbline.llm.words import byte_slices, mix, tokenise
 
 A, SCALE, POWER = 4.0, 1.0, 0.75
 _OFTEN = 256  # words with more than one in _OFTEN tokens of a shard are known to every task
-_SHARD_BYTES = 12 << 20
+_SHARD_BYTES = 10 << 20
 _UNIT_BYTES = 14 << 20  # texts that are coded together in a task
 # words are told apart by the upper 56 bits of their hashes, contexts within a shard by the upper 40: that is what travels
 _MASK = np.uint64(0xFFFFFFFFFFFFFF00)
@@ -412,9 +412,10 @@ def build_trie(facts: Facts, vocabulary: np.ndarray, contexts: np.ndarray, level
     """The trie of a shard's training occurrences (codes into ``vocabulary``, and into ``contexts`` for the words before)."""
     size = np.int64(len(contexts))
     words, count = _last_words(facts, vocabulary, last)
-    pairs, n2 = np.unique(np.searchsorted(words, last) * size + one, return_counts=True)
     keys = np.searchsorted(words, last) * size + one
-    triples, n3 = np.unique(np.searchsorted(pairs, keys) * size + two, return_counts=True)
+    pairs, n2 = np.unique(keys, return_counts=True)
+    keys = np.searchsorted(pairs, keys) * size + two
+    triples, n3 = np.unique(keys, return_counts=True)
     del keys
     up2, before = pairs // size, pairs % size
     up3 = triples // size
