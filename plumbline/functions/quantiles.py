@@ -7,6 +7,9 @@ keeps only the bins that hold a wanted rank and splits those further.  Once a
 bin holds few enough rows its values are ranked.  A value shared by a third of
 all rows is one bin with ``lo == hi`` and costs nothing.
 
+The bins of the first pass can carry means and squared deviations as well; merged
+over a column they give its mean and deviation without a scan of their own.
+
 The passes return a handful of scalars per column.  Callers put them into later
 plans as literals, so filters on them reach the Parquet scan.
 """
@@ -19,7 +22,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import ref
+from plumbline.functions.columns import nan_to_null, ref
 
 # bins per unit of ln|x| in the first pass (relative bin width about 0.8 %)
 _LOG_BINS = 128
@@ -33,9 +36,15 @@ GATHER_ROWS = 200_000
 
 @dataclass
 class ColumnQuantiles:
-    """Order statistics of one column; ``at[p]`` is interpolated linearly."""
+    """Order statistics of one column; ``at[p]`` is interpolated linearly.
+
+    ``rows`` counts missing values too; mean and (sample) std are there if moments were asked for.
+    """
 
     count: int = 0
+    rows: int = 0
+    mean: float | None = None
+    std: float | None = None
     low: float | None = None
     high: float | None = None
     at: dict[float, float] = field(default_factory=dict)
@@ -71,19 +80,25 @@ def _log_bin(v: Column) -> Column:
 def _values(df: DataFrame, exprs: dict[str, Column]) -> DataFrame:
     ids = [str(i) for i in range(len(exprs))]
     wide = df.select(*[e.cast("double").alias(i) for i, e in zip(ids, exprs.values())])
-    return wide.unpivot([], ids, "c", "v").where("v is not null and not isnan(v)")
+    return nan_to_null(wide).unpivot([], ids, "c", "v")
 
 
-def _first_pass(df: DataFrame, exprs: dict[str, Column], probs: list[float]) -> list:
+def _first_pass(df: DataFrame, exprs: dict[str, Column], probs: list[float], moments: bool) -> list:
+    """Bins that hold a wanted rank, with totals of their column; a column without values has its one bin of missing values."""
+    inner = [F.avg("v").alias("mean"), F.var_pop("v").alias("spread")] if moments else []
     bins = (_values(df, exprs).groupBy("c", _log_bin(F.col("v")).alias("bin"))
-            .agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")))
+            .agg(F.count("v").alias("n"), F.count("*").alias("all"), F.min("v").alias("lo"), F.max("v").alias("hi"), *inner))
     per_column = Window.partitionBy("c")
     ordered = per_column.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = bins.select(
-        "c", "n", "lo", "hi", (F.sum("n").over(ordered) - F.col("n")).alias("below"),
-        F.sum("n").over(per_column).alias("total"),
+        "*", (F.sum("n").over(ordered) - F.col("n")).alias("below"),
+        F.sum("n").over(per_column).alias("total"), F.sum("all").over(per_column).alias("rows"),
         F.min("lo").over(per_column).alias("low"), F.max("hi").over(per_column).alias("high"))
-    wanted = F.lit(False)
+    if moments:
+        centre = ranked.withColumn("centre", F.try_divide(F.sum(F.col("n") * F.col("mean")).over(per_column), F.col("total")))
+        apart = F.col("spread") + (F.col("mean") - F.col("centre")) ** 2
+        ranked = centre.withColumn("squares", F.sum(F.col("n") * apart).over(per_column))
+    wanted = F.col("total") == 0
     for p in probs:
         spot = (F.col("total") - 1) * F.lit(float(p))
         for rank in (F.floor(spot), F.ceil(spot)):
@@ -149,9 +164,15 @@ def _gather(df: DataFrame, columns: list[Column], brackets: list[_Bracket],
     return out
 
 
+def _mean_and_std(row) -> tuple[float, float | None]:
+    if row.low == row.high:  # without the rounding of a merged mean
+        return row.low, None if row.total < 2 else 0.0 if math.isfinite(row.low) else math.nan
+    return row.centre, math.sqrt(row.squares / (row.total - 1))
+
+
 def exact_quantiles(df: DataFrame, exprs: dict[str, Column] | list[str], probs: list[float],
-                    gather_rows: int = GATHER_ROWS) -> dict[str, ColumnQuantiles]:
-    """Exact linear-interpolation quantiles of numeric columns or expressions.
+                    gather_rows: int = GATHER_ROWS, moments: bool = False) -> dict[str, ColumnQuantiles]:
+    """Exact linear-interpolation quantiles of numeric columns or expressions, with ``moments`` also mean and deviation.
 
     Two scans for most tables; one more for each further factor of about
     ten thousand in rows per bin.  Nulls and NaN are left out.
@@ -165,10 +186,14 @@ def exact_quantiles(df: DataFrame, exprs: dict[str, Column] | list[str], probs:
     todo: list[_Bracket] = []
     ranks: dict[int, set[int]] = {}
     known: dict[tuple[int, int], float] = {}
-    for row in _first_pass(df, exprs, probs):
+    for row in _first_pass(df, exprs, probs, moments):
         c = int(row.c)
         found = result[names[c]]
-        found.count, found.low, found.high = row.total, row.low, row.high
+        found.count, found.rows, found.low, found.high = row.total, row.rows, row.low, row.high
+        if not row.total:
+            continue
+        if moments:
+            found.mean, found.std = _mean_and_std(row)
         todo.append(_Bracket(c, row.lo, row.hi, row.below, row.n))
         if c not in ranks:
             spots = [(row.total - 1) * p for p in probs]

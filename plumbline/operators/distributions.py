@@ -39,19 +39,16 @@ def _doubles(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def numeric_summary(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """count, mean, sample std, min, exact quartiles, max and missing share per column."""
+    """count, mean, sample std, min, exact quartiles, max and missing share per column: all from the quartile search."""
     cols = _numeric(df, cols)
-    quart = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
-    row = _doubles(df, cols).agg(F.count("*").alias("n"), *[e for i, c in enumerate(cols) for e in (
-        F.count(ref(c)).alias(f"n{i}"), F.avg(ref(c)).alias(f"avg{i}"), F.stddev_samp(ref(c)).alias(f"sd{i}"),
-        F.min(ref(c)).alias(f"min{i}"), F.max(ref(c)).alias(f"max{i}"))])
-    return rows_from(row, [{
-        "column": F.lit(c), "count": F.col(f"n{i}"), "mean": F.col(f"avg{i}"), "std": F.col(f"sd{i}"),
-        "min": F.col(f"min{i}"), "p25": _number(quart[c].get(0.25)), "p50": _number(quart[c].get(0.5)),
-        "p75": _number(quart[c].get(0.75)), "max": F.col(f"max{i}"),
-        "missing": F.col("n") - F.col(f"n{i}"),
-        "missing_percent": F.bround(percent(F.col("n") - F.col(f"n{i}"), F.col("n")), 2),
-    } for i, c in enumerate(cols)])
+    found = exact_quantiles(df, cols, [0.25, 0.5, 0.75], moments=True)
+    missing = {c: F.lit(s.rows - s.count).cast("bigint") for c, s in found.items()}
+    return rows_from(df.sparkSession.range(1), [{
+        "column": F.lit(c), "count": F.lit(s.count).cast("bigint"), "mean": _number(s.mean), "std": _number(s.std),
+        "min": _number(s.low), "p25": _number(s.get(0.25)), "p50": _number(s.get(0.5)), "p75": _number(s.get(0.75)),
+        "max": _number(s.high), "missing": missing[c],
+        "missing_percent": F.bround(percent(missing[c], F.lit(s.rows).cast("bigint")), 2),
+    } for c, s in found.items()])
 
 
 def frequencies(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

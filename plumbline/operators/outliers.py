@@ -97,26 +97,29 @@ def _chosen(methods: Sequence[str] | None) -> dict[str, Detector]:
 
 def measure(df: DataFrame, cols: Sequence[str] | None = None,
             methods: Sequence[str] | None = None) -> list[ColumnStats]:
-    """Statistics of each column: one moment pass, one quartile search, one deviation search.
+    """Statistics of each column: one search for moments and quartiles, one for deviations.
 
-    Searches that none of the built-in ``methods`` asked for needs are left out.
+    Searches that none of the built-in ``methods`` asked for needs are left out; moments alone take one plain aggregate.
     """
     cols = list(cols) if cols is not None else numeric_columns(df)
     if not cols:
         return []
     wanted = set(_chosen(methods))
-    clean = nan_to_null(df.select(*[ref(c).cast("double").alias(c) for c in cols]))
-    row = clean.agg(F.count("*").alias("n"), *[e for i, c in enumerate(cols) for e in (
-        F.count(ref(c)).alias(f"n{i}"), F.avg(ref(c)).alias(f"avg{i}"), F.stddev_samp(ref(c)).alias(f"sd{i}"))]).first()
-    quart = exact_quantiles(df, cols, [0.25, 0.5, 0.75]) if wanted - {"zscore"} else {}
+    if wanted - {"zscore"}:
+        quart = exact_quantiles(df, cols, [0.25, 0.5, 0.75], moments=True)
+    else:
+        clean = nan_to_null(df.select(*[ref(c).cast("double").alias(c) for c in cols]))
+        row = clean.agg(F.count("*").alias("n"), *[e for i, c in enumerate(cols) for e in (
+            F.count(ref(c)).alias(f"n{i}"), F.avg(ref(c)).alias(f"avg{i}"), F.stddev_samp(ref(c)).alias(f"sd{i}"))]).first()
+        quart = {c: ColumnQuantiles(row[f"n{i}"], row["n"], row[f"avg{i}"], row[f"sd{i}"]) for i, c in enumerate(cols)}
     spread = exact_quantiles(df, {c: F.abs(ref(c).cast("double") - quart[c].get(0.5))
                                   for c in cols if quart[c].count}, [0.5]) if wanted - {"zscore", "iqr"} else {}
     none = ColumnQuantiles()
     return [ColumnStats(
-        column=c, dtype=df.schema[c].dataType.simpleString(), total=row["n"], filled=row[f"n{i}"],
-        low=quart.get(c, none).low, high=quart.get(c, none).high, mean=row[f"avg{i}"], std=row[f"sd{i}"],
-        q1=quart.get(c, none).get(0.25), median=quart.get(c, none).get(0.5), q3=quart.get(c, none).get(0.75),
-        mad=spread.get(c, none).get(0.5)) for i, c in enumerate(cols)]
+        column=c, dtype=df.schema[c].dataType.simpleString(), total=quart[c].rows, filled=quart[c].count,
+        low=quart[c].low, high=quart[c].high, mean=quart[c].mean, std=quart[c].std,
+        q1=quart[c].get(0.25), median=quart[c].get(0.5), q3=quart[c].get(0.75),
+        mad=spread.get(c, none).get(0.5)) for c in cols]
 
 
 def _num(v: float | None) -> Column:

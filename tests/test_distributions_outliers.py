@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.functions.columns import nan_to_null
 from plumbline.functions.quantiles import exact_quantiles
 from plumbline.operators import distributions, outliers
 
@@ -131,3 +132,21 @@ def test_normality_distance_equals_a_scan(spark):
         gap = max(max(np.searchsorted(x, v, "right") / n - s, s - np.searchsorted(x, v, "left") / n) for v, s in zip(x, share))
         assert got[name].n == n and math.isclose(got[name].statistic, gap, abs_tol=1e-12) and got[name].p_value < 0.05
     assert distributions.normality_ks(df.limit(0)).count() == 0
+
+
+def test_moments_come_with_the_quartile_search(spark):
+    """Mean and deviation merged over bins equal the plain aggregates, also of constant, single, missing and infinite values."""
+    rng = np.random.default_rng(8)
+    rows = [(float(x), 0.1, None, 3.0 if i == 7 else None, math.inf if i == 3 else float(i), float("nan") if i % 3 else float(-x * 1e6))
+            for i, x in enumerate(rng.lognormal(0, 3, 500) - 1)]
+    df = spark.createDataFrame(rows, "wide double, same double, gone double, one double, far double, holes double")
+    got = exact_quantiles(df, df.columns, [0.5], moments=True)
+    clean = nan_to_null(df)
+    for c in df.columns:
+        n, mean, std = clean.agg(F.count(c), F.avg(c), F.stddev_samp(c)).first()
+        assert (got[c].count, got[c].rows) == (n, 500)
+        for ours, plain in ((got[c].mean, mean), (got[c].std, std)):
+            assert ours == plain if plain is None else ours == pytest.approx(plain, rel=1e-12, abs=1e-12, nan_ok=True)
+    assert got["same"].std == 0.0
+    empty = exact_quantiles(df.limit(0), ["wide"], [0.5], moments=True)["wide"]
+    assert (empty.count, empty.rows, empty.mean, empty.std) == (0, 0, None, None)
