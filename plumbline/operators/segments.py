@@ -12,9 +12,9 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,20 +29,56 @@ START_ROUNDS, START_FACTOR = 5, 2
 _TILE_ROWS = 2048
 
 
+def _sums_around(points: DataFrame, near: Sequence[float], crossed: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per feature the values held and their sum around ``near``, and the sums of products (the squares alone unless ``crossed``).
+
+    Batches are summed around a point close to the mean and added up in extended precision, so the error does not grow with
+    the rows: near-equal variances stay equal, and with them the axes that depend on their difference.
+    """
+    d, at = len(near), np.array(near, dtype=np.float64)
+    cells = [(i, j) for i in range(d) for j in range(i, d if crossed else i + 1)]
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, first, second = np.zeros(d), np.zeros(d, np.longdouble), np.zeros((d, d), np.longdouble)
+        for batch in batches:
+            if not len(batch):
+                continue
+            gaps = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, d).T - at[:, None]
+            there = ~np.isnan(gaps)  # features of a point that are missing add nothing
+            gaps = np.where(there, gaps, 0.0)
+            held += there.sum(axis=1)
+            first += gaps.sum(axis=1)
+            second += gaps @ gaps.T if crossed else np.diag((gaps * gaps).sum(axis=1))
+        rows = [(i, j, float(held[i]), float(first[i]), float(second[i, j])) for i, j in cells]
+        yield pa.RecordBatch.from_pydict(dict(zip("ijnfs", map(list, zip(*rows)))))
+
+    found = points.select("x").mapInArrow(sums, "i long, j long, n double, f double, s double").groupBy("i", "j").agg(
+        F.sum("n").alias("n"), F.sum("f").alias("f"), F.sum("s").alias("s"))
+    held, first, second = np.zeros(d), np.zeros(d), np.zeros((d, d))
+    for r in found.collect():  # one row per pair of features
+        second[r.i, r.j] = second[r.j, r.i] = r.s
+        if r.i == r.j:
+            held[r.i], first[r.i] = r.n, r.f
+    return held, first, second
+
+
 def scaled(df: DataFrame, cols: Sequence[str] | None = None, key_cols: Sequence[str] = ()) -> DataFrame:
     """Keys and ``x``: mean-imputed columns scaled to mean 0 and population std 1.
 
-    One aggregate, then a narrow projection; a constant column becomes 0.
+    Two aggregates, then a narrow projection; a constant column becomes 0.
     """
     cols = list(cols) if cols is not None else numeric_columns(df)
     clean = nan_to_null(df.select(*[ref(c) for c in dict.fromkeys([*key_cols, *cols])]))
     row = clean.agg(F.count("*").alias("n"), *[e for i, c in enumerate(cols) for e in (
-        F.count(ref(c)).alias(f"n{i}"), F.avg(ref(c)).alias(f"m{i}"), F.var_pop(ref(c).cast("double")).alias(f"v{i}"))]).first()
+        F.avg(ref(c)).alias(f"m{i}"), (F.min(ref(c)) < F.max(ref(c))).alias(f"varies{i}"))]).first()
+    near = [float(row[f"m{i}"]) if row[f"m{i}"] is not None else 0.0 for i in range(len(cols))]
+    held, first, second = _sums_around(clean.select(F.array(*[ref(c).cast("double") for c in cols]).alias("x")), near, crossed=False)
     parts = []
     for i, c in enumerate(cols):
-        mean = float(row[f"m{i}"]) if row[f"m{i}"] is not None else 0.0
+        shift = first[i] / held[i] if held[i] else 0.0
+        mean = near[i] + shift
         # imputed rows sit on the mean, so they only enlarge the divisor
-        std = math.sqrt(row[f"v{i}"] * row[f"n{i}"] / row["n"]) if row[f"n{i}"] else 0.0
+        std = math.sqrt(max(second[i, i] - held[i] * shift * shift, 0.0) / row["n"]) if row[f"varies{i}"] else 0.0
         x = F.coalesce(ref(c).cast("double"), F.lit(mean))
         parts.append((x - mean) / std if std > 0 else F.lit(0.0))
     return clean.select(*[ref(k) for k in key_cols], F.array(*parts).alias("x"))
@@ -415,13 +451,18 @@ def components(points: DataFrame, k: int = settings.PCA_COMPONENTS) -> tuple[np.
 
     The sign is fixed so that the first of the largest loadings is positive.
     """
-    model = PCA(k=k, inputCol="v", outputCol="p").fit(points.select(array_to_vector("x").alias("v")))
-    axes = np.array(model.pc.toArray()).T
+    d = width(points)
+    if k > d:
+        raise ValueError(f"{k} components of {d} features")
+    near = [float(v) for v in points.agg(*[F.avg(F.col("x")[j]) for j in range(d)]).first()]
+    held, first, second = _sums_around(points, near)
+    shares, axes = np.linalg.eigh(second / held[0] - np.outer(first / held, first / held))
+    shares, axes = np.maximum(shares[::-1], 0.0), axes.T[::-1][:k].copy()
     for a in axes:
         lead = np.flatnonzero(np.abs(a) >= np.abs(a).max() * (1 - 1e-9))[0]
         if a[lead] < 0:
             a *= -1
-    return axes, [float(v) for v in model.explainedVariance]
+    return axes, [float(v / shares.sum()) for v in shares[:k]]
 
 
 def project(points: DataFrame, k: int = settings.PCA_COMPONENTS) -> DataFrame:

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,6 +150,18 @@ def test_projection(spark, blobs):
     assert abs(np.corrcoef(xy.T)[0, 1]) < 1e-9
 
 
+def test_axes_of_almost_uncorrelated_columns(spark):
+    """Two scaled columns have the diagonals as axes, however small their correlation; a rounding error of a variance turns them."""
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=(2, 40_000))
+    a, b = a - a.mean(), b - b.mean()
+    b += a * (1e-6 * np.sqrt((b @ b) / (a @ a)) - (a @ b) / (a @ a))
+    df = spark.createDataFrame(pd.DataFrame({"a": 25 + 7 * a, "b": 5e4 + 3e4 * b, "same": 0.1})).repartition(7)
+    axes, shares = segments.components(segments.scaled(df, ["a", "b"]))
+    assert np.allclose(axes, np.array([[1, 1], [1, -1]]) / np.sqrt(2), rtol=0, atol=1e-9) and math.isclose(sum(shares), 1.0)
+    assert segments.scaled(df, ["same"]).where(F.col("x")[0] != 0).isEmpty()
+
+
 def test_cluster_runs_all_methods(spark, blobs):
     labels, table = segments.cluster(frame(spark, blobs), ["k"])
     got = {r.method: r for r in table.collect()}
