@@ -27,6 +27,8 @@ from plumbline.operators.density import density_clusters
 # rounds in which candidates for starting centres are drawn from all rows, and how many a round expects per centre
 START_ROUNDS, START_FACTOR = 5, 2
 _TILE_ROWS = 2048
+# k-means: neighbouring points that a pass takes together, the most of one packed row, and of one partition
+_LEAF, _CHUNK_POINTS, _CHUNK_BYTES, _PART_POINTS = 64, 131_072, 16 << 20, 1_000_000
 
 
 def _sums_around(points: DataFrame, near: Sequence[float], crossed: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -119,30 +121,106 @@ def _plus_plus(sample: np.ndarray, weight: np.ndarray, k: int, rng: np.random.Ge
     return np.array(centres)
 
 
-def _one_round(features: DataFrame, runs: list[np.ndarray]) -> tuple[list[np.ndarray], list[float]]:
-    """Move the centres of every run once, in one pass over the data.
+def _spots(points: DataFrame) -> DataFrame:
+    """Distinct points as columns ``f0``.. and how many rows each stands for (``w``)."""
+    cols = [F.col("x")[j].alias(f"f{j}") for j in range(width(points))]
+    return points.select(*cols).groupBy(*[f"f{j}" for j in range(len(cols))]).agg(F.count("*").cast("double").alias("w"))
+
+
+def _along_curve(spots: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Spots range-sorted along a space-filling curve (interleaved bits), packed into rows of many neighbouring points.
 
-    Tasks return one sum per (run, centre); returns new centres and the cost
-    of the old ones.
+    The order only decides how much a pass over the points can skip, never its result.
     """
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = [np.zeros((len(c), c.shape[1] + 2)) for c in runs]
+    bits = max(1, min(16, 62 // len(cols)))
+    cols_used = cols[:62 // bits]
+    row = spots.agg(F.count("*").alias("n"), *[e for c in cols_used for e in (F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}"))]).first()
+    z = F.lit(0).cast("bigint")
+    for j, c in enumerate(cols_used):
+        lo, span = row[f"lo_{c}"], row[f"hi_{c}"] - row[f"lo_{c}"]
+        if span > 0:
+            code = F.least(((F.col(c) - lo) / span * float(1 << bits)).cast("bigint"), F.lit((1 << bits) - 1))
+            for t in range(bits):
+                z = z.bitwiseOR(F.shiftleft(F.shiftright(code, t).bitwiseAND(F.lit(1).cast("bigint")), t * len(cols_used) + j))
+    parts = max(spots.sparkSession.sparkContext.defaultParallelism, math.ceil(row.n / _PART_POINTS))
+    most = max(_LEAF, min(_CHUNK_POINTS, _CHUNK_BYTES // (8 * len(cols) + 8)))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def packed() -> pa.RecordBatch:
+            table = np.concatenate(held, axis=1)
+            return pa.RecordBatch.from_pydict({"x": pa.array([np.ascontiguousarray(table[:-1].T).tobytes()], pa.binary()),
+                                               "w": pa.array([table[-1].tobytes()], pa.binary())})
+
         for batch in batches:
-            x = np.ascontiguousarray(batch.to_numpy())
-            norm = (x * x).sum(axis=1)
-            for r, c in enumerate(runs):
-                dist = norm[:, None] - 2.0 * (x @ c.T) + (c * c).sum(axis=1)
-                near = dist.argmin(axis=1)
-                cost = np.maximum(dist[np.arange(len(x)), near], 0.0)
-                total[r][:, 0] += np.bincount(near, minlength=len(c))
-                total[r][:, 1] += np.bincount(near, weights=cost, minlength=len(c))
-                for j in range(x.shape[1]):
-                    total[r][:, j + 2] += np.bincount(near, weights=x[:, j], minlength=len(c))
+            for at in range(0, len(batch), most):
+                piece = batch.slice(at, most)
+                if held and n + len(piece) > most:
+                    yield packed()
+                    held, n = [], 0
+                held.append(np.array([piece.column(c).to_numpy() for c in (*cols, "w")]))
+                n += len(piece)
+        if n:
+            yield packed()
+
+    return (spots.withColumn("z", z).repartitionByRange(parts, "z", *cols).sortWithinPartitions("z", *cols)
+            .select(*cols, "w").mapInArrow(pack, "x binary, w binary"))
+
+
+def _one_round(chunks: DataFrame, runs: list[np.ndarray]) -> tuple[list[np.ndarray], list[float]]:
+    """Move the centres of every run once, in one pass over the data.
+
+    A box of neighbouring points that lies on one centre's side of all bisectors goes to that centre by its sums; points
+    of other boxes are compared one by one.  Tasks return one sum per (run, centre); returns new centres and the cost of
+    the old ones.
+    """
+    d = runs[0].shape[1]
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [np.zeros((len(c), d + 2)) for c in runs]
+
+        def add(into: np.ndarray, near: np.ndarray, w: np.ndarray, cost: np.ndarray, wx: np.ndarray) -> None:
+            into[:, 0] += np.bincount(near, weights=w, minlength=len(into))
+            into[:, 1] += np.bincount(near, weights=cost, minlength=len(into))
+            for j in range(d):
+                into[:, j + 2] += np.bincount(near, weights=wx[:, j], minlength=len(into))
+
+        for px, pw in ((a.as_py(), b.as_py()) for batch in batches for a, b in zip(batch.column("x"), batch.column("w"))):
+            x, w = np.frombuffer(px).reshape(-1, d), np.frombuffer(pw)
+            starts = np.arange(0, len(x), _LEAF)
+            lo, hi = np.minimum.reduceat(x, starts), np.maximum.reduceat(x, starts)
+            mid = (lo + hi) / 2
+            norm, wx, gap = (x * x).sum(axis=1), x * w[:, None], x - np.repeat(mid, _LEAF, axis=0)[:len(x)]
+            box_w, box_x, box_gap = (np.add.reduceat(v, starts) for v in (w, wx, gap * w[:, None]))
+            box_sq, reach2 = np.add.reduceat((gap * gap).sum(axis=1) * w, starts), norm.max()
+            for into, c in zip(total, runs):
+                c2 = (c * c).sum(axis=1)
+                own = (c2 - 2.0 * (mid @ c.T)).argmin(axis=1)
+                rival = np.zeros((len(starts), len(c)))  # the least that another centre is farther, anywhere in the box
+                for j in range(d):
+                    turn = c[:, j] - c[own, j][:, None]
+                    rival += np.maximum(turn * lo[:, j, None], turn * hi[:, j, None])
+                rival = c2 - c2[own][:, None] - 2.0 * rival
+                rival[np.arange(len(own)), own] = np.inf
+                sure = rival.min(axis=1) > 1e-12 * (reach2 + c2.max())
+                if sure.any():
+                    to = own[sure]
+                    off = c[to] - mid[sure]
+                    cost = box_sq[sure] - 2.0 * (off * box_gap[sure]).sum(axis=1) + (off * off).sum(axis=1) * box_w[sure]
+                    add(into, to, box_w[sure], np.maximum(cost, 0.0), box_x[sure])
+                if not sure.all():
+                    some = (np.flatnonzero(~sure)[:, None] * _LEAF + np.arange(_LEAF)).ravel()
+                    some = some[some < len(x)]
+                    dist = norm[some, None] - 2.0 * (x[some] @ c.T) + c2
+                    near = dist.argmin(axis=1)
+                    add(into, near, w[some], np.maximum(dist[np.arange(len(some)), near], 0.0) * w[some], wx[some])
         rows = [(r, i, row.tolist()) for r, t in enumerate(total) for i, row in enumerate(t) if row[0] > 0]
-        yield pd.DataFrame(rows, columns=["run", "centre", "sums"])
+        yield pa.RecordBatch.from_pylist([dict(zip(("run", "centre", "sums"), r)) for r in rows], schema=shape)
 
-    parts = features.mapInPandas(sums, "run int, centre int, sums array<double>")
-    cells = runs[0].shape[1] + 2
+    shape = pa.schema([("run", pa.int32()), ("centre", pa.int32()), ("sums", pa.list_(pa.float64()))])
+    parts = chunks.mapInArrow(sums, "run int, centre int, sums array<double>")
+    cells = d + 2
     found = parts.groupBy("run", "centre").agg(
         *[F.sum(F.col("sums")[j]).alias(f"s{j}") for j in range(cells)]).collect()
     moved, costs = [c.copy() for c in runs], [0.0] * len(runs)
@@ -153,7 +231,22 @@ def _one_round(features: DataFrame, runs: list[np.ndarray]) -> tuple[list[np.nda
     return moved, costs
 
 
-def _candidates(features: DataFrame, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def _nearest(spots: DataFrame, cols: Sequence[str], found: list[list[float]]) -> DataFrame:
+    """Spots with ``i``, the nearest candidate, and ``d``, its squared distance."""
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [batch.column(c).to_numpy() for c in cols]
+            best, at = np.full(len(batch), np.inf), np.zeros(len(batch), np.int64)
+            for i, c in enumerate(found):
+                gap = sum(((v - u) ** 2 for v, u in zip(x, c)), np.zeros(len(batch)))
+                closer = gap < best
+                best[closer], at[closer] = gap[closer], i
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at), pa.array(best)], names=[*batch.schema.names, "i", "d"])
+
+    return spots.mapInArrow(place, T.StructType([*spots.schema.fields, T.StructField("i", T.LongType()), T.StructField("d", T.DoubleType())]))
+
+
+def _candidates(spots: DataFrame, cols: Sequence[str], k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Candidates for starting centres and how many rows are nearest to each (k-means||, Bahmani et al. 2012).
 
     Each round draws rows from the whole table in proportion to their squared
@@ -161,25 +254,19 @@ def _candidates(features: DataFrame, k: int, seed: int) -> tuple[np.ndarray, np.
     point and the round alone, so it is the same whatever the partitioning.  About 1 + START_ROUNDS * START_FACTOR * k distinct points come
     to the driver.
     """
-    cols = features.columns
     # copies of a point are one spot with a weight, so its chance is that of all its copies
-    spots = features.groupBy(*cols).agg(F.count("*").cast("double").alias("w")).persist()
-    try:
-        lowest = spots.agg(F.min(F.struct(F.xxhash64(F.lit(seed), *cols).alias("h"), *cols)).alias("p")).first().p
-        found = [[float(lowest[c]) for c in cols]]
-        for turn in range(START_ROUNDS):
-            near = spots.withColumn("d", F.col("w") * F.array_min(F.array(*[_sq_dist(F.array(*cols), c) for c in found])))
-            cost = near.agg(F.sum("d")).first()[0]
-            if not cost:
-                break
-            draw = F.pmod(F.xxhash64(F.lit(seed), F.lit(turn), *cols), F.lit(1 << 40)) / float(1 << 40)
-            drawn = near.where(draw < F.col("d") * (START_FACTOR * k / cost)).select(*cols).collect()
-            found += [[float(r[c]) for c in cols] for r in sorted(drawn)]
-        place = F.array(*[_sq_dist(F.array(*cols), c) for c in found])
-        weights = dict(spots.groupBy(F.array_position(place, F.array_min(place)).alias("i")).agg(F.sum("w")).collect())
-        return np.array(found), np.array([weights.get(i + 1, 0.0) for i in range(len(found))])
-    finally:
-        spots.unpersist()
+    lowest = spots.agg(F.min(F.struct(F.xxhash64(F.lit(seed), *cols).alias("h"), *cols)).alias("p")).first().p
+    found = [[float(lowest[c]) for c in cols]]
+    for turn in range(START_ROUNDS):
+        near = _nearest(spots, cols, found).withColumn("d", F.col("w") * F.col("d"))
+        cost = near.agg(F.sum("d")).first()[0]
+        if not cost:
+            break
+        draw = F.pmod(F.xxhash64(F.lit(seed), F.lit(turn), *cols), F.lit(1 << 40)) / float(1 << 40)
+        drawn = near.where(draw < F.col("d") * (START_FACTOR * k / cost)).select(*cols).collect()
+        found += [[float(r[c]) for c in cols] for r in sorted(drawn)]
+    weights = dict(_nearest(spots, cols, found).groupBy("i").agg(F.sum("w")).collect())
+    return np.array(found), np.array([weights.get(i, 0.0) for i in range(len(found))])
 
 
 def _fit(points: DataFrame, ks: Sequence[int], restarts: int, max_iter: int, tol: float,
@@ -189,22 +276,30 @@ def _fit(points: DataFrame, ks: Sequence[int], restarts: int, max_iter: int, tol
     A run ends when its centres move by no more than ``tol`` times the mean
     feature variance of the table (squared distances, summed).
     """
-    features = points.select(*[F.col("x")[j].alias(f"f{j}") for j in range(width(points))]).persist()
+    spots, chunks = _spots(points).persist(), None
+    cols = spots.columns[:-1]
     try:
-        spread = np.mean([v or 0.0 for v in features.agg(*[F.var_pop(c) for c in features.columns]).first()])
-        return _move_until_still(features, _candidates(features, max(ks), seed), ks, restarts, max_iter, tol * float(spread), seed)
+        m = spots.agg(F.sum("w").alias("n"), *[(F.sum(F.col("w") * F.col(c)) / F.sum("w")).alias(c) for c in cols]).first()
+        spread = np.mean(spots.agg(*[F.sum(F.col("w") * (F.col(c) - m[c]) * (F.col(c) - m[c])) / m.n for c in cols]).first())
+        starts = _candidates(spots, cols, max(ks), seed)
+        chunks = _along_curve(spots, cols).persist()
+        chunks.count()
+        spots.unpersist()
+        return _move_until_still(chunks, starts, ks, restarts, max_iter, tol * float(spread), seed)
     finally:
-        features.unpersist()
+        spots.unpersist()
+        if chunks is not None:
+            chunks.unpersist()
 
 
-def _move_until_still(features: DataFrame, starts: tuple[np.ndarray, np.ndarray], ks: Sequence[int], restarts: int, max_iter: int,
+def _move_until_still(chunks: DataFrame, starts: tuple[np.ndarray, np.ndarray], ks: Sequence[int], restarts: int, max_iter: int,
                       tol: float, seed: int) -> dict[int, tuple[np.ndarray, float]]:
     owners = [(k, seed + r) for k in ks for r in range(restarts)]
     runs = [_plus_plus(*starts, k, np.random.default_rng([s, k])) for k, s in owners]
     best: dict[int, tuple[np.ndarray, float]] = {}
     live = list(range(len(runs)))
     for step in range(max_iter + 1):
-        moved, costs = _one_round(features, [runs[i] for i in live])
+        moved, costs = _one_round(chunks, [runs[i] for i in live])
         still = []
         for i, new, cost in zip(live, moved, costs):
             shift = float(((new - runs[i]) ** 2).sum())

@@ -47,6 +47,21 @@ def test_kmeans(spark, blobs):
     assert [k for k in table if table[k].suggested] == [int(np.argmax(np.diff(costs, 2))) + 2]
 
 
+@pytest.mark.parametrize("d,parts", [(1, 3), (3, 5), (6, 2)])
+def test_a_pass_of_kmeans_over_boxes_equals_one_over_points(spark, d, parts):
+    rng = np.random.default_rng(d)
+    x = np.concatenate([rng.normal(size=(3000, d)), np.round(rng.normal(size=(3000, d))), np.full((500, d), 1e3)])
+    spots = segments._spots(frame(spark, x, parts))
+    assert spots.count() == len(np.unique(x, axis=0))  # copies are looked at once
+    runs = [x[rng.choice(len(x), k)] + 0.01 for k in (2, 5, 9)]
+    moved, costs = segments._one_round(segments._along_curve(spots, spots.columns[:-1]), runs)
+    for c, new, cost in zip(runs, moved, costs):
+        gaps = ((x[:, None] - c[None]) ** 2).sum(2)
+        near = gaps.argmin(1)
+        assert math.isclose(cost, gaps.min(1).sum(), rel_tol=1e-9)
+        assert np.allclose(new, [x[near == i].mean(0) if (near == i).any() else c[i] for i in range(len(c))])
+
+
 def test_hierarchical_separates_blobs(spark, blobs):
     labels = by_key(segments.hierarchical(frame(spark, blobs)))
     assert sorted(np.bincount(labels)) == [80, 80, 80]
