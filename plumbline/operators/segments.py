@@ -22,11 +22,13 @@ from pyspark.sql import types as T
 
 from plumbline import settings
 from plumbline.functions.columns import nan_to_null, numeric_columns, percent, ref
+from plumbline.functions.joins import spread_join
+from plumbline.functions.ordering import ordered_index, stage_table
 from plumbline.operators.density import density_clusters
 
 # rounds in which candidates for starting centres are drawn from all rows, and how many a round expects per centre
 START_ROUNDS, START_FACTOR = 5, 2
-_TILE_ROWS = 2048
+_TILE_ROWS, _TILE_BYTES = 2048, 32 << 20
 # k-means: neighbouring points that a pass takes together, the most of one packed row, and of one partition
 _LEAF, _CHUNK_POINTS, _CHUNK_BYTES, _PART_POINTS = 64, 131_072, 16 << 20, 1_000_000
 
@@ -412,48 +414,87 @@ def _every_pair_of_tiles(left: DataFrame, right: DataFrame, tiles: int, fn: Call
     return a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(fn, schema)
 
 
+def _silhouette_spots(labelled: DataFrame) -> DataFrame:
+    """Distinct points of each cluster with the rows they stand for (``w``), numbered by cluster (``idx``), staged."""
+    spots = labelled.groupBy("x", F.col("cluster").cast("bigint").alias("own")).agg(F.count("*").alias("w"))
+    return stage_table(ordered_index(spots.withColumn("g", F.lit("s")), "g", ["own", "x"]).drop("g"))
+
+
 def silhouette_points(labelled: DataFrame, key_cols: Sequence[str]) -> DataFrame:
     """Keys, cluster and Euclidean silhouette of every point.
 
-    The mean distance of each point to every cluster takes all distances by
-    definition.  They are summed tile by tile and never become rows; the work
-    is quadratic.
+    The mean distance of each point to every cluster takes all distances of
+    different points by definition.  Copies within a cluster are one spot with a weight; spots are numbered by cluster and
+    compared tile by tile.  A tile returns, per spot, sums for its own cluster and those that other tiles share (two at
+    most), and of all others the smallest mean; distances never become rows, but the work is quadratic in the spots.
     """
-    n = labelled.count()
-    tiles = max(1, math.ceil(n / _TILE_ROWS))
-    tile_no = F.pmod(F.xxhash64(*[ref(k) for k in key_cols]), F.lit(tiles)).alias("tile")
-    keys = F.struct(*[ref(k) for k in key_cols]).alias("key")
-    left = labelled.select(keys, F.col("cluster").cast("bigint").alias("own"), F.col("x").alias("x"), tile_no)
-    right = labelled.select(F.col("cluster").cast("bigint").alias("near"), F.col("x").alias("at"), tile_no)
-    schema = T.StructType([left.schema["key"], T.StructField("own", T.LongType()),
-                           T.StructField("near", T.LongType()), T.StructField("total", T.DoubleType())])
+    named = labelled.select(*[ref(k) for k in key_cols], F.struct("x", F.col("cluster").cast("bigint").alias("own")).alias("spot"))
+    spots = _silhouette_spots(labelled)
+    n, d = spots.count(), width(labelled)
+    # a side of a tile takes 32 MiB at most, and small tables still make work for many tasks
+    most = max(1, min(_TILE_BYTES // (8 * d), max(_TILE_ROWS, math.ceil(n / 16))))
+    tiles = max(1, math.ceil(n / most))
+    sizes = spots.groupBy("own").agg(F.sum("w").cast("double").alias("size"))
+    sides = spots.join(sizes, "own").select("idx", "own", "size", F.col("w").cast("double").alias("w"), "x", F.floor(F.col("idx") / most).alias("tile"))
+
+    def tile(one: pa.Table, other: pa.Table) -> pa.Table:
+        def read(t: pa.Table, side: str) -> tuple:
+            t = t.sort_by(f"{side}idx")
+            return (*[t.column(f"{side}{c}").to_numpy() for c in ("idx", "own", "size", "w")], t.column(f"{side}x").combine_chunks().flatten().to_numpy().reshape(-1, d))
+
+        out: list[tuple] = []
+        if one.num_rows and other.num_rows:
+            (ida, own, _, _, x), (idb, near, size, w, y) = read(one, ""), read(other, "r_")
+            first = np.flatnonzero(np.r_[True, near[1:] != near[:-1]])
+            names, group, of = near[first], size[first], np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(near)]))
+            whole = np.add.reduceat(w, first) == group
+            nx, ny = (x * x).sum(axis=1), (y * y).sum(axis=1)
+            for r in range(0, len(x), 256):
+                rows = slice(r, r + 256)
+                total = np.zeros((len(x[rows]), len(first)))
+                for c in range(0, len(y), 4096):
+                    cols = slice(c, c + 4096)
+                    gap = x[rows] @ y[cols].T
+                    gap *= -2.0
+                    gap += nx[rows, None]
+                    gap += ny[cols]
+                    # close points lose digits in the products: these are subtracted one by one
+                    if gap.min() < 1e-6 * (nx[rows].max() + ny[cols].max()):
+                        at, to = np.nonzero(gap < 1e-6 * (nx[rows, None] + ny[cols]))
+                        gap[at, to] = sum((x[r + at, j] - y[c + to, j]) ** 2 for j in range(d))
+                    np.sqrt(gap, out=gap)
+                    gap *= w[cols]
+                    part = of[cols]
+                    total[:, part[0]:part[-1] + 1] += np.add.reduceat(gap, np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), axis=1)
+                same = own[rows, None] == names
+                told = same | ~whole
+                at, to = np.nonzero(told)
+                out.append((ida[rows][at], names[to], total[at, to], group[to]))
+                rest = np.where(told, np.inf, total / group)
+                out.append((ida[rows], np.full(len(rest), -1), rest.min(axis=1), np.zeros(len(rest))))
+        cells = [np.concatenate(v) for v in zip(*out)] if out else [np.zeros(0)] * 4
+        return pa.table({"idx": pa.array(cells[0].astype(np.int64)), "near": pa.array(cells[1].astype(np.int64)),
+                         "total": pa.array(cells[2].astype(np.float64)), "size": pa.array(cells[3].astype(np.float64))})
 
-    def tile(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"key": [], "own": [], "near": [], "total": []})
-        x, y = np.stack(a["x"].to_numpy()), np.stack(b["at"].to_numpy())
-        dist = np.zeros((len(x), len(y)))
-        for j in range(x.shape[1]):
-            dist += (x[:, j, None] - y[None, :, j]) ** 2
-        np.sqrt(dist, out=dist)
-        out = []
-        for c in np.unique(b["near"]):
-            part = a[["key", "own"]].copy()
-            part["near"], part["total"] = c, dist[:, (b["near"] == c).to_numpy()].sum(axis=1)
-            out.append(part)
-        return pd.concat(out)
-
-    sums = (_every_pair_of_tiles(left, right, tiles, tile, schema)
-            .groupBy("key", "own", "near").agg(F.sum("total").alias("total")))
-    sizes = labelled.groupBy(F.col("cluster").cast("bigint").alias("near")).agg(F.count("*").alias("size"))
-    mine = F.col("own") == F.col("near")
-    s = (sums.join(sizes, "near").groupBy("key", "own").agg(
+    every = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)).cast("array<bigint>"))
+    parts = min(tiles * tiles, 2000)
+    left = sides.select("*", every.alias("j")).repartition(parts, "tile", "j")
+    right = sides.select(*[F.col(c).alias(f"r_{c}") for c in sides.columns], every.alias("i")).repartition(parts, "i", "r_tile")
+    found = left.groupBy("tile", "j").cogroup(right.groupBy("i", "r_tile")).applyInArrow(tile, "idx bigint, near bigint, total double, size double")
+    # size 0: the smallest mean of clusters that lie in one tile
+    sums = found.groupBy("idx", "near", "size").agg(F.sum("total").alias("total"), F.min("total").alias("least"))
+    own = spots.select("idx", "own", "x", "w")
+    mine = (F.col("own") == F.col("near")) & (F.col("size") > 0)
+    s = sums.join(own, "idx").groupBy("idx", "own", "x", "w").agg(
         F.max(F.when(mine, F.col("size"))).alias("size"),
         F.max(F.when(mine & (F.col("size") > 1), F.col("total") / (F.col("size") - 1))).alias("a"),
-        F.min(F.when(~mine, F.col("total") / F.col("size"))).alias("b")))
+        F.min(F.when(F.col("size") == 0, F.when(F.col("least") < float("inf"), F.col("least")))
+              .when(~mine, F.col("total") / F.col("size"))).alias("b"))
     score = F.when(F.col("size") == 1, 0.0).otherwise(
         F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
-    return s.select("key.*", F.col("own").alias("cluster"), score.alias("silhouette"))
+    scores = stage_table(s.select(F.struct("x", "own").alias("spot"), "w", score.alias("silhouette")))
+    return spread_join(named, scores, "spot", "w", named.count()).select(
+        *[ref(k) for k in key_cols], F.col("spot.own").alias("cluster"), "silhouette")
 
 
 def cluster_centres(labelled: DataFrame) -> DataFrame:

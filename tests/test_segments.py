@@ -50,10 +50,10 @@ def test_kmeans(spark, blobs):
 @pytest.mark.parametrize("d,parts", [(1, 3), (3, 5), (6, 2)])
 def test_a_pass_of_kmeans_over_boxes_equals_one_over_points(spark, d, parts):
     rng = np.random.default_rng(d)
-    x = np.concatenate([rng.normal(size=(3000, d)), np.round(rng.normal(size=(3000, d))), np.full((500, d), 1e3)])
+    x = np.concatenate([rng.normal(size=(3000, d)), np.round(rng.normal(size=(3000, d))) + 0.0, np.full((500, d), 30.0)])
     spots = segments._spots(frame(spark, x, parts))
     assert spots.count() == len(np.unique(x, axis=0))  # copies are looked at once
-    runs = [x[rng.choice(len(x), k)] + 0.01 for k in (2, 5, 9)]
+    runs = [x[rng.choice(len(x), k)] + rng.normal(0, 0.05, (k, d)) for k in (2, 5, 9)]  # no ties
     moved, costs = segments._one_round(segments._along_curve(spots, spots.columns[:-1]), runs)
     for c, new, cost in zip(runs, moved, costs):
         gaps = ((x[:, None] - c[None]) ** 2).sum(2)
@@ -157,6 +157,25 @@ def test_quality_measures(spark, blobs, monkeypatch):
     assert row.silhouette_euclidean is None and row.silhouette_squared is None and row.davies_bouldin is None and row.quality_acceptable is False
 
 
+@pytest.mark.parametrize("rows", [40, 1000])
+def test_silhouette_counts_copies_once(spark, monkeypatch, rows):
+    """Spots with weights, clusters inside and across tiles, points close together far from the origin."""
+    monkeypatch.setattr(segments, "_TILE_ROWS", rows)
+    rng = np.random.default_rng(3)
+    base = np.concatenate([rng.normal(size=(60, 3)), 1e5 + 1e-3 * rng.normal(size=(60, 3)), np.zeros((4, 3))])
+    x, labels = np.tile(base, (6, 1)), np.tile(rng.integers(-1, 12, len(base)) * (np.arange(len(base)) % 5 > 0), 6)
+    df = frame(spark, x).join(spark.createDataFrame([(i, int(c)) for i, c in enumerate(labels)], "k long, cluster long"), "k")
+    gap = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    want = []
+    for i, c in enumerate(labels):
+        a = gap[i][labels == c].sum() / ((labels == c).sum() - 1)
+        b = min(gap[i][labels == o].mean() for o in set(labels) - {c})
+        want.append((b - a) / max(a, b))
+    made = segments.silhouette_points(df, ["k"])
+    assert np.allclose(by_key(made, "silhouette"), want, rtol=0, atol=1e-8) and (by_key(made) == labels).all()
+    assert segments._silhouette_spots(df).count() <= len(base)
+
+
 def test_projection(spark, blobs):
     points = frame(spark, blobs - blobs.mean(0))
     axes, shares = segments.components(points)
