@@ -13,7 +13,6 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -367,18 +366,25 @@ def elbow(points: DataFrame, max_k: int = settings.ELBOW_MAX_K, restarts: int =
 def hierarchical(points: DataFrame, k: int = settings.CLUSTERS, seed: int = settings.SEED) -> DataFrame:
     """Nested clusters by repeated two-way splits from the top (``cluster`` numbered by centre).
 
-    Bottom-up linkage needs all pairs of points; splitting needs only passes.
+    The cluster with most rows that holds different points is split by 2-means until there are ``k``.  Bottom-up linkage
+    needs all pairs of points; splitting needs only passes.
     """
-    ready = points.withColumn("_v", array_to_vector("x"))
-    training = ready.select("_v").persist()
-    try:
-        model = BisectingKMeans(k=k, seed=seed, featuresCol="_v", predictionCol="_c", maxIter=50).fit(training)
-    finally:
-        training.unpersist()
-    centres = np.array(model.clusterCenters())
-    place = np.argsort(np.lexsort(centres.T[::-1]))
-    new = F.array(*[F.lit(int(p)) for p in place])
-    return model.transform(ready).withColumn("cluster", F.element_at(new, F.col("_c") + 1)).drop("_v", "_c")
+    label, centres, closed = F.lit(0), {0: np.zeros(width(points))}, set()
+    while len(centres) < k:
+        rows = dict(points.groupBy(label.alias("l")).agg(F.count("*")).collect())  # one row per cluster
+        open_ = sorted((leaf for leaf in centres if leaf not in closed and rows.get(leaf)), key=lambda leaf: (-rows[leaf], leaf))
+        if not open_:
+            break
+        leaf, new = open_[0], len(centres)
+        two, _ = kmeans_centres(points.where(label == leaf), 2, 1, 50, seed=seed)
+        if (two[0] == two[1]).all():
+            closed.add(leaf)  # copies of one point
+            continue
+        left, right = ([float(v) for v in c] for c in two)
+        label = F.when((label == leaf) & (_sq_dist(F.col("x"), right) < _sq_dist(F.col("x"), left)), new).otherwise(label)
+        centres[leaf], centres[new] = two
+    place = np.argsort(np.lexsort(np.array([centres[i] for i in range(len(centres))]).T[::-1]))
+    return points.withColumn("cluster", F.element_at(F.array(*[F.lit(int(p)) for p in place]), label + 1))
 
 
 _METHODS: dict[str, Callable[..., DataFrame]] = {}

@@ -67,6 +67,20 @@ def test_hierarchical_separates_blobs(spark, blobs):
     assert sorted(np.bincount(labels)) == [80, 80, 80]
 
 
+def test_hierarchical_splits_the_larger_half_and_stops_at_copies(spark, monkeypatch):
+    curve, looked = segments._along_curve, []
+    monkeypatch.setattr(segments, "_along_curve", lambda spots, cols: looked.append(spots.count()) or curve(spots, cols))
+    x = np.concatenate([np.zeros((500, 2)), np.full((20, 2), 6.0), np.full((30, 2), 10.0), np.full((5, 2), 10.5)])
+    labels = by_key(segments.hierarchical(frame(spark, x), 3))
+    assert [len(set(labels[a:b])) for a, b in ((0, 500), (500, 520), (520, 550), (550, 555))] == [1, 1, 1, 1]
+    assert len(set(labels)) == 3 and labels[0] == 0 and labels[-1] == labels[520]
+    assert looked == [4, 1, 3]  # a split passes over distinct points
+
+
+def test_hierarchical_stops_when_only_copies_are_left(spark):
+    assert by_key(segments.hierarchical(frame(spark, [[0.0], [0.0], [0.0], [4.0], [4.0]], 2), 3)).tolist() == [0, 0, 0, 1, 1]
+
+
 def test_starting_points_survive_copies(spark):
     x = np.vstack([np.zeros((900, 2)), np.ones((3, 2)), np.full((3, 2), 5.0)])
     centres, cost = segments.kmeans_centres(frame(spark, x), 3, restarts=2)
