@@ -265,3 +265,32 @@ def test_permutation_importance_equals_shuffling_by_hand(spark, target):
         assert math.isclose(r.permutation_std, np.std(drops), abs_tol=1e-9)
     assert got[0].feature == "a" and got[0].permutation_mean > 0.1
     assert importance.forest_importance(df, target, ["a", "b"], trees=2, repeats=0).first().permutation_mean is None
+
+
+def test_forest_is_the_same_however_the_rows_lie(spark):
+    """The library's forest drew its bootstrap per partition."""
+    rng = np.random.default_rng(12)
+    df = spark.createDataFrame(pd.DataFrame({"a": rng.normal(size=600), "b": rng.integers(0, 5, 600), "y": rng.normal(size=600)}))
+    fits = [importance._fitted(importance._training(df.repartition(n), "y", ["a", "b"])[0], False, 7, 4, 42) for n in (1, 5)]
+    assert np.array_equal(fits[0].feature, fits[1].feature) and np.allclose(fits[0].featureImportances, fits[1].featureImportances)
+    weights = importance.bootstrap_weights(np.arange(40_000), 6, 42, importance._poisson_table())
+    assert weights.shape == (40_000, 6) and np.allclose(weights.mean(axis=0), 1, atol=0.03) and np.allclose(weights.var(axis=0), 1, atol=0.06)
+    assert np.abs(np.corrcoef(weights.T) - np.eye(6)).max() < 0.03
+
+
+def test_shuffles_over_many_blocks(spark, monkeypatch):
+    """Codes sent between blocks, with and without the table of all predictions, give what one block gives."""
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(700, 3))
+    df = spark.createDataFrame(pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "c": x[:, 2], "y": 2 * x[:, 0] + x[:, 1]})).repartition(3)
+
+    def rows():
+        return [tuple(r) for r in importance.forest_importance(df, "y", trees=6, min_importance=0.0, repeats=2).collect()]
+
+    whole = rows()
+    monkeypatch.setattr(importance, "_BLOCK", 64)
+    monkeypatch.setattr(importance, "_SENT_ROWS", 100)
+    monkeypatch.setattr(importance, "_CELLS", 1)
+    monkeypatch.setattr(importance, "_SHUFFLED", 2)
+    assert len(whole) == 3 and [r[0] for r in whole] == [r[0] for r in rows()]
+    assert np.allclose([r[1:] for r in whole], [r[1:] for r in rows()], rtol=0, atol=1e-9)
