@@ -28,6 +28,8 @@ from plumbline.operators.density import density_clusters
 # rounds in which candidates for starting centres are drawn from all rows, and how many a round expects per centre
 START_ROUNDS, START_FACTOR = 5, 2
 _TILE_ROWS, _TILE_BYTES = 2048, 32 << 20
+# rows with the lowest draws that a round looks at; it expects START_FACTOR times k, and looks again if all of them are drawn
+_DRAWS = 4096
 # k-means: neighbouring points that a pass takes together, the most of one packed row, and of one partition
 _LEAF, _CHUNK_POINTS, _CHUNK_BYTES, _PART_POINTS = 64, 131_072, 16 << 20, 1_000_000
 
@@ -232,26 +234,48 @@ def _one_round(chunks: DataFrame, runs: list[np.ndarray]) -> tuple[list[np.ndarr
     return moved, costs
 
 
-def _nearest(spots: DataFrame, cols: Sequence[str], found: list[list[float]]) -> DataFrame:
-    """Spots with ``i``, the nearest candidate, and ``d``, its squared distance."""
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = [batch.column(c).to_numpy() for c in cols]
-            best, at = np.full(len(batch), np.inf), np.zeros(len(batch), np.int64)
-            for i, c in enumerate(found):
-                gap = sum(((v - u) ** 2 for v, u in zip(x, c)), np.zeros(len(batch)))
-                closer = gap < best
-                best[closer], at[closer] = gap[closer], i
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at), pa.array(best)], names=[*batch.schema.names, "i", "d"])
+def _nearest(x: np.ndarray, centres: Sequence[Sequence[float]]) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each point, the first of equal ones, and its squared distance."""
+    best, at = np.full(len(x), np.inf), np.zeros(len(x), np.int64)
+    for i, c in enumerate(centres):
+        gap = np.zeros(len(x))
+        for j, v in enumerate(c):
+            gap += (x[:, j] - v) ** 2
+        closer = gap < best
+        best[closer], at[closer] = gap[closer], i
+    return at, best
 
-    return spots.mapInArrow(place, T.StructType([*spots.schema.fields, T.StructField("i", T.LongType()), T.StructField("d", T.DoubleType())]))
+
+def _lowest_draws(spots: DataFrame, cols: Sequence[str], found: list[list[float]], draw: Column,
+                  most: int) -> tuple[float, list[tuple[float, float, list[float]]]]:
+    """Weighted squared distance of all spots from ``found``, and the ``most`` (draw, own share, point) with lowest draw / share."""
+    def lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cost, held = 0.0, np.zeros((0, len(cols) + 2))
+        for batch in batches:
+            x = np.stack([batch.column(c).to_numpy() for c in cols], axis=1)
+            u, d = batch.column("u").to_numpy(), batch.column("w").to_numpy() * _nearest(x, found)[1]
+            cost += float(d.sum())
+            some = d > 0
+            held = np.concatenate([held, np.column_stack([u, d, x])[some]])
+            if len(held) > most:
+                held = held[np.argpartition(held[:, 0] / held[:, 1], most)[:most]]
+        yield pa.RecordBatch.from_pydict({"cost": pa.array([cost, *[0.0] * len(held)]), "ratio": pa.array([None, *(held[:, 0] / held[:, 1]).tolist()], pa.float64()),
+                                          "row": pa.array([None, *held.tolist()], pa.list_(pa.float64()))})
+
+    parts = spots.withColumn("u", draw).mapInArrow(lowest, "cost double, ratio double, row array<double>").persist()
+    try:
+        cost = parts.agg(F.sum("cost")).first()[0] or 0.0
+        rows = parts.where("ratio is not null").orderBy("ratio").limit(most).collect()
+    finally:
+        parts.unpersist()
+    return cost, [(r.row[0], r.row[1], r.row[2:]) for r in rows]
 
 
 def _candidates(spots: DataFrame, cols: Sequence[str], k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Candidates for starting centres and how many rows are nearest to each (k-means||, Bahmani et al. 2012).
 
     Each round draws rows from the whole table in proportion to their squared
-    distance from the candidates so far, in one pass; the draw depends on the
+    distance from the candidates so far, in one pass (the rows that may be drawn come back with the cost); the draw depends on the
     point and the round alone, so it is the same whatever the partitioning.  About 1 + START_ROUNDS * START_FACTOR * k distinct points come
     to the driver.
     """
@@ -259,14 +283,24 @@ def _candidates(spots: DataFrame, cols: Sequence[str], k: int, seed: int) -> tup
     lowest = spots.agg(F.min(F.struct(F.xxhash64(F.lit(seed), *cols).alias("h"), *cols)).alias("p")).first().p
     found = [[float(lowest[c]) for c in cols]]
     for turn in range(START_ROUNDS):
-        near = _nearest(spots, cols, found).withColumn("d", F.col("w") * F.col("d"))
-        cost = near.agg(F.sum("d")).first()[0]
+        draw = F.pmod(F.xxhash64(F.lit(seed), F.lit(turn), *cols), F.lit(1 << 40)) / float(1 << 40)
+        most, drawn = max(_DRAWS, START_FACTOR * k), None
+        while drawn is None or len(drawn) == most:  # once, unless all that were looked at are drawn
+            most = most if drawn is None else 4 * most
+            cost, lowest = _lowest_draws(spots, cols, found, draw, most)
+            drawn = [x for u, d, x in lowest if u < d * (START_FACTOR * k / cost)]
         if not cost:
             break
-        draw = F.pmod(F.xxhash64(F.lit(seed), F.lit(turn), *cols), F.lit(1 << 40)) / float(1 << 40)
-        drawn = near.where(draw < F.col("d") * (START_FACTOR * k / cost)).select(*cols).collect()
-        found += [[float(r[c]) for c in cols] for r in sorted(drawn)]
-    weights = dict(_nearest(spots, cols, found).groupBy("i").agg(F.sum("w")).collect())
+        found += sorted(drawn)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(found))
+        for batch in batches:
+            at, _ = _nearest(np.stack([batch.column(c).to_numpy() for c in cols], axis=1), found)
+            total += np.bincount(at, weights=batch.column("w").to_numpy(), minlength=len(found))
+        yield pa.RecordBatch.from_pydict({"i": pa.array(range(len(found)), pa.int64()), "w": pa.array(total)})
+
+    weights = dict(spots.mapInArrow(count, "i long, w double").groupBy("i").agg(F.sum("w")).collect())
     return np.array(found), np.array([weights.get(i, 0.0) for i in range(len(found))])
 
 
@@ -328,11 +362,16 @@ def kmeans_centres(points: DataFrame, k: int = settings.CLUSTERS, restarts: int
 
 
 def assign(points: DataFrame, centres: np.ndarray) -> DataFrame:
-    """Add ``cluster``, the nearest centre, and ``distance`` to it."""
-    gaps = F.array(*[_sq_dist(F.col("x"), [float(v) for v in c]) for c in centres])
-    return (points.withColumn("_gaps", gaps)
-            .withColumn("cluster", F.array_position("_gaps", F.array_min("_gaps")).cast("int") - 1)
-            .withColumn("distance", F.sqrt(F.array_min("_gaps"))).drop("_gaps"))
+    """Add ``cluster``, the nearest centre, and ``distance`` to it; both are null where ``x`` holds a gap."""
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
+            at, gap = _nearest(x, centres)
+            gaps = np.isnan(x).any(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at.astype(np.int32), mask=gaps), pa.array(np.sqrt(gap), mask=gaps)],
+                                             names=[*batch.schema.names, "cluster", "distance"])
+
+    return points.mapInArrow(place, T.StructType([*points.schema.fields, T.StructField("cluster", T.IntegerType()), T.StructField("distance", T.DoubleType())]))
 
 
 def kmeans(points: DataFrame, k: int = settings.CLUSTERS, restarts: int = settings.KMEANS_RESTARTS,
@@ -626,6 +665,8 @@ def distant_points(assigned: DataFrame, key_cols: Sequence[str]) -> DataFrame:
     """Points unusually far from their own centre, by the interquartile rule on the distance."""
     from plumbline.operators.outliers import flagged_rows, measure
 
-    stats = measure(assigned, ["distance"], ["iqr"])
-    return flagged_rows(assigned, [*key_cols, "cluster"], ["distance"], ["iqr"], stats).select(
+    # assigned once: the search for the quartiles and the flags read three or four columns
+    held = stage_table(assigned.select(*[ref(k) for k in key_cols], "cluster", "distance"))
+    stats = measure(held, ["distance"], ["iqr"])
+    return flagged_rows(held, [*key_cols, "cluster"], ["distance"], ["iqr"], stats).select(
         *[ref(k) for k in key_cols], "cluster", F.col("value").alias("distance"))

@@ -294,3 +294,44 @@ def test_shuffles_over_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(importance, "_SHUFFLED", 2)
     assert len(whole) == 3 and [r[0] for r in whole] == [r[0] for r in rows()]
     assert np.allclose([r[1:] for r in whole], [r[1:] for r in rows()], rtol=0, atol=1e-9)
+
+
+@pytest.mark.parametrize("looked_at", [4096, 1])
+def test_starting_candidates_equal_draws_by_hand(spark, monkeypatch, looked_at):
+    monkeypatch.setattr(segments, "_DRAWS", looked_at)
+    rng = np.random.default_rng(14)
+    spots = spark.createDataFrame(pd.DataFrame({"f0": rng.normal(size=500), "f1": rng.normal(size=500), "w": rng.integers(1, 4, 500) * 1.0})).repartition(5)
+    found, weights = segments._candidates(spots, ["f0", "f1"], 2, 42)
+    first = spots.orderBy(F.xxhash64(F.lit(42), "f0", "f1")).first()
+    want = [[first.f0, first.f1]]
+    for turn in range(segments.START_ROUNDS):
+        rows = spots.withColumn("u", F.pmod(F.xxhash64(F.lit(42), F.lit(turn), "f0", "f1"), F.lit(1 << 40)) / float(1 << 40)).toPandas()
+        d = rows["w"].to_numpy() * ((rows[["f0", "f1"]].to_numpy()[:, None] - np.array(want)) ** 2).sum(axis=2).min(axis=1)
+        want += sorted(rows[["f0", "f1"]][rows["u"].to_numpy() < d * segments.START_FACTOR * 2 / d.sum()].to_numpy().tolist())
+    assert found.tolist() == want and weights.sum() == spots.agg(F.sum("w")).first()[0] and len(want) > 8
+
+
+def test_distant_points_assigns_once(spark):
+    """The quartile search and the flags used to assign every point again, each time it was read."""
+    rng = np.random.default_rng(15)
+    points, seen = frame(spark, rng.normal(size=(400, 2))), spark.sparkContext.accumulator(0)
+
+    def watch(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    centres = np.array([[-1.0, 0.0], [1.0, 0.0]])
+    got = {r.k: (r.cluster, r.distance) for r in segments.distant_points(segments.assign(points.mapInArrow(watch, points.schema), centres), ["k"]).collect()}
+    assert seen.value == 400
+    rows = points.toPandas()
+    gaps = np.sqrt(((np.stack(rows["x"])[:, None] - centres) ** 2).sum(axis=2))
+    d, (low, high) = gaps.min(axis=1), np.quantile(gaps.min(axis=1), [0.25, 0.75])
+    far = (d < low - 1.5 * (high - low)) | (d > high + 1.5 * (high - low))
+    assert got == {int(k): (int(c), v) for k, c, v in zip(rows["k"][far], gaps.argmin(axis=1)[far], d[far])} and got
+
+
+def test_assigning_points_with_gaps(spark):
+    rows = spark.createDataFrame([(1, [0.0, 2.0]), (2, [None, 1.0]), (3, [5.0, 5.0])], "k long, x array<double>")
+    got = [tuple(r) for r in segments.assign(rows, np.array([[0.0, 0.0], [5.0, 5.0]])).orderBy("k").select("k", "cluster", "distance").collect()]
+    assert got == [(1, 0, 2.0), (2, None, None), (3, 1, 0.0)]
