@@ -10,7 +10,8 @@ REMEMBERED = 2_000_000  # distinct words a task keeps before it starts afresh (a
 
 
 class IdStore:
-    def __init__(self):
+    def __init__(self, most: int = REMEMBERED):
+        self.most = most
         self.keys, self.code = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.flat, self.begin, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -20,8 +21,8 @@ class IdStore:
         ``learn`` gets the places of words not seen yet and returns their ids in a row and how many each has.
         """
         distinct, at, back = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) > REMEMBERED:
-            self.__init__()
+        if len(self.keys) > self.most:
+            self.__init__(self.most)
         spot = np.searchsorted(self.keys, distinct)
         known = np.zeros(len(distinct), bool)
         inside = spot < len(self.keys)
@@ -30,11 +31,10 @@ class IdStore:
             flat, size = learn(at[~known])
             self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
             self.flat = np.concatenate([self.flat, flat])
-            self.code = np.concatenate([self.code, len(self.size) + np.arange(len(size))])
+            # both are sorted: the new keys go where the search found their places
+            self.code = np.insert(self.code, spot[~known], len(self.size) + np.arange(len(size)))
+            self.keys = np.insert(self.keys, spot[~known], distinct[~known])
             self.size = np.concatenate([self.size, size])
-            keys = np.concatenate([self.keys, distinct[~known]])
-            order = np.argsort(keys, kind="stable")
-            self.keys, self.code = keys[order], self.code[order]
         if not len(hashes):
             return np.zeros(0, np.int32), np.zeros(1, np.int64)
         code = self.code[np.searchsorted(self.keys, distinct)][back]

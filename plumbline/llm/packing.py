@@ -14,6 +14,8 @@ partition makes no window.
 
 from __future__ import annotations
 
+import itertools
+import operator
 import os
 import zlib
 from collections.abc import Iterator
@@ -30,8 +32,10 @@ from plumbline.llm.words import byte_slices, tokenise
 WINDOW = 4096
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
-_SLICE, _WORDS = 2 << 20, 8192  # bytes of text and words at a time
+_SLICE, _WORDS = 1 << 20, 8192  # bytes of text and words at a time
 _LINE = 64  # words that the tokenizer gets as one text
+_KEPT_WORDS = 1_000_000  # distinct words that a worker process keeps from task to task
+_GIVEN = 1 << 18  # ids of open windows that a task gives back at once
 
 
 def vocabulary_path() -> str:
@@ -41,7 +45,7 @@ def vocabulary_path() -> str:
 
 
 class WordIds:
-    """Token ids of whitespace-separated words; each distinct word goes through the tokenizer once.
+    """Token ids of whitespace-separated words; each distinct word goes through the tokenizer once in a worker process.
 
     The tokenizer drops white space and no token spans it, so a text's ids are those of its words in a row.
     """
@@ -51,7 +55,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.store = IdStore()
+        self.store = IdStore(_KEPT_WORDS)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, each text followed by END_ID; where each text begins (and the end)."""
@@ -62,16 +66,18 @@ class WordIds:
             flat, sizes = [], []
             for k in range(0, len(at), _WORDS):
                 some = at[k: k + _WORDS]
-                own = [raw[a:b] for a, b in zip(words.starts[some], words.ends[some])]
-                lines = [b" ".join(own[j: j + _LINE]).decode("utf-8", "replace") for j in range(0, len(own), _LINE)]
+                own = [raw[a:b].decode("utf-8", "replace") for a, b in zip(words.starts[some].tolist(), words.ends[some].tolist())]
+                lines = [" ".join(own[j: j + _LINE]) for j in range(0, len(own), _LINE)]
                 # a token belongs to the word in whose characters it starts
-                begin = np.cumsum([0, *(len(w.decode("utf-8", "replace")) + 1 for w in own)])[:-1]
+                begin = np.cumsum([0, *(n + 1 for n in map(len, own))])[:-1]
                 line_at = begin[::_LINE]
                 made = self.tokenizer.encode_batch(lines, add_special_tokens=False)
-                n = np.fromiter((len(e.ids) for e in made), np.int64, len(made))
-                start = np.fromiter((o[0] for e in made for o in e.offsets), np.int64, int(n.sum())) + np.repeat(line_at, n)
+                ids = [e.ids for e in made]
+                n = np.fromiter(map(len, ids), np.int64, len(ids))
+                first = map(operator.itemgetter(0), itertools.chain.from_iterable(e.offsets for e in made))
+                start = np.fromiter(first, np.int64, int(n.sum())) + np.repeat(line_at, n)
                 sizes.append(np.bincount(np.searchsorted(begin, start, side="right") - 1, minlength=len(own)))
-                flat.append(np.fromiter((x for e in made for x in e.ids), np.int32, int(n.sum())))
+                flat.append(np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(n.sum())))
             return np.concatenate(flat), np.concatenate(sizes)
 
         ids, upto = self.store.expand(words.hashes()[0], learn)
@@ -81,6 +87,17 @@ class WordIds:
         return out, cuts + np.arange(len(texts) + 1)
 
 
+_WORD_IDS: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """The vocabulary's ``WordIds`` of this worker process: its next task starts with the words that earlier ones met."""
+    if path not in _WORD_IDS:
+        _WORD_IDS.clear()
+        _WORD_IDS[path] = WordIds(path)
+    return _WORD_IDS[path]
+
+
 class Windows:
     """Open windows by fill level, and the pieces that are done."""
 
@@ -122,12 +139,13 @@ class Windows:
             self.open[level + size].append((number, pieces))
             self.counts[level + size] += 1
 
-    def finish(self) -> None:
-        """Lay what is in open windows end to end, fullest first, and cut it into windows."""
-        number, fill = None, self.window
+    def finish(self) -> Iterator[None]:
+        """Lay what is in open windows end to end, fullest first, and cut it into windows; stops whenever much is done."""
+        number, fill, held = None, self.window, 0
         for level in range(self.window - 1, 0, -1):
             for _, pieces in self.open[level]:
                 for doc, start, ids, total, _, _ in pieces:
+                    held += len(ids)
                     at = 0
                     while at < len(ids):
                         if fill == self.window:
@@ -135,7 +153,12 @@ class Windows:
                         part = ids[at: at + self.window - fill]
                         self.done.append((doc, start + at, part, total, number, fill))
                         at, fill = at + len(part), fill + len(part)
-        self.open, self.counts = [[] for _ in range(self.window + 1)], np.zeros(self.window + 1, np.int64)
+                if held >= _GIVEN:
+                    yield
+                    held = 0
+            self.open[level] = []
+        self.counts = np.zeros(self.window + 1, np.int64)
+        yield
 
 
 def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None, keep_ids: bool = True) -> DataFrame:
@@ -146,7 +169,7 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None, k
     path = vocabulary or vocabulary_path()
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, packed = WordIds(path), Windows(window, TaskContext.get().partitionId() << 33)
+        words, packed = word_ids(path), Windows(window, TaskContext.get().partitionId() << 33)
 
         def rows() -> pa.RecordBatch:
             done, packed.done = packed.done, []
@@ -170,8 +193,8 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None, k
                 for i in range(len(texts)):
                     packed.add(names[at + i], ids[cuts[i]: cuts[i + 1]])
                 yield rows()
-        packed.finish()
-        yield rows()
+        for _ in packed.finish():
+            yield rows()
 
     fields = [T.StructField(c, T.LongType()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]
     if keep_ids:

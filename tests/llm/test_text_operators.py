@@ -284,6 +284,39 @@ def test_best_level_minimises_the_sum_of_squares():
         w.add(0, np.zeros(size, np.int32))
 
 
+def test_open_windows_end_in_parts():
+    w = packing.Windows(4096, 0)
+    for i in range(600):
+        w.add(i, np.full(2100 + i, i, np.int32))
+    parts = []
+    for _ in w.finish():
+        parts.append(w.done)
+        w.done = []
+    assert len(parts) > 3 and max(sum(len(p[2]) for p in part) for part in parts) < packing._GIVEN + 2 * 4096
+    pieces = sorted((p for part in parts for p in part), key=lambda p: (p[4], p[5]))
+    held, fill = Counter(), {}
+    for doc, _, ids, _, number, offset in pieces:
+        held[doc] += len(ids)
+        assert offset == fill.get(number, 0)
+        fill[number] = offset + len(ids)
+    assert held == {i: 2100 + i for i in range(600)} and sum(n < 4096 for n in fill.values()) <= 1
+
+
+def test_words_are_kept_from_task_to_task():
+    import pyarrow as pa
+
+    path = packing.vocabulary_path()
+    texts = pa.array(["kept words, once", "once", ""], pa.large_string())
+    first = packing.word_ids(path).encode(texts)
+    words = packing.word_ids(path)
+    words.tokenizer, tokenizer = None, words.tokenizer  # a known word does not go through the tokenizer again
+    again = words.encode(texts)
+    words.tokenizer = tokenizer
+    assert first[0].tolist() == again[0].tolist() and first[1].tolist() == again[1].tolist()
+    plain = [i for t in texts.to_pylist() for i in [*tokenizer.encode(t, add_special_tokens=False).ids, packing.END_ID]]
+    assert first[0].tolist() == plain
+
+
 def test_pieces_equal_the_library_and_come_back(spark, docs, tmp_path):
     sentencepiece = pytest.importorskip("sentencepiece")
     from sentencepiece import sentencepiece_model_pb2 as model_pb
