@@ -9,10 +9,10 @@ full cells are compared by bounding boxes, split until the boxes decide or
 hold few points.  A cell with a third of all rows therefore costs a scan.
 
 Neighbouring cells are found by their grid numbers up to three axes.  Beyond,
-where a cell has more neighbouring places than there are cells, they are found
-by pivots: a cell lives with its nearest pivot, is copied only to pivots whose
-cells may lie within reach, and is compared only with cells at a like distance
-from the pivot.  Crowded groups are dealt into tiles.
+where nearly every point has a cell of its own, points are dealt to the leaves of
+a tree of median cuts and compared inside them.  Only points that their own leaf
+leaves undecided, and core points outside the largest cluster found so far, are
+sent to other leaves.  Leaves return counts and links, never pairs of points.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline import settings
@@ -37,8 +37,11 @@ _SPLIT_POINTS = 50_000
 _SMALL_PAIR = 4096
 # most grid axes used as join keys; with more axes cells meet by pivots
 _KEY_AXES = 3
-# pivots, the cells one of them should hold, and the cells compared with their group at once
-_PIVOTS, _PIVOT_CELLS, _TILE_CELLS = 512, 1000, 2048
+# points that a leaf should hold, and those compared with a leaf at once
+_PIVOT_CELLS, _TILE_CELLS = 4000, 256
+# most leaves, the points drawn by hash that the cuts are taken from, visitors of a leaf that a task takes, and points of a leaf
+# that look for other leaves' clusters first
+_LEAVES, _CUT_POINTS, _VISITORS, _SCOUTS = 1024, 16_384, 50_000, 64
 
 
 def _gap2(a: Column, b: Column, d: int) -> Column:
@@ -80,8 +83,6 @@ def _grid(points: DataFrame, side: float, d: int) -> Column:
 
 def _cell_pairs(cells: DataFrame, eps: float, d: int) -> DataFrame:
     """Ordered pairs (a, b) of different non-empty cells whose boxes come within eps."""
-    if d > _KEY_AXES:
-        return _pairs_by_pivots(cells, eps, d)
     reach = math.isqrt(d) + 1
     steps = [s for s in itertools.product(range(-reach, reach + 1), repeat=d)
              if sum(max(abs(v) - 1, 0) ** 2 for v in s) <= d]
@@ -102,69 +103,170 @@ def _matrix(column: pa.Array | pa.ChunkedArray, d: int) -> np.ndarray:
     return column.flatten().to_numpy().reshape(-1, d)
 
 
-def _pairs_by_pivots(cells: DataFrame, eps: float, d: int) -> DataFrame:
-    """The pairs of ``_cell_pairs`` in any number of axes.
-
-    Centres of neighbouring cells are at most ``reach`` apart (a cell's diagonal is at most eps).  If y lives with pivot p,
-    then d(x, p) <= d(x, x's pivot) + 2 reach for every neighbour x of y, and d(x, p) and d(y, p) differ by at most reach:
-    x visits the rings (of width reach around the pivot) of such pivots only.
+def _cuts(sample: np.ndarray, leaves: int) -> list[tuple[int, float, int, int]]:
+    """Nodes (axis, cut, node below or at the cut, node above) of median cuts; a leaf is ~number."""
+    nodes: list[tuple[int, float, int, int]] = []
+
+    def grow(some: np.ndarray, wanted: int) -> int:
+        span = np.ptp(some, axis=0) if wanted > 1 and len(some) > 1 else np.zeros(1)
+        axis = int(np.argmax(span))
+        if not span[axis] > 0:
+            grow.leaves += 1
+            return ~(grow.leaves - 1)
+        values = np.sort(some[:, axis])
+        cut = values[(len(values) - 1) // 2]
+        cut = cut if cut < values[-1] else values[np.searchsorted(values, cut) - 1]
+        at, low = len(nodes), some[:, axis] <= cut
+        nodes.append((axis, float(cut), 0, 0))
+        nodes[at] = (axis, float(cut), grow(some[low], wanted // 2), grow(some[~low], wanted - wanted // 2))
+        return at
+
+    grow.leaves = 0
+    grow(sample[np.isfinite(sample).all(axis=1)], leaves)
+    return nodes
+
+
+def _leaf_of(x: np.ndarray, nodes: list[tuple[int, float, int, int]]) -> np.ndarray:
+    at = np.full(len(x), 0 if nodes else ~0, np.int64)
+    while (inner := np.flatnonzero(at >= 0)).size:
+        for node in np.unique(at[inner]):
+            axis, cut, low, high = nodes[node]
+            mine = inner[at[inner] == node]
+            at[mine] = np.where(x[mine, axis] <= cut, low, high)
+    return ~at
+
+
+def _close(x: np.ndarray, y: np.ndarray, eps2: float) -> np.ndarray:
+    gap2 = np.zeros((len(x), len(y)))
+    for j in range(x.shape[1]):
+        g = x[:, j][:, None] - y[:, j]
+        gap2 += g * g
+    return gap2 <= eps2
+
+
+def _links_inside(x: np.ndarray, eps2: float) -> np.ndarray:
+    """A number per point, the same for points that links inside ``x`` connect."""
+    group, left, n = np.zeros(len(x), np.int64), np.arange(len(x)), 0
+    while len(left):
+        front, left = left[:1], left[1:]
+        while len(front):
+            group[front[:_TILE_CELLS]] = n
+            hit = _close(x[front[:_TILE_CELLS]], x[left], eps2).any(axis=0)
+            front, left = np.concatenate([front[_TILE_CELLS:], left[hit]]), left[~hit]
+        n += 1
+    return group
+
+
+def _visit(leaves: DataFrame, visitors: DataFrame, boxes: np.ndarray, eps: float, d: int, own: bool, fn, schema: str) -> DataFrame:
+    """``fn(leaf's rows, visitors)`` for the leaves whose box comes within eps of a visitor (leaf, p, x), its own leaf only if ``own``.
+
+    A leaf with many visitors is copied to several tasks.
     """
-    reach, spark = 2.0 * eps * (1 + 1e-9), cells.sparkSession
-    n = cells.count()
-    wanted = max(1, min(_PIVOTS, n // _PIVOT_CELLS))
-    drawn = cells.orderBy(F.xxhash64("cell")).limit(wanted).select("lo", "hi").collect()  # a sample by hash, at most _PIVOTS cells
-    sent = spark.sparkContext.broadcast(np.array([[(a + b) / 2 for a, b in zip(r.lo, r.hi)] for r in drawn]).reshape(-1, d))
+    spark = leaves.sparkSession
+    sent = spark.sparkContext.broadcast(boxes)
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots = sent.value
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lo, hi = sent.value[:, :d], sent.value[:, d:]
         for batch in batches:
-            if not len(batch):
-                continue
-            lo, hi = _matrix(batch.column("lo"), d), _matrix(batch.column("hi"), d)
-            away = np.sqrt(np.maximum(sum((((lo[:, j] + hi[:, j]) / 2)[:, None] - pivots[:, j]) ** 2 for j in range(d)), 0))
-            home = np.argmin(away, axis=1)
-            who, pivot = np.nonzero(away <= away[np.arange(len(batch)), home][:, None] + 2 * reach)
-            far = away[who, pivot]
-            ring = np.floor(far / reach).astype(np.int64)
-            for step in (-1, 0, 1):
-                pick = np.flatnonzero(ring + step >= 0)
-                own = (home[who[pick]] == pivot[pick]) & (step == 0)
-                yield pa.RecordBatch.from_pydict({
-                    "pivot": pa.array(pivot[pick], pa.int64()), "ring": pa.array(ring[pick] + step, pa.int64()), "home": pa.array(own),
-                    "cid": batch.column("cid").take(pa.array(who[pick])), "lo": batch.column("lo").take(pa.array(who[pick])),
-                    "hi": batch.column("hi").take(pa.array(who[pick]))})
-
-    placed = stage_table(cells.select("cid", "lo", "hi").mapInArrow(
-        place, "pivot bigint, ring bigint, home boolean, cid bigint, lo array<double>, hi array<double>"))
-    tiles = placed.groupBy("pivot", "ring").agg(F.count_if("home").alias("homes"), F.count("*").alias("all")).where("homes > 0").select(
-        "pivot", "ring", F.ceil(F.col("homes") / _TILE_CELLS).alias("rows"), F.ceil(F.col("all") / (8 * _TILE_CELLS)).alias("cols"))
-    dealt = placed.join(tiles, ["pivot", "ring"])
-
-    def every(most: str) -> Column:
-        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(most) - 1))
-
-    key = ["pivot", "ring", "row", "col"]
-    homes = dealt.where("home").withColumn("row", F.pmod(F.xxhash64("cid"), "rows")).withColumn("col", every("cols")).select(*key, "cid", "lo", "hi")
-    guests = dealt.withColumn("col", F.pmod(F.xxhash64("cid"), "cols")).withColumn("row", every("rows")).select(
-        *[F.col(c).alias(f"g_{c}") for c in (*key, "cid", "lo", "hi")])
-
-    def compare(own: pa.Table, other: pa.Table) -> pa.Table:
-        b, a = own.column("cid").to_numpy(), other.column("g_cid").to_numpy()
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        if len(a) and len(b):
-            lo_b, hi_b, lo_a, hi_a = (_matrix(t.column(c), d) for t, c in ((own, "lo"), (own, "hi"), (other, "g_lo"), (other, "g_hi")))
-            for at in range(0, len(b), 256):  # 256 cells against the group at once
-                some = slice(at, at + 256)
-                gap2 = np.zeros((len(b[some]), len(a)))
+            for at in range(0, len(batch), 2048):
+                piece = batch.slice(at, 2048)
+                x = _matrix(piece.column("x"), d)
+                gap2 = np.zeros((len(x), len(lo)))
                 for j in range(d):
-                    g = np.maximum(np.maximum(lo_a[:, j] - hi_b[some, j][:, None], lo_b[some, j][:, None] - hi_a[:, j]), 0.0)
+                    g = np.fmax(np.fmax(lo[:, j] - x[:, j][:, None], x[:, j][:, None] - hi[:, j]), 0.0)
                     gap2 += g * g
-                x, y = np.nonzero((gap2 <= eps * eps) & (b[some][:, None] != a))
-                found.append((a[y], b[some][x]))
-        empty = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate([empty, *[f[0] for f in found]]), "b": np.concatenate([empty, *[f[1] for f in found]])})
+                near = gap2 <= eps * eps
+                near[np.arange(len(x)), piece.column("leaf").to_numpy()] = own
+                who, to = np.nonzero(near)
+                who = pa.array(who)
+                yield pa.RecordBatch.from_pydict({"to": pa.array(to, pa.int64()), "v": piece.column("p").take(who), "vx": piece.column("x").take(who)})
 
-    return homes.groupBy(*key).cogroup(guests.groupBy(*[f"g_{c}" for c in key])).applyInArrow(compare, "a bigint, b bigint").distinct()
+    gone = stage_table(visitors.select("leaf", "p", "x").mapInArrow(go, "to bigint, v bigint, vx array<double>"))
+    parts = gone.groupBy("to").agg(F.ceil(F.count("*") / _VISITORS).alias("parts"))  # a row per leaf
+    left = leaves.join(F.broadcast(parts.withColumnRenamed("to", "leaf")), "leaf").withColumn(
+        "part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).drop("parts")
+    right = gone.join(F.broadcast(parts), "to").withColumn("vpart", F.pmod(F.xxhash64("v"), "parts")).drop("parts")
+    return left.groupBy("leaf", "part").cogroup(right.groupBy("to", "vpart")).applyInArrow(fn, schema)
+
+
+def _clusters_in_leaves(spots: DataFrame, eps: float, min_samples: int, d: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (p, comp) of core points, and (p, comp) of the clusters around every point that is no core.
+
+    A pair of core points of two leaves matters only if their clusters are not joined yet: after a few points of every leaf
+    have joined what they touch, only core points outside the largest cluster look for the others.
+    """
+    eps2, spark = eps * eps, spots.sparkSession
+    drawn = spots.orderBy(F.xxhash64("x")).limit(_CUT_POINTS).select("x").toArrow()  # at most _CUT_POINTS points
+    wanted = max(1, min(_LEAVES, math.ceil(spots.count() / _PIVOT_CELLS)))
+    nodes = spark.sparkContext.broadcast(_cuts(_matrix(drawn.column("x"), d), wanted))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leaf = pa.array(_leaf_of(_matrix(batch.column("x"), d), nodes.value), pa.int64())
+            yield pa.RecordBatch.from_arrays([leaf, *batch.columns], names=["leaf", *batch.schema.names])
+
+    def count(table: pa.Table) -> pa.Table:
+        x, w = _matrix(table.column("x"), d), table.column("w").to_numpy()
+        near = np.concatenate([_close(x[a: a + _TILE_CELLS], x, eps2) @ w for a in range(0, len(x), _TILE_CELLS)])
+        return table.append_column("near", pa.array(near, pa.int64()))
+
+    placed = spots.select("p", "x", "w").mapInArrow(place, "leaf bigint, p bigint, x array<double>, w bigint")
+    counted = stage_table(placed.groupBy("leaf").applyInArrow(count, "leaf bigint, p bigint, x array<double>, w bigint, near bigint"))
+    boxes = np.full((wanted, 2 * d), np.nan)
+    boxes[:, :d], boxes[:, d:] = np.inf, -np.inf
+    for row in counted.groupBy("leaf").agg(*[f(F.col("x")[j]).alias(f"{n}{j}") for n, f in (("lo", F.min), ("hi", F.max)) for j in range(d)]).collect():
+        boxes[row.leaf] = [np.nan if v is None else v for v in row[1:]]  # a row per leaf
+
+    def count_others(leaf: pa.Table, others: pa.Table) -> pa.Table:
+        found = np.zeros(len(others), np.int64)
+        if len(leaf) and len(others):
+            x, w, v = _matrix(leaf.column("x"), d), leaf.column("w").to_numpy(), _matrix(others.column("vx"), d)
+            found = np.concatenate([_close(v[a: a + _TILE_CELLS], x, eps2) @ w for a in range(0, len(v), _TILE_CELLS)])
+        return pa.table({"p": others.column("v"), "more": pa.array(found, pa.int64())})
+
+    unsure = counted.where(F.col("near") < min_samples)
+    more = _visit(counted.select("leaf", "x", "w"), unsure, boxes, eps, d, False, count_others, "p bigint, more bigint")
+    more = more.groupBy("p").agg(F.sum("more").alias("more"))
+    judged = stage_table(counted.join(more, "p", "left").select(
+        "leaf", "p", "x", (F.col("near") + F.coalesce("more", F.lit(0)) >= min_samples).alias("core")))
+
+    def join_inside(table: pa.Table) -> pa.Table:
+        p, group = table.column("p").to_numpy(), _links_inside(_matrix(table.column("x"), d), eps2)
+        first = np.full(group.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(first, group, p)
+        return table.select(["leaf", "p", "x"]).append_column("local", pa.array(first[group], pa.int64()))
+
+    core = stage_table(judged.where("core").groupBy("leaf").applyInArrow(join_inside, "leaf bigint, p bigint, x array<double>, local bigint"))
+    locals_ = stage_table(core.groupBy(F.col("local").alias("cid")).agg(F.count("*").alias("n")))
+
+    def touch(leaf: pa.Table, others: pa.Table) -> pa.Table:
+        empty = np.zeros(0, np.int64)
+        who, which = [empty], [empty]
+        if len(leaf) and len(others):
+            leaf = leaf.sort_by("local")
+            x, names, p, v = _matrix(leaf.column("x"), d), leaf.column("local").to_numpy(), others.column("v").to_numpy(), _matrix(others.column("vx"), d)
+            first = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
+            for a in range(0, len(v), _TILE_CELLS):
+                at, group = np.nonzero(np.logical_or.reduceat(_close(v[a: a + _TILE_CELLS], x, eps2), first, axis=1))
+                who.append(p[a + at])
+                which.append(names[first[group]])
+        return pa.table({"p": np.concatenate(who), "b": np.concatenate(which)})
+
+    def touched(visitors: DataFrame, own: bool) -> DataFrame:
+        return stage_table(_visit(core.select("leaf", "x", "local"), visitors, boxes, eps, d, own, touch, "p bigint, b bigint"))
+
+    def joined(pairs: DataFrame) -> DataFrame:
+        return pairs.join(core.select("p", F.col("local").alias("a")), "p").select("a", "b").distinct()
+
+    scouts = core.withColumn("r", F.row_number().over(Window.partitionBy("leaf").orderBy(F.xxhash64("p")))).where(F.col("r") <= _SCOUTS)
+    links = stage_table(joined(touched(scouts, False)))
+    so_far = _components(locals_, links)
+    largest = so_far.join(locals_, "cid").groupBy("comp").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "comp").limit(1).select("comp")
+    rest = core.join(so_far.join(largest, "comp", "left_anti").select(F.col("cid").alias("local")), "local", "left_semi")
+    around = touched(judged.where("not core"), True)
+    comp = _components(locals_, links.unionByName(joined(touched(rest, False))))
+    return (core.join(comp.withColumnRenamed("cid", "local"), "local").select("p", "comp"),
+            around.join(comp.withColumnRenamed("cid", "b"), "b").select("p", "comp").distinct())
 
 
 def _full_edges(points: DataFrame, pairs: DataFrame, eps: float, side: float, d: int) -> DataFrame:
@@ -253,6 +355,15 @@ def density_clusters(points: DataFrame, key_cols: Sequence[str], eps: float = se
 
     # copies of a point are one point with a weight
     merged = points.groupBy("x").agg(F.count("*").alias("w"), F.min(key).alias("key"))
+    if d > _KEY_AXES:
+        spots = materialise(merged.withColumn("p", F.monotonically_increasing_id()))
+        core, around = (stage_table(t) for t in _clusters_in_leaves(spots, eps, min_samples, d))
+        heads = core.join(spots.select("p", "key"), "p").groupBy("comp").agg(F.min("key").alias("key")).withColumn("g", F.lit("c"))
+        numbered = ordered_index(heads.select("g", "comp", "key"), "g", ["key"]).select("comp", F.col("idx").alias("cluster"))
+        of_point = core.unionByName(around).join(numbered, "comp").groupBy("p").agg(F.min("cluster").alias("cluster"))
+        labels = spots.select("p", "x", "w").join(of_point, "p", "left").select(
+            "x", "w", F.coalesce("cluster", F.lit(-1).cast("bigint")).alias("cluster"))
+        return spread_join(points, stage_table(labels), "x", "w", points.count())
     spots = materialise(merged.withColumn("cell", _grid(merged, side, d))
                         .withColumn("p", F.monotonically_increasing_id()))
     cells = materialise(_boxes(spots, ["cell"], d).withColumn("cid", F.monotonically_increasing_id()))

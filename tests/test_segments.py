@@ -113,6 +113,18 @@ def test_dbscan_equals_brute_force(spark, monkeypatch):
     assert (got == brute_dbscan(x, 0.25, 5)).all()
 
 
+def test_leaves_send_points_not_pairs(spark, monkeypatch):
+    """Two clusters that both cross leaves, and one point between them: no step returns a row per pair of points."""
+    monkeypatch.setattr(density, "_PIVOT_CELLS", 100)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(c, 0.1, (300, 5)) for c in (0.0, 1.0)] + [np.full((1, 5), 0.5)])
+    sent, visit = [], density._visit
+    monkeypatch.setattr(density, "_visit", lambda leaves, visitors, *a: sent.append(visitors.count()) or visit(leaves, visitors, *a))
+    got = by_key(density.density_clusters(frame(spark, x), ["k"], 0.3, 4))
+    assert (got == brute_dbscan(x, 0.3, 4)).all()
+    assert sent and max(sent) < 601
+
+
 @pytest.mark.parametrize("d,pivots,tile", [(4, 1, 2048), (6, 20, 2048), (6, 7, 16), (5, 400, 3)])
 def test_dbscan_beyond_three_axes(spark, monkeypatch, d, pivots, tile):
     monkeypatch.setattr(density, "_PIVOT_CELLS", max(1, 400 // pivots))
