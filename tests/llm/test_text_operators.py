@@ -374,6 +374,23 @@ def test_toxicity_learns_sentences_from_documents(spark):
     assert {r.score for r in mil_toxicity.score(docs, none).collect()} == {0.0} or max(r.score for r in mil_toxicity.score(docs, none).collect()) < 1e-9
 
 
+def test_rows_visit_the_toxicity_filter_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"fair speech {i}" if i % 2 else f"snarlwort {i}", "kept", None) for i in range(40)] + [(None, None, None, 7)],
+                                 "doc_id long, text string, score string, predicted long")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(40)], "doc_id long, toxic int")
+    sent, real = [], type(docs).mapInArrow
+
+    def spy(self, *args):
+        sent.append(self.schema.simpleString())
+        return real(self, *args)
+
+    monkeypatch.setattr(type(docs), "mapInArrow", spy)
+    kept = mil_toxicity.drop_toxic(docs, labels)
+    assert sent[-1].count("text:string") == 1  # twice, a batch took twice the memory
+    assert sorted(map(repr, kept.collect())) == sorted(map(repr, docs.where("doc_id % 2 = 1 or doc_id is null").collect()))
+    assert kept.schema == docs.schema
+
+
 def plain_chance(model, text):
     """Noisy-or over the sentences of one text, word by word."""
     weight = dict(zip(model.keys.tolist(), model.weights.tolist()))
