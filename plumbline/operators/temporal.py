@@ -117,12 +117,12 @@ def _steps(rows: DataFrame) -> DataFrame:
                            f"series string, ts {_kind(rows, 'ts')}, idx bigint, step double")
 
 
-def changepoint_rows(rows: DataFrame, sigmas: float = settings.CHANGEPOINT_SIGMAS) -> DataFrame:
+def changepoint_rows(rows: DataFrame, sigmas: float = settings.CHANGEPOINT_SIGMAS, steps: DataFrame | None = None) -> DataFrame:
     """Every row whose step from the row before is far from the mean step.
 
-    The limit is the mean step plus ``sigmas`` standard deviations of the steps.
+    The limit is the mean step plus ``sigmas`` standard deviations of the steps (``steps``, where they are at hand).
     """
-    steps = _steps(rows)
+    steps = _steps(rows) if steps is None else steps
     usual = steps.groupBy(_SERIES).agg(
         F.count("*").alias("n_steps"), F.avg("step").alias("mean_change"), F.stddev_pop("step").alias("std_change"))
     far = F.abs(F.col("step") - F.col("mean_change")) > F.col("mean_change") + sigmas * F.col("std_change")
@@ -130,9 +130,9 @@ def changepoint_rows(rows: DataFrame, sigmas: float = settings.CHANGEPOINT_SIGMA
             .select(_SERIES, "idx", "ts", "step"))
 
 
-def changepoints(rows: DataFrame, sigmas: float = settings.CHANGEPOINT_SIGMAS) -> DataFrame:
+def changepoints(rows: DataFrame, sigmas: float = settings.CHANGEPOINT_SIGMAS, steps: DataFrame | None = None) -> DataFrame:
     """Number of changepoints, mean and population std of the steps per series."""
-    steps = _steps(rows)
+    steps = _steps(rows) if steps is None else steps
     usual = steps.groupBy(_SERIES).agg(
         F.count("*").alias("n_steps"), F.avg("step").alias("mean_change"), F.stddev_pop("step").alias("std_change"))
     limit = F.col("mean_change") + sigmas * F.col("std_change")
@@ -148,13 +148,13 @@ def changepoints(rows: DataFrame, sigmas: float = settings.CHANGEPOINT_SIGMAS) -
 
 
 def first_changepoints(rows: DataFrame, sigmas: float = settings.CHANGEPOINT_SIGMAS,
-                       k: int = settings.CHANGEPOINTS_LISTED) -> DataFrame:
+                       k: int = settings.CHANGEPOINTS_LISTED, steps: DataFrame | None = None) -> DataFrame:
     """The earliest ``k`` changepoints of each series.
 
     Each block keeps its own first ``k`` before they meet, so no task sees more
     than ``k`` rows per block.
     """
-    found = changepoint_rows(rows, sigmas).withColumn("part", F.floor(F.col("idx") / 65_536))
+    found = changepoint_rows(rows, sigmas, steps).withColumn("part", F.floor(F.col("idx") / 65_536))
     near = Window.partitionBy(_SERIES, "part").orderBy("idx")
     kept = found.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k)
     across = Window.partitionBy(_SERIES).orderBy("idx")
@@ -506,20 +506,24 @@ def _every_series(section: DataFrame, value_cols: Sequence[str], size: str) -> D
 
 def analyze(df: DataFrame, time_col: str, value_cols: Sequence[str] | None = None,
             period: int = settings.SEASONAL_PERIOD, key_cols: Sequence[str] = ()) -> dict[str, DataFrame]:
-    """Every section for every value column; ordered rows, autocorrelations and components are built once."""
+    """Every section for every value column; ordered rows, their steps, autocorrelations and components are built once.
+
+    Sections of a line per series are staged too: the overview reads them again.
+    """
     value_cols = _value_cols(df, time_col, value_cols)
     rows = series_rows(df, time_col, value_cols, key_cols)
+    steps = stage_table(_steps(rows))
     acf = stage_table(partial_autocorrelation(autocorrelation(rows)))
     parts = stage_table(decompose_table(df, time_col, value_cols, period, key_cols, rows))
     return {
         "profile": profile(df, time_col, value_cols),
-        "stationarity": _every_series(stationarity(rows), value_cols, "n_total"),
+        "stationarity": stage_table(_every_series(stationarity(rows), value_cols, "n_total")),
         "autocorrelation": acf,
         "significant_acf": significant_lags(acf, "acf"),
         "significant_pacf": significant_lags(acf, "pacf"),
-        "trend": _every_series(trend(rows), value_cols, "n_obs"),
-        "changepoints": _every_series(changepoints(rows), value_cols, "n_obs"),
-        "first_changepoints": first_changepoints(rows),
+        "trend": stage_table(_every_series(trend(rows), value_cols, "n_obs")),
+        "changepoints": stage_table(_every_series(changepoints(rows, steps=steps), value_cols, "n_obs")),
+        "first_changepoints": first_changepoints(rows, steps=steps),
         "decomposition": parts,
         "strengths": component_strengths(parts),
     }

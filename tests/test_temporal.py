@@ -164,3 +164,19 @@ def test_no_single_partition_window(spark, walk, capsys):
 def test_analyze_overview(spark, walk):
     line = temporal.overview(temporal.analyze(table(spark, v=walk), "ts")).first()
     assert line.series == "v" and line.direction in ("upward", "downward", "flat")
+
+
+def test_analyze_streams_the_steps_once(spark, walk, monkeypatch):
+    made, real = [], temporal._steps
+    monkeypatch.setattr(temporal, "_steps", lambda rows: made.append(1) or real(rows))
+    rows = table(spark, v=walk, gone=[None] * len(walk))
+    sections = temporal.analyze(rows, "ts")
+    plan = temporal.overview(sections)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(made) == 1 and "InArrow" not in plan and "InPandas" not in plan
+    ordered = temporal.series_rows(rows, "ts")
+    apart = {r.series: r for r in temporal.changepoints(ordered).collect()}
+    found = {r.series: r for r in sections["changepoints"].collect()}
+    assert found["v"].n_changepoints == apart["v"].n_changepoints and found["v"].std_change == pytest.approx(apart["v"].std_change, rel=1e-12)
+    assert found["gone"].status == "insufficient_data"
+    first = [(r["rank"], r.idx, r.step) for r in sections["first_changepoints"].orderBy("rank").collect()]
+    assert first == [(r["rank"], r.idx, r.step) for r in temporal.first_changepoints(ordered).orderBy("rank").collect()]
