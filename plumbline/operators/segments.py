@@ -603,10 +603,10 @@ def quality(labelled: DataFrame, method: str, key_cols: Sequence[str], measure:
 
 def cluster(points: DataFrame, key_cols: Sequence[str], n_clusters: int = settings.CLUSTERS,
             methods: Sequence[str] | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Labelled points per method, and one quality row per method."""
+    """Labelled points per method, staged, and one quality row per method."""
     labels, table = {}, None
     for name in methods or ("kmeans", "hierarchical", "dbscan"):
-        labels[name] = _METHODS[name](points, n_clusters, key_cols)
+        labels[name] = stage_table(_METHODS[name](points, n_clusters, key_cols))  # assigned once: quality alone reads them in many passes
         row = quality(labels[name], name, key_cols)
         table = row if table is None else table.unionByName(row)
     return labels, table

@@ -87,12 +87,14 @@ def segments_job(spark: SparkSession, source: str | DataFrame, output: str | Non
     """Elbow table, three clusterings with their quality, k-means summary and projection.
 
     Rows get a number of their own (``row_number``, kept by a staged copy), so keys may repeat or be left out; the
-    points carry the raw row along, so nothing is joined back.
+    points carry keys and raw numbers along, so nothing is joined back.  The copy is dealt out by that number: every pass
+    reads it, and a small file would give them one task.
     """
     df, name = _open(spark, source)
     cols = [c for c in numeric_columns(df) if c not in key_cols]
-    numbered = stage_table(df.select(F.monotonically_increasing_id().alias("row_number"),
-                                     F.struct(*[ref(c) for c in df.columns]).alias("row"), *[ref(c) for c in cols]))
+    carried = [ref(c) for c in dict.fromkeys([*key_cols, *cols])] or [F.lit(None).alias("none")]
+    numbered = stage_table(df.select(F.monotonically_increasing_id().alias("row_number"), F.struct(*carried).alias("row"),
+                                     *[ref(c) for c in cols]).repartition("row_number"))
     points = segments.scaled(numbered, cols, ["row_number", "row"])
     labels, quality_rows = segments.cluster(points, ["row_number"], n_clusters)
     labelled = labels["kmeans"].select("row.*", "cluster")

@@ -227,6 +227,8 @@ def test_cluster_runs_all_methods(spark, blobs):
     got = {r.method: r for r in table.collect()}
     assert set(got) == {"kmeans", "hierarchical", "dbscan"} and got["kmeans"].quality_acceptable
     assert labels["dbscan"].count() == 240
+    for rows in labels.values():  # staged: their many readers do not assign again
+        assert len(rows.inputFiles()) and "MapInArrow" not in rows._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_importance_finds_the_signal(spark):

@@ -173,3 +173,18 @@ def test_temporal_and_segment_jobs(spark, tmp_path):
     table = spark.read.parquet(f"{DATA}/supplier.parquet").drop("s_name")
     jobs.segments_job(spark, table, out, ["s_suppkey"])
     assert sum(r["size"] for r in read_report(spark, out)["cluster_summary"].collect()) == 2 * table.count()
+
+
+def test_segments_job_deals_a_small_file_to_many_tasks(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def look(numbered, cols, keys):
+        assert len(numbered.inputFiles()) > 1 and numbered.select("row_number").distinct().count() == 300_000
+        assert numbered.select("row.*").columns == ["k", "a", "b"] and cols == ["a", "b"]
+        raise Seen
+
+    monkeypatch.setattr(jobs.segments, "scaled", look)
+    source = spark.range(300_000).coalesce(1).selectExpr("id as k", "rand(1) as a", "'long' as text", "rand(2) as b")
+    with pytest.raises(Seen):
+        jobs.segments_job(spark, source, key_cols=["k"])
